@@ -1,0 +1,33 @@
+"""Join-side sizing: broadcast only what is proven small.
+
+Two cases:
+* dimension tables whose size is fixed by definition (legends, product specs,
+  kernel offsets) are broadcast with ``fixed_broadcast``;
+* data-derived small sides (distinct time steps, per-axis coordinates) go
+  through ``broadcast_if_small``: the side is materialised once (cached, it is
+  an aggregate), counted, and broadcast only under the row bound. Above the
+  bound the plan falls back to a shuffle join, where AQE can still split
+  skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bound for data-derived broadcast sides. Rows here are narrow keys
+# (a timestamp, a coordinate); 2M rows stay well under the 8 GiB broadcast cap.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def fixed_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a table whose row count is fixed by its definition."""
+    return F.broadcast(df)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    small = df.cache()
+    n = small.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(small)
+    return small
