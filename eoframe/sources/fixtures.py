@@ -96,6 +96,25 @@ FROM {orders} WHERE o_orderkey % 20 < 2
 """,
     "series": """
 SELECT event_type AS series, ts AS t, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value FROM {events}
+""",
+    # Our extension: one catalogue (STAC) item per order, with collection and
+    # platform as a remote catalogue reports them; assets come from ``assets``.
+    "stac_items": """
+SELECT o_orderkey AS item_id,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'landsat-c2-l2'
+            WHEN o_orderpriority = '3-MEDIUM' THEN 'sentinel-2-l2a'
+            WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'sentinel-1-rtc'
+            WHEN o_orderkey % 3 = 0 THEN 'nasadem'
+            WHEN o_orderkey % 3 = 1 THEN 'esa-worldcover' ELSE 'io-lulc-annual-v02' END AS collection,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN concat('landsat-', CAST(4 + o_custkey % 6 AS VARCHAR(4)))
+            WHEN o_orderpriority = '3-MEDIUM' THEN CASE WHEN o_custkey % 2 = 0 THEN 'sentinel-2a' ELSE 'sentinel-2b' END
+            ELSE NULL END AS platform,
+       o_orderdate AS datetime,
+       CAST((o_custkey * 37) % 36000 AS DOUBLE) / 100 - 180 AS minx,
+       CAST((o_custkey * 53) % 16000 AS DOUBLE) / 100 - 80 AS miny,
+       CAST((o_custkey * 37) % 36000 AS DOUBLE) / 100 - 180 + 1.75 AS maxx,
+       CAST((o_custkey * 53) % 16000 AS DOUBLE) / 100 - 80 + 1.75 AS maxy
+FROM {orders}
 """,
 }
 
@@ -109,6 +128,7 @@ VIEW_TABLES: dict[str, tuple[str, ...]] = {
     "files": ("orders",),
     "features": ("orders",),
     "series": ("events",),
+    "stac_items": ("orders",),
 }
 
 
