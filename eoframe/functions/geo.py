@@ -81,7 +81,7 @@ def grid_transform(left, bottom, right, top, width, height) -> Column:
 def solar_day(t, lon) -> Column:
     """local solar date, ``to_date(t + floor(lon * 240) seconds)``."""
     shift = F.floor(_c(lon) * SECONDS_PER_DEGREE_LON).cast("int")
-    return F.to_date(F.timestampadd("SECOND", shift, _c(t)))
+    return F.to_date(F.timestamp_add("SECOND", shift, _c(t)))
 
 
 def ring_is_valid(ring) -> Column:

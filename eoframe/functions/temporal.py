@@ -61,7 +61,7 @@ def epoch_micros(t) -> Column:
 
 def representative_time(dt, start, end) -> Column:
     """``datetime``, else the range start, else the middle of [start, end]."""
-    mid = F.timestampadd("SECOND", (F.unix_timestamp(_c(end).cast("timestamp")) -
+    mid = F.timestamp_add("SECOND", (F.unix_timestamp(_c(end).cast("timestamp")) -
                                     F.unix_timestamp(_c(start).cast("timestamp"))) / 2, _c(start))
     return F.coalesce(_c(dt), _c(start), mid)
 

@@ -23,7 +23,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-MODULES = ("landsat", "catalog")
+MODULES = ("landsat", "catalog", "timeseries")
 
 
 def register(name: str, oracle: str | None = None, operators=()):
