@@ -62,13 +62,18 @@ def utm_epsg(lat, lon) -> Column:
     return (base + utm_zone(lon)).cast("int")
 
 
-def zoom_level(span_x, span_y, margin: float = 0.0) -> Column:
-    """web-map zoom fitting a degree extent; ``log2(360/d)`` truncated, 18 for d = 0."""
-    def one(d):
-        d = _c(d)
-        z = F.log2(F.lit(360.0) / d) + F.lit(margin)
-        return F.when(d == 0, F.lit(18)).otherwise(z.cast("long").cast("int"))
-    return F.least(one(span_x), one(span_y))
+def degree_to_zoom(l1, l2, margin: float = 0.0) -> Column:
+    """zoom level showing the span |l1 - l2| widened by ``margin``:
+    ``log2(360 / degree)`` truncated toward zero, 18 for an empty span."""
+    degree = F.abs(_c(l1) - _c(l2)) * F.lit(1.0 + margin)
+    z = F.log2(F.lit(360.0) / degree)
+    return F.when(degree == 0, F.lit(18)).otherwise(
+        F.when(z >= 0, F.floor(z)).otherwise(F.ceil(z)).cast("int"))
+
+
+def zoom_level(minx, miny, maxx, maxy, margin: float = 0.0) -> Column:
+    """zoom fitting both axes of an extent (the smaller of the two)."""
+    return F.least(degree_to_zoom(miny, maxy, margin), degree_to_zoom(minx, maxx, margin))
 
 
 def grid_transform(left, bottom, right, top, width, height) -> Column:

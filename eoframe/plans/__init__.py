@@ -23,7 +23,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-MODULES = ("landsat", "catalog", "timeseries")
+MODULES = ("landsat", "catalog", "timeseries", "stats")
 
 
 def register(name: str, oracle: str | None = None, operators=()):
