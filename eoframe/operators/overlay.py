@@ -18,11 +18,9 @@ def frame_table(df: DataFrame, time_col: str = "t") -> DataFrame:
     times = df.select(time_col).distinct()
     w = Window.orderBy(time_col)
     ranked = times.withColumn("frame", (F.dense_rank().over(w) - 1).cast("long"))
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.crossJoin(F.broadcast(n))
-                  .withColumn("is_midway", F.col("frame") == F.floor(F.col("_n") / 2))
-                  .withColumn("caption", F.date_format(F.col(time_col), CAPTION_DATE_FORMAT))
-                  .drop("_n"))
+    n = times.agg(F.count(F.lit(1))).scalar()
+    return (ranked.withColumn("is_midway", F.col("frame") == F.floor(n / 2))
+                  .withColumn("caption", F.date_format(F.col(time_col), CAPTION_DATE_FORMAT)))
 
 
 def frame_caption(t, texts=None) -> "F.Column":

@@ -71,9 +71,11 @@ def rescale_clip(v, lo, hi) -> Column:
 
 def stretch(df: DataFrame, bands, bounds: DataFrame, keys=()) -> DataFrame:
     """F12 with A10 bounds joined per key (a broadcast of one row per key)."""
-    j = df.join(broadcast_if_small(bounds), list(keys)) if keys else df.crossJoin(F.broadcast(bounds))
-    return j.withColumns({b: rescale_clip(F.col(b).cast("double"), F.col("p_low"), F.col("p_high"))
-                          for b in bands})
+    if keys:
+        j, lo, hi = df.join(broadcast_if_small(bounds), list(keys)), F.col("p_low"), F.col("p_high")
+    else:  # one global pair of bounds: scalar subqueries, no join
+        j, lo, hi = df, bounds.select("p_low").scalar(), bounds.select("p_high").scalar()
+    return j.withColumns({b: rescale_clip(F.col(b).cast("double"), lo, hi) for b in bands})
 
 
 def extent(df: DataFrame, keys=(), x: str = "x", y: str = "y", cell: float | None = None) -> DataFrame:

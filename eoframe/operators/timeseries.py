@@ -93,9 +93,10 @@ def custom_fuse(df: DataFrame, keys, value: str, order_cols, fuser, value_type:
     return df.select(*keys, *order_cols, value).groupBy(*keys).applyInPandas(fold, schema)
 
 
-def _global_time_bounds(df: DataFrame, time_col: str) -> DataFrame:
-    return F.broadcast(df.agg(F.min(time_col).alias("_tmin"), F.max(time_col).alias("_tmax"),
-                              F.count_distinct(time_col).alias("_nt")))
+def _time_scalars(df: DataFrame, time_col: str):
+    """Global first/last time and number of time steps as scalar subqueries."""
+    return (df.agg(F.min(time_col)).scalar(), df.agg(F.max(time_col)).scalar(),
+            df.agg(F.count_distinct(time_col)).scalar())
 
 
 def first_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
@@ -109,10 +110,10 @@ def first_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
     key = _valid_key(F.col(value), [time_col])
     g = ranked.groupBy(*cell).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t"),
                                                     F.col("_idx").alias("i")), key).alias("_f"))
-    out = g.crossJoin(_global_time_bounds(df, time_col)).select(
-        *cell, F.col("_f.v").alias(value),
-        F.coalesce(F.col("_f.t"), F.col("_tmin")).alias(time_col),
-        F.coalesce(F.col("_f.i"), F.lit(0)).cast("long").alias("_i"))
+    tmin, _, _ = _time_scalars(df, time_col)
+    out = g.select(*cell, F.col("_f.v").alias(value),
+                   F.coalesce(F.col("_f.t"), tmin).alias(time_col),
+                   F.coalesce(F.col("_f.i"), F.lit(0)).cast("long").alias("_i"))
     return out.withColumnRenamed("_i", index_name) if index_name else out.drop("_i")
 
 
@@ -126,10 +127,10 @@ def last_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
     key = _valid_key(F.col(value), [time_col])
     g = ranked.groupBy(*cell).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t"),
                                                     F.col("_idx").alias("i")), key).alias("_f"))
-    out = g.crossJoin(_global_time_bounds(df, time_col)).select(
-        *cell, F.col("_f.v").alias(value),
-        F.coalesce(F.col("_f.t"), F.col("_tmax")).alias(time_col),
-        F.coalesce(F.col("_f.i") - F.col("_nt"), F.lit(-1)).cast("long").alias("_i"))
+    _, tmax, nt = _time_scalars(df, time_col)
+    out = g.select(*cell, F.col("_f.v").alias(value),
+                   F.coalesce(F.col("_f.t"), tmax).alias(time_col),
+                   F.coalesce(F.col("_f.i") - nt, F.lit(-1)).cast("long").alias("_i"))
     return out.withColumnRenamed("_i", index_name) if index_name else out.drop("_i")
 
 
