@@ -23,7 +23,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-MODULES = ("landsat", "catalog", "timeseries", "stats", "terrain")
+MODULES = ("landsat", "catalog", "timeseries", "stats", "terrain", "harvest")
 
 
 def register(name: str, oracle: str | None = None, operators=()):
