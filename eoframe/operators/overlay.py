@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import CAPTION_DATE_FORMAT
+from .sizing import broadcast_if_small
 
 
 def frame_table(df: DataFrame, time_col: str = "t") -> DataFrame:
@@ -27,3 +28,108 @@ def frame_caption(t, texts=None) -> "F.Column":
     """date caption, then the per-frame text, joined by a newline; empty parts skipped."""
     date = F.date_format(t, CAPTION_DATE_FORMAT)
     return F.concat_ws("\n", date, texts) if texts is not None else date
+
+
+def active_features(frames: DataFrame, features: DataFrame, time_col: str = "t",
+                    bucket: str = "month") -> DataFrame:
+    """(frame, feature) pairs where ``start <= t <= end``.
+
+    Missing starts/ends take the first/last frame time. The interval join is
+    an equi-join on time buckets (each feature exploded over the buckets its
+    interval spans) plus the exact residual predicate, so no frame is
+    compared with features outside its bucket.
+    """
+    first = frames.agg(F.min(time_col)).scalar()
+    last = frames.agg(F.max(time_col)).scalar()
+    f = features.withColumns({"_s": F.coalesce(F.col("start_time"), first),
+                              "_e": F.coalesce(F.col("end_time"), last)})
+    f = f.withColumn("_b", F.explode(F.sequence(F.date_trunc(bucket, "_s"), F.date_trunc(bucket, "_e"),
+                                                 F.expr(f"INTERVAL 1 {bucket.upper()}"))))
+    fr = frames.withColumn("_b", F.date_trunc(bucket, time_col))
+    j = fr.join(f, "_b").filter((F.col("_s") <= F.col(time_col)) & (F.col(time_col) <= F.col("_e")))
+    return j.drop("_b", "_s", "_e")
+
+
+def clip_box(minx, miny, maxx, maxy, box) -> list:
+    """Intersection of box columns with a fixed box (null-free only where they overlap)."""
+    x1, y1, x2, y2 = box
+    return [F.greatest(F.col(minx), F.lit(x1)).alias("minx"), F.greatest(F.col(miny), F.lit(y1)).alias("miny"),
+            F.least(F.col(maxx), F.lit(x2)).alias("maxx"), F.least(F.col(maxy), F.lit(y2)).alias("maxy")]
+
+
+def box_tiles(df: DataFrame, tile: float) -> DataFrame:
+    """Explode each box into the tile ids it overlaps (bounded by its own extent)."""
+    return (df.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("minx") / tile), F.floor(F.col("maxx") / tile))))
+              .withColumn("_ty", F.explode(F.sequence(F.floor(F.col("miny") / tile), F.floor(F.col("maxy") / tile)))))
+
+
+def overlapping_boxes(a: DataFrame, b: DataFrame, tile: float = 5.0) -> DataFrame:
+    """All overlapping (a, b) box pairs with their intersection.
+
+    Both sides are tiled and equi-joined on the tile id with the exact
+    overlap test as residual; a pair is kept only in the tile holding the
+    lower-left corner of its intersection, so no de-duplication is needed.
+    """
+    ta = box_tiles(a.select(F.col("id").alias("id_a"), "minx", "miny", "maxx", "maxy"), tile)
+    tb = box_tiles(b.select(F.col("id").alias("id_b"), F.col("minx").alias("bminx"), F.col("miny").alias("bminy"),
+                            F.col("maxx").alias("bmaxx"), F.col("maxy").alias("bmaxy"))
+                   .withColumnsRenamed({"bminx": "minx", "bminy": "miny", "bmaxx": "maxx", "bmaxy": "maxy"}), tile)
+    tb = tb.withColumnsRenamed({"minx": "bminx", "miny": "bminy", "maxx": "bmaxx", "maxy": "bmaxy"})
+    j = ta.join(tb, ["_tx", "_ty"])
+    ix0, iy0 = F.greatest("minx", "bminx"), F.greatest("miny", "bminy")
+    ix1, iy1 = F.least("maxx", "bmaxx"), F.least("maxy", "bmaxy")
+    j = j.filter((ix0 <= ix1) & (iy0 <= iy1)
+                 & (F.floor(ix0 / tile) == F.col("_tx")) & (F.floor(iy0 / tile) == F.col("_ty")))
+    return j.select("id_a", "id_b", ix0.alias("minx"), iy0.alias("miny"), ix1.alias("maxx"), iy1.alias("maxy"))
+
+
+def pair_by_position(a: DataFrame, b: DataFrame, order_a, order_b) -> DataFrame:
+    """Pair the i-th row of ``a`` with the i-th row of ``b`` (stops at the shorter).
+
+    Positions come from a parallel consecutive numbering (no single-task
+    window); ties in the order are broken by the remaining columns.
+    """
+    from .ranking import consecutive_index
+    return consecutive_index(a, list(order_a), "pos").join(consecutive_index(b, list(order_b), "pos"), "pos")
+
+
+def series_up_to_frames(frames: DataFrame, series: DataFrame, time_col: str = "t", key: str = "series",
+                        value: str = "value") -> DataFrame:
+    """Per frame and series, the points up to the end of the frame's day
+    (23:59:00 inclusive), NaN and null skipped: count, sum, last time and value.
+
+    Each point is assigned to the first frame cut-off at or after it by an
+    equi-join on the calendar day (every cut-off interval is exploded over
+    the days it spans, a table bounded by the covered date range), then
+    partially aggregated per (series, frame) and accumulated over frames per
+    series: the running step sees one row per (series, frame), never point pairs.
+    """
+    cut = F.timestamp_add("MINUTE", F.lit(23 * 60 + 59), F.to_date(F.col(time_col)).cast("timestamp_ntz"))
+    fr = frames.select(time_col, cut.alias("_cut")).distinct()
+    # Cut-off table: one row per distinct cut-off (a time-step table, small).
+    w = Window.orderBy("_cut")
+    cuts = (fr.select("_cut").distinct()
+              .withColumn("_prev", F.lag("_cut").over(w))
+              .withColumn("_k", (F.row_number().over(w) - 1).cast("long")))
+    pts = series.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    first_pt = pts.agg(F.min(time_col)).scalar()
+    start = F.to_date(F.coalesce(F.col("_prev"), F.least(first_pt, F.col("_cut"))))
+    days = cuts.withColumn("_d", F.explode(F.sequence(start, F.to_date("_cut"))))
+    b = (pts.withColumn("_d", F.to_date(time_col))
+            .join(broadcast_if_small(days), "_d")
+            .filter((F.col("_prev").isNull() | (F.col(time_col) > F.col("_prev"))) & (F.col(time_col) <= F.col("_cut"))))
+    agg = b.groupBy(key, "_k").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"),
+                                   F.max_by(F.struct(F.col(time_col).alias("lt"), F.col(value).alias("lv")),
+                                            F.struct(time_col, value)).alias("_l"))
+    n_cuts = cuts.agg(F.count(F.lit(1))).scalar()
+    keys = pts.select(key).distinct()
+    per = keys.select(key, F.explode(F.sequence(F.lit(0).cast("long"), n_cuts - 1)).alias("_k"))
+    per = per.join(agg, [key, "_k"], "left")
+    wk = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    run = per.select(key, "_k", F.sum(F.coalesce("_n", F.lit(0))).over(wk).alias("n_points"),
+                     F.sum("_s").over(wk).alias("value_sum"),
+                     F.last("_l", ignorenulls=True).over(wk).alias("_last"))
+    frame_k = fr.join(cuts.select("_cut", "_k"), "_cut").select(time_col, "_k")
+    out = run.join(broadcast_if_small(frame_k), "_k").filter(F.col("n_points") > 0)
+    return out.select(time_col, key, "n_points", "value_sum", F.col("_last.lt").alias("last_time"),
+                      F.col("_last.lv").alias("last_value"))
