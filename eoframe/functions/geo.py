@@ -96,9 +96,9 @@ def ring_is_valid(ring) -> Column:
     area2 = F.aggregate(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
         F.lit(0.0),
-        lambda acc, i: acc + (F.element_at(r, i)[0] * F.element_at(r, i + 1)[1]
-                              - F.element_at(r, i + 1)[0] * F.element_at(r, i)[1]))
-    closed = (F.element_at(r, 1)[0] == F.element_at(r, -1)[0]) & (F.element_at(r, 1)[1] == F.element_at(r, -1)[1])
+        lambda acc, i: acc + (F.try_element_at(r, i)[0] * F.try_element_at(r, i + 1)[1]
+                              - F.try_element_at(r, i + 1)[0] * F.try_element_at(r, i)[1]))
+    closed = (F.try_element_at(r, F.lit(1))[0] == F.try_element_at(r, F.lit(-1))[0]) & (F.try_element_at(r, F.lit(1))[1] == F.try_element_at(r, F.lit(-1))[1])
     return F.coalesce(r.isNotNull() & (n >= 4) & closed & (F.abs(area2) > 0), F.lit(False))
 
 

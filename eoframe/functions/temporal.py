@@ -94,5 +94,5 @@ def date_in_text(s, out_format: str = DATE_OUT_FORMAT) -> Column:
     found = F.regexp_extract_all(_c(s), F.lit(DATE_IN_TEXT_PATTERN), 0)
     parsed = F.transform(found, lambda m: F.coalesce(*[
         F.try_to_timestamp(F.regexp_replace(m, "[/_]", "-"), F.lit(f)) for f in DATE_TEXT_FORMATS]))
-    first = F.element_at(F.filter(parsed, lambda x: x.isNotNull()), 1)
+    first = F.try_element_at(F.filter(parsed, lambda x: x.isNotNull()), F.lit(1))
     return F.date_format(first, out_format)

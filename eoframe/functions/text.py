@@ -103,7 +103,7 @@ def human_bytes(n) -> Column:
     """F14 (listing variant): '0 B', whole bytes, else one decimal up to PB."""
     b = _c(n).cast("long")
     k = _unit_index(b, 5)
-    units = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), k + 1)
+    units = F.try_element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), k + 1)
     return (F.when(b == 0, F.lit("0 B"))
              .when(k == 0, F.concat(b.cast("string"), F.lit(" B")))
              .otherwise(F.concat(_fixed_decimals(b, k, 1), F.lit(" "), units)))
@@ -113,7 +113,7 @@ def human_bytes_2(n) -> Column:
     """F14 (tree variant): always two decimals, B .. PB."""
     b = _c(n).cast("long")
     k = _unit_index(b, 5)
-    units = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), k + 1)
+    units = F.try_element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), k + 1)
     return F.concat(_fixed_decimals(b, k, 2), F.lit(" "), units)
 
 
@@ -132,7 +132,7 @@ def common_prefix_dir(lo, hi) -> Column:
     n = F.least(F.length(lo), F.length(hi))
     same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                     lambda i: F.substring(lo, i, 1) != F.substring(hi, i, 1))
-    first_diff = F.coalesce(F.element_at(same, 1), n + 1)
+    first_diff = F.coalesce(F.try_element_at(same, F.lit(1)), n + 1)
     common = F.substring(lo, 1, first_diff - 1)
     cut = F.regexp_extract(common, r"^(.*/)[^/]*$", 1)
     return (F.when(lo.isNull(), F.lit(""))

@@ -140,8 +140,12 @@ def batches(assets: DataFrame, group_size: int = 5) -> DataFrame:
 
 
 def run_summary(outcomes: DataFrame, status: str = "status", error: str = "error", keys=()) -> DataFrame:
-    """Totals, successes, failures and the error messages (null when none)."""
-    errs = F.sort_array(F.collect_list(F.col(error)))
+    """Totals, successes, failures and the distinct error messages (null when none).
+
+    Messages are collected as a set: bounded by the number of distinct
+    messages, not by the number of failures.
+    """
+    errs = F.sort_array(F.collect_set(F.col(error)))
     return outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(status) != "failed").alias("successful"),

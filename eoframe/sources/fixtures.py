@@ -115,6 +115,40 @@ SELECT o_orderkey AS item_id,
        CAST((o_custkey * 37) % 36000 AS DOUBLE) / 100 - 180 + 1.75 AS maxx,
        CAST((o_custkey * 53) % 16000 AS DOUBLE) / 100 - 80 + 1.75 AS maxy
 FROM {orders}
+""",
+    # Our extension: the sidecar metadata XML of each landed scene folder,
+    # written from the order row; a few documents lack the scene time.
+    "mtl_xml": """
+SELECT o_orderkey AS scene_id,
+       concat('landsat-c2/level-2/', CAST(year(o_orderdate) AS VARCHAR(8)), '/', CAST(o_custkey % 40 AS VARCHAR(8)),
+              '/LC08_', CAST(o_orderkey AS VARCHAR(12))) AS folder,
+       concat('<?xml version="1.0" encoding="UTF-8"?><LANDSAT_METADATA_FILE><PRODUCT_CONTENTS>',
+              '<DIGITAL_OBJECT_IDENTIFIER>10.5066/P9OGBGM6</DIGITAL_OBJECT_IDENTIFIER>',
+              '<PROCESSING_LEVEL>L2SP</PROCESSING_LEVEL><COLLECTION_NUMBER>02</COLLECTION_NUMBER>',
+              '<COLLECTION_CATEGORY>', CASE WHEN o_orderstatus = 'P' THEN 'T2' ELSE 'T1' END, '</COLLECTION_CATEGORY>',
+              '<FILE_NAME_BAND_2>LC08_', CAST(o_orderkey AS VARCHAR(12)), CASE WHEN o_orderstatus = 'P' THEN '_T2_' ELSE '_T1_' END, 'SR_B2.TIF</FILE_NAME_BAND_2>',
+              '<FILE_NAME_BAND_3>LC08_', CAST(o_orderkey AS VARCHAR(12)), CASE WHEN o_orderstatus = 'P' THEN '_T2_' ELSE '_T1_' END, 'SR_B3.TIF</FILE_NAME_BAND_3>',
+              '<FILE_NAME_BAND_4>LC08_', CAST(o_orderkey AS VARCHAR(12)), CASE WHEN o_orderstatus = 'P' THEN '_T2_' ELSE '_T1_' END, 'SR_B4.TIF</FILE_NAME_BAND_4>',
+              '<FILE_NAME_QUALITY_L1_PIXEL>LC08_', CAST(o_orderkey AS VARCHAR(12)), CASE WHEN o_orderstatus = 'P' THEN '_T2_' ELSE '_T1_' END, 'QA_PIXEL.TIF</FILE_NAME_QUALITY_L1_PIXEL>',
+              '</PRODUCT_CONTENTS><IMAGE_ATTRIBUTES><SPACECRAFT_ID>LANDSAT_', CASE WHEN o_custkey % 2 = 0 THEN '8' ELSE '9' END, '</SPACECRAFT_ID>',
+              '<SENSOR_ID>OLI_TIRS</SENSOR_ID><WRS_TYPE>2</WRS_TYPE>',
+              '<WRS_PATH>', CAST(o_custkey % 233 + 1 AS VARCHAR(8)), '</WRS_PATH>',
+              '<WRS_ROW>', CAST(o_custkey % 248 + 1 AS VARCHAR(8)), '</WRS_ROW>',
+              '<DATE_ACQUIRED>', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), '</DATE_ACQUIRED>',
+              CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('<SCENE_CENTER_TIME>',
+                   lpad(CAST(o_orderkey % 24 AS VARCHAR(2)), 2, '0'), ':', lpad(CAST(o_custkey % 60 AS VARCHAR(2)), 2, '0'),
+                   ':07.1234560Z</SCENE_CENTER_TIME>') END,
+              '<CLOUD_COVER>', CAST(CAST(FLOOR(o_totalprice) AS BIGINT) % 100 AS VARCHAR(4)), '.',
+                   lpad(CAST(o_orderkey % 100 AS VARCHAR(4)), 2, '0'), '</CLOUD_COVER>',
+              '<CLOUD_COVER_LAND>', CAST(CAST(FLOOR(o_totalprice / 7) AS BIGINT) % 100 AS VARCHAR(4)), '.00</CLOUD_COVER_LAND>',
+              '<SUN_AZIMUTH>', CAST(o_custkey % 360 AS VARCHAR(4)), '.25</SUN_AZIMUTH>',
+              '<SUN_ELEVATION>', CAST(o_orderkey % 90 AS VARCHAR(4)), '.5</SUN_ELEVATION>',
+              '</IMAGE_ATTRIBUTES><PROJECTION_ATTRIBUTES><GRID_CELL_SIZE_REFLECTIVE>30.00</GRID_CELL_SIZE_REFLECTIVE>',
+              '</PROJECTION_ATTRIBUTES><LEVEL1_PROCESSING_RECORD><LANDSAT_SCENE_ID>LC8', CAST(o_orderkey AS VARCHAR(12)),
+              'LGN00</LANDSAT_SCENE_ID></LEVEL1_PROCESSING_RECORD><LEVEL2_PROCESSING_RECORD><DATE_PRODUCT_GENERATED>',
+              CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 DAY AS DATE) AS VARCHAR(10)), 'T01:02:03Z</DATE_PRODUCT_GENERATED>',
+              '</LEVEL2_PROCESSING_RECORD></LANDSAT_METADATA_FILE>') AS xml
+FROM {orders}
 """,
 }
 
@@ -129,6 +163,7 @@ VIEW_TABLES: dict[str, tuple[str, ...]] = {
     "features": ("orders",),
     "series": ("events",),
     "stac_items": ("orders",),
+    "mtl_xml": ("orders",),
 }
 
 
