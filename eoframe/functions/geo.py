@@ -90,15 +90,15 @@ def solar_day(t, lon) -> Column:
 
 
 def ring_is_valid(ring) -> Column:
-    """ring is non-null, has >= 4 points, is closed and has non-zero area."""
+    """ring is non-null, has >= 4 points, is closed and has non-zero area
+    (shoelace sum over consecutive point pairs)."""
     r = _c(ring)
     n = F.size(r)
-    area2 = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        F.lit(0.0),
-        lambda acc, i: acc + (F.try_element_at(r, i)[0] * F.try_element_at(r, i + 1)[1]
-                              - F.try_element_at(r, i + 1)[0] * F.try_element_at(r, i)[1]))
-    closed = (F.try_element_at(r, F.lit(1))[0] == F.try_element_at(r, F.lit(-1))[0]) & (F.try_element_at(r, F.lit(1))[1] == F.try_element_at(r, F.lit(-1))[1])
+    pairs = F.zip_with(F.slice(r, 1, F.greatest(n - 1, F.lit(1))), F.slice(r, 2, F.greatest(n - 1, F.lit(1))),
+                       lambda p, q: p[0] * q[1] - q[0] * p[1])
+    area2 = F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+    first, last = F.get(r, 0), F.get(r, n - 1)
+    closed = (first[0] == last[0]) & (first[1] == last[1])
     return F.coalesce(r.isNotNull() & (n >= 4) & closed & (F.abs(area2) > 0), F.lit(False))
 
 

@@ -23,7 +23,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-MODULES = ("landsat", "catalog", "timeseries", "stats", "terrain", "harvest", "explore", "documents")
+MODULES = ("landsat", "catalog", "timeseries", "stats", "terrain", "harvest", "explore", "documents", "streams")
 
 
 def register(name: str, oracle: str | None = None, operators=()):
