@@ -91,12 +91,16 @@ def _fixed_decimals(b: Column, k: Column, decimals: int) -> Column:
     """b / 1024^k rounded half-to-even at ``decimals`` places, formatted, using exact
     integer arithmetic (the value is an exact binary fraction)."""
     scale = 10 ** decimals
-    d = F.pow(F.lit(2), k * 10).cast("long")
-    num = b * F.lit(scale)
-    q, r = F.floor(num / d).cast("long"), F.pmod(num, d)
-    up = (r * 2 > d) | ((r * 2 == d) & (q % 2 == 1))
-    q = q + up.cast("long")
-    return F.format_string(f"%d.%0{decimals}d", F.floor(q / scale).cast("long"), q % scale)
+    dec = "decimal(38,0)"
+    d = F.pow(F.lit(2.0), k * 10).cast(dec)  # exact: powers of two below 2**53
+    num = b.cast(dec) * F.lit(scale).cast(dec)
+    q = F.floor(num / d).cast(dec)
+    r = (num - q * d).cast(dec)
+    up = (r * 2 > d) | ((r * 2 == d) & (F.pmod(q, F.lit(2).cast(dec)) == 1))
+    q = (q + up.cast(dec)).cast(dec)
+    whole = F.floor(q / F.lit(scale).cast(dec)).cast(dec)
+    frac = (q - whole * F.lit(scale).cast(dec)).cast("long")
+    return F.format_string(f"%s.%0{decimals}d", whole.cast("string"), frac)
 
 
 def human_bytes(n) -> Column:
