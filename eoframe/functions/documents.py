@@ -115,14 +115,11 @@ def mtl_variables(parsed, variables: dict = MTL_VARIABLES, band_suffixes: dict =
                                  F.concat(a, F.lit("T"), F.regexp_replace(b, "Z+$", ""), F.lit("Z"))).alias(name))
         else:
             fields.append(leaf(path).alias(name))
-    files = F.array(*[F.trim(m["PRODUCT_CONTENTS"][e]) for e in MTL_FILE_ELEMENTS])
-
-    def ends_with(sfx):
-        return lambda f: f.endswith(sfx + ".TIF")
-
-    bands = F.map_from_arrays(
-        F.array(*[F.lit(b) for b in band_suffixes]),
-        F.array(*[F.try_element_at(F.filter(files, ends_with(s)), F.lit(1)) for s in band_suffixes.values()]))
+    # Band files: per band the first file element ending with its suffix, as
+    # plain (code-generated) conditionals; one map_filter drops absent bands.
+    files = [F.trim(m["PRODUCT_CONTENTS"][e]) for e in MTL_FILE_ELEMENTS]
+    per_band = [F.coalesce(*[F.when(f.endswith(sfx + ".TIF"), f) for f in files]) for sfx in band_suffixes.values()]
+    bands = F.create_map(*[x for b, c in zip(band_suffixes, per_band) for x in (F.lit(b), c)])
     return F.struct(*fields, F.map_filter(bands, lambda k, v: v.isNotNull()).alias("bands"))
 
 
