@@ -51,3 +51,12 @@ def gamma(g: float):
     def f(img: np.ndarray) -> np.ndarray:
         return np.power(img, g)
     return f
+
+
+def map_blocks(df: DataFrame, fn, schema) -> DataFrame:
+    """Apply ``fn(pandas.DataFrame) -> pandas.DataFrame`` to every Arrow batch
+    (``mapInPandas``); the fallback when no Column expression fits."""
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf)
+    return df.mapInPandas(run, schema)

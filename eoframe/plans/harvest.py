@@ -145,3 +145,18 @@ SELECT dir, ROW_NUMBER() OVER (ORDER BY dir) - 1 AS folder_idx,
 FROM (SELECT DISTINCT dir FROM a2) d""", "assets", **_A2))
 def batches(spark, sf):
     return harvest.batches(view(spark, sf, "assets"), BATCH_FOLDERS)
+
+
+@register("page_refs", operators=("F15", "F16"), oracle=oracle_with(f"""
+SELECT page_id, NULLIF(regexp_extract(url, '{text.URL_PATTERN}', 0), '') AS first_url,
+       NULLIF(regexp_extract(html, '{text.PATH_PATTERN}', 0), '') AS first_path,
+       regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', '') AS path,
+       regexp_extract(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', ''), '[^/]*$', 0)
+         AS basename
+FROM pages"""))
+def page_refs(spark, sf):
+    from ..sources.tables import read_table
+    p = read_table(spark, sf, "pages")
+    path = text.url_path("url")
+    return p.select("page_id", text.first_url("url").alias("first_url"), text.first_path("html").alias("first_path"),
+                    path.alias("path"), text.basename(path).alias("basename"))
