@@ -128,10 +128,21 @@ def product_upsert(existing: DataFrame, incoming: DataFrame, update: bool = Fals
     return outcomes, kept_old.unionByName(keep_new, allowMissingColumns=True)
 
 
-def write_documents(doc_df: DataFrame, path: str, doc: str = "doc", partition_cols=("product",)) -> None:
-    """K3: one JSON document per line (JSON is valid YAML), stale output replaced."""
-    out = doc_df.select(*partition_cols, docs.to_iso_json(F.col(doc)).alias("value"))
-    out.write.mode("overwrite").partitionBy(*partition_cols).text(path)
+def write_documents(doc_df: DataFrame, path: str, doc: str = "doc", partition_cols=("product",),
+                    yaml_stream: bool = False, max_docs_per_file: int = 10000) -> None:
+    """K3: documents as JSON text (JSON is valid YAML), stale output replaced.
+
+    Default: one document per line. ``yaml_stream`` writes each file as a
+    multi-document YAML stream (``---`` before every document). Files hold
+    at most ``max_docs_per_file`` documents, so any reader's per-file work is
+    bounded.
+    """
+    body = docs.to_iso_json(F.col(doc))
+    if yaml_stream:
+        body = F.concat(F.lit("---\n"), body)
+    out = doc_df.select(*partition_cols, body.alias("value"))
+    (out.write.mode("overwrite").option("maxRecordsPerFile", max_docs_per_file)
+        .partitionBy(*partition_cols).text(path))
 
 
 def publish_path(dest: str, product, scene) -> Column:

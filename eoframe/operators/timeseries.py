@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,23 +75,45 @@ def wofs_fuser_np(dest, src):
 def custom_fuse(df: DataFrame, keys, value: str, order_cols, fuser, value_type: str = "long") -> DataFrame:
     """User fuser ``f(dest, src)`` folded in scene order per group (pandas path).
 
-    A group is folded inside one task, so this is meant for fusers that are
-    not associative; associative ones belong in a partial aggregate (A5).
+    Rows are hash-partitioned by the group key and sorted by (key, order)
+    inside each partition; one ``mapInPandas`` pass then folds consecutive
+    rows of a group, carrying the last open group across Arrow batches. A
+    group is folded inside one task (a user fuser need not be associative),
+    so this suits groups of bounded size, such as the scenes covering one
+    cell on one solar day; associative fusers belong in a partial aggregate (A5).
     """
     keys, order_cols = list(keys), list(order_cols)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols + [value], kind="mergesort")
-        vals = pdf[value].to_numpy()
-        dest = vals[:1].copy()
-        for i in range(1, len(vals)):
-            dest = fuser(dest, vals[i:i + 1])
-        out = pdf.iloc[:1][keys].copy()
-        out[value] = dest
-        return out
-
-    schema = df.select(*keys).schema.simpleString()[len("struct<"):-1] + f",{value} {value_type}"
-    return df.select(*keys, *order_cols, value).groupBy(*keys).applyInPandas(fold, schema)
+    part = (df.select(*keys, *order_cols, value).repartition(*keys)
+              .sortWithinPartitions(*keys, *order_cols, value))
+    out_schema = df.select(*keys, F.col(value).cast(value_type).alias(value)).schema
+
+    def run(batches):
+        carry_key, carry_val = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            kv = list(pdf[keys].itertuples(index=False, name=None))
+            vals = pdf[value].to_numpy()
+            done_k, done_v = [], []
+            for k, v in zip(kv, vals):
+                src = np.array([v])
+                if k == carry_key:
+                    carry_val = fuser(carry_val, src)
+                else:
+                    if carry_key is not None:
+                        done_k.append(carry_key)
+                        done_v.append(carry_val[0])
+                    carry_key, carry_val = k, src
+            if done_k:
+                out = pd.DataFrame(done_k, columns=keys)
+                out[value] = done_v
+                yield out
+        if carry_key is not None:
+            out = pd.DataFrame([carry_key], columns=keys)
+            out[value] = [carry_val[0]]
+            yield out
+
+    return part.mapInPandas(run, out_schema)
 
 
 def _time_scalars(df: DataFrame, time_col: str):

@@ -32,19 +32,21 @@ def _mtl_sql_cols() -> str:
     return ", ".join(cols)
 
 
-@register("mtl_extract", operators=("S7", "F22"), oracle=oracle_with(f"""
+@register("mtl_extract", operators=("S7", "F22", "F18"), oracle=oracle_with(f"""
 SELECT scene_id, folder, {_mtl_sql_cols()},
        (CASE WHEN {_tag('FILE_NAME_BAND_4')} LIKE '%\\_SR\\_B4.TIF' ESCAPE '\\' THEN 1 ELSE 0 END
         + CASE WHEN {_tag('FILE_NAME_BAND_3')} LIKE '%\\_SR\\_B3.TIF' ESCAPE '\\' THEN 1 ELSE 0 END
         + CASE WHEN {_tag('FILE_NAME_BAND_2')} LIKE '%\\_SR\\_B2.TIF' ESCAPE '\\' THEN 1 ELSE 0 END
         + CASE WHEN {_tag('FILE_NAME_QUALITY_L1_PIXEL')} LIKE '%\\_QA\\_PIXEL.TIF' ESCAPE '\\' THEN 1 ELSE 0 END)
          AS n_band_files,
-       {_tag('FILE_NAME_BAND_4')} AS red_file
+       {_tag('FILE_NAME_BAND_4')} AS red_file,
+       {_tag('DATE_ACQUIRED')} || 'T00:00:00Z' AS first_date
 FROM mtl_xml""", "mtl_xml"))
 def mtl_extract(spark, sf):
     m = fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m")
     return m.select("scene_id", "folder", *[F.col(f"m.{n}").alias(n) for n in fdocs.MTL_VARIABLES],
-                    F.size("m.bands").cast("int").alias("n_band_files"), F.col("m.bands")["red"].alias("red_file"))
+                    F.size("m.bands").cast("int").alias("n_band_files"), F.col("m.bands")["red"].alias("red_file"),
+                    temporal.date_in_text("xml").alias("first_date"))
 
 
 IMG_W, IMG_H = 7601, 7721
@@ -219,3 +221,24 @@ def fill_templates(spark, sf):
     tpl = F.lit(TEMPLATE)
     return sc.select("id", F.array_join(fdocs.missing_placeholders(tpl, vals), ",").alias("missing"),
                      fdocs.fill_template(tpl, vals).alias("filled"))
+
+
+@register("docs_roundtrip", operators=("K3", "S5", "S6", "S9", "X7", "F21", "F37"), oracle=oracle_with(f"""
+SELECT id, product, {sql_iso_ts('t')} AS t, 1 AS n_sources FROM scenes""", "scenes"))
+def docs_roundtrip(spark, sf):
+    import os
+    from ..sources import landed
+    from ..streaming.incremental import new_run_folder
+    sc = view(spark, sf, "scenes")
+    lineage = F.create_map(F.lit("source"), F.struct(F.concat(F.lit("order-"), F.col("id").cast("string")).alias("id")))
+    doc = F.struct(F.col("id"), F.col("t"), F.struct(F.col("product").alias("name")).alias("product"),
+                   fdocs.lineage_ids(lineage).alias("lineage"))
+    root = new_run_folder(spark, "scene-docs")
+    documents.write_documents(sc.select("product", doc.alias("doc")), root, yaml_stream=True)
+    listed = landed.list_files(spark, root, "**.txt")
+    docs_df = landed.read_documents(spark, root, "*.txt").join(listed.select("path"), "path", "left_semi")
+    parsed = docs_df.filter(F.col("error").isNull()).select(
+        F.from_json("doc", "id long, t string, product struct<name string>, lineage map<string,array<string>>")
+         .alias("d"))
+    return parsed.select(F.col("d.id").alias("id"), F.col("d.product.name").alias("product"),
+                         F.col("d.t").alias("t"), F.size(F.col("d.lineage")["source"]).cast("int").alias("n_sources"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
+from ..functions import text
 from ..operators import catalog, explore, overlay
 from ..sources.fixtures import oracle_with, view
 from ..sources.products import PRODUCTS, products as product_table
@@ -76,12 +77,15 @@ def _doc_uri():
          .otherwise(F.concat(F.col("id").cast("string"), F.lit(".json")))))
 
 
-@register("scene_labels", operators=("F29", "F31"), oracle=oracle_with("""
+@register("scene_labels", operators=("F29", "F31", "F32"), oracle=oracle_with("""
 SELECT id, COALESCE(regexp_replace(list_filter(cands, lambda c: c <> '' AND c NOT IN
                          ('ga-metadata.yaml', 'agdc-metadata.yaml', 'ARD-METADATA.yaml'))[1], '\\.(yaml|json)$', ''),
                     CAST(id AS VARCHAR)) AS label,
        CASE WHEN uri LIKE 's3://%' THEN 'https://' || regexp_extract(uri, '^s3://([^/]+)', 1)
-            || '.s3.ap-southeast-2.amazonaws.com' || regexp_extract(uri, '^s3://[^/]+(/.*)?$', 1) ELSE uri END AS url
+            || '.s3.ap-southeast-2.amazonaws.com' || regexp_extract(uri, '^s3://[^/]+(/.*)?$', 1) ELSE uri END AS url,
+       lower(regexp_replace(COALESCE(regexp_replace(list_filter(cands, lambda c: c <> '' AND c NOT IN
+                         ('ga-metadata.yaml', 'agdc-metadata.yaml', 'ARD-METADATA.yaml'))[1], '\\.(yaml|json)$', ''),
+                    CAST(id AS VARCHAR)), '[^0-9a-zA-Z]+', '-', 'g')) AS slug
 FROM (SELECT id, uri, CASE WHEN len(p) >= 4 THEN [p[len(p)], p[len(p) - 1], p[len(p) - 2],
                                                   array_to_string(p[1:len(p) - 3], '/')]
                            ELSE list_reverse(p) END AS cands
@@ -89,8 +93,9 @@ FROM (SELECT id, uri, CASE WHEN len(p) >= 4 THEN [p[len(p)], p[len(p) - 1], p[le
     d=f"SELECT id, {_DOC_URI_SQL} AS uri FROM scenes"))
 def scene_labels(spark, sf):
     s = view(spark, sf, "scenes").select("id", _doc_uri().alias("uri"))
-    return s.select("id", explore.dataset_label(F.lit(None).cast("string"), "uri", "id").alias("label"),
-                    explore.external_url("uri").alias("url"))
+    label = explore.dataset_label(F.lit(None).cast("string"), "uri", "id")
+    return s.select("id", label.alias("label"), explore.external_url("uri").alias("url"),
+                    text.slug(label).alias("slug"))
 
 
 @register("combined_bounds", operators=("A22", "F9"), oracle=oracle_with("""

@@ -33,7 +33,7 @@ def harvest_summary(spark, sf):
     return harvest.harvest_plan(view(spark, sf, "assets"), view(spark, sf, "files"), dry_run=True)
 
 
-@register("asset_groups", operators=("A11", "F16"), oracle=oracle_with("""
+@register("asset_groups", operators=("A11", "F16", "O3"), oracle=oracle_with("""
 SELECT dir, COUNT(*) AS n_assets, string_agg(url, '|' ORDER BY url) AS urls FROM a2 GROUP BY dir""",
     "assets", **_A2))
 def asset_groups(spark, sf):

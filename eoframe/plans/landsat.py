@@ -50,7 +50,7 @@ _MASKED_SR_SQL = """
 """
 
 
-@register("landsat_sr_monthly", operators=("F1", "F2", "U5", "P10", "P12", "P11", "F5", "F7", "A8"),
+@register("landsat_sr_monthly", operators=("F1", "F2", "U5", "P10", "P12", "P11", "F5", "F7", "A8", "P21", "K8"),
           oracle=oracle_with("""
 SELECT CAST(t AS VARCHAR) AS t, COUNT(red) AS n_red,
        ROUND(AVG(red), 9) AS red_mean, ROUND(MIN(red), 9) AS red_min, ROUND(MAX(red), 9) AS red_max,

@@ -178,3 +178,15 @@ WHERE t = (SELECT MIN(t) FROM pixels) OR t = (SELECT MAX(t) FROM pixels)""", "pi
 def time_slice(spark, sf):
     px = view(spark, sf, "pixels").select("t", "y", "x", "red")
     return cube.isel_time(px, [0, -1]).withColumn("t", iso_day("t"))
+
+
+@register("water_fuse_fold", operators=("X3", "A5"), oracle=oracle_with("""
+SELECT CAST(solar_day AS VARCHAR) AS solar_day, y, x,
+       COALESCE(bit_or(wofs) FILTER (WHERE wofs % 2 = 0), last(wofs ORDER BY t, scene_id, seq, lon, wofs)) AS wofs
+FROM o GROUP BY solar_day, y, x""", "pixel_obs", o=_OBS_SQL))
+def water_fuse_fold(spark, sf):
+    # The user-fuser path: each (solar day, cell) group holds the few scenes
+    # covering that cell that day, folded in scene order inside one task.
+    obs = timeseries.with_solar_day(view(spark, sf, "pixel_obs"))
+    f = timeseries.custom_fuse(obs, ["solar_day", "y", "x"], "wofs", ORDER, timeseries.wofs_fuser_np)
+    return f.withColumn("solar_day", iso_day("solar_day"))
