@@ -39,13 +39,18 @@ def day_range(begin: str, end: str) -> tuple[datetime, datetime]:
     return b, e
 
 
+def ntz(dt: datetime) -> Column:
+    """Wall-clock timestamp literal, independent of the Python and session time zones."""
+    return F.lit(dt.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def in_range(t, rng) -> Column:
     """``begin <= t < end``; no range = no filter."""
     if rng is None:
         return F.lit(True)
     b, e = rng
     tc = _c(t)
-    return (tc >= F.lit(b).cast("timestamp_ntz")) & (tc < F.lit(e).cast("timestamp_ntz"))
+    return (tc >= ntz(b)) & (tc < ntz(e))
 
 
 def iso_key(t) -> Column:
@@ -55,7 +60,7 @@ def iso_key(t) -> Column:
 
 def epoch_micros(t) -> Column:
     """Microseconds since 1970 of a wall-clock timestamp, independent of session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"),
+    return F.timestamp_diff("MICROSECOND", ntz(datetime(1970, 1, 1)),
                             _c(t).cast("timestamp_ntz"))
 
 

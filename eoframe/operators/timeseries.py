@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.temporal import epoch_micros
+from ..functions.temporal import epoch_micros, ntz
 from .cube import time_index
 
 
@@ -164,7 +164,7 @@ def nearest_valid(df: DataFrame, value: str, target: datetime, cell=("y", "x"),
     Ties in distance go to the later side (observations at or after the
     target). Cells without any non-null value get null value and time.
     """
-    tgt = epoch_micros(F.lit(target).cast("timestamp_ntz"))
+    tgt = epoch_micros(ntz(target))
     t_us = epoch_micros(F.col(time_col))
     dist = F.abs(t_us - tgt)
     before = (t_us < tgt).cast("int")          # 0 = at/after target wins a tie
