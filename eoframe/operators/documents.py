@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as docs
 from ..functions import geo, text
 from .ranking import consecutive_index
+from .sizing import broadcast_if_small
 
 LABEL_HEAD, LABEL_TAIL = 25, 6
 
@@ -98,7 +99,12 @@ def upsert_outcomes(incoming: DataFrame, index: DataFrame, key: str = "id",
                     valid: Column | None = None, error: Column | None = None) -> DataFrame:
     """K1: per incoming document: ``already`` (key in the index), ``failed`` (invalid)
     or ``added``. A left join on the key; rerunning gives no new ``added``."""
-    present = index.select(key).distinct().withColumn("_present", F.lit(True))
+    # Only index keys that occur in the batch matter: the batch's (usually
+    # small) key set is broadcast into a semi-join, so the index is scanned
+    # (key column only) but not shuffled.
+    batch_keys = broadcast_if_small(incoming.select(key).distinct())
+    present = (index.select(key).join(batch_keys, key, "left_semi").distinct()
+                    .withColumn("_present", F.lit(True)))
     j = incoming.join(present, key, "left")
     ok = valid if valid is not None else F.lit(True)
     status = (F.when(F.col("_present"), F.lit("already"))

@@ -23,10 +23,19 @@ def asset_parts(assets: DataFrame) -> DataFrame:
 
 
 def assets_by_folder(assets: DataFrame) -> DataFrame:
-    """Asset URLs grouped by folder (lists are per folder: a scene's few assets)."""
-    a = asset_parts(assets)
-    return a.groupBy("dir").agg(F.count(F.lit(1)).alias("n_assets"),
-                                F.sort_array(F.collect_list("url")).alias("urls"))
+    """Assets keyed by folder, one ``(dir, url)`` row each, clustered by folder.
+
+    The folder -> URLs mapping stays a keyed table rather than one list per
+    folder, so a folder holding a large share of all assets is never
+    gathered into a single value.
+    """
+    return asset_parts(assets).select("dir", "url").repartition("dir").sortWithinPartitions("dir", "url")
+
+
+def folder_summary(assets: DataFrame) -> DataFrame:
+    """A11 summary: assets per folder with the first and last URL (partial aggregates)."""
+    return asset_parts(assets).groupBy("dir").agg(F.count(F.lit(1)).alias("n_assets"),
+                                                  F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
 def file_ancestors(files: DataFrame, path: str = "path") -> DataFrame:
@@ -73,10 +82,15 @@ def signatures(assets: DataFrame, separator: str = text.TIER_SEPARATOR) -> DataF
     The first level collects per folder (a scene's handful of files); the
     second only counts, so no list grows with the number of folders.
     """
-    path = text.unquote(F.parse_url(F.col("url"), F.lit("PATH")))
-    per = (assets.select(text.parent_name(path).alias("parent"),
-                         text.after_last_match(text.basename(path), separator).alias("part"))
-                 .groupBy("parent").agg(F.sort_array(F.collect_list("part")).alias("sig")))
+    path = text.unquote(F.try_parse_url(F.col("url"), F.lit("PATH")))
+    parts = (assets.select(text.parent_name(path).alias("parent"),
+                           text.after_last_match(text.basename(path), separator).alias("part"))
+                   .groupBy("parent", "part").agg(F.count(F.lit(1)).alias("n")))
+    # Per folder the sorted (part, multiplicity) pairs: bounded by the number of
+    # distinct file kinds, however many files the folder holds. Expanded to the
+    # part list with duplicates (e.g. [B4, B4, MTL]) only for display.
+    per = parts.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("_pn"))
+    per = per.withColumn("sig", F.flatten(F.transform("_pn", lambda e: F.array_repeat(e["part"], e["n"].cast("int")))))
     return per.groupBy("sig").agg(F.count(F.lit(1)).alias("n_folders"),
                                   F.min("parent").alias("first_folder"), F.max("parent").alias("last_folder"))
 

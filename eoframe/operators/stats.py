@@ -106,9 +106,10 @@ def apply_legend(df: DataFrame, value_col: str, legend: DataFrame) -> DataFrame:
 def class_codes(df: DataFrame, attr: str, order: str, name: str = "code") -> DataFrame:
     """Dense codes for an attribute's classes in order of first appearance.
 
-    The ranking runs on the per-class table (one row per class: a category
-    set, not data-sized), then joins back.
+    Classes are ranked by first appearance with the parallel numbering (no
+    single-task window, even for a high-cardinality attribute), then joined back.
     """
+    from .ranking import consecutive_index
     firsts = df.groupBy(attr).agg(F.min(order).alias("_first"))
-    codes = firsts.withColumn(name, (F.row_number().over(Window.orderBy("_first", attr)) - 1).cast("int"))
+    codes = consecutive_index(firsts, ["_first", attr], name).withColumn(name, F.col(name).cast("int"))
     return df.join(broadcast_if_small(codes.drop("_first")), attr, "left")

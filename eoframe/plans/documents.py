@@ -63,9 +63,13 @@ def _scene_docs(spark, sf):
     found = (wanted.join(files, ["folder", "fname"])
                    .groupBy("folder").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("band", "path"))))
                                           .alias("bands")))
+    # Accessories: one path per (folder, accessory key) first, so each folder's
+    # map is bounded by the kinds of side files, not by how many there are.
     others = (files.filter(~text.extension("path").isin("tif", "tiff"))
-                   .groupBy("folder").agg(F.map_from_entries(F.collect_list(
-                       F.struct(documents.accessory_key("fname"), "path"))).alias("accessories")))
+                   .groupBy("folder", documents.accessory_key("fname").alias("key"))
+                   .agg(F.min("path").alias("path"))
+                   .groupBy("folder").agg(F.map_from_entries(F.collect_list(F.struct("key", "path")))
+                                          .alias("accessories")))
     sc = view(spark, sf, "scenes").select(F.col("id").alias("scene_id"), "product", "minx", "miny", "maxx", "maxy")
     j = (mtl.join(sc, "scene_id").join(found, "folder", "left").join(others, "folder", "left")
             .withColumn("bands", F.coalesce("bands", F.create_map().cast("map<string,string>")))

@@ -34,11 +34,10 @@ def harvest_summary(spark, sf):
 
 
 @register("asset_groups", operators=("A11", "F16", "O3"), oracle=oracle_with("""
-SELECT dir, COUNT(*) AS n_assets, string_agg(url, '|' ORDER BY url) AS urls FROM a2 GROUP BY dir""",
+SELECT dir, COUNT(*) AS n_assets, MIN(url) AS first_url, MAX(url) AS last_url FROM a2 GROUP BY dir""",
     "assets", **_A2))
 def asset_groups(spark, sf):
-    g = harvest.assets_by_folder(view(spark, sf, "assets"))
-    return g.select("dir", "n_assets", F.array_join("urls", "|").alias("urls"))
+    return harvest.folder_summary(view(spark, sf, "assets"))
 
 
 @register("signatures", operators=("A12", "F17", "F16", "J4"), oracle=oracle_with("""
