@@ -84,24 +84,52 @@ def disk_offsets(radius: int) -> list[tuple[int, int]]:
             if dx * dx + dy * dy <= r2]
 
 
+def disk_half_widths(radius: int) -> list[tuple[int, int]]:
+    """Per row offset dy, the half width w of the disk row: w^2 + dy^2 <= (r + 0.5)^2,
+    i.e. w = isqrt(r^2 + r - dy^2) (exact integer arithmetic)."""
+    return [(dy, math.isqrt(radius * radius + radius - dy * dy)) for dy in range(-radius, radius + 1)]
+
+
 def dilate(cells: DataFrame, flag: str, radius: int = DILATION_DEFAULT, invert: bool = True,
            keys=()) -> DataFrame:
     """Disk dilation of a boolean grid; returns ``cells`` with ``flag`` replaced.
 
     With ``invert`` the False cells are dilated (e.g. growing a cloud mask
     around bad pixels); either way the result is negated, as the array form
-    is. Shifts that leave the grid are ignored. Each source cell is exploded
-    by the fixed kernel (no join), the shifted cells are de-duplicated, then
-    matched back to the grid.
+    is. Shifts that leave the grid are ignored.
+
+    The disk is a union of horizontal runs, one per row offset, so each
+    source cell emits 2r+1 row intervals (not (2r+1)^2 cells). Intervals are
+    merged per grid line (a window over one line), and only the merged runs
+    are expanded to cells, so every covered cell is produced once before it
+    is matched back to the grid.
     """
     keys = list(keys)
     src = cells.filter(~F.col(flag) if invert else F.col(flag))
+    rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in disk_half_widths(radius)])
+    iv = (src.select(*keys, "x", "y", F.explode(rows).alias("_r"))
+             .select(*keys, (F.col("y") + F.col("_r.dy")).alias("y"),
+                     (F.col("x") - F.col("_r.w")).alias("_s"), (F.col("x") + F.col("_r.w")).alias("_e")))
+    line = Window.partitionBy(*keys, "y").orderBy("_s", "_e")
+    reach = F.max("_e").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    iv = iv.withColumn("_new", (reach.isNull() | (F.col("_s") > reach + 1)).cast("int"))
+    iv = iv.withColumn("_seg", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = iv.groupBy(*keys, "y", "_seg").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    covered = (runs.select(*keys, "y", F.explode(F.sequence("_s", "_e")).alias("x"))
+                   .withColumn("_hit", F.lit(True)))
+    out = cells.join(covered, [*keys, "x", "y"], "left")
+    return out.withColumn(flag, ~F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+
+
+def dilate_by_kernel(cells: DataFrame, flag: str, radius: int = DILATION_DEFAULT, invert: bool = True,
+                     keys=()) -> DataFrame:
+    """J14 reference form: explode each source cell by every disk offset (tests)."""
+    keys = list(keys)
+    src = cells.filter(~F.col(flag) if invert else F.col(flag))
     kern = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disk_offsets(radius)])
     shifted = (src.select(*keys, "x", "y", F.explode(kern).alias("_k"))
-                  .select(*keys, (F.col("x") + F.col("_k.dx")).alias("x"),
-                          (F.col("y") + F.col("_k.dy")).alias("y"))
-                  .distinct()
-                  .withColumn("_hit", F.lit(True)))
+                  .select(*keys, (F.col("x") + F.col("_k.dx")).alias("x"), (F.col("y") + F.col("_k.dy")).alias("y"))
+                  .distinct().withColumn("_hit", F.lit(True)))
     out = cells.join(shifted, [*keys, "x", "y"], "left")
     return out.withColumn(flag, ~F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 

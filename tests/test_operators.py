@@ -82,6 +82,11 @@ def test_dilation_equals_numpy(spark):
     want = _np_dilate(grid, 2)
     got = terrain.dilate(dem, "valid", 2).collect()
     assert all(bool(want[r.y, r.x]) == r.valid for r in got)
+    for r in (1, 4, 10):
+        a = sorted(tuple(x) for x in terrain.dilate(dem, "valid", r).collect())
+        b = sorted(tuple(x) for x in terrain.dilate_by_kernel(dem, "valid", r).collect())
+        assert a == b
+    assert all(w * w + dy * dy <= (10.5) ** 2 < (w + 1) ** 2 + dy * dy for dy, w in terrain.disk_half_widths(10))
 
 
 def test_hillshade_equals_numpy(spark):
