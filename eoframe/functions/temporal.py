@@ -94,10 +94,18 @@ DATE_TEXT_FORMATS = ["yyyy-M-d", "yyyy.M.d", "M-d-yyyy", "M.d.yyyy", "d-M-yyyy",
 DATE_OUT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+def _parse_date_text(m) -> Column:
+    norm = F.regexp_replace(m, "[/_]", "-")
+    return F.coalesce(*[F.try_to_timestamp(norm, F.lit(f)) for f in DATE_TEXT_FORMATS])
+
+
 def date_in_text(s, out_format: str = DATE_OUT_FORMAT) -> Column:
-    """first date in free text that parses, re-formatted; null when none."""
+    """first date in free text that parses, re-formatted; null when none.
+
+    The leftmost match is parsed directly; only when it does not parse are
+    the later matches tried (``coalesce`` evaluates that branch lazily).
+    """
+    first = F.regexp_extract(_c(s), DATE_IN_TEXT_PATTERN, 0)
     found = F.regexp_extract_all(_c(s), F.lit(DATE_IN_TEXT_PATTERN), 0)
-    parsed = F.transform(found, lambda m: F.coalesce(*[
-        F.try_to_timestamp(F.regexp_replace(m, "[/_]", "-"), F.lit(f)) for f in DATE_TEXT_FORMATS]))
-    first = F.try_element_at(F.filter(parsed, lambda x: x.isNotNull()), F.lit(1))
-    return F.date_format(first, out_format)
+    later = F.try_element_at(F.filter(F.transform(found, _parse_date_text), lambda x: x.isNotNull()), F.lit(1))
+    return F.date_format(F.coalesce(F.when(first != "", _parse_date_text(first)), later), out_format)

@@ -40,13 +40,13 @@ SELECT scene_id, folder, {_mtl_sql_cols()},
         + CASE WHEN {_tag('FILE_NAME_QUALITY_L1_PIXEL')} LIKE '%\\_QA\\_PIXEL.TIF' ESCAPE '\\' THEN 1 ELSE 0 END)
          AS n_band_files,
        {_tag('FILE_NAME_BAND_4')} AS red_file,
-       {_tag('DATE_ACQUIRED')} || 'T00:00:00Z' AS first_date
+       substr({_tag('DATE_PRODUCT_GENERATED')}, 1, 10) || 'T00:00:00Z' AS first_date
 FROM mtl_xml""", "mtl_xml"))
 def mtl_extract(spark, sf):
     m = fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m")
     return m.select("scene_id", "folder", *[F.col(f"m.{n}").alias(n) for n in fdocs.MTL_VARIABLES],
                     F.size("m.bands").cast("int").alias("n_band_files"), F.col("m.bands")["red"].alias("red_file"),
-                    temporal.date_in_text("xml").alias("first_date"))
+                    temporal.date_in_text("m.created").alias("first_date"))
 
 
 IMG_W, IMG_H = 7601, 7721
