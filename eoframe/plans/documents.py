@@ -54,7 +54,11 @@ PUBLISH_ROOT = "/published"
 
 
 def _scene_docs(spark, sf):
-    mtl = fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m").select("scene_id", "folder", "m")
+    # The parsed sidecars feed two branches (band lookup and document);
+    # persisting them means each XML document is parsed once.
+    from pyspark import StorageLevel
+    mtl = (fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m").select("scene_id", "folder", "m")
+               .persist(StorageLevel.MEMORY_AND_DISK))
     files = view(spark, sf, "files").select(text.dirname("path").alias("folder"), "path",
                                             text.basename("path").alias("fname"))
     # Band paths: the folder's file whose name equals the sidecar's file name (an
