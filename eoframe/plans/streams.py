@@ -83,3 +83,18 @@ def summary_refresh(spark, sf):
     r = spark.read.parquet(os.path.join(out, "period_rollup"))
     return r.select("product", *[F.col(c).cast("double").alias(c) for c in ("year", "month", "day")],
                     "n", F.col("level").cast("long").alias("level"))
+
+
+@register("cube_store_load", operators=("S2", "W8", "P3", "P4", "K4"), oracle=oracle_with("""
+SELECT CAST(t AS VARCHAR) AS t, y, x, red, nir FROM pixels
+WHERE t >= DATE '1996-03-01' AND t < DATE '1997-09-01' AND x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 50""",
+    "pixels"))
+def cube_store_load(spark, sf):
+    from datetime import datetime
+    from ..sources import cube_store
+    path = os.path.join(incremental.new_run_folder(spark, "cube"), "pixels")
+    px = view(spark, sf, "pixels").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    cube_store.write_cube(px, path, product="ls89_c2l2_sp", tile=16)
+    c = cube_store.load_cube(spark, path, "ls89_c2l2_sp", (datetime(1996, 3, 1), datetime(1997, 9, 1)),
+                             (10, 5, 40, 50), ["red", "nir"])
+    return c.select(iso_day("t").alias("t"), "y", "x", "red", "nir")
