@@ -56,13 +56,15 @@ def histogram(spark, sf):
 
 
 @register("stretch", operators=("A10",), oracle=oracle_with("""
-SELECT CAST(t AS VARCHAR) AS t, ROUND(q[1], 6) AS p_low, ROUND(q[2], 6) AS p_high
-FROM (SELECT t, quantile_cont(value, [0.02, 0.98]) AS q FROM lb GROUP BY t) z""",
-    "pixels", m=_MASKED_DN_SQL, lb=_union_bands("m", RGB, "t")))
+SELECT ROUND(q[1], 6) AS p_low, ROUND(q[2], 6) AS p_high, n
+FROM (SELECT quantile_cont(value, [0.02, 0.98]) AS q, COUNT(*) AS n FROM lb) z""",
+    "pixels", m=_MASKED_DN_SQL, lb=_union_bands("m", RGB)))
 def stretch(spark, sf):
-    b = stats.percentile_bounds(_masked_dn(spark, sf), RGB, keys=["t"])
-    return b.select(iso_day("t").alias("t"), F.round("p_low", 6).alias("p_low"),
-                    F.round("p_high", 6).alias("p_high"))
+    """Robust (2-98 %) bounds of all RGB values pooled over bands and times."""
+    dn = _masked_dn(spark, sf)
+    b = stats.percentile_bounds(dn, RGB)
+    n = stats.long_bands(dn, RGB).filter(F.col("value").isNotNull()).agg(F.count(F.lit(1))).scalar()
+    return b.select(F.round("p_low", 6).alias("p_low"), F.round("p_high", 6).alias("p_high"), n.alias("n"))
 
 
 @register("rgb_stretch", operators=("F12", "A10"), oracle=oracle_with("""
@@ -70,12 +72,13 @@ SELECT CAST(m.t AS VARCHAR) AS t, m.y, m.x,
   ROUND(GREATEST(0.0, LEAST(1.0, (m.red - q[1]) / NULLIF(q[2] - q[1], 0))), 9) AS red,
   ROUND(GREATEST(0.0, LEAST(1.0, (m.green - q[1]) / NULLIF(q[2] - q[1], 0))), 9) AS green,
   ROUND(GREATEST(0.0, LEAST(1.0, (m.blue - q[1]) / NULLIF(q[2] - q[1], 0))), 9) AS blue
-FROM m JOIN (SELECT t, quantile_cont(value, [0.02, 0.98]) AS q FROM lb GROUP BY t) z ON m.t = z.t""",
-    "pixels", m=_MASKED_DN_SQL, lb=_union_bands("m", RGB, "t")))
+FROM m, (SELECT quantile_cont(value, [0.02, 0.98]) AS q FROM lb) z""",
+    "pixels", m=_MASKED_DN_SQL, lb=_union_bands("m", RGB)))
 def rgb_stretch(spark, sf):
+    """F12 with one pair of bounds for the whole selection (scalar subqueries, no join)."""
     dn = _masked_dn(spark, sf)
-    bounds = stats.percentile_bounds(dn, RGB, keys=["t"])
-    s = stats.stretch(dn, RGB, bounds, keys=["t"])
+    bounds = stats.percentile_bounds(dn, RGB)
+    s = stats.stretch(dn, RGB, bounds)
     return s.select(iso_day("t").alias("t"), "y", "x", *[r9(b).alias(b) for b in RGB])
 
 
