@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from eoframe.operators import cube, harvest, overlay, ranking, terrain, timeseries
+from eoframe.operators import catalog, cube, harvest, overlay, ranking, terrain, timeseries
 from eoframe.operators.documents import unique_names, upsert_outcomes
 from eoframe.sources.fixtures import view
 
@@ -152,3 +152,30 @@ def test_interval_join_brute_force(spark):
     want = sorted((t, f.fid) for f in feats.collect() for t in fr
                   if (f.start_time or lo) <= t <= (f.end_time or hi))
     assert got == want
+
+
+def test_sampled_extent_inside_exact(spark):
+    sc = view(spark, SF_SMALL, "scenes")
+    exact = {r.product: r for r in catalog.product_bbox(sc).collect()}
+    for r in catalog.product_bbox(catalog.sample_scenes(sc, 0.3, seed=3)).collect():
+        e = exact[r.product]
+        assert e.minx <= r.minx and e.miny <= r.miny and e.maxx >= r.maxx and e.maxy >= r.maxy
+
+
+def test_incremental_index_equals_batch_upsert(spark):
+    import __spark_entry__ as entry
+    streamed = {r.id for r in entry.queries()["incremental_index"](spark, SF_SMALL).collect()}
+    sc = view(spark, SF_SMALL, "scenes")
+    index = sc.filter("t < TIMESTAMP_NTZ'1998-01-01 00:00:00'")
+    incoming = sc.filter("t >= TIMESTAMP_NTZ'1997-01-01 00:00:00'")
+    out = upsert_outcomes(incoming, index, "id", F.col("geom").isNotNull())
+    batch = {r.id for r in index.select("id").collect()} | {r.id for r in out.filter("status = 'added'").collect()}
+    assert streamed == batch
+
+
+def test_keyed_hillshade_equals_single_grid(spark):
+    dem = view(spark, SF_SMALL, "dem")
+    single = {(r.x, r.y): r.shade for r in terrain.hillshade(dem).collect()}
+    two = dem.withColumn("k", F.lit(1)).unionByName(dem.withColumn("k", F.lit(2)))
+    keyed = terrain.hillshade(two, keys=["k"]).collect()
+    assert all(abs(single[(r.x, r.y)] - r.shade) < 1e-12 for r in keyed)
