@@ -56,8 +56,13 @@ def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
     equality is the rule here.)
     """
     a = asset_parts(assets)
+    # Only ancestors at a depth where some asset folder sits can match: the set
+    # of asset-folder depths (at most the path depth) is a scalar subquery.
+    depth = F.size(F.split(F.col("dir"), "/"))
+    depths = a.agg(F.collect_set(depth)).scalar()
     anc = file_ancestors(files.select("path"))
-    have = anc.select(F.col("folder").alias("dir"), text.basename("path").alias("fname")).distinct()
+    have = (anc.filter(F.array_contains(depths, F.size(F.split(F.col("folder"), "/"))))
+               .select(F.col("folder").alias("dir"), text.basename("path").alias("fname")))
     return a.join(have, ["dir", "fname"], "left_anti")
 
 
