@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, checked_size
 
 TILE = 512  # chunk edge in cells (x, y)
 
@@ -64,13 +64,25 @@ def _axis_with_data(df: DataFrame, axis: str, bands) -> DataFrame:
 def drop_empty(df: DataFrame, bands, axes=("t",)) -> DataFrame:
     """P12 / P11 ``drop=True``: remove coordinates of ``axes`` whose every value is null.
 
-    Per axis a distinct-coordinate table (bounded by the axis length) is built
-    and semi-joined back with a size-checked broadcast.
+    The coordinates holding data are found for all axes in one pass (one
+    aggregation over GROUPING SETS ((axis1), (axis2), ...)); each axis table is
+    bounded by the axis length and semi-joined back with a size-checked
+    broadcast.
     """
+    axes = list(axes)
+    if len(axes) == 1:
+        keeps = {axes[0]: _axis_with_data(df, axes[0], bands)}
+    else:
+        sets = (df.filter(any_not_null(bands))
+                  .groupingSets([[a] for a in axes], *axes).agg(F.grouping_id().alias("_g")))
+        sets, small = checked_size(sets)  # materialised once, split per axis below
+        full = (1 << len(axes)) - 1
+        keeps = {a: sets.filter(F.col("_g") == full - (1 << (len(axes) - 1 - i))).select(a)
+                 for i, a in enumerate(axes)}
+        keeps = {a: (F.broadcast(k) if small else k) for a, k in keeps.items()}
     out = df
     for axis in axes:
-        keep = broadcast_if_small(_axis_with_data(df, axis, bands))
-        out = out.join(keep, axis, "left_semi")
+        out = out.join(keeps[axis] if len(axes) > 1 else broadcast_if_small(keeps[axis]), axis, "left_semi")
     return out
 
 

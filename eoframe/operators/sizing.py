@@ -25,9 +25,12 @@ def fixed_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def checked_size(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Materialise ``df`` (cached) and tell whether it is within the row bound."""
     small = df.cache()
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(small)
-    return small
+    return small, small.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    small, ok = checked_size(df, max_rows)
+    return F.broadcast(small) if ok else small

@@ -73,8 +73,9 @@ def stretch(df: DataFrame, bands, bounds: DataFrame, keys=()) -> DataFrame:
     """F12 with A10 bounds joined per key (a broadcast of one row per key)."""
     if keys:
         j, lo, hi = df.join(broadcast_if_small(bounds), list(keys)), F.col("p_low"), F.col("p_high")
-    else:  # one global pair of bounds: scalar subqueries, no join
-        j, lo, hi = df, bounds.select("p_low").scalar(), bounds.select("p_high").scalar()
+    else:  # one global pair of bounds: a single struct-valued scalar subquery, no join
+        b = bounds.select(F.struct("p_low", "p_high")).scalar()
+        j, lo, hi = df, b["p_low"], b["p_high"]
     return j.withColumns({b: rescale_clip(F.col(b).cast("double"), lo, hi) for b in bands})
 
 

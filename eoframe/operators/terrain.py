@@ -70,7 +70,12 @@ def hillshade(dem: DataFrame, value: str = "elevation", keys=(), azdeg: float =
         g = g.join(broadcast_if_small(rng), keys)
         imin, imax = F.col("_imin"), F.col("_imax")
     else:
-        imin, imax = g.agg(F.min("_i")).scalar(), g.agg(F.max("_i")).scalar()
+        # One pass for both bounds (a struct-valued scalar subquery); the
+        # intensity grid is persisted so the rescale does not redo the windows.
+        from pyspark import StorageLevel
+        g = g.persist(StorageLevel.MEMORY_AND_DISK)
+        rng = g.agg(F.struct(F.min("_i").alias("lo"), F.max("_i").alias("hi"))).scalar()
+        imin, imax = rng["lo"], rng["hi"]
     scaled = F.col("_i") * F.lit(fraction)
     stretched = F.when(imax - imin > RESCALE_MIN_RANGE, (scaled - imin) / (imax - imin)).otherwise(scaled)
     return (g.withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), stretched)))

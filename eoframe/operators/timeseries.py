@@ -117,9 +117,10 @@ def custom_fuse(df: DataFrame, keys, value: str, order_cols, fuser, value_type:
 
 
 def _time_scalars(df: DataFrame, time_col: str):
-    """Global first/last time and number of time steps as scalar subqueries."""
-    return (df.agg(F.min(time_col)).scalar(), df.agg(F.max(time_col)).scalar(),
-            df.agg(F.count_distinct(time_col)).scalar())
+    """Global first/last time and number of time steps: one struct-valued scalar subquery."""
+    s = df.agg(F.struct(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"),
+                        F.count_distinct(time_col).alias("n"))).scalar()
+    return s["lo"], s["hi"], s["n"]
 
 
 def first_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
