@@ -74,9 +74,9 @@ def stretch(df: DataFrame, bands, bounds: DataFrame, keys=()) -> DataFrame:
     if keys:
         j, lo, hi = df.join(broadcast_if_small(bounds), list(keys)), F.col("p_low"), F.col("p_high")
     else:  # one global pair of bounds: a single struct-valued scalar subquery, no join
-        b = bounds.select(F.struct("p_low", "p_high")).scalar()
-        j, lo, hi = df, b["p_low"], b["p_high"]
-    return j.withColumns({b: rescale_clip(F.col(b).cast("double"), lo, hi) for b in bands})
+        j = df.withColumn("_bounds", bounds.select(F.struct("p_low", "p_high")).scalar())
+        lo, hi = F.col("_bounds.p_low"), F.col("_bounds.p_high")
+    return j.withColumns({b: rescale_clip(F.col(b).cast("double"), lo, hi) for b in bands}).drop("_bounds")
 
 
 def extent(df: DataFrame, keys=(), x: str = "x", y: str = "y", cell: float | None = None) -> DataFrame:

@@ -75,11 +75,13 @@ def hillshade(dem: DataFrame, value: str = "elevation", keys=(), azdeg: float =
         from pyspark import StorageLevel
         g = g.persist(StorageLevel.MEMORY_AND_DISK)
         rng = g.agg(F.struct(F.min("_i").alias("lo"), F.max("_i").alias("hi"))).scalar()
-        imin, imax = rng["lo"], rng["hi"]
+        # Bound to a column once: every later reference reads it, the subquery runs once.
+        g = g.withColumn("_imm", rng)
+        imin, imax = F.col("_imm.lo"), F.col("_imm.hi")
     scaled = F.col("_i") * F.lit(fraction)
     stretched = F.when(imax - imin > RESCALE_MIN_RANGE, (scaled - imin) / (imax - imin)).otherwise(scaled)
     return (g.withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), stretched)))
-             .drop("_i", "_imin", "_imax"))
+             .drop("_i", "_imin", "_imax", "_imm"))
 
 
 def disk_offsets(radius: int) -> list[tuple[int, int]]:

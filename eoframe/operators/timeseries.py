@@ -135,8 +135,8 @@ def first_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
     g = ranked.groupBy(*cell).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t"),
                                                     F.col("_idx").alias("i")), key).alias("_f"))
     tmin, _, _ = _time_scalars(df, time_col)
-    out = g.select(*cell, F.col("_f.v").alias(value),
-                   F.coalesce(F.col("_f.t"), tmin).alias(time_col),
+    out = g.withColumn("_tmin", tmin).select(*cell, F.col("_f.v").alias(value),
+                   F.coalesce(F.col("_f.t"), F.col("_tmin")).alias(time_col),
                    F.coalesce(F.col("_f.i"), F.lit(0)).cast("long").alias("_i"))
     return out.withColumnRenamed("_i", index_name) if index_name else out.drop("_i")
 
@@ -151,10 +151,10 @@ def last_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
     key = _valid_key(F.col(value), [time_col])
     g = ranked.groupBy(*cell).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t"),
                                                     F.col("_idx").alias("i")), key).alias("_f"))
-    _, tmax, nt = _time_scalars(df, time_col)
-    out = g.select(*cell, F.col("_f.v").alias(value),
-                   F.coalesce(F.col("_f.t"), tmax).alias(time_col),
-                   F.coalesce(F.col("_f.i") - nt, F.lit(-1)).cast("long").alias("_i"))
+    s = df.agg(F.struct(F.max(time_col).alias("hi"), F.count_distinct(time_col).alias("n"))).scalar()
+    out = g.withColumn("_ts", s).select(*cell, F.col("_f.v").alias(value),
+                   F.coalesce(F.col("_f.t"), F.col("_ts.hi")).alias(time_col),
+                   F.coalesce(F.col("_f.i") - F.col("_ts.n"), F.lit(-1)).cast("long").alias("_i"))
     return out.withColumnRenamed("_i", index_name) if index_name else out.drop("_i")
 
 
