@@ -250,3 +250,65 @@ def docs_roundtrip(spark, sf):
          .alias("d"))
     return parsed.select(F.col("d.id").alias("id"), F.col("d.product.name").alias("product"),
                          F.col("d.t").alias("t"), F.size(F.col("d.lineage")["source"]).cast("int").alias("n_sources"))
+
+
+@register("product_csv", operators=("S8", "A24"), oracle=oracle_with("""
+SELECT product, product || '/' || CAST(MAX(year(t)) AS VARCHAR) || '.odc-product.yaml' AS url
+FROM scenes GROUP BY product""", "scenes"))
+def product_csv(spark, sf):
+    """A product list written as CSV (one row per product and year, years ascending)
+    and read back: for a repeated product the last row wins."""
+    import os
+    from ..sources import landed
+    from ..streaming.incremental import new_run_folder
+    rows = (view(spark, sf, "scenes").select("product", F.year("t").alias("yr")).distinct()
+            .select("product", F.concat("product", F.lit("/"), F.col("yr").cast("string"),
+                                        F.lit(".odc-product.yaml")).alias("definition"), "yr"))
+    path = os.path.join(new_run_folder(spark, "product-csv"), "products.csv")
+    # A product list is a small dimension file (products x years), written as one ordered file.
+    rows.orderBy("product", "yr").drop("yr").coalesce(1).write.option("header", "true").csv(path)
+    return landed.read_product_csv(spark, path)
+
+
+@register("product_upsert", operators=("K2",), oracle=oracle_with("""
+SELECT i.product AS name, CASE WHEN e.product IS NULL THEN 'added' ELSE 'failed' END AS status,
+       CASE WHEN e.product IS NOT NULL THEN 'product already exists' END AS error
+FROM (SELECT DISTINCT product FROM scenes WHERE t >= TIMESTAMP '1998-01-01') i
+LEFT JOIN (SELECT DISTINCT product FROM scenes WHERE t < TIMESTAMP '1996-01-01'
+           AND product IN ('ls89_c2l2_sp', 's2_l2a')) e ON i.product = e.product""", "scenes"))
+def product_upsert(spark, sf):
+    """Products defined from early scenes (two families) vs products seen later: add the new
+    ones, report the existing ones (no update requested)."""
+    sc = view(spark, sf, "scenes")
+    existing = (sc.filter((F.col("t") < F.lit("1996-01-01").cast("timestamp_ntz"))
+                          & F.col("product").isin("ls89_c2l2_sp", "s2_l2a"))
+                  .select(F.col("product").alias("name")).distinct())
+    incoming = sc.filter(F.col("t") >= F.lit("1998-01-01").cast("timestamp_ntz")).select(
+        F.col("product").alias("name")).distinct()
+    outcomes, _ = documents.product_upsert(existing, incoming, update=False)
+    return outcomes
+
+
+# Display order of dataset properties (known keys first, others last).
+PROPERTY_PRIORITY = ["datetime", "eo:cloud_cover", "odc:region_code", "odc:product", "status"]
+
+
+@register("property_order", operators=("O4",), oracle=oracle_with("""
+SELECT id, array_to_string(list_transform(list_sort(list_transform(
+         list_filter([['status', geom], ['datetime', strftime(t, '%Y-%m-%dT%H:%M:%S')],
+                      ['zz:extra', 'x'], ['odc:region_code', region_code],
+                      ['eo:cloud_cover', CAST(cloud_cover AS VARCHAR)]], lambda kv: kv[2] IS NOT NULL),
+         lambda kv: [lpad(CAST(COALESCE(NULLIF(list_position(['datetime', 'eo:cloud_cover', 'odc:region_code',
+                                                               'odc:product', 'status'], kv[1]), 0), 999) AS VARCHAR), 3, '0'),
+                     kv[1]])), lambda p: p[2]), ',') AS keys
+FROM scenes""", "scenes"))
+def property_order(spark, sf):
+    """Present (non-null) properties of each scene listed in display priority order."""
+    sc = view(spark, sf, "scenes")
+    props = F.map_filter(F.create_map(
+        F.lit("status"), F.col("geom"), F.lit("datetime"), iso_ts("t"), F.lit("zz:extra"), F.lit("x"),
+        F.lit("odc:region_code"), F.col("region_code"), F.lit("eo:cloud_cover"), F.col("cloud_cover").cast("string")),
+        lambda k, v: v.isNotNull())
+    ranked = F.transform(F.map_keys(props), lambda k: F.struct(explore.priority_rank(k, PROPERTY_PRIORITY).alias("r"),
+                                                              k.alias("k")))
+    return sc.select("id", F.array_join(F.transform(F.array_sort(ranked), lambda e: e["k"]), ",").alias("keys"))

@@ -98,3 +98,40 @@ def cube_store_load(spark, sf):
     c = cube_store.load_cube(spark, path, "ls89_c2l2_sp", (datetime(1996, 3, 1), datetime(1997, 9, 1)),
                              (10, 5, 40, 50), ["red", "nir"])
     return c.select(iso_day("t").alias("t"), "y", "x", "red", "nir")
+
+
+@register("scl_blocks", operators=("X4", "F3"), oracle=oracle_with("""
+SELECT CAST(t AS VARCHAR) AS t, y, x, scl IN (4, 5, 6, 7, 11) AS valid FROM pixels""", "pixels"))
+def scl_blocks(spark, sf):
+    """The class mask as a per-block numpy function (``isin`` on each Arrow batch)."""
+    import numpy as np
+    from ..functions.qa import SCL_VALID_DEFAULT
+
+    def block(pdf):
+        out = pdf[["t", "y", "x"]].copy()
+        out["valid"] = np.isin(pdf["scl"].to_numpy(), list(SCL_VALID_DEFAULT))
+        return out
+
+    px = view(spark, sf, "pixels").select(F.col("t").cast("string").alias("t"), "y", "x", "scl")
+    return imaging.map_blocks(px, block, "t string, y long, x long, valid boolean")
+
+
+@register("geojson_roundtrip", operators=("S13", "K5"), oracle=oracle_with("""
+SELECT fid, attr, minx, miny, minx + 1.0 AS maxx, miny + 1.0 AS maxy FROM features""", "features"))
+def geojson_roundtrip(spark, sf):
+    """Features written as GeoJSON FeatureCollection files (at most 5,000 features each)
+    and read back with the vector overlay reader."""
+    from ..operators.ranking import consecutive_index
+    from ..sources import landed
+    f = view(spark, sf, "features").select("fid", "attr", "minx", "miny")
+    feat = explore.geojson_feature(explore.bbox_geometry("minx", "miny", F.col("minx") + 1.0, F.col("miny") + 1.0),
+                                   {"fid": F.col("fid"), "attr": F.col("attr")})
+    numbered = consecutive_index(f.select("fid", feat.alias("feature")), ["fid"], "i")
+    per_file = (numbered.groupBy(F.floor(F.col("i") / 5000).alias("file"))
+                        .agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                                      F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value")))
+    root = os.path.join(incremental.new_run_folder(spark, "geojson"), "features")
+    per_file.write.partitionBy("file").text(root)
+    g = landed.read_geojson(spark, root + "/*/*.txt")
+    props = F.from_json("properties", "fid long, attr string")
+    return g.select(props["fid"].alias("fid"), props["attr"].alias("attr"), "minx", "miny", "maxx", "maxy")
