@@ -179,3 +179,21 @@ def test_keyed_hillshade_equals_single_grid(spark):
     two = dem.withColumn("k", F.lit(1)).unionByName(dem.withColumn("k", F.lit(2)))
     keyed = terrain.hillshade(two, keys=["k"]).collect()
     assert all(abs(single[(r.x, r.y)] - r.shade) < 1e-12 for r in keyed)
+
+
+def test_tile_sink_round_trip(spark, tmp_path):
+    px = view(spark, SF_SMALL, "pixels").select("t", "y", "x", "red")
+    tiles = terrain.tile_rows(px, ["red"], {"red": 0}, 16, keys=["t"]).withColumn("product", F.lit("p"))
+    terrain.write_tiles(tiles, str(tmp_path / "tiles"))
+    back = spark.read.parquet(str(tmp_path / "tiles"))
+    assert set(back.columns) >= {"product", "t", "tile_y", "tile_x", "band", "values"}
+    assert back.agg(F.sum("n_cells")).first()[0] == px.count()
+
+
+def test_exports(spark, tmp_path):
+    from eoframe.operators import explore
+    df = view(spark, SF_SMALL, "scenes").select("id", "product")
+    explore.export(df, str(tmp_path / "j"), "json")
+    explore.export(df, str(tmp_path / "c"), "csv")
+    assert spark.read.json(str(tmp_path / "j")).count() == df.count()
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == df.count()
