@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import qa
-from ..functions.radiometry import (SR_VALID_RANGE, ST_VALID_RANGE, normalized_difference,
-                                    to_celsius, to_reflectance)
+from ..functions.radiometry import (SR_GAIN, SR_OFFSET, ST_GAIN, ST_OFFSET, KELVIN_TO_CELSIUS, SR_VALID_RANGE,
+                                    ST_VALID_RANGE, normalized_difference, to_celsius, to_reflectance)
 from ..operators import cube
 from ..sources.fixtures import oracle_with, view
 from . import register
@@ -40,6 +40,25 @@ def _masked_sr(spark, sf):
     return px.select("t", "y", "x", *[to_reflectance(b).alias(b) for b in SR_BANDS])
 
 
+_MASKED_DN_SQL_SR = """
+  SELECT t, y, x,
+    CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND red BETWEEN 7273 AND 43636 THEN red END AS red,
+    CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND green BETWEEN 7273 AND 43636 THEN green END AS green,
+    CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND blue BETWEEN 7273 AND 43636 THEN blue END AS blue,
+    CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND nir BETWEEN 7273 AND 43636 THEN nir END AS nir
+  FROM pixels
+"""
+
+
+def _masked_dn_sr(spark, sf):
+    """Cloud-masked DN inside the reflectance valid range (still integers)."""
+    px = view(spark, sf, "pixels")
+    bad = qa.qa_pixel_any("qa_pixel", CLOUDY)
+    px = cube.mask_bands(px, bad, SR_BANDS).drop("qa_pixel")
+    lo, hi = SR_VALID_RANGE
+    return cube.within_range(px, SR_BANDS, lo, hi).select("t", "y", "x", *SR_BANDS)
+
+
 _MASKED_SR_SQL = """
   SELECT t, y, x,
     CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND red BETWEEN 7273 AND 43636 THEN red * 2.75e-5 - 0.2 END AS red,
@@ -50,28 +69,39 @@ _MASKED_SR_SQL = """
 """
 
 
+def _sr_of(c):
+    """Reflectance of a DN-valued Column (the scaling is linear, so it commutes with mean/min/max)."""
+    return F.col(c).cast("double") * F.lit(SR_GAIN) + F.lit(SR_OFFSET)
+
+
 @register("landsat_sr_monthly", operators=("F1", "F2", "U5", "P10", "P12", "P11", "F5", "F7", "A8", "P21", "K8"),
           oracle=oracle_with("""
 SELECT CAST(t AS VARCHAR) AS t, COUNT(red) AS n_red,
-       ROUND(AVG(red), 9) AS red_mean, ROUND(MIN(red), 9) AS red_min, ROUND(MAX(red), 9) AS red_max,
+       ROUND((CAST(SUM(red) AS DOUBLE) / COUNT(red)) * 2.75e-5 + -0.2, 9) AS red_mean,
+       ROUND(MIN(red) * 2.75e-5 + -0.2, 9) AS red_min, ROUND(MAX(red) * 2.75e-5 + -0.2, 9) AS red_max,
        ROUND(AVG(ndvi), 9) AS ndvi_mean, ROUND(MIN(ndvi), 9) AS ndvi_min, ROUND(MAX(ndvi), 9) AS ndvi_max
 FROM s GROUP BY t
-HAVING COUNT(red) + COUNT(green) + COUNT(blue) + COUNT(nir) > 0""", "pixels", m=_MASKED_SR_SQL,
-              s="SELECT t, red, green, blue, nir, (nir - red) / NULLIF(nir + red, 0) AS ndvi FROM m"))
+HAVING COUNT(red) + COUNT(green) + COUNT(blue) + COUNT(nir) > 0""", "pixels", m=_MASKED_DN_SQL_SR,
+              s="""SELECT t, red, green, blue, nir,
+                     ((nir * 2.75e-5 - 0.2) - (red * 2.75e-5 - 0.2)) / NULLIF((nir * 2.75e-5 - 0.2) + (red * 2.75e-5 - 0.2), 0) AS ndvi
+                   FROM m"""))
 def landsat_sr_monthly(spark, sf):
-    sr = _masked_sr(spark, sf).withColumn("ndvi", normalized_difference("nir", "red"))
-    # Dropping all-empty time steps is a HAVING on the per-time aggregate:
-    # no second pass over the pixels is needed when the output is per time.
-    return (sr.groupBy("t")
-              .agg(F.count("red").alias("n_red"),
-                   r9(F.avg("red")).alias("red_mean"), r9(F.min("red")).alias("red_min"),
-                   r9(F.max("red")).alias("red_max"),
-                   r9(F.avg("ndvi")).alias("ndvi_mean"), r9(F.min("ndvi")).alias("ndvi_min"),
-                   r9(F.max("ndvi")).alias("ndvi_max"),
-                   F.max(cube.any_not_null(SR_BANDS).cast("int")).alias("_any"))
-              .filter(F.col("_any") == 1)
-              .select(iso_day("t").alias("t"), "n_red", "red_mean", "red_min", "red_max",
-                      "ndvi_mean", "ndvi_min", "ndvi_max"))
+    px = _masked_dn_sr(spark, sf)
+    ndvi = normalized_difference(to_reflectance("nir"), to_reflectance("red"))
+    # Reflectance statistics come from exact integer DN aggregates (count, sum,
+    # min, max), scaled afterwards: order-independent, so every engine and
+    # every partitioning gives the same bits. Dropping all-empty time steps is
+    # a HAVING on the per-time aggregate (no second pass over the pixels).
+    g = (px.withColumn("ndvi", ndvi).groupBy("t")
+           .agg(F.count("red").alias("n_red"), F.sum("red").alias("_s"), F.min("red").alias("_lo"),
+                F.max("red").alias("_hi"), F.avg("ndvi").alias("_nm"), F.min("ndvi").alias("_nl"),
+                F.max("ndvi").alias("_nh"), F.max(cube.any_not_null(SR_BANDS).cast("int")).alias("_any"))
+           .filter(F.col("_any") == 1))
+    mean_dn = F.col("_s").cast("double") / F.col("n_red")
+    return g.select(iso_day("t").alias("t"), "n_red",
+                    r9(mean_dn * F.lit(SR_GAIN) + F.lit(SR_OFFSET)).alias("red_mean"),
+                    r9(_sr_of("_lo")).alias("red_min"), r9(_sr_of("_hi")).alias("red_max"),
+                    r9("_nm").alias("ndvi_mean"), r9("_nl").alias("ndvi_min"), r9("_nh").alias("ndvi_max"))
 
 
 QA_TYPES = ["nodata", "dilated_cloud", "cirrus", "cloud", "cloud_shadow", "snow", "clear", "water",
@@ -204,20 +234,22 @@ def valid_range(spark, sf):
 
 
 @register("surface_temp", operators=("F6", "P10", "P11", "P12", "A8"), oracle=oracle_with("""
-SELECT CAST(t AS VARCHAR) AS t, COUNT(st) AS n_st, ROUND(AVG(st), 9) AS st_mean,
-       ROUND(MIN(st), 9) AS st_min, ROUND(MAX(st), 9) AS st_max
+SELECT CAST(t AS VARCHAR) AS t, COUNT(st) AS n_st,
+       ROUND(((CAST(SUM(st) AS DOUBLE) / COUNT(st)) * 0.00341802 + 149.0) + -273.15, 9) AS st_mean,
+       ROUND((MIN(st) * 0.00341802 + 149.0) + -273.15, 9) AS st_min,
+       ROUND((MAX(st) * 0.00341802 + 149.0) + -273.15, 9) AS st_max
 FROM m GROUP BY t HAVING COUNT(st) > 0""", "pixels", m="""
-  SELECT t, CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND lwir11 BETWEEN 293 AND 61440
-                 THEN lwir11 * 0.00341802 + 149.0 - 273.15 END AS st
+  SELECT t, CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND lwir11 BETWEEN 293 AND 61440 THEN lwir11 END AS st
   FROM pixels"""))
 def surface_temp(spark, sf):
     px = view(spark, sf, "pixels")
     bad = qa.qa_pixel_any("qa_pixel", CLOUDY)
     px = cube.mask_bands(px, bad, ["lwir11"])
     lo, hi = ST_VALID_RANGE
-    st = cube.within_range(px, ["lwir11"], lo, hi).select("t", to_celsius("lwir11").alias("st"))
-    return (st.groupBy("t")
-              .agg(F.count("st").alias("n_st"), r9(F.avg("st")).alias("st_mean"),
-                   r9(F.min("st")).alias("st_min"), r9(F.max("st")).alias("st_max"))
-              .filter(F.col("n_st") > 0)
-              .withColumn("t", iso_day("t")))
+    dn = cube.within_range(px, ["lwir11"], lo, hi).select("t", F.col("lwir11").alias("st"))
+    # Celsius statistics from exact integer DN aggregates, converted afterwards.
+    g = dn.groupBy("t").agg(F.count("st").alias("n_st"), F.sum("st").alias("_s"), F.min("st").alias("_lo"),
+                            F.max("st").alias("_hi")).filter(F.col("n_st") > 0)
+    mean_dn = F.col("_s").cast("double") / F.col("n_st")
+    return g.select(iso_day("t").alias("t"), "n_st", r9(to_celsius(mean_dn)).alias("st_mean"),
+                    r9(to_celsius("_lo")).alias("st_min"), r9(to_celsius("_hi")).alias("st_max"))
