@@ -197,3 +197,25 @@ def test_exports(spark, tmp_path):
     explore.export(df, str(tmp_path / "c"), "csv")
     assert spark.read.json(str(tmp_path / "j")).count() == df.count()
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == df.count()
+
+
+def test_search_guards_and_union(spark):
+    sc = view(spark, SF_SMALL, "scenes")
+    with pytest.raises(ValueError):
+        catalog.ensure_found(catalog.find_scenes(sc, ["no_such_product"]), "datasets")
+    with pytest.raises(ValueError):
+        cube.require_columns(sc, ["id", "missing_col"])
+    u = catalog.union_products(sc, {"ls89_c2l2_sp": F.col("cloud_cover") < 50, "s2_l2a": F.lit(True)})
+    want = sc.filter("(product = 'ls89_c2l2_sp' AND cloud_cover < 50) OR product = 's2_l2a'").count()
+    assert u.count() == want
+
+
+def test_field_predicate_reversed_range(spark):
+    sc = view(spark, SF_SMALL, "scenes")
+    pred = catalog.field_predicate({"cloud_cover-begin": "60", "cloud_cover-end": "20", "product": ""},
+                                   {"cloud_cover": "long", "product": "string"})
+    assert sc.filter(pred).count() == sc.filter("cloud_cover BETWEEN 20 AND 60").count()
+    open_end = catalog.field_predicate({"cloud_cover-begin": "90"}, {"cloud_cover": "long"})
+    assert sc.filter(open_end).count() == sc.filter("cloud_cover >= 90").count()
+    with pytest.raises(ValueError):
+        catalog.field_predicate({"nope": "1"}, {"cloud_cover": "long"})
