@@ -53,7 +53,8 @@ def bbox_ring(left, bottom, right, top) -> Column:
 
 def utm_zone(lon) -> Column:
     """UTM zone 1..60 (longitude 180 folds into zone 60)."""
-    return F.least(F.floor((_c(lon) + 180.0) / 6.0) + 1, F.lit(60)).cast("int")
+    z = F.floor((_c(lon) + 180.0) / 6.0) + 1
+    return F.when(z.isNotNull(), F.least(z, F.lit(60))).cast("int")  # least() would skip a null
 
 
 def utm_epsg(lat, lon) -> Column:

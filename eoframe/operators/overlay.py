@@ -53,8 +53,13 @@ def active_features(frames: DataFrame, features: DataFrame, time_col: str = "t",
 def clip_box(minx, miny, maxx, maxy, box) -> list:
     """Intersection of box columns with a fixed box (null-free only where they overlap)."""
     x1, y1, x2, y2 = box
-    return [F.greatest(F.col(minx), F.lit(x1)).alias("minx"), F.greatest(F.col(miny), F.lit(y1)).alias("miny"),
-            F.least(F.col(maxx), F.lit(x2)).alias("maxx"), F.least(F.col(maxy), F.lit(y2)).alias("maxy")]
+
+    def keep_null(c, clipped):  # least/greatest would replace a null bound by the box edge
+        return F.when(F.col(c).isNotNull(), clipped)
+    return [keep_null(minx, F.greatest(F.col(minx), F.lit(x1))).alias("minx"),
+            keep_null(miny, F.greatest(F.col(miny), F.lit(y1))).alias("miny"),
+            keep_null(maxx, F.least(F.col(maxx), F.lit(x2))).alias("maxx"),
+            keep_null(maxy, F.least(F.col(maxy), F.lit(y2))).alias("maxy")]
 
 
 def box_tiles(df: DataFrame, tile: float) -> DataFrame:

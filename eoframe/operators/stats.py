@@ -64,9 +64,13 @@ def percentile_bounds(df: DataFrame, bands, q=ROBUST_PERCENTILES, keys=(), exact
 
 
 def rescale_clip(v, lo, hi) -> Column:
-    """``(v - lo) / (hi - lo)`` clipped to [0, 1]; null when lo == hi."""
+    """``(v - lo) / (hi - lo)`` clipped to [0, 1]; null for a null value or lo == hi.
+
+    (least/greatest skip nulls, so the null case is kept explicitly.)
+    """
     v = F.col(v) if isinstance(v, str) else v
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(v - lo, hi - lo)))
+    r = F.try_divide(v - lo, hi - lo)
+    return F.when(r.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), r)))
 
 
 def stretch(df: DataFrame, bands, bounds: DataFrame, keys=()) -> DataFrame:

@@ -69,9 +69,12 @@ def stretch(spark, sf):
 
 @register("rgb_stretch", operators=("F12", "A10"), oracle=oracle_with("""
 SELECT CAST(m.t AS VARCHAR) AS t, m.y, m.x,
-  ROUND(GREATEST(0.0, LEAST(1.0, (m.red - q[1]) / NULLIF(q[2] - q[1], 0))), 9) AS red,
-  ROUND(GREATEST(0.0, LEAST(1.0, (m.green - q[1]) / NULLIF(q[2] - q[1], 0))), 9) AS green,
-  ROUND(GREATEST(0.0, LEAST(1.0, (m.blue - q[1]) / NULLIF(q[2] - q[1], 0))), 9) AS blue
+  ROUND(CASE WHEN (m.red - q[1]) / NULLIF(q[2] - q[1], 0) IS NOT NULL
+              THEN GREATEST(0.0, LEAST(1.0, (m.red - q[1]) / NULLIF(q[2] - q[1], 0))) END, 9) AS red,
+  ROUND(CASE WHEN (m.green - q[1]) / NULLIF(q[2] - q[1], 0) IS NOT NULL
+              THEN GREATEST(0.0, LEAST(1.0, (m.green - q[1]) / NULLIF(q[2] - q[1], 0))) END, 9) AS green,
+  ROUND(CASE WHEN (m.blue - q[1]) / NULLIF(q[2] - q[1], 0) IS NOT NULL
+              THEN GREATEST(0.0, LEAST(1.0, (m.blue - q[1]) / NULLIF(q[2] - q[1], 0))) END, 9) AS blue
 FROM m, (SELECT quantile_cont(value, [0.02, 0.98]) AS q FROM lb) z""",
     "pixels", m=_MASKED_DN_SQL, lb=_union_bands("m", RGB)))
 def rgb_stretch(spark, sf):
