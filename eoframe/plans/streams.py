@@ -43,7 +43,7 @@ def incremental_index(spark, sf):
 
 @register("image_proc", operators=("X2", "W8", "F12"), oracle=oracle_with("""
 SELECT CAST(t AS VARCHAR) AS t, x, y,
-       ROUND(GREATEST(0.0, LEAST(1.0, SQRT((red - lo) / NULLIF(hi - lo, 0)))), 9) AS red
+       ROUND(CASE WHEN hi > lo THEN GREATEST(0.0, LEAST(1.0, SQRT((red - lo) / (hi - lo)))) END, 9) AS red
 FROM (SELECT t, x, y, CAST(red AS DOUBLE) AS red,
              MIN(red) OVER (PARTITION BY t, y // 16, x // 16) AS lo,
              MAX(red) OVER (PARTITION BY t, y // 16, x // 16) AS hi FROM pixels) z""", "pixels"))
