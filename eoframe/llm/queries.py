@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import sharding  # noqa: F401
+from . import sharding, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
