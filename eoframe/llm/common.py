@@ -170,3 +170,14 @@ def inside_windows(first: np.ndarray, k: int) -> np.ndarray:
         at = at[(at >= 0) & (at < n)]
         ok[at] = False
     return ok
+
+
+def slices(offsets: np.ndarray, most: int = 1 << 21):
+    """Ranges of documents of about ``most`` bytes each; a longer document is a range
+    of its own. Keeps the arrays of one step in cache and a task's memory bounded."""
+    n, a = len(offsets) - 1, 0
+    while a < n:
+        b = int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1
+        b = min(max(b, a + 1), n)
+        yield a, b
+        a = b
