@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding, toxicity  # noqa: F401
+from . import decontamination, jaccard_join, sharding, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
