@@ -227,7 +227,12 @@ def search(items: Items, x: np.ndarray, off: np.ndarray):
     best: dict[tuple[int, int], list] = {}
     for doc, item, start in items.regions(x, off):
         text, a, k = x[off[doc]:off[doc + 1]], items.text[item], int(items.k[item])
-        got = banded_alignment(a, text, int(start), 2 * (k + 1), k)
+        low = max(int(start) - k, 0)
+        at = bytes(text[low:int(start) + 3 * k + 2 + len(a)]).find(bytes(a))
+        if at >= 0:  # the alignment without edits needs no table
+            got = (0, low + at, low + at + len(a))
+        else:
+            got = banded_alignment(a, text, int(start), 2 * (k + 1), k)
         if got:
             best.setdefault((int(doc), int(item)), []).append(got)
     for (doc, item), found in best.items():
