@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, pii, sharding, substring_dedup, toxicity  # noqa: F401
+from . import decontamination, jaccard_join, pii, sentencepiece, sharding, substring_dedup, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
