@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import (decontamination, jaccard_join, language_id, pii, sentencepiece, sharding, substring_dedup,  # noqa: F401
+from . import (decontamination, embedding_dedup, jaccard_join, language_id, pii, sentencepiece, sharding, substring_dedup,  # noqa: F401
                toxicity)  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
