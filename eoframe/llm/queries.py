@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
-from . import (decontamination, embedding_dedup, jaccard_join, language_id, pii, sentencepiece, sharding, substring_dedup,  # noqa: F401
-               toxicity)  # noqa: F401
+from . import (  # noqa: F401
+    decontamination,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    pii,
+    sentencepiece,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
