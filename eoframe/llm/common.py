@@ -9,13 +9,14 @@ character words are the same.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2^64
@@ -42,6 +43,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new place in the shared folder, and read from there."""
+    path = os.path.join(scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"))
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64 bits (multiply and xor-shift)."""
     h = h ^ (h >> _U(32))
@@ -78,9 +86,9 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    a = column.cast(pa.large_string())
+    a = column if pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     if a.null_count:
-        a = a.fill_null("")
+        a = a.fill_null(b"" if pa.types.is_large_binary(a.type) else "")
     n = len(a)
     _, off, data = a.buffers()
     offsets = np.frombuffer(off, dtype=np.int64, count=a.offset + n + 1)[a.offset:].copy()
@@ -172,12 +180,54 @@ def inside_windows(first: np.ndarray, k: int) -> np.ndarray:
     return ok
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
-    """Ranges of documents of about ``most`` bytes each; a longer document is a range
-    of its own. Keeps the arrays of one step in cache and a task's memory bounded."""
+def slices(offsets: np.ndarray, most: int = 1 << 21, docs: int = 1 << 30):
+    """Ranges of at most ``docs`` documents of about ``most`` bytes together; a longer
+    document is a range of its own. Keeps the arrays of one step in cache and a task's memory bounded."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + docs, n)
         yield a, b
         a = b
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with each text as compressed bytes, for shuffles that move
+    whole texts; ``unpack`` gives them back."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), *[f.dataType.simpleString() for f in others]]
+    names = ["doc_id", *[f.name for f in others]]
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for b in batches:
+            text = [None if t is None else press.compress(t) for t in b.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), *b.columns[1:]], ["text", *names])
+    return docs.select("text", *names).mapInArrow(
+        run, "text binary, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def unpack(column):
+    """Arrow array of texts as bytes from an array of packed texts."""
+    import pyarrow as pa
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else press.decompress(t) for t in column.to_pylist()], pa.large_binary())
+
+
+def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """Whole rows of docs, all columns as they are, for which ``keep`` holds. ``keep()`` is
+    called once in a task and gives a function from an Arrow array of texts to booleans."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        wanted = keep()
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(wanted(b.column(at)), bool)))
+    return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes, two_columns
+from .common import filter_rows, slices, table, text_bytes, two_columns
 from .registry import register
 
 Q = 8
@@ -307,6 +307,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return reduce(DataFrame.unionAll, [one(rows) for rows in _blocks(items, block_bytes)])
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", q: int = Q, rate: float = RATE,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, all columns, without the rows that hold a benchmark item."""
+    def clean(rows):
+        def keep():
+            index = Items(rows, q, rate)
+
+            def wanted(texts):
+                data, offsets = text_bytes(texts)
+                out = np.ones(len(texts), bool)
+                for lo, hi in slices(offsets):
+                    x, off, _ = normal_form(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                    out[[lo + f[0] for f in search(index, x, off)]] = False
+                return out
+            return wanted
+        return keep
+    for rows in _blocks(two_columns(benchmark, item_col, item_text_col), block_bytes):
+        docs = filter_rows(docs, text_col, clean(rows))
+    return docs
+
+
 @register("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

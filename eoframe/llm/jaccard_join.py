@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
-A document is the set of its distinct k-word shingles (hashed to 64 bits). Two
+A document is the set of its distinct k-word shingles (hashed to 52 bits). Two
 documents link when ``100 * |A & B| >= t * |A | B|``, so their sets differ in at most
 ``T = (100 - t) * (|A| + |B|) / (100 + t)`` shingles. Shingles are hashed into groups;
 the numbers of shingles per group are the document's point, and the summed coordinate
@@ -14,16 +14,17 @@ two linked sets agree in at least one whole block, and documents that agree in a
 blocks; a document near a level's edge is put into both.
 
 1. Equal sets are one vertex from the start.
-2. Cells: one shuffle of (cell, vertex) rows. Within a batch, and again after the
-   shuffle, a cell keeps its least vertex as its centre, so a cell of thousands of
-   copies costs a row per batch.
-3. Star edges (centre, member) that pass the bound are verified on the words of the two
-   texts. First one edge a member; then only edges between different components.
-4. Cells whose members still lie in different components are packed into leaves of at
-   most LEAF points; leaves whose boxes' summed minima allow a link are paired, points
-   likewise, and the surviving pairs of different components are verified.
-
-The result is exact but for collisions of 64-bit hashes: no link between different
+2. Cells: one shuffle of (cell, vertex) rows. Within a batch only a cell's first vertex
+   has to meet those of other batches, so a cell of any size costs its task a row a batch.
+3. The vertex that shares the most cells is a cell's centre. Edges (centre, member) that
+   pass the bound are verified on the words of the two texts: first one edge a member,
+   then only edges between different components.
+4. Cells whose other members still lie in different components (one cell of those with
+   the same members) are packed into leaves of at most LEAF points; leaves whose boxes'
+   summed minima allow a link are paired, points likewise, and the surviving pairs of
+   different components are verified.
+
+The result is exact but for collisions of hashes inside a pair: no link between different
 components is left out, and edges inside a component are not expanded.
 
 Null texts and texts without words have the empty set and link with nothing. Documents
@@ -37,7 +38,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (inside_windows, lower_ascii, materialise, mix, slices, split_words, table, text_bytes, two_columns,
@@ -45,10 +46,11 @@ from .common import (inside_windows, lower_ascii, materialise, mix, slices, spli
 from .components import connected_components
 from .registry import register
 
-GROUPS = 64     # coordinates of a point
+GROUPS = 256    # coordinates of a point, a power of two
 LEAF = 256      # points in a leaf of a cell's tree
 
 _U = np.uint64
+_DOC_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,8 @@ class Threshold:
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
-    """(document, hash), sorted by both and without repeats: the shingles of some texts."""
+    """(document, hash), sorted by both and without repeats: the shingles of at most
+    2^_DOC_BITS texts."""
     w = split_words(lower_ascii(data), offsets)
     h, n = word_hashes(w), np.diff(w.first)
     at = np.flatnonzero(inside_windows(w.first, k))
@@ -85,11 +88,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
         if len(short):
             whole = mix(window_hashes(h, size)[w.first[short]] + _U(size))
             doc, value = np.concatenate([doc, short]), np.concatenate([value, whole])
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return doc[new], value[new]
+    # One sort of whole numbers: the document above 52 bits of the hash.
+    key = np.sort((doc.astype(np.uint64) << _U(64 - _DOC_BITS)) | (value >> _U(_DOC_BITS)))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return (key >> _U(64 - _DOC_BITS)).astype(np.int64), key << _U(_DOC_BITS)
 
 
 def _sums(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -109,17 +111,16 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int):
 
 
 def points(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Shingles per group, GROUPS numbers a document (65,535 stands for that or more,
-    which keeps the bound an upper bound only below it; see `bound`)."""
-    group = ((value * _U(0x9E3779B97F4A7C15)) >> _U(58)).astype(np.int64)
-    return np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).clip(max=65535).astype(np.uint16)
+    """Shingles per group, GROUPS numbers a document (255 stands for that or more)."""
+    group = ((value * _U(0x9E3779B97F4A7C15)) >> _U(65 - GROUPS.bit_length())).astype(np.int64)
+    return np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).clip(max=255).astype(np.uint8)
 
 
 def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the number of shingles in which sets with these points differ.
     |A| + |B| - 2 * (summed minima) is the summed distance; capping coordinates can
     only make it smaller, so it stays a bound."""
-    return np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(-1)
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(-1, dtype=np.int64)
 
 
 def cells(doc: np.ndarray, value: np.ndarray, size: np.ndarray, t: Threshold):
@@ -167,7 +168,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _vertices(docs: DataFrame, t: Threshold) -> DataFrame:
-    """(doc_id, n_shingles, vertex, check, point) per row."""
+    """(doc_id, row, n_shingles, vertex, check, point) per row; `row` is a hash of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -175,33 +176,24 @@ def _vertices(docs: DataFrame, t: Threshold) -> DataFrame:
 
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, docs=1 << _DOC_BITS):
                 doc, value = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], t.k)
                 vertex, check, size = signatures(doc, value, hi - lo)
                 flat = points(doc, value, hi - lo).tobytes()
-                wide = GROUPS * 2
+                wide = GROUPS
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(_signed(vertex)), pa.array(_signed(check)),
+                    b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(size), pa.array(_signed(vertex)),
+                    pa.array(_signed(check)),
                     pa.array([flat[i * wide:(i + 1) * wide] for i in range(hi - lo)], pa.binary()),
-                ], ["doc_id", "n_shingles", "vertex", "check", "point"])
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, vertex bigint, check bigint, point binary")
-
-
-def _stars(cell: np.ndarray, vertex: np.ndarray):
-    """Rows sorted and without repeats, with each cell's least vertex beside them."""
-    order = np.lexsort((vertex, cell))
-    cell, vertex = cell[order], vertex[order]
-    new = np.ones(len(cell), bool)
-    new[1:] = (cell[1:] != cell[:-1]) | (vertex[1:] != vertex[:-1])
-    cell, vertex = cell[new], vertex[new]
-    first = np.ones(len(cell), bool)
-    first[1:] = cell[1:] != cell[:-1]
-    return cell, vertex, vertex[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(cell) else vertex, first
+                ], ["doc_id", "row", "n_shingles", "vertex", "check", "point"])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(
+        run, f"doc_id {kind}, row bigint, n_shingles bigint, vertex bigint, check bigint, point binary")
 
 
 def _members(docs: DataFrame, t: Threshold) -> DataFrame:
-    """(cell, vertex, centre) of every cell with at least two vertices."""
-    schema = "cell bigint, vertex bigint, centre bigint"
+    """(cell, vertex, other) of every cell with at least two vertices: each of its vertices
+    is in one of the two columns of one of its rows."""
+    schema = "cell bigint, vertex bigint, other bigint"
 
     def deal(batches):
         import pyarrow as pa
@@ -209,7 +201,7 @@ def _members(docs: DataFrame, t: Threshold) -> DataFrame:
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             got_cell, got_vertex = [], []
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, docs=1 << _DOC_BITS):
                 doc, value = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], t.k)
                 vertex, _, size = signatures(doc, value, hi - lo)
                 cell, of = cells(doc, value, size, t)
@@ -217,40 +209,48 @@ def _members(docs: DataFrame, t: Threshold) -> DataFrame:
                 got_vertex.append(vertex[of])
             if not got_cell:
                 continue
-            cell, vertex, centre, first = _stars(_signed(np.concatenate(got_cell)), _signed(np.concatenate(got_vertex)))
-            # The batch's centre of a cell goes on to meet other batches' centres (no
-            # centre set); the others have met it here and only pass through.
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(vertex), pa.array(centre, mask=first)],
-                                             ["cell", "vertex", "centre"])
+            cell, vertex = _signed(np.concatenate(got_cell)), _signed(np.concatenate(got_vertex))
+            order = np.lexsort((vertex, cell))
+            cell, vertex = cell[order], vertex[order]
+            new = np.ones(len(cell), bool)
+            new[1:] = (cell[1:] != cell[:-1]) | (vertex[1:] != vertex[:-1])
+            cell, vertex = cell[new], vertex[new]
+            first = np.ones(len(cell), bool)
+            first[1:] = cell[1:] != cell[:-1]
+            lead = vertex[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(cell) else vertex
+            # A cell's first vertex in the batch goes on to meet those of other batches; the
+            # rest have met it here and only pass through.
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(vertex), pa.array(lead, mask=first)],
+                                             ["cell", "vertex", "other"])
 
     def meet(batches):
-        """Rows come sorted by cell, open ones (no centre) first and by vertex."""
+        """Rows come sorted by cell; those without another vertex yet meet the first such
+        row of their cell, which may be in an earlier batch."""
         import pyarrow as pa
 
-        none = np.iinfo(np.int64).min
-        at, lead, open_row = None, None, False  # the cell being read, its centre, whether that one is unsent
+        at, lead = None, 0
         for b in batches:
-            cell, vertex = b.column(0).to_numpy(), b.column(1).to_numpy()
-            is_open = b.column(2).is_null().to_numpy(zero_copy_only=False)
-            centre = b.column(2).fill_null(none).to_numpy().copy()
-            if not len(cell):
-                continue
-            new = np.ones(len(cell), bool)
-            new[1:] = cell[1:] != cell[:-1]
-            new[0] = at is None or cell[0] != at
-            group = np.cumsum(new)  # 0: goes on from the batch before
-            leads = np.concatenate([[none if lead is None else lead], vertex[new]])[group]
-            same = vertex == leads
-            # Leave out: an open row that is the centre itself (sent only with a partner).
-            centre[is_open] = leads[is_open]
-            keep = ~(is_open & same)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(vertex[keep]), pa.array(centre[keep])],
-                                             ["cell", "vertex", "centre"])
-            at, lead = cell[-1], leads[-1]
+            cell, vertex, other = (b.column(i) for i in range(3))
+            is_open = other.is_null().to_numpy(zero_copy_only=False)
+            done = ~is_open
+            c, v = cell.to_numpy()[is_open], vertex.to_numpy()[is_open]
+            o = other.fill_null(0).to_numpy()[done]
+            out = [(cell.to_numpy()[done], vertex.to_numpy()[done], o)]
+            if len(c):
+                new = np.ones(len(c), bool)
+                new[1:] = c[1:] != c[:-1]
+                new[0] = at is None or c[0] != at
+                leads = np.concatenate([[lead], v[new]])[np.cumsum(new)]
+                met = v != leads
+                out.append((c[met], v[met], leads[met]))
+                at, lead = c[-1], leads[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
+                                             ["cell", "vertex", "other"])
 
     dealt = docs.where("text is not null").select("doc_id", "text").mapInArrow(deal, schema)
-    return (dealt.repartition("cell").sortWithinPartitions("cell", F.col("centre").isNotNull(), "vertex")
-            .mapInArrow(meet, schema).where("vertex <> centre"))
+    # Only open rows have to go to their cell's task; the others are spread.
+    route = F.when(F.col("other").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "vertex"))
+    return (dealt.repartition(route).sortWithinPartitions("cell").mapInArrow(meet, schema))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
@@ -262,7 +262,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
             keep = np.zeros(b.num_rows, bool)
             da, oa = text_bytes(b.column(2))
             db, ob = text_bytes(b.column(3))
-            for lo, hi in slices(oa + ob):
+            for lo, hi in slices(oa + ob, docs=1 << _DOC_BITS):
                 sets = [shingle_sets(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo], t.k) for d, o in ((da, oa), (db, ob))]
                 size = [np.bincount(doc, minlength=hi - lo) for doc, _ in sets]
                 doc, value = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
@@ -287,7 +287,7 @@ def _within_bound(pairs: DataFrame, points_of: DataFrame, t: Threshold) -> DataF
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-            pa_, pb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (3, 5))
+            pa_, pb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (3, 5))
             ok = far_apart(pa_, pb) <= t.differ(na + nb)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
@@ -306,8 +306,6 @@ def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
     tasks), leaves meet when their boxes allow a link, and the points of two such
     leaves are compared in one numpy step.
     """
-    from pyspark.sql import Window
-
     # Number the rows of a cell without gathering a large cell in one task: first within
     # slices of the cell by size, then slices in order.
     sliced = residual.withColumn("slice", F.floor(F.log2(F.col("n_shingles")) * 8).cast("int"))
@@ -323,7 +321,7 @@ def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
         held, key = [], None
 
         def emit():
-            p = np.frombuffer(b"".join(r[5] for r in held), np.uint16).reshape(-1, GROUPS)
+            p = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, GROUPS)
             n = [r[4] for r in held]
             return (*key, [r[2] for r in held], [r[3] for r in held], n, p.tobytes(),
                     p.min(0).tobytes(), p.max(0).tobytes(), min(n), max(n))
@@ -359,30 +357,40 @@ def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
     def meet(batches):
         import pyarrow as pa
 
+        def unique(a, z):
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        # Two documents can meet in many cells; what a task finds goes out once at a time.
+        out_a, out_b, held = [], [], 0
         for b in batches:
-            out_a, out_b = [], []
             for r in b.to_pylist():
                 one, two = ({k: r[f"{k}_{s}"] for k in ("vertices", "components", "sizes", "points", "low", "high", "most")}
                             for s in "ab")
-                box = [[np.frombuffer(x[k], np.uint16).astype(np.int32) for k in ("low", "high")] for x in (one, two)]
+                box = [[np.frombuffer(x[k], np.uint8).astype(np.int32) for k in ("low", "high")] for x in (one, two)]
                 # Sets inside the two boxes differ in at least the gaps between them.
                 gap = np.maximum(0, np.maximum(box[0][0] - box[1][1], box[1][0] - box[0][1])).sum()
                 if gap > t.differ(one["most"] + two["most"]):
                     continue
-                p, q = (np.frombuffer(x["points"], np.uint16).reshape(-1, GROUPS) for x in (one, two))
+                p, q = (np.frombuffer(x["points"], np.uint8).reshape(-1, GROUPS) for x in (one, two))
                 v, w = (np.array(x["vertices"], np.int64) for x in (one, two))
                 c, d = (np.array(x["components"], np.int64) for x in (one, two))
                 n, m = (np.array(x["sizes"], np.int64) for x in (one, two))
                 for i in range(len(v)):
-                    ok = (far_apart(p[i], q) <= t.differ(n[i] + m)) & (c[i] != d)
+                    ok = (c[i] != d) & (np.minimum(n[i], m) * 100 >= np.maximum(n[i], m) * t.percent)
                     if r["same"]:
                         ok &= v[i] < w
                     hit = np.flatnonzero(ok)
-                    out_a.append(np.full(len(hit), v[i]))
-                    out_b.append(w[hit])
-            if out_a:
-                a, z = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
+                    hit = hit[far_apart(p[i], q[hit]) <= t.differ(n[i] + m[hit])]
+                    if len(hit):
+                        out_a.append(np.minimum(v[i], w[hit]))
+                        out_b.append(np.maximum(v[i], w[hit]))
+                        held += len(hit)
+                if held >= 1 << 20:
+                    yield unique(out_a, out_b)
+                    out_a, out_b, held = [], [], 0
+        if held:
+            yield unique(out_a, out_b)
 
     sides = [packed.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in packed.columns if c != "cell"]) for s in "ab"]
     order = ((F.col("slice_a") < F.col("slice_b"))
@@ -394,46 +402,60 @@ def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of docs."""
+    """(doc_id, row, n_shingles, component_id, first), a row per row of docs: `row` is the
+    hash of the text, and `first` marks the row (and its equals) with the component's least
+    (doc_id, row)."""
     docs = two_columns(docs, id_col, text_col)
     nodes = materialise(_vertices(docs, t))
     real = nodes.where("n_shingles > 0")
     vertices = real.groupBy("vertex").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_max"),
+        F.min(F.struct("doc_id", "row")).alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_max"),
         F.min("check").alias("check"), F.max("check").alias("check_max"), F.min("point").alias("point"))
     vertices = materialise(vertices)
     if vertices.where("n_shingles <> n_max or check <> check_max").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit signature")
     members = materialise(_members(docs, t))
-    stars = members.select(F.least("vertex", "centre").alias("a"), F.greatest("vertex", "centre").alias("b")).distinct()
-    near = materialise(_within_bound(stars, vertices, t))
+    here = materialise(members.select("cell", "vertex")
+                       .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct())
+    # The text that others are copies of shares the most cells: it is the best centre.
+    shared = here.groupBy("vertex").agg(F.count("*").alias("cells"))
+    ranked = here.join(shared, "vertex")
+    centres = ranked.groupBy("cell").agg(F.max(F.struct("cells", "vertex")).alias("centre"))
+    stars = (here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex"))
+             .groupBy(F.col("centre.vertex").alias("a"), F.col("vertex").alias("b")).agg(F.max("centre.cells").alias("cells")))
+    near = materialise(_within_bound(stars, vertices, t).join(stars, ["a", "b"]))
     # Texts of the vertices that any pair may need.
-    in_cells = members.select("vertex").unionAll(members.select(F.col("centre").alias("vertex"))).distinct()
-    wanted = vertices.join(in_cells, "vertex", "left_semi").select("vertex", F.col("rep").alias("doc_id"))
-    texts = materialise(docs.join(wanted, "doc_id").groupBy("vertex").agg(F.min("text").alias("text")))
+    wanted = vertices.join(shared, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
+    rows = docs.withColumn("row", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
+    texts = materialise(rows.join(wanted, same).groupBy("vertex").agg(F.min("text").alias("text")))
     # One edge a member first: most others then lie inside a component.
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
     linked = materialise(_verified(first, texts, t))
     labels = connected_components(linked)
-    rest = _across(near.join(first, ["a", "b"], "left_anti"), labels)
+    rest = _across(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
     linked = materialise(linked.unionAll(_verified(rest, texts, t)))
     labels = connected_components(linked)
-    # Cells that still hold different components.
-    here = members.select("cell", "vertex").unionAll(members.select("cell", F.col("centre").alias("vertex"))).distinct()
-    here = _labelled(here, labels)
-    mixed = here.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    residual = (here.join(mixed.select("cell"), "cell", "left_semi")
+    # Cells that still hold different components, besides their centre, which has met all;
+    # of cells with the same vertices one is enough.
+    left = _labelled(here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex")).select("cell", "vertex"), labels)
+    mixed = (left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"),
+                                      F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("y"))
+             .where("c0 <> c1").groupBy("n", "x", "y").agg(F.min("cell").alias("cell")))
+    residual = (left.join(mixed.select("cell"), "cell", "left_semi")
                 .join(vertices.select("vertex", "n_shingles", "point"), "vertex"))
-    pairs = _leaf_pairs(residual, t).join(near, ["a", "b"], "left_anti")
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _leaf_pairs(residual, t).join(tried, ["a", "b"], "left_anti")
     linked = linked.unionAll(_verified(pairs, texts, t))
     labels = connected_components(linked)
     of_vertex = (vertices.join(labels.withColumnRenamed("v", "vertex"), "vertex", "left")
-                 .select("vertex", "rep", F.coalesce("component", "vertex").alias("component")))
-    least = of_vertex.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = of_vertex.join(least, "component").select("vertex", "component_id")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return (nodes.select("doc_id", "n_shingles", "vertex").join(ids, "vertex", "left")
-            .select("doc_id", "n_shingles", own.alias("component_id")))
+                 .select("vertex", "rep", "least_id", F.coalesce("component", "vertex").alias("component")))
+    least = of_vertex.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("rep").alias("lead"))
+    ids = of_vertex.join(least, "component").select("vertex", "component_id", "lead")
+    alone = F.col("n_shingles") == 0
+    return (nodes.select("doc_id", "row", "n_shingles", "vertex").join(ids, "vertex", "left")
+            .select("doc_id", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    (alone | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("row") == F.col("lead.row")))).alias("first")))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -449,12 +471,18 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the least id."""
-    groups = jaccard_components(docs, t, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return (docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col]))
+    """docs, all columns, without near copies: of each component the row with the least id
+    (of rows with one id, that with the least hash of its text; of equal rows one). Rows
+    without words all stay, but equal rows of one id once."""
+    kept = jaccard_components(docs, t, id_col, text_col).where("first").select(
+        F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    rows = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")))
+    one = Window.partitionBy("_id", "_row").orderBy(F.lit(1))
+    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 @register("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), Threshold(k=4, percent=85))
+    found = jaccard_components(table(spark, sf_dir, "documents"), Threshold(k=4, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id")

@@ -71,24 +71,24 @@ class Redactor:
     thresholds: dict
 
 
-def proposed(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, kind, start, end, match, before): all generators' spans of
-    (row_id, doc_id, text); a document without any has one row of null kind."""
+def proposed(docs: DataFrame, keep=()) -> DataFrame:
+    """(row_id, doc_id, *keep, kind, start, end, match, before): all generators' spans of
+    (row_id, doc_id, text, *keep); a document without any has one row of null kind."""
     text = F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER)
-    marked = docs.select("row_id", "doc_id", *[
+    marked = docs.select("row_id", "doc_id", *keep, *[
         F.split(F.regexp_replace(text, F.lit(p), F.lit(f"{_MARK}$0{_MARK}")), _MARK).alias(k) for k, p in PATTERNS.items()])
     # Pieces at odd places are matches; of the others the length and the end are enough.
     piece = "transform({k}, (p, i) -> struct({n} AS k, i AS i, char_length(p) AS n, " \
             f"if(i % 2 = 1, p, right(p, {CONTEXT})) AS s))"
     none = "array_remove(array(struct(0 AS k, 0 AS i, 0 AS n, '' AS s)), struct(0 AS k, 0 AS i, 0 AS n, '' AS s))"
     parts = [f"if(size({k}) > 1, {piece.format(k=k, n=n)}, {none})" for n, k in enumerate(KINDS)]
-    rows = marked.select("row_id", "doc_id", F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("p"))
-    rows = rows.select("row_id", "doc_id", F.col("p.k").alias("kind"), "p.i", "p.n", "p.s")
+    rows = marked.select("row_id", "doc_id", *keep, F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("p"))
+    rows = rows.select("row_id", "doc_id", *keep, F.col("p.k").alias("kind"), "p.i", "p.n", "p.s")
     w = Window.partitionBy("row_id", "kind").orderBy("i")
     rows = (rows.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("before", F.lag("s").over(w)))
     return (rows.where("kind is null or i % 2 = 1")
-            .select("row_id", "doc_id", "kind", (F.col("end") - F.col("n")).alias("start"), "end",
+            .select("row_id", "doc_id", *keep, "kind", (F.col("end") - F.col("n")).alias("start"), "end",
                     F.col("s").alias("match"), "before"))
 
 
@@ -241,6 +241,50 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _joined(F.col("kind").isNotNull()).alias("spans")))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs, all columns, with each found span (overlapping ones as one) replaced by its
+    kind in angle brackets. ``length_col``, if given, gets the length of changed texts.
+
+    A row is known by its id and a hash of its text, so rows with equal ids keep their own
+    spans. Only documents with spans have rows in the joined side.
+    """
+    text, key = F.col(f"`{text_col}`"), key_of_text(text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    ids = rows.withColumn("row_id", F.monotonically_increasing_id()).withColumn("key", key_of_text("text"))
+    spans = materialise(described(proposed(ids, keep=("key",))))
+    chosen = _selected(spans, fit(spans)).where("kind is not null")
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    per_doc = (chosen.select("doc_id", "key", "start", "end", names[F.col("kind")].alias("tag")).distinct()
+               .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+               .agg(F.sort_array(F.collect_list(F.struct("start", "end", "tag"))).alias("_spans")))
+    both = docs.join(per_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
+    # Two passes over a document's spans: where the kept stretches begin, then the pieces.
+    t = f"`{text_col}`"
+    merged = ("aggregate(_spans, cast(array() AS array<struct<start: bigint, end: bigint, tag: string>>), (a, s) -> "
+              "if(size(a) > 0 AND s.start < a[size(a) - 1].end, concat(slice(a, 1, size(a) - 1), array(struct("
+              "a[size(a) - 1].start AS start, greatest(a[size(a) - 1].end, s.end) AS end, a[size(a) - 1].tag AS tag))), "
+              "concat(a, array(s))))")
+    both = both.withColumn("_merged", F.expr(merged))
+    pieces = (f"concat(concat_ws('', transform(_merged, (s, i) -> concat(substring({t}, "
+              "cast(if(i = 0, 0, _merged[i - 1].end) AS int) + 1, cast(s.start - if(i = 0, 0, _merged[i - 1].end) AS int)), s.tag))), "
+              f"substring({t}, cast(_merged[size(_merged) - 1].end AS int) + 1))")
+    changed = F.col("_merged").isNotNull()
+    out = both.withColumn("_text", F.when(changed, F.expr(pieces)).otherwise(text))
+    cols = []
+    for c in docs.columns:
+        if c == text_col:
+            cols.append(F.col("_text").alias(c))
+        elif c == length_col:
+            cols.append(F.when(changed, F.length("_text")).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            cols.append(F.col(f"`{c}`"))
+    return out.select(*cols)
+
+
+def key_of_text(text_col: str):
+    return F.xxhash64(F.col(f"`{text_col}`"))
+
+
 @register("op2_pii")
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))

@@ -32,8 +32,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (inside_windows, materialise, mix, slices, split_words, table, text_bytes, two_columns, window_hashes,
-                     word_hashes)
+from .common import (inside_windows, materialise, mix, packed_texts, slices, split_words, table, text_bytes, two_columns,
+                     unpack, window_hashes, word_hashes)
 from .registry import register
 
 WINDOW = 20
@@ -141,6 +141,7 @@ def _edges_of(sources: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     from their texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = sources.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "edges")).alias("wanted"))
+    docs = packed_texts(docs)
     both = (docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row"] == wanted["row"]))
             .select(docs["doc_id"], docs["text"], docs["row"], "wanted"))
 
@@ -148,7 +149,7 @@ def _edges_of(sources: DataFrame, docs: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
+            data, offsets = text_bytes(unpack(b.column(1)))
             row = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) << _ROW
             lists = b.column(3)
             ends = np.append(lists.offsets.to_numpy()[:1], lists.offsets.to_numpy()[1:])
@@ -171,16 +172,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """(doc_id, row, at, edges): runs of repeated windows; `at & (2^40 - 1)` is the first
     word of the first of `edges` consecutive windows."""
     docs = _with_row(two_columns(docs, id_col, text_col))
-    kept = _occurrences(docs, window).join(_anchor_counts(docs, window), "anchor")
-    kept = materialise(kept)
+    repeated = materialise(_anchor_counts(docs, window)).select(F.col("anchor").alias("key"), F.lit(True).alias("repeated"))
+    # Copies that their batch has settled need no partner: they are spread, not sent to
+    # their anchor's task.
+    key = F.when(F.col("later"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
+    kept = _occurrences(docs, window).withColumn("key", key).join(repeated, "key", "left").where("later or repeated")
+    kept = materialise(kept.drop("key", "repeated"))
     open_ = kept.where(~F.col("later"))
     paths = materialise(open_.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "at")).alias("first"),
                                                              F.max("edges").alias("edges")))
     branching = paths.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    branching = materialise(branching)
     row = F.shiftright("at", _ROW).alias("row")
     sources = paths.join(branching, "anchor").select("first.doc_id", "first.at", "edges").select("doc_id", row, "at", "edges")
     edges = materialise(_edges_of(sources, docs, window))
-    least = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    least = materialise(edges.groupBy("edge").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+                        .where("n > 1").drop("n"))
     single = (edges.join(least, "edge").where(F.struct("doc_id", "at") > F.col("first"))
               .select("doc_id", "at", F.lit(1).alias("edges")))
     copies = (open_.join(paths.select("anchor", "piece", "first"), ["anchor", "piece"])
@@ -193,7 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """(doc_id, n_words, n_removed, kept): per row of docs, its words outside repeated
     windows, joined by one space."""
     spans = repeated_spans(docs, window, id_col, text_col)
-    docs = _with_row(two_columns(docs, id_col, text_col))
+    docs = packed_texts(_with_row(two_columns(docs, id_col, text_col)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # At most one entry a word of the document.
     per_doc = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "edges")).alias("spans"))
@@ -210,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             ends = lists.offsets.to_numpy()
             at, n = (lists.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             # Not str.split: that would also split at other kinds of white space.
-            for i, text in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
+            for i, text in enumerate(unpack(b.column(1)).to_pylist()):
                 words = (text or b"").split()
                 cut = np.zeros(len(words) + 1, np.int64)
                 s, e = ends[i], ends[i + 1]

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, table, two_columns
+from .common import filter_rows, held_out, materialise, table, two_columns
 from .registry import register
 
 SAMPLE_ROWS = 8_000
@@ -363,6 +363,14 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
                                 "clauses array<struct<start: bigint, end: bigint, marks: int>>")
 
 
+def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows whose score reaches the threshold."""
+    def keep():
+        m = Matcher(grammar)
+        return lambda texts: [score_of(grammar, [k for *_, k in m.clauses(t)]) < threshold for t in texts.to_pylist()]
+    return filter_rows(docs, text_col, keep)
+
+
 @register("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = two_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
