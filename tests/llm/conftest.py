@@ -1,0 +1,9 @@
+import pytest
+
+
+@pytest.fixture
+def table_of(spark):
+    """DataFrame of (doc_id, text) with a clashing extra column."""
+    def make(rows, schema="doc_id long, text string"):
+        return spark.createDataFrame([(*r, "x") for r in rows], schema + ", row string")
+    return make
