@@ -41,8 +41,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import (inside_windows, lower_ascii, materialise, mix, slices, split_words, table, text_bytes, two_columns,
-                     window_hashes, word_hashes)
+from .common import (inside_windows, lower_ascii, materialise, mix, packed_texts, slices, split_words, table, text_bytes,
+                     two_columns, unpack, window_hashes, word_hashes)
 from .components import connected_components
 from .registry import register
 
@@ -149,14 +149,14 @@ def cells(doc: np.ndarray, value: np.ndarray, size: np.ndarray, t: Threshold):
         start = np.flatnonzero(start)
         total = np.add.reduceat(spread[at], start)
         salt = (block[start].astype(np.uint64) << _U(8)) + _U(level)
-        cell = mix(total + mix(salt))
+        cell = mix(total + mix(salt)) >> _U(16)  # 48 bits: a collision is a candidate too many
         out_cell.append(cell)
         out_doc.append(docs[d[start]])
         # A set that fills too few blocks may agree with its like in empty blocks only.
         filled = np.bincount(d[start], minlength=len(docs))
         for poor in np.flatnonzero(filled < need):
             empty = np.setdiff1d(np.arange(blocks), block[start][d[start] == poor])
-            out_cell.append(mix(mix((empty.astype(np.uint64) << _U(8)) + _U(level)) ^ _U(0x6A09E667F3BCC909)))
+            out_cell.append(mix(mix((empty.astype(np.uint64) << _U(8)) + _U(level)) ^ _U(0x6A09E667F3BCC909)) >> _U(16))
             out_doc.append(np.full(len(empty), docs[poor]))
     if not out_cell:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -168,7 +168,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _vertices(docs: DataFrame, t: Threshold) -> DataFrame:
-    """(doc_id, row, n_shingles, vertex, check, point) per row; `row` is a hash of the text."""
+    """(doc_id, row, n_shingles, vertex, check) per row; `row` is a hash of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -179,15 +179,33 @@ def _vertices(docs: DataFrame, t: Threshold) -> DataFrame:
             for lo, hi in slices(offsets, docs=1 << _DOC_BITS):
                 doc, value = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], t.k)
                 vertex, check, size = signatures(doc, value, hi - lo)
-                flat = points(doc, value, hi - lo).tobytes()
-                wide = GROUPS
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(size), pa.array(_signed(vertex)),
-                    pa.array(_signed(check)),
-                    pa.array([flat[i * wide:(i + 1) * wide] for i in range(hi - lo)], pa.binary()),
-                ], ["doc_id", "row", "n_shingles", "vertex", "check", "point"])
+                    pa.array(_signed(check))], ["doc_id", "row", "n_shingles", "vertex", "check"])
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(
-        run, f"doc_id {kind}, row bigint, n_shingles bigint, vertex bigint, check bigint, point binary")
+        run, f"doc_id {kind}, row bigint, n_shingles bigint, vertex bigint, check bigint")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
+    """(vertex, text, n_shingles, point) of the wanted (vertex, doc_id, row); texts packed."""
+    rows = packed_texts(docs.withColumn("row", F.xxhash64("text")))
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
+    one = Window.partitionBy(wanted["doc_id"], wanted["row"]).orderBy(F.lit(1))  # equal rows once
+    both = rows.join(wanted, same).withColumn("n", F.row_number().over(one)).where("n = 1").select("vertex", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            data, offsets = text_bytes(unpack(b.column(1)))
+            for lo, hi in slices(offsets, docs=1 << _DOC_BITS):
+                doc, value = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], t.k)
+                flat = points(doc, value, hi - lo).tobytes()
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.bincount(doc, minlength=hi - lo)),
+                    pa.array([flat[i * GROUPS:(i + 1) * GROUPS] for i in range(hi - lo)], pa.binary()),
+                ], ["vertex", "text", "n_shingles", "point"])
+    return both.mapInArrow(run, "vertex bigint, text binary, n_shingles bigint, point binary")
 
 
 def _members(docs: DataFrame, t: Threshold) -> DataFrame:
@@ -260,8 +278,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
 
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            da, oa = text_bytes(b.column(2))
-            db, ob = text_bytes(b.column(3))
+            da, oa = text_bytes(unpack(b.column(2)))
+            db, ob = text_bytes(unpack(b.column(3)))
             for lo, hi in slices(oa + ob, docs=1 << _DOC_BITS):
                 sets = [shingle_sets(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo], t.k) for d, o in ((da, oa), (db, ob))]
                 size = [np.bincount(doc, minlength=hi - lo) for doc, _ in sets]
@@ -410,7 +428,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     real = nodes.where("n_shingles > 0")
     vertices = real.groupBy("vertex").agg(
         F.min(F.struct("doc_id", "row")).alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_max"),
-        F.min("check").alias("check"), F.max("check").alias("check_max"), F.min("point").alias("point"))
+        F.min("check").alias("check"), F.max("check").alias("check_max"))
     vertices = materialise(vertices)
     if vertices.where("n_shingles <> n_max or check <> check_max").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit signature")
@@ -423,12 +441,10 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     centres = ranked.groupBy("cell").agg(F.max(F.struct("cells", "vertex")).alias("centre"))
     stars = (here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex"))
              .groupBy(F.col("centre.vertex").alias("a"), F.col("vertex").alias("b")).agg(F.max("centre.cells").alias("cells")))
-    near = materialise(_within_bound(stars, vertices, t).join(stars, ["a", "b"]))
-    # Texts of the vertices that any pair may need.
+    # Texts and points of the vertices that any pair may need.
     wanted = vertices.join(shared, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
-    rows = docs.withColumn("row", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
-    texts = materialise(rows.join(wanted, same).groupBy("vertex").agg(F.min("text").alias("text")))
+    texts = materialise(_texts(docs, wanted, t))
+    near = materialise(_within_bound(stars, texts, t).join(stars, ["a", "b"]))
     # One edge a member first: most others then lie inside a component.
     first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
     linked = materialise(_verified(first, texts, t))
@@ -443,7 +459,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
                                       F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("y"))
              .where("c0 <> c1").groupBy("n", "x", "y").agg(F.min("cell").alias("cell")))
     residual = (left.join(mixed.select("cell"), "cell", "left_semi")
-                .join(vertices.select("vertex", "n_shingles", "point"), "vertex"))
+                .join(texts.select("vertex", "n_shingles", "point"), "vertex"))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = _leaf_pairs(residual, t).join(tried, ["a", "b"], "left_anti")
     linked = linked.unionAll(_verified(pairs, texts, t))

@@ -39,7 +39,7 @@ WIDTH = 16                    # of the hidden layer
 OFFSETS = (-2, -1, 1, 2)
 EVERY = 8
 ROUNDS = 2
-BATCH = 4096
+BATCH = 1024
 BLOCK = 2048                  # weights in a row that travels
 
 IDS = CLASSES * SIZE
@@ -176,7 +176,7 @@ def _positions(batches, vocabulary: Vocabulary, phase: int):
             held_ids.append(ids[pick])
             held_near.append(neighbours(ids, first)[pick])
             held += len(pick)
-            if held >= 16 * BATCH:
+            if held >= 64 * BATCH:
                 yield from _shuffled(held_ids, held_near)
                 held_ids, held_near, held = [], [], 0
     if held:
