@@ -174,7 +174,7 @@ def strip_prefix_keys(m, prefix: str, case_sensitive: bool = True) -> Column:
     mm = _c(m)
     test = (lambda k, v: k.startswith(prefix)) if case_sensitive else \
         (lambda k, v: F.lower(k).startswith(prefix.lower()))
-    return F.transform_keys(F.map_filter(mm, test), lambda k, v: F.substring(k, len(prefix) + 1, 1 << 20))
+    return F.transform_keys(F.map_filter(mm, test), lambda k, v: k.substr(F.lit(len(prefix) + 1), F.length(k)))
 
 
 def to_iso_json(struct_col, fmt: str = "yyyy-MM-dd'T'HH:mm:ss") -> Column:

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small, checked_size
 
 TILE = 512  # chunk edge in cells (x, y)
 
@@ -66,8 +65,7 @@ def drop_empty(df: DataFrame, bands, axes=("t",)) -> DataFrame:
 
     The coordinates holding data are found for all axes in one pass (one
     aggregation over GROUPING SETS ((axis1), (axis2), ...)); each axis table is
-    bounded by the axis length and semi-joined back with a size-checked
-    broadcast.
+    bounded by the axis length and semi-joined back.
     """
     axes = list(axes)
     if len(axes) == 1:
@@ -75,14 +73,12 @@ def drop_empty(df: DataFrame, bands, axes=("t",)) -> DataFrame:
     else:
         sets = (df.filter(any_not_null(bands))
                   .groupingSets([[a] for a in axes], *axes).agg(F.grouping_id().alias("_g")))
-        sets, small = checked_size(sets)  # materialised once, split per axis below
         full = (1 << len(axes)) - 1
         keeps = {a: sets.filter(F.col("_g") == full - (1 << (len(axes) - 1 - i))).select(a)
                  for i, a in enumerate(axes)}
-        keeps = {a: (F.broadcast(k) if small else k) for a, k in keeps.items()}
     out = df
     for axis in axes:
-        out = out.join(keeps[axis] if len(axes) > 1 else broadcast_if_small(keeps[axis]), axis, "left_semi")
+        out = out.join(keeps[axis], axis, "left_semi")
     return out
 
 
@@ -92,21 +88,22 @@ def valid_range(df: DataFrame, bands, lo, hi, drop: bool = False, axes=("t", "y"
     return drop_empty(out, bands, axes) if drop else out
 
 
-def good_fraction(df: DataFrame, good: Column, ny: int, nx: int, time_col: str = "t") -> DataFrame:
-    """A1: per time step, good cells over the complete ny*nx grid (missing rows count as bad)."""
-    return (df.groupBy(time_col)
-              .agg((F.sum(good.cast("long")).cast("double") / F.lit(float(ny * nx))).alias("good_frac")))
+def good_fraction(df: DataFrame, good: Column, cells: Column, time_col: str = "t") -> DataFrame:
+    """A1: per time step, good cells over all ``cells`` of the grid (missing rows count as
+    bad). ``cells`` is a number or a scalar subquery."""
+    return (df.groupBy(time_col).agg(F.sum(good.cast("long")).cast("double").alias("_good"))
+              .select(time_col, (F.col("_good") / cells.cast("double")).alias("good_frac")))
 
 
-def min_gooddata(df: DataFrame, good: Column, threshold: float, ny: int, nx: int,
+def min_gooddata(df: DataFrame, good: Column, threshold: float, cells: Column,
                  time_col: str = "t") -> DataFrame:
     """Keep time steps whose good fraction reaches ``threshold``.
 
     Late materialisation: the fraction is computed from the mask column only,
     then the kept times are semi-joined onto the full rows.
     """
-    frac = good_fraction(df.select(time_col, good.alias("_good")), F.col("_good"), ny, nx, time_col)
-    keep = broadcast_if_small(frac.filter(F.col("good_frac") >= threshold).select(time_col))
+    frac = good_fraction(df.select(time_col, good.alias("_good")), F.col("_good"), cells, time_col)
+    keep = frac.filter(F.col("good_frac") >= threshold).select(time_col)
     return df.join(keep, time_col, "left_semi")
 
 
@@ -118,7 +115,7 @@ def time_index(df: DataFrame, time_col: str = "t", name: str = "idx") -> DataFra
     """
     times = df.select(time_col).distinct()
     ranked = times.withColumn(name, F.dense_rank().over(Window.orderBy(time_col)) - 1)
-    return df.join(broadcast_if_small(ranked), time_col)
+    return df.join(ranked, time_col)
 
 
 def isel_time(df: DataFrame, idx, time_col: str = "t") -> DataFrame:

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as docs
 from ..functions import geo, text
 from .ranking import consecutive_index
-from .sizing import broadcast_if_small
 
 LABEL_HEAD, LABEL_TAIL = 25, 6
 
@@ -98,20 +97,22 @@ def accessory_key(file_name) -> Column:
 def upsert_outcomes(incoming: DataFrame, index: DataFrame, key: str = "id",
                     valid: Column | None = None, error: Column | None = None) -> DataFrame:
     """K1: per incoming document: ``already`` (key in the index), ``failed`` (invalid)
-    or ``added``. A left join on the key; rerunning gives no new ``added``."""
-    # Only index keys that occur in the batch matter: the batch's (usually
-    # small) key set is broadcast into a semi-join, so the index is scanned
-    # (key column only) but not shuffled.
-    batch_keys = broadcast_if_small(incoming.select(key).distinct())
+    or ``added``. A left join on the key; rerunning gives no new ``added``. Of several
+    incoming documents with one key the first (by all columns) counts; the others are
+    ``already`` there."""
+    # Only index keys that occur in the batch matter.
+    batch_keys = incoming.select(key).distinct()
     present = (index.select(key).join(batch_keys, key, "left_semi").distinct()
                     .withColumn("_present", F.lit(True)))
-    j = incoming.join(present, key, "left")
     ok = valid if valid is not None else F.lit(True)
-    status = (F.when(F.col("_present"), F.lit("already"))
+    order = [F.xxhash64(*[F.col(c) for c in incoming.columns]), F.struct(*[F.col(c).cast("string") for c in incoming.columns])]
+    first = F.row_number().over(Window.partitionBy(key, ok).orderBy(*order)) > 1
+    j = incoming.withColumn("_again", first & ok).join(present, key, "left")
+    status = (F.when(F.col("_present") | F.col("_again"), F.lit("already"))
                .when(~ok, F.lit("failed"))
                .otherwise(F.lit("added")))
     err = F.when(status == "failed", error if error is not None else F.lit("invalid document"))
-    return j.withColumn("status", status).withColumn("error", err).drop("_present")
+    return j.withColumn("status", status).withColumn("error", err).drop("_present", "_again")
 
 
 def append_added(outcomes: DataFrame, index_path: str) -> None:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .ranking import consecutive_index
-from .sizing import fixed_broadcast
 
 
 def asset_parts(assets: DataFrame) -> DataFrame:
@@ -144,7 +143,7 @@ def band_files(files: DataFrame, band_suffixes: DataFrame, ext: str = ".TIF") ->
     ``band_suffixes(band, suffix)`` is a fixed per-product table (a few
     rows), broadcast into the suffix test.
     """
-    s = fixed_broadcast(band_suffixes)
+    s = band_suffixes
     f = files.select(text.dirname("path").alias("folder"), "path")
     j = f.join(s, f["path"].endswith(F.concat(s["suffix"], F.lit(ext))))
     return j.groupBy("folder", "band").agg(F.min("path").alias("path"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import CAPTION_DATE_FORMAT
-from .sizing import broadcast_if_small
 
 
 def frame_table(df: DataFrame, time_col: str = "t") -> DataFrame:
@@ -121,7 +120,7 @@ def series_up_to_frames(frames: DataFrame, series: DataFrame, time_col: str = "t
     start = F.to_date(F.coalesce(F.col("_prev"), F.least(first_pt, F.col("_cut"))))
     days = cuts.withColumn("_d", F.explode(F.sequence(start, F.to_date("_cut"))))
     b = (pts.withColumn("_d", F.to_date(time_col))
-            .join(broadcast_if_small(days), "_d")
+            .join(days, "_d")
             .filter((F.col("_prev").isNull() | (F.col(time_col) > F.col("_prev"))) & (F.col(time_col) <= F.col("_cut"))))
     agg = b.groupBy(key, "_k").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"),
                                    F.max_by(F.struct(F.col(time_col).alias("lt"), F.col(value).alias("lv")),
@@ -135,6 +134,6 @@ def series_up_to_frames(frames: DataFrame, series: DataFrame, time_col: str = "t
                      F.sum("_s").over(wk).alias("value_sum"),
                      F.last("_l", ignorenulls=True).over(wk).alias("_last"))
     frame_k = fr.join(cuts.select("_cut", "_k"), "_cut").select(time_col, "_k")
-    out = run.join(broadcast_if_small(frame_k), "_k").filter(F.col("n_points") > 0)
+    out = run.join(frame_k, "_k").filter(F.col("n_points") > 0)
     return out.select(time_col, key, "n_points", "value_sum", F.col("_last.lt").alias("last_time"),
                       F.col("_last.lv").alias("last_value"))

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .sizing import broadcast_if_small
 
 
 def consecutive_index(df: DataFrame, order_cols, name: str = "idx", partition_cols=(),
@@ -35,10 +34,7 @@ def consecutive_index(df: DataFrame, order_cols, name: str = "idx", partition_co
     counts = local.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # Without keys the offset table has one row per partition; with keys it has
-    # one per (partition, key) and is broadcast only under the size check.
     off = offsets.select("_pid", *keys, "_off")
-    off = F.broadcast(off) if not keys else broadcast_if_small(off)
     return (local.join(off, ["_pid", *keys])
                  .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
                  .drop("_pid", "_local", "_off"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import broadcast_if_small, fixed_broadcast
 
 HIST_BINS = 50
 ROBUST_PERCENTILES = (0.02, 0.98)
@@ -37,7 +36,7 @@ def histogram(df: DataFrame, bands, bins: int = HIST_BINS, keys=()) -> DataFrame
     """
     lb = long_bands(df, bands, keys).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     rng = lb.groupBy(*keys, "band").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    j = lb.join(broadcast_if_small(rng), [*keys, "band"])
+    j = lb.join(rng, [*keys, "band"])
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("_lo")) / width * bins), F.lit(bins - 1)))
@@ -76,7 +75,7 @@ def rescale_clip(v, lo, hi) -> Column:
 def stretch(df: DataFrame, bands, bounds: DataFrame, keys=()) -> DataFrame:
     """F12 with A10 bounds joined per key (a broadcast of one row per key)."""
     if keys:
-        j, lo, hi = df.join(broadcast_if_small(bounds), list(keys)), F.col("p_low"), F.col("p_high")
+        j, lo, hi = df.join(bounds, list(keys)), F.col("p_low"), F.col("p_high")
     else:  # one global pair of bounds: a single struct-valued scalar subquery, no join
         j = df.withColumn("_bounds", bounds.select(F.struct("p_low", "p_high")).scalar())
         lo, hi = F.col("_bounds.p_low"), F.col("_bounds.p_high")
@@ -104,7 +103,7 @@ def legend_table(spark: SparkSession, legend) -> DataFrame:
 
 def apply_legend(df: DataFrame, value_col: str, legend: DataFrame) -> DataFrame:
     """Left broadcast join on the class value; unmapped codes get null index/colour/label."""
-    lg = fixed_broadcast(legend.withColumnRenamed("value", "_lv"))
+    lg = legend.withColumnRenamed("value", "_lv")
     return df.join(lg, df[value_col] == lg["_lv"], "left").drop("_lv")
 
 
@@ -117,4 +116,4 @@ def class_codes(df: DataFrame, attr: str, order: str, name: str = "code") -> Dat
     from .ranking import consecutive_index
     firsts = df.groupBy(attr).agg(F.min(order).alias("_first"))
     codes = consecutive_index(firsts, ["_first", attr], name).withColumn(name, F.col(name).cast("int"))
-    return df.join(broadcast_if_small(codes.drop("_first")), attr, "left")
+    return df.join(codes.drop("_first"), attr, "left")

@@ -14,7 +14,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small
 
 # Light source and terrain defaults of the elevation notebook.
 HILLSHADE_AZDEG = 315.0
@@ -33,9 +32,11 @@ def light_vector(azdeg: float = HILLSHADE_AZDEG, altdeg: float = HILLSHADE_ALTDE
     return (math.cos(az) * math.cos(alt), math.sin(az) * math.cos(alt), math.sin(alt))
 
 
-def _gradient(z: Column, w: Window, h: float) -> Column:
-    """numpy-style gradient along a window line: central inside, one-sided at the ends."""
-    prev, nxt = F.lag(z).over(w), F.lead(z).over(w)
+def _gradient(z: Column, w: Window, at: str, h: float) -> Column:
+    """Gradient along a window line: central inside, one-sided at the ends and beside gaps
+    (the next row is a neighbour only one coordinate step away)."""
+    prev = F.when(F.col(at) - F.lag(at).over(w) == 1, F.lag(z).over(w))
+    nxt = F.when(F.lead(at).over(w) - F.col(at) == 1, F.lead(z).over(w))
     return (F.when(prev.isNull() & nxt.isNull(), F.lit(0.0))
              .when(prev.isNull(), (nxt - z) / h)
              .when(nxt.isNull(), (z - prev) / h)
@@ -58,8 +59,8 @@ def hillshade(dem: DataFrame, value: str = "elevation", keys=(), azdeg: float =
     along_x = Window.partitionBy(*keys, "y").orderBy("x")
     along_y = Window.partitionBy(*keys, "x").orderBy("y")
     g = (dem.withColumn("_z", z)
-            .withColumn("_gx", _gradient(F.col("_z"), along_x, dx))
-            .withColumn("_gy", _gradient(F.col("_z"), along_y, -dy)))
+            .withColumn("_gx", _gradient(F.col("_z"), along_x, "x", dx))
+            .withColumn("_gy", _gradient(F.col("_z"), along_y, "y", -dy)))
     lx, ly, lz = light_vector(azdeg, altdeg)
     norm = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy") + F.lit(1.0))
     inten = ((-F.col("_gx") / norm) * F.lit(lx) + (-F.col("_gy") / norm) * F.lit(ly)
@@ -67,7 +68,7 @@ def hillshade(dem: DataFrame, value: str = "elevation", keys=(), azdeg: float =
     g = g.withColumn("_i", inten).drop("_z", "_gx", "_gy")
     if keys:  # one (min, max) per grid, joined back; the table has one row per key
         rng = g.groupBy(*keys).agg(F.min("_i").alias("_imin"), F.max("_i").alias("_imax"))
-        g = g.join(broadcast_if_small(rng), keys)
+        g = g.join(rng, keys)
         imin, imax = F.col("_imin"), F.col("_imax")
     else:
         # One pass for both bounds (a struct-valued scalar subquery); the
@@ -161,7 +162,9 @@ def regrid_nearest(df: DataFrame, x: Column, y: Column, value: str, x0: float, y
 
 
 def tile_rows(df: DataFrame, bands, nodata: dict, tile: int, keys=(), x: str = "x", y: str = "y") -> DataFrame:
-    """K4: one row per (keys, tile, band) with the tile's values in row-major order.
+    """K4: one row per (keys, tile, band): the values of the tile's cells and, beside
+    them, each cell's row-major place in the tile (``y % tile * tile + x % tile``), so a
+    sparse tile can be put back on its grid.
 
     Nulls become the band's nodata value. A tile holds at most tile^2
     values, so the per-tile collect is bounded by the tile size.
@@ -179,6 +182,8 @@ def tile_rows(df: DataFrame, bands, nodata: dict, tile: int, keys=(), x: str = "
                                              F.col("_b.v").alias("v")))).alias("_cells"))
     return grouped.select(*keys, "tile_y", "tile_x", "band",
                           F.transform("_cells", lambda c: c["v"]).alias("values"),
+                          F.transform("_cells", lambda c: (c["y"] - F.col("tile_y") * tile) * tile
+                                      + c["x"] - F.col("tile_x") * tile).alias("places"),
                           F.size("_cells").cast("long").alias("n_cells"))
 
 

@@ -62,25 +62,22 @@ def water_fuse(df: DataFrame, keys, value: str = "wofs",
     return df.groupBy(*keys).agg(F.coalesce(non_empty_or, last_value).alias(value))
 
 
-def wofs_fuser_np(dest, src):
-    """Pairwise form of the fuser (numpy arrays); used by the X3 fold path and tests."""
-    empty = (dest & 1).astype(bool)
-    both = ~empty & ~((src & 1).astype(bool))
-    dest = dest.copy()
-    dest[empty] = src[empty]
-    dest[both] |= src[both]
-    return dest
+def wofs_fuser_np(held, new):
+    """A5 on whole arrays: where ``held`` lacks data take ``new``, where both have data
+    their union, else keep ``held``. The lowest bit means no data."""
+    return np.select([held % 2 == 1, new % 2 == 0], [new, held | new], held)
 
 
 def custom_fuse(df: DataFrame, keys, value: str, order_cols, fuser, value_type: str = "long") -> DataFrame:
-    """User fuser ``f(dest, src)`` folded in scene order per group (pandas path).
-
-    Rows are hash-partitioned by the group key and sorted by (key, order)
-    inside each partition; one ``mapInPandas`` pass then folds consecutive
-    rows of a group, carrying the last open group across Arrow batches. A
-    group is folded inside one task (a user fuser need not be associative),
-    so this suits groups of bounded size, such as the scenes covering one
-    cell on one solar day; associative fusers belong in a partial aggregate (A5).
+    """User fuser ``f(held, new)`` on arrays, folded in scene order per group.
+
+    Rows are hash-partitioned by the group key and sorted by (key, order) inside each
+    partition. Within an Arrow batch the k-th rows of all groups are folded in one call;
+    a group that goes on in the next batch carries its value over. Null values don't take
+    part (a group of nulls only gives null), and null keys form a group like any other.
+    A group is folded inside one task (a user fuser need not be associative), so this
+    suits groups of bounded size, such as the scenes covering one cell on one solar day;
+    associative fusers belong in a partial aggregate (A5).
     """
     keys, order_cols = list(keys), list(order_cols)
     part = (df.select(*keys, *order_cols, value).repartition(*keys)
@@ -88,30 +85,41 @@ def custom_fuse(df: DataFrame, keys, value: str, order_cols, fuser, value_type:
     out_schema = df.select(*keys, F.col(value).cast(value_type).alias(value)).schema
 
     def run(batches):
-        carry_key, carry_val = None, None
+        open_key, open_value = None, None  # the last group so far: a one-row frame and its value (None: no value yet)
         for pdf in batches:
             if pdf.empty:
                 continue
-            kv = list(pdf[keys].itertuples(index=False, name=None))
-            vals = pdf[value].to_numpy()
-            done_k, done_v = [], []
-            for k, v in zip(kv, vals):
-                src = np.array([v])
-                if k == carry_key:
-                    carry_val = fuser(carry_val, src)
-                else:
-                    if carry_key is not None:
-                        done_k.append(carry_key)
-                        done_v.append(carry_val[0])
-                    carry_key, carry_val = k, src
-            if done_k:
-                out = pd.DataFrame(done_k, columns=keys)
-                out[value] = done_v
-                yield out
-        if carry_key is not None:
-            out = pd.DataFrame([carry_key], columns=keys)
-            out[value] = [carry_val[0]]
-            yield out
+            k = pdf[keys]
+            before = k.shift()
+            same = ((k == before) | (k.isna() & before.isna())).all(axis=1).to_numpy()
+            goes_on = False
+            if open_key is not None:
+                a, b = k.iloc[0], open_key.iloc[0]
+                goes_on = all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
+            same[0] = False
+            group = np.cumsum(~same) - 1
+            heads = k[~same].reset_index(drop=True)
+            if open_key is not None and not goes_on:
+                yield open_key.assign(**{value: pd.array([open_value], dtype="Int64" if value_type == "long" else "Float64")})
+            there = pdf[value].notna().to_numpy()
+            g, v = group[there], pdf[value].to_numpy()[there]
+            v = v.astype(np.int64 if value_type == "long" else float)
+            held, has = np.zeros(len(heads), v.dtype), np.zeros(len(heads), bool)
+            if goes_on and open_value is not None:
+                held[0], has[0] = open_value, True
+            rank = np.arange(len(g)) - np.searchsorted(g, g)
+            for r in range(int(rank.max()) + 1 if len(rank) else 0):
+                at, x = g[rank == r], v[rank == r]
+                held[at] = np.where(has[at], fuser(held[at], x), x)
+                has[at] = True
+            done = pd.array(held, dtype="Int64" if value_type == "long" else "Float64")
+            done[~has] = pd.NA
+            out = heads.assign(**{value: done})
+            yield out.iloc[:-1]
+            open_key = heads.iloc[-1:].reset_index(drop=True)
+            open_value = held[-1] if has[-1] else None
+        if open_key is not None:
+            yield open_key.assign(**{value: pd.array([open_value], dtype="Int64" if value_type == "long" else "Float64")})
 
     return part.mapInPandas(run, out_schema)
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal
 from ..operators import catalog
-from ..operators.sizing import broadcast_if_small
 from ..sources.fixtures import oracle_with, view
 from . import register
 from .common import bands_values_sql, iso_ts, sql_iso_ts
@@ -118,7 +117,7 @@ FROM summary s JOIN (SELECT product, COUNT(*) AS n_scenes FROM scenes GROUP BY p
 def product_summary(spark, sf):
     counts = view(spark, sf, "scenes").groupBy("product").agg(F.count(F.lit(1)).alias("n_scenes"))
     summ = catalog.product_summary(spark)
-    return summ.join(F.broadcast(counts.withColumnRenamed("product", "name")), "name")
+    return summ.join(counts.withColumnRenamed("product", "name"), "name")
 
 
 LOAD_DAYS = ("1996-01-01", "1996-12-31")
@@ -134,7 +133,7 @@ def band_alias_load(spark, sf):
     found = catalog.find_scenes(view(spark, sf, "scenes"), ["ls89_c2l2_sp"],
                                 time=temporal.day_range(*LOAD_DAYS)).select(F.col("id").alias("scene_id"))
     obs = view(spark, sf, "pixel_obs").withColumnRenamed("nir", "nir08")
-    loaded = obs.join(broadcast_if_small(found), "scene_id", "left_semi")
+    loaded = obs.join(found, "scene_id", "left_semi")
     out = catalog.resolve_bands(loaded, "ls89_c2l2_sp", LOAD_BANDS, keep=["scene_id", "seq", "t", "y", "x"])
     return out.withColumn("t", iso_ts("t"))
 

@@ -59,7 +59,7 @@ def _scene_docs(spark, sf):
     from pyspark import StorageLevel
     mtl = (fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m").select("scene_id", "folder", "m")
                .persist(StorageLevel.MEMORY_AND_DISK))
-    files = view(spark, sf, "files").select(text.dirname("path").alias("folder"), "path",
+    files = view(spark, sf, "listing").select(text.dirname("path").alias("folder"), "path",
                                             text.basename("path").alias("fname"))
     # Band paths: the folder's file whose name equals the sidecar's file name (an
     # equi-join on (folder, name)); per-folder maps hold a scene's few bands.
@@ -104,8 +104,8 @@ SELECT x.scene_id, md5(x.folder) AS md5_id,
 FROM mtl_xml x JOIN scenes s ON x.scene_id = s.id
 LEFT JOIN (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, COUNT(*) AS n,
                   MAX(CASE WHEN ends_with(path, '_SR_B4.TIF') THEN path END) AS red_path
-           FROM files WHERE regexp_matches(path, '_(SR_B[2-4]|QA_PIXEL)\\.TIF$') GROUP BY 1) b ON b.folder = x.folder""",
-    "mtl_xml", "scenes", "files"))
+           FROM listing WHERE regexp_matches(path, '_(SR_B[2-4]|QA_PIXEL)\\.TIF$') GROUP BY 1) b ON b.folder = x.folder""",
+    "mtl_xml", "scenes", "listing"))
 def scene_docs(spark, sf):
     d = _scene_docs(spark, sf)
     doc = F.col("doc")

@@ -114,7 +114,7 @@ def combined_bounds(spark, sf):
                     F.round("centroid_x", 9).alias("centroid_x"), F.round("centroid_y", 9).alias("centroid_y"), "zoom")
 
 
-API_LIMIT, API_HARD_LIMIT = 1000, 500
+API_LIMIT = 100  # the request of this query; below the number of matches at every scale
 
 
 @register("datasets_geojson", operators=("S1", "P4", "O1", "P18", "K5", "F33", "F24"), oracle=oracle_with(f"""
@@ -125,11 +125,11 @@ SELECT id, to_json({{'type': 'Feature',
                                      'region_code': region_code}}}}) AS feature,
        'ls89_c2l2_sp-1996-datasets' AS file_prefix
 FROM (SELECT * FROM scenes WHERE product = 'ls89_c2l2_sp' AND t >= TIMESTAMP '1996-01-01'
-      AND t < TIMESTAMP '1997-01-01' ORDER BY t, id LIMIT {min(API_LIMIT, API_HARD_LIMIT)}) s
+      AND t < TIMESTAMP '1997-01-01' ORDER BY t, id LIMIT {API_LIMIT}) s
 WHERE geom IS NOT NULL""", "scenes"))
 def datasets_geojson(spark, sf):
     found = catalog.find_scenes(view(spark, sf, "scenes"), ["ls89_c2l2_sp"], time=temporal.as_time_range(1996))
-    top = explore.limited(found, API_LIMIT, API_HARD_LIMIT).filter(F.col("geom").isNotNull())
+    top = explore.limited(found, API_LIMIT).filter(F.col("geom").isNotNull())
     feat = explore.geojson_feature(
         explore.bbox_geometry("minx", "miny", "maxx", "maxy"),
         {"id": F.col("id"), "product": F.col("product"), "datetime": iso_ts("t"),
@@ -148,7 +148,7 @@ SELECT COALESCE(license, '') AS license, string_agg(name, ',' ORDER BY name) AS
 FROM lic WHERE name IN (SELECT DISTINCT product FROM scenes) GROUP BY 1""", "scenes", lic=_license_sql()))
 def group_products(spark, sf):
     present = catalog.distinct_products(view(spark, sf, "scenes")).withColumnRenamed("product", "name")
-    p = product_table(spark).join(F.broadcast(present), "name", "left_semi")
+    p = product_table(spark).join(present, "name", "left_semi")
     g = explore.group_sorted(p.select("name", "license"), "license", "name")
     return g.select("license", F.array_join("items", ",").alias("items"), F.col("n").cast("long").alias("n"))
 

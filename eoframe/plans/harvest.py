@@ -55,7 +55,7 @@ def signatures(spark, sf):
 
 
 _ANC = """SELECT array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS folder, path, length
-          FROM files, LATERAL (SELECT unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS i) s"""
+          FROM listing, LATERAL (SELECT unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS i) s"""
 
 
 def _human_sql(c: str) -> str:
@@ -74,9 +74,9 @@ def _human2_sql(c: str) -> str:
 @register("folder_sizes", operators=("A20", "F14", "S10"), oracle=oracle_with(f"""
 SELECT folder, size, n_files, {_human_sql('size')} AS human, {_human2_sql('size')} AS human2 FROM (
   SELECT folder, CAST(SUM(length) AS BIGINT) AS size, COUNT(*) AS n_files FROM anc GROUP BY folder) z""",
-    "files", anc=_ANC))
+    "listing", anc=_ANC))
 def folder_sizes(spark, sf):
-    s = harvest.folder_sizes(view(spark, sf, "files"))
+    s = harvest.folder_sizes(view(spark, sf, "listing"))
     return s.select("folder", "size", "n_files", text.human_bytes("size").alias("human"),
                     text.human_bytes_2("size").alias("human2"))
 
@@ -89,10 +89,10 @@ SELECT path, depth, is_dir, size, is_dir AND depth = {TREE_DEPTH} AS truncated,
 FROM (SELECT folder AS path, CAST(SUM(length) AS BIGINT) AS size, true AS is_dir,
              len(string_split(folder, '/')) - 1 AS depth FROM anc GROUP BY folder
       UNION ALL
-      SELECT path, length AS size, false AS is_dir, len(string_split(path, '/')) - 1 AS depth FROM files) z
-WHERE depth <= {TREE_DEPTH}""", "files", anc=_ANC))
+      SELECT path, length AS size, false AS is_dir, len(string_split(path, '/')) - 1 AS depth FROM listing) z
+WHERE depth <= {TREE_DEPTH}""", "listing", anc=_ANC))
 def tree_listing(spark, sf):
-    t = harvest.tree(view(spark, sf, "files"), TREE_DEPTH)
+    t = harvest.tree(view(spark, sf, "listing"), TREE_DEPTH)
     return t.select("path", F.col("depth").cast("long").alias("depth"), "is_dir", "size", "truncated",
                     text.human_bytes_2("size").alias("human2"))
 
@@ -102,10 +102,10 @@ LEAF_GLOB = "landsat-c2/*/199[5-7]/*/LC08_1*"
 
 @register("leaf_folders", operators=("P17", "F20"), oracle=oracle_with(f"""
 SELECT DISTINCT folder FROM anc a
-WHERE NOT EXISTS (SELECT 1 FROM anc b WHERE b.folder LIKE a.folder || '/%')
-  AND regexp_full_match(folder, 'landsat-c2/.*/199[5-7]/.*/LC08_1.*')""", "files", anc=_ANC))
+WHERE folder NOT IN (SELECT regexp_extract(folder, '^(.*)/[^/]*$', 1) FROM anc)
+  AND regexp_full_match(folder, 'landsat-c2/.*/199[5-7]/.*/LC08_1.*')""", "listing", anc=_ANC))
 def leaf_folders(spark, sf):
-    return harvest.leaf_folders(view(spark, sf, "files"), LEAF_GLOB)
+    return harvest.leaf_folders(view(spark, sf, "listing"), LEAF_GLOB)
 
 
 @register("representative_file", operators=("A25",), oracle=oracle_with("""
@@ -115,10 +115,10 @@ SELECT folder, COALESCE(MIN(path) FILTER (WHERE ext IN ('tif', 'tiff')),
                           MIN(path) FILTER (WHERE ext IN ('jpg', 'jpeg', 'png', 'jp2'))) IS NULL
             THEN 'no image file' END AS error
 FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path,
-             lower(regexp_extract(regexp_extract(path, '[^/]*$', 0), '\\.([^.]*)$', 1)) AS ext FROM files) z
-GROUP BY folder""", "files"))
+             lower(regexp_extract(regexp_extract(path, '[^/]*$', 0), '\\.([^.]*)$', 1)) AS ext FROM listing) z
+GROUP BY folder""", "listing"))
 def representative_file(spark, sf):
-    return harvest.representative_file(view(spark, sf, "files"))
+    return harvest.representative_file(view(spark, sf, "listing"))
 
 
 # Band -> file-name suffix of the Landsat Collection 2 surface-reflectance files.
@@ -127,12 +127,12 @@ BAND_SUFFIXES = [("red", "SR_B4"), ("green", "SR_B3"), ("blue", "SR_B2"), ("qa_p
 
 @register("band_files", operators=("J8",), oracle=oracle_with("""
 SELECT regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS folder, s.band, MIN(f.path) AS path
-FROM files f JOIN sfx s ON ends_with(f.path, s.suffix || '.TIF') GROUP BY 1, 2""", "files",
+FROM listing f JOIN sfx s ON ends_with(f.path, s.suffix || '.TIF') GROUP BY 1, 2""", "listing",
     sfx="SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{x}')" for b, x in BAND_SUFFIXES)
         + ") AS v(band, suffix)"))
 def band_files(spark, sf):
     suffixes = spark.createDataFrame(BAND_SUFFIXES, "band string, suffix string").coalesce(1)
-    return harvest.band_files(view(spark, sf, "files"), suffixes)
+    return harvest.band_files(view(spark, sf, "listing"), suffixes)
 
 
 BATCH_FOLDERS = 5

@@ -18,7 +18,11 @@ from . import register
 
 SR_BANDS = ["red", "green", "blue", "nir"]
 CLOUDY = ["cloud", "cloud_shadow", "dilated_cloud", "cirrus", "nodata"]
-GRID = 64  # fixture grid edge (y and x are taken modulo 64)
+
+
+def grid_cells(spark, sf):
+    """Number of cells of the fixture grid: one per part."""
+    return view(spark, sf, "dem").agg(F.count(F.lit(1))).scalar()
 
 
 def r9(c):
@@ -186,29 +190,29 @@ def flag_mask(spark, sf):
 
 @register("good_fraction", operators=("A1",), oracle=oracle_with(f"""
 SELECT CAST(t AS VARCHAR) AS t,
-       ROUND(CAST(COUNT(*) FILTER (WHERE (COALESCE(qa_pixel, 0) & 31) = 0) AS DOUBLE) / {GRID * GRID}, 9) AS good_frac
+       ROUND(CAST(COUNT(*) FILTER (WHERE (COALESCE(qa_pixel, 0) & 31) = 0) AS DOUBLE) / (SELECT COUNT(*) FROM part), 9) AS good_frac
 FROM pixels GROUP BY t""", "pixels"))
 def good_fraction(spark, sf):
     px = view(spark, sf, "pixels")
     good = ~qa.qa_pixel_any("qa_pixel", CLOUDY)
-    return (cube.good_fraction(px, good, GRID, GRID)
+    return (cube.good_fraction(px, good, grid_cells(spark, sf))
                 .select(iso_day("t").alias("t"), r9("good_frac").alias("good_frac")))
 
 
-MIN_GOOD = 0.1
+MIN_GOOD = 0.2
 
 
 @register("min_gooddata", operators=("P13", "A1", "P10", "P14"), oracle=oracle_with(f"""
 SELECT CAST(p.t AS VARCHAR) AS t, p.y, p.x,
-       CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 THEN CAST(red AS FLOAT) END AS red,
-       CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 THEN CAST(nir AS FLOAT) END AS nir
+       CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND red <> 0 THEN CAST(red AS FLOAT) END AS red,
+       CASE WHEN (COALESCE(qa_pixel, 0) & 31) = 0 AND nir <> 0 THEN CAST(nir AS FLOAT) END AS nir
 FROM pixels p JOIN keep k ON p.t = k.t""", "pixels", keep=f"""
   SELECT t FROM pixels GROUP BY t
-  HAVING CAST(COUNT(*) FILTER (WHERE (COALESCE(qa_pixel, 0) & 31) = 0) AS DOUBLE) / {GRID * GRID} >= {MIN_GOOD}"""))
+  HAVING CAST(COUNT(*) FILTER (WHERE (COALESCE(qa_pixel, 0) & 31) = 0) AS DOUBLE) / (SELECT COUNT(*) FROM part) >= {MIN_GOOD}"""))
 def min_gooddata(spark, sf):
     px = view(spark, sf, "pixels")
     good = ~qa.qa_pixel_any("qa_pixel", CLOUDY)
-    kept = cube.min_gooddata(px, good, MIN_GOOD, GRID, GRID)
+    kept = cube.min_gooddata(px, good, MIN_GOOD, grid_cells(spark, sf))
     out = cube.keep_good_only(kept.withColumn("_good", good), F.col("_good"),
                               {"red": 0.0, "nir": 0.0})
     return out.select(iso_day("t").alias("t"), "y", "x", "red", "nir")

@@ -14,8 +14,10 @@ LX, LY, LZ = terrain.light_vector()
 
 
 def _grad_sql(z: str, part: str, order: str, h: float) -> str:
-    prev = f"LAG({z}) OVER (PARTITION BY {part} ORDER BY {order})"
-    nxt = f"LEAD({z}) OVER (PARTITION BY {part} ORDER BY {order})"
+    line = f"OVER (PARTITION BY {part} ORDER BY {order})"
+    prev = f"CASE WHEN LAG({order}) {line} = {order} - 1 THEN LAG({z}) {line} END"
+    nxt = f"CASE WHEN LEAD({order}) {line} = {order} + 1 THEN LEAD({z}) {line} END"
+    prev, nxt = f"({prev})", f"({nxt})"
     return (f"CASE WHEN {prev} IS NULL AND {nxt} IS NULL THEN 0.0 "
             f"WHEN {prev} IS NULL THEN ({nxt} - {z}) / {h!r} "
             f"WHEN {nxt} IS NULL THEN ({z} - {prev}) / {h!r} "
@@ -98,7 +100,8 @@ EXPORT_TILE = 16
 @register("tile_export", operators=("K4", "W8", "P19"), oracle=oracle_with(f"""
 SELECT CAST(t AS VARCHAR) AS t, CAST(FLOOR(y / {EXPORT_TILE}) AS BIGINT) AS tile_y,
        CAST(FLOOR(x / {EXPORT_TILE}) AS BIGINT) AS tile_x, band,
-       list(v ORDER BY y, x, v) AS "values", COUNT(*) AS n_cells
+       list(v ORDER BY y, x, v) AS "values",
+       list(CAST(y % {EXPORT_TILE} * {EXPORT_TILE} + x % {EXPORT_TILE} AS BIGINT) ORDER BY y, x, v) AS places, COUNT(*) AS n_cells
 FROM (SELECT t, y, x, 'red' AS band, CAST(COALESCE(red, 0) AS FLOAT) AS v FROM m
       UNION ALL SELECT t, y, x, 'nir' AS band, CAST(COALESCE(nir, 0) AS FLOAT) AS v FROM m) u
 GROUP BY 1, 2, 3, 4""", "pixels",

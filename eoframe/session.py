@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +48,16 @@ def build_session(master: str | None = None, app: str = "eoframe",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we create a private scratch folder and register it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session
+    that runs in one process (tests) gets a private folder; on a cluster executors could
+    not see one, so there it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="eoframe-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .tables import read_table
 
 # The view definitions of the fixture contract (FIXTURES.md §3).
-# ``{name}`` marks a driver table.
+# ``{name}`` marks a driver table. The grid has a cell per part, laid out in columns of
+# 64 rows, so it grows with the data.
 VIEW_SQL: dict[str, str] = {
     "pixel_obs": """
-SELECT l_orderkey AS scene_id, l_linenumber AS seq, l_orderkey % 64 AS x, l_partkey % 64 AS y,
+SELECT l_orderkey AS scene_id, l_linenumber AS seq, CAST(FLOOR(CAST(l_partkey AS DOUBLE) / 64) AS BIGINT) AS x, l_partkey % 64 AS y,
        l_shipdate AS t, CAST(l_suppkey % 12 AS DOUBLE) * 15 - 90 AS lon,
        (l_orderkey * 131 + l_linenumber * 977) % 45000 AS red,
        (l_partkey * 211 + l_linenumber * 577) % 45000 AS nir,
@@ -28,8 +29,8 @@ SELECT l_orderkey AS scene_id, l_linenumber AS seq, l_orderkey % 64 AS x, l_part
 FROM {lineitem}
 """,
     "pixels": """
-SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS t, l_partkey % 64 AS y, l_orderkey % 64 AS x,
-       MIN((l_orderkey * 131 + l_linenumber * 977) % 45000) AS red,
+SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS t, l_partkey % 64 AS y, CAST(FLOOR(CAST(l_partkey AS DOUBLE) / 64) AS BIGINT) AS x,
+       MIN(CASE WHEN (l_orderkey + l_partkey) % 41 = 0 THEN 0 ELSE (l_orderkey * 131 + l_linenumber * 977) % 45000 END) AS red,
        MIN((l_orderkey * 17 + l_linenumber * 313) % 45000) AS green,
        MIN((l_partkey * 19 + l_linenumber * 71) % 45000) AS blue,
        MIN((l_partkey * 211 + l_linenumber * 577) % 45000) AS nir,
@@ -41,12 +42,10 @@ SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS t, l_partkey % 64 AS y,
 FROM {lineitem} GROUP BY 1, 2, 3
 """,
     "dem": """
-SELECT gx.x, gy.y, COALESCE(e.elevation, 0) AS elevation
-FROM (SELECT DISTINCT o_orderkey % 64 AS x FROM {orders}) gx
-CROSS JOIN (SELECT DISTINCT p_partkey % 64 AS y FROM {part}) gy
-LEFT JOIN (SELECT l_orderkey % 64 AS x, l_partkey % 64 AS y,
-                  MIN(CAST(FLOOR(l_extendedprice) AS BIGINT)) % 3000 AS elevation
-           FROM {lineitem} GROUP BY 1, 2) e ON e.x = gx.x AND e.y = gy.y
+SELECT CAST(FLOOR(CAST(p.p_partkey AS DOUBLE) / 64) AS BIGINT) AS x, p.p_partkey % 64 AS y, COALESCE(e.elevation, 0) AS elevation
+FROM {part} p
+LEFT JOIN (SELECT l_partkey, MIN(CAST(FLOOR(l_extendedprice) AS BIGINT)) % 3000 AS elevation
+           FROM {lineitem} GROUP BY 1) e ON e.l_partkey = p.p_partkey
 """,
     "landcover": """
 SELECT y.yr, p.p_partkey % 64 AS y, p.p_partkey AS x,
@@ -86,13 +85,21 @@ SELECT concat('landsat-c2/level-2/', CAST(year(o.o_orderdate) AS VARCHAR(8)), '/
        CAST(FLOOR(o.o_totalprice) AS BIGINT) + b.extra AS length
 FROM {orders} o CROSS JOIN (VALUES ('SR_B4.TIF', 1), ('SR_B3.TIF', 2), ('QA_PIXEL.TIF', 3)) AS b(suffix, extra)
 WHERE o.o_orderkey % 3 <> 0 AND NOT (o.o_orderkey % 5 = 0 AND b.suffix = 'SR_B3.TIF')
+""",
+    # All files of every landed scene; ``files`` above is what a partial download left.
+    "listing": """
+SELECT concat('landsat-c2/level-2/', CAST(year(o.o_orderdate) AS VARCHAR(8)), '/', CAST(o.o_custkey % 40 AS VARCHAR(8)),
+              '/LC08_', CAST(o.o_orderkey AS VARCHAR(12)), '/LC08_', CAST(o.o_orderkey AS VARCHAR(12)),
+              CASE WHEN o.o_orderstatus = 'P' THEN '_T2_' ELSE '_T1_' END, b.suffix) AS path,
+       CAST(FLOOR(o.o_totalprice) AS BIGINT) + b.extra AS length
+FROM {orders} o CROSS JOIN (VALUES ('SR_B4.TIF', 1), ('SR_B3.TIF', 2), ('QA_PIXEL.TIF', 3)) AS b(suffix, extra)
 """,
     "features": """
 SELECT o_orderkey AS fid, o_orderstatus AS attr,
        CAST((o_custkey * 37) % 36000 AS DOUBLE) / 100 - 180 AS minx, CAST((o_custkey * 53) % 16000 AS DOUBLE) / 100 - 80 AS miny,
        CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderdate END AS start_time,
        CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE o_orderdate + INTERVAL 30 DAY END AS end_time
-FROM {orders} WHERE o_orderkey % 20 < 2
+FROM {orders}
 """,
     "series": """
 SELECT event_type AS series, ts AS t, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value FROM {events}
@@ -155,11 +162,12 @@ FROM {orders}
 VIEW_TABLES: dict[str, tuple[str, ...]] = {
     "pixel_obs": ("lineitem",),
     "pixels": ("lineitem",),
-    "dem": ("orders", "part", "lineitem"),
+    "dem": ("part", "lineitem"),
     "landcover": ("part", "orders"),
     "scenes": ("orders",),
     "assets": ("orders",),
     "files": ("orders",),
+    "listing": ("orders",),
     "features": ("orders",),
     "series": ("events",),
     "stac_items": ("orders",),

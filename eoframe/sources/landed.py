@@ -91,16 +91,28 @@ def product_index(docs: DataFrame) -> DataFrame:
 
 
 def read_mtl(spark: SparkSession, root: str, suffix: str = "_MTL.xml") -> DataFrame:
-    """The sidecar XML of each scene folder; exactly one per folder is expected
-    (none -> 'not found', several -> error), and content must start with '<'."""
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    """The sidecar XML of every folder that holds files: exactly one is expected
+    (none -> 'not found', several -> an error), it must start with '<' and be closed by
+    its first element. Only files named like a sidecar are opened; the folders come from
+    the listing alone."""
+    folders = list_files(spark, root, "**").select(text.dirname("path").alias("folder")).distinct()
+    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", f"*{suffix}").text(root)
                 .select(F.input_file_name().alias("path"), F.col("value").alias("xml")))
-    raw = raw.filter(F.col("path").endswith(suffix)).withColumn("folder", text.dirname("path"))
+    # The two readers write a local path with one slash or three.
+    plain = lambda c: F.regexp_replace(c, r"^(\w+:)/+", "$1/")
+    folders = folders.select(plain("folder").alias("folder")).distinct()
+    raw = raw.withColumn("folder", text.dirname(plain("path")))
     per = raw.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.min_by("xml", "path").alias("xml"),
                                     F.min("path").alias("path"))
+    per = folders.join(per, "folder", "left")
+    element = F.regexp_extract("xml", r"<([A-Za-z_][\w.-]*)", 1)
     return per.select("folder", "path", F.when(F.col("n") == 1, F.col("xml")).alias("xml"),
-                      F.when(F.col("n") > 1, F.lit("several sidecar files"))
+                      F.when(F.col("n").isNull(), F.lit("not found"))
+                       .when(F.col("n") > 1, F.lit("several sidecar files"))
                        .when(~F.ltrim(F.col("xml")).startswith("<"), F.lit("not an XML document"))
+                       .when(~F.rtrim(F.col("xml")).endswith(F.concat(F.lit("</"), element, F.lit(">"))),
+                             F.lit("broken XML document"))
                        .alias("error"))
 
 

@@ -21,9 +21,10 @@ from ..operators.documents import upsert_outcomes
 from ..session import scratch_path
 
 
-def latest_per_id(batch: DataFrame, key: str = "id", order: str = "t") -> DataFrame:
-    """One document per id inside a micro-batch: the one with the smallest ``order``
-    (ties by the whole row), chosen by a partial aggregate."""
+def first_per_id(batch: DataFrame, key: str = "id", order: str = "t") -> DataFrame:
+    """One document per id inside a micro-batch: the earliest by ``order`` (ties by the
+    whole row). The index keeps what arrived first and reports later ones as already
+    there, so within a batch the first wins too. A partial aggregate chooses it."""
     cols = [c for c in batch.columns if c != key]
     pick = F.min_by(F.struct(*cols), F.struct(F.col(order), *[F.col(c) for c in cols if c != order]))
     return batch.groupBy(key).agg(pick.alias("_d")).select(key, "_d.*")
@@ -38,12 +39,13 @@ def _index_exists(spark: SparkSession, path: str) -> bool:
 
 def run_incremental_index(spark: SparkSession, landing: str, index_path: str, checkpoint: str,
                           schema: T.StructType, valid: Column | None = None, key: str = "id",
-                          order: str = "t", max_files_per_trigger: int = 1) -> list[dict]:
-    """Drain the landing folder into the index; returns per-epoch outcome counts."""
+                          order: str = "t", max_files_per_trigger: int | None = None) -> list[dict]:
+    """Drain the landing folder into the index; returns per-epoch outcome counts.
+    ``max_files_per_trigger`` splits a backlog into batches; by default it is one batch."""
     log: list[dict] = []
 
     def upsert_batch(batch: DataFrame, epoch_id: int) -> None:
-        docs = latest_per_id(batch, key, order)
+        docs = first_per_id(batch, key, order)
         if _index_exists(spark, index_path):
             index = spark.read.schema(schema).parquet(index_path)
         else:
@@ -55,8 +57,10 @@ def run_incremental_index(spark: SparkSession, landing: str, index_path: str, ch
         out.unpersist()
         log.append({"epoch": epoch_id, **counts})
 
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-                   .json(os.path.join(landing, "*")))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.json(os.path.join(landing, "*"))
     q = (stream.writeStream.foreachBatch(upsert_batch)
                .option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
@@ -70,8 +74,5 @@ def new_run_folder(spark: SparkSession, name: str) -> str:
 
 
 def land(docs: DataFrame, landing: str, batch_col: str) -> None:
-    """Write documents as JSON files, one arrival (file) per ``batch_col`` value."""
-    values = sorted(r[0] for r in docs.select(batch_col).distinct().collect())
-    for i, v in enumerate(values):
-        (docs.filter(F.col(batch_col) == v).drop(batch_col).coalesce(1)
-             .write.mode("overwrite").json(os.path.join(landing, f"arrival_{i:05d}")))
+    """Write documents as JSON files, one folder per ``batch_col`` value, in one job."""
+    docs.write.mode("overwrite").partitionBy(batch_col).json(landing)

@@ -60,16 +60,9 @@ def test_priority_and_license(spark):
     assert lic.first().l == "CC-BY-4.0"
 
 
-def test_infer_crs(spark):
-    df = spark.createDataFrame([('GEOGCS["WGS 84",DATUM["WGS_1984"]]',), ("GDA94 Geocentric Datum of Australia",),
-                                ("x",)], "s string")
-    got = [r[0] for r in df.select(explore.infer_crs("s")).collect()]
-    assert got[0] == "epsg:4326" and got[1] == "epsg:4283" and got[2] is None
-
-
 def test_predicate_udf_and_map_blocks(spark):
     sc = view(spark, SF_SMALL, "scenes")
-    pred = catalog.predicate_udf(lambda r: r.cloud_cover < 10)(F.struct("cloud_cover"))
+    pred = catalog.predicate_udf(lambda d: d.cloud_cover < 10)(F.struct("cloud_cover"))
     assert catalog.find_scenes(sc, predicate=pred).count() == sc.filter("cloud_cover < 10").count()
     doubled = imaging.map_blocks(sc.select("id"), lambda pdf: pdf.assign(id=pdf["id"] * 2), "id long")
     assert doubled.agg(F.sum("id")).first()[0] == 2 * sc.agg(F.sum("id")).first()[0]

@@ -89,8 +89,37 @@ def test_dilation_equals_numpy(spark):
     assert all(w * w + dy * dy <= (10.5) ** 2 < (w + 1) ** 2 + dy * dy for dy, w in terrain.disk_half_widths(10))
 
 
+def test_hillshade_needs_neighbours(spark):
+    """x = 0 and x = 2 are no neighbours: without a cell between them both slopes are 0."""
+    dem = spark.createDataFrame([(0, 0, 0), (2, 0, 900), (0, 5, 0), (1, 5, 900)], "x long, y long, elevation long")
+    shade = {(r.x, r.y): r.shade for r in terrain.hillshade(dem).collect()}
+    assert shade[0, 0] == shade[2, 0] and shade[0, 5] != shade[0, 0]
+
+
+def test_tiles_keep_positions(spark):
+    px = spark.createDataFrame([(0, 0, 1.0), (3, 1, 2.0), (4, 5, 3.0)], "x long, y long, red double")
+    got = {(r.tile_y, r.tile_x): (r["values"], r.places) for r in terrain.tile_rows(px, ["red"], {"red": 0}, 4).collect()}
+    assert got == {(0, 0): ([1.0, 2.0], [0, 7]), (1, 1): ([3.0], [4])}
+
+
+def test_one_id_twice_in_a_batch_is_added_once(spark):
+    from eoframe.operators import documents
+    batch = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None)], "id long, doc string")
+    index = spark.createDataFrame([(2, "old")], "id long, doc string")
+    got = documents.upsert_outcomes(batch, index, valid=F.col("doc").isNotNull()).groupBy("id", "status").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, "added", 1), (1, "already", 1), (2, "already", 1), (3, "failed", 1)]
+
+
+def test_custom_fuse_nulls(spark):
+    rows = [(1, 1, 4), (1, 2, None), (1, 3, 2), (None, 1, 8), (None, 2, 16), (2, 1, None)]
+    df = spark.createDataFrame(rows, "k int, t int, v long")
+    got = timeseries.custom_fuse(df, ["k"], "v", ["t"], lambda a, b: a | b).collect()
+    assert sorted((str(r.k), r.v) for r in got) == [("1", 6), ("2", None), ("None", 24)]
+
+
 def test_hillshade_equals_numpy(spark):
-    dem = view(spark, SF_SMALL, "dem")
+    dem = spark.range(20 * 17).select((F.col("id") % 17).alias("x"), F.floor(F.col("id") / 17).alias("y"),
+                                      (F.col("id") * F.col("id") * 37 % 301).alias("elevation"))
     rows = dem.collect()
     H, W = max(r.y for r in rows) + 1, max(r.x for r in rows) + 1
     z = np.zeros((H, W))
