@@ -43,6 +43,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def compact(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
+    """A checkpointed df of narrow rows, read by as many tasks as its rows need: small
+    tables then cost few files in the shuffles that follow."""
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new place in the shared folder, and read from there."""
     path = os.path.join(scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import compact, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -17,9 +17,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     which halves the distance to the least vertex. Each round is cut by a checkpoint.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = materialise(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least"))
-                         .select("v", F.least("v", "least").alias("component")))
+    both = compact(materialise(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    labels = compact(materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least"))
+                                 .select("v", F.least("v", "least").alias("component"))))
     for _ in range(max_rounds):
         near = (both.join(labels.select(F.col("v").alias("b"), "component"), "b")
                 .groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near")))
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         new = materialise(step.join(jump, "to").select("v", F.least("to", "further").alias("component"),
                                                        (F.least("to", "further") != F.col("component")).alias("moved")))
         moved = new.where("moved").limit(1).count()
-        labels = new.select("v", "component")
+        labels = compact(new.select("v", "component"))
         if not moved:
             return labels
     raise RuntimeError("components did not settle")

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import (inside_windows, lower_ascii, materialise, mix, packed_texts, slices, split_words, table, text_bytes,
+from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_texts, slices, split_words, table, text_bytes,
                      two_columns, unpack, window_hashes, word_hashes)
 from .components import connected_components
 from .registry import register
@@ -424,17 +424,17 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     hash of the text, and `first` marks the row (and its equals) with the component's least
     (doc_id, row)."""
     docs = two_columns(docs, id_col, text_col)
-    nodes = materialise(_vertices(docs, t))
+    nodes = compact(materialise(_vertices(docs, t)))
     real = nodes.where("n_shingles > 0")
     vertices = real.groupBy("vertex").agg(
         F.min(F.struct("doc_id", "row")).alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_max"),
         F.min("check").alias("check"), F.max("check").alias("check_max"))
-    vertices = materialise(vertices)
+    vertices = compact(materialise(vertices))
     if vertices.where("n_shingles <> n_max or check <> check_max").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit signature")
-    members = materialise(_members(docs, t))
-    here = materialise(members.select("cell", "vertex")
-                       .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct())
+    members = compact(materialise(_members(docs, t)))
+    here = compact(materialise(members.select("cell", "vertex")
+                       .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct()))
     # The text that others are copies of shares the most cells: it is the best centre.
     shared = here.groupBy("vertex").agg(F.count("*").alias("cells"))
     ranked = here.join(shared, "vertex")
@@ -444,13 +444,13 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     # Texts and points of the vertices that any pair may need.
     wanted = vertices.join(shared, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
     texts = materialise(_texts(docs, wanted, t))
-    near = materialise(_within_bound(stars, texts, t).join(stars, ["a", "b"]))
+    near = compact(materialise(_within_bound(stars, texts, t).join(stars, ["a", "b"])))
     # One edge a member first: most others then lie inside a component.
     first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
-    linked = materialise(_verified(first, texts, t))
+    linked = compact(materialise(_verified(first, texts, t)))
     labels = connected_components(linked)
     rest = _across(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    linked = materialise(linked.unionAll(_verified(rest, texts, t)))
+    linked = compact(materialise(linked.unionAll(_verified(rest, texts, t))))
     labels = connected_components(linked)
     # Cells that still hold different components, besides their centre, which has met all;
     # of cells with the same vertices one is enough.
