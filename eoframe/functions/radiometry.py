@@ -12,6 +12,7 @@ KELVIN_TO_CELSIUS = -273.15
 SR_VALID_RANGE = (7273, 43636)
 ST_VALID_RANGE = (293, 61440)
 S2_REFLECTANCE_DIVISOR = 10000.0
+S2_UNSCALED_BANDS = ("scl", "qa", "mask", "water_vapour", "aerosol_optical_thickness")
 
 
 def _c(c) -> Column:
@@ -27,6 +28,12 @@ def to_reflectance(c) -> Column:
     return rescale(c, SR_GAIN, SR_OFFSET)
 
 
+def s2_reflectance(band: str) -> Column:
+    """a Sentinel-2 band scaled to 0-1; bands that hold no reflectance stay as they are."""
+    c = F.col(band)
+    return c if band in S2_UNSCALED_BANDS else c.cast("double") / F.lit(S2_REFLECTANCE_DIVISOR)
+
+
 def to_kelvin(c) -> Column:
     """surface-temperature DN -> Kelvin."""
     return rescale(c, ST_GAIN, ST_OFFSET)

@@ -27,7 +27,7 @@ SEARCH_BBOX = (-20.0, -40.0, 60.0, 40.0)
 SEARCH_DAYS = ("1996-01-01", "1998-12-31")
 
 
-@register("scene_search", operators=("S1", "U1", "P3", "P4", "P6", "P7", "P8", "X1"), oracle=oracle_with(f"""
+@register("scene_search", operators=("S1", "U1", "P3", "P4", "P6", "P7", "P8"), oracle=oracle_with(f"""
 SELECT id, product, {sql_iso_ts('t')} AS t, cloud_cover, region_code
 FROM scenes
 WHERE product IN ('ls89_c2l2_sp', 'ls7_c2l2_sp')
@@ -163,7 +163,7 @@ def index_by_spec(spark, sf):
     return out.withColumn("datetime", iso_ts("datetime"))
 
 
-@register("stac_assets", operators=("S3", "P9", "P8", "X6", "F16"), oracle=oracle_with("""
+@register("stac_assets", operators=("P9", "P8", "F16"), oracle=oracle_with("""
 SELECT a.scene_id, a.asset_key, a.url FROM assets a
 WHERE a.scene_id IN (SELECT item_id FROM stac_items WHERE collection = 'landsat-c2-l2'
         AND minx <= 90 AND maxx >= -90 AND miny <= 60 AND maxy >= -60

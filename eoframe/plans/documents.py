@@ -32,7 +32,7 @@ def _mtl_sql_cols() -> str:
     return ", ".join(cols)
 
 
-@register("mtl_extract", operators=("S7", "F22", "F18"), oracle=oracle_with(f"""
+@register("mtl_extract", operators=("F22", "F18"), oracle=oracle_with(f"""
 SELECT scene_id, folder, {_mtl_sql_cols()},
        (CASE WHEN {_tag('FILE_NAME_BAND_4')} LIKE '%\\_SR\\_B4.TIF' ESCAPE '\\' THEN 1 ELSE 0 END
         + CASE WHEN {_tag('FILE_NAME_BAND_3')} LIKE '%\\_SR\\_B3.TIF' ESCAPE '\\' THEN 1 ELSE 0 END
@@ -192,7 +192,7 @@ def _defs_sql():
     return f"SELECT * FROM (VALUES {rows}) AS v(name, pos, description)"
 
 
-@register("product_lookup", operators=("J13", "U2", "A24"), oracle=oracle_with("""
+@register("product_lookup", operators=("J13", "A24"), oracle=oracle_with("""
 SELECT r.name, d.description, CASE WHEN d.description IS NULL THEN 'no document named ' || r.name END AS error
 FROM (SELECT DISTINCT collection AS name FROM stac_items UNION SELECT DISTINCT product FROM scenes) r
 LEFT JOIN (SELECT name, arg_min(description, pos) AS description FROM defs GROUP BY name) d ON r.name = d.name""",
@@ -210,7 +210,7 @@ TEMPLATE = ("id: <id>  # dataset id\nproduct: <product>\ndatetime: <datetime>\n"
             "properties:\n  eo:cloud_cover: <cloud_cover>\n  odc:region_code: <region_code>\n  status: <status>\n")
 
 
-@register("fill_templates", operators=("F19", "U4", "P20"), oracle=oracle_with(f"""
+@register("fill_templates", operators=("F19", "U4"), oracle=oracle_with(f"""
 SELECT id,
   array_to_string(list_sort(list_filter(['cloud_cover', 'datetime', 'id', 'product', 'region_code', 'status'],
                                         lambda k: (k = 'status' AND geom IS NULL))), ',') AS missing,
@@ -231,7 +231,7 @@ def fill_templates(spark, sf):
                      fdocs.fill_template(tpl, vals).alias("filled"))
 
 
-@register("docs_roundtrip", operators=("K3", "S5", "S6", "S9", "X7", "F21", "F37"), oracle=oracle_with(f"""
+@register("docs_roundtrip", operators=("K3", "S5", "S6", "X7", "F21", "F37"), oracle=oracle_with(f"""
 SELECT id, product, {sql_iso_ts('t')} AS t, 1 AS n_sources FROM scenes""", "scenes"))
 def docs_roundtrip(spark, sf):
     import os

@@ -143,7 +143,7 @@ def _license_sql():
     return f"SELECT * FROM (VALUES {rows}) AS v(name, license)"
 
 
-@register("group_products", operators=("A17", "F30", "A24"), oracle=oracle_with("""
+@register("group_products", operators=("A17", "A24"), oracle=oracle_with("""
 SELECT COALESCE(license, '') AS license, string_agg(name, ',' ORDER BY name) AS items, COUNT(*) AS n
 FROM lic WHERE name IN (SELECT DISTINCT product FROM scenes) GROUP BY 1""", "scenes", lic=_license_sql()))
 def group_products(spark, sf):

@@ -71,7 +71,7 @@ def _human2_sql(c: str) -> str:
     return f"CASE {steps} ELSE printf('%.2f PB', {c} / {float(1024 ** 5)!r}) END"
 
 
-@register("folder_sizes", operators=("A20", "F14", "S10"), oracle=oracle_with(f"""
+@register("folder_sizes", operators=("A20", "F14"), oracle=oracle_with(f"""
 SELECT folder, size, n_files, {_human_sql('size')} AS human, {_human2_sql('size')} AS human2 FROM (
   SELECT folder, CAST(SUM(length) AS BIGINT) AS size, COUNT(*) AS n_files FROM anc GROUP BY folder) z""",
     "listing", anc=_ANC))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import qa
+from ..functions import qa, radiometry
 from ..functions.radiometry import (SR_GAIN, SR_OFFSET, ST_GAIN, ST_OFFSET, KELVIN_TO_CELSIUS, SR_VALID_RANGE,
                                     ST_VALID_RANGE, normalized_difference, to_celsius, to_reflectance)
 from ..operators import cube
@@ -188,6 +188,46 @@ def flag_mask(spark, sf):
               .withColumn("t", iso_day("t")))
 
 
+_FLAG_BANDS_SQL = "SELECT t, qa_pixel % 4096 AS qa_radsat, qa_pixel // 16 % 256 AS qa_aerosol, qa_pixel // 8 % 64 AS cloud_qa FROM pixels"
+
+
+@register("quality_flags", operators=("F4",), oracle=oracle_with("""
+SELECT CAST(t AS VARCHAR) AS t,
+  COUNT(*) FILTER (WHERE qa_radsat & 8 = 8 AND qa_radsat & 2048 = 0) AS n_red_saturated,
+  COUNT(*) FILTER (WHERE qa_radsat & 2048 = 2048 AND qa_radsat & 1 = 0) AS n_occluded,
+  COUNT(*) FILTER (WHERE qa_aerosol & 2 = 2 AND qa_aerosol & 1 = 0 AND qa_aerosol // 64 = 3) AS n_high_aerosol,
+  COUNT(*) FILTER (WHERE qa_aerosol // 64 = 0 AND qa_aerosol & 4 = 4 AND qa_aerosol & 32 = 0) AS n_water_climatology,
+  COUNT(*) FILTER (WHERE cloud_qa & 6 = 0 AND cloud_qa & 8 = 8) AS n_beside_cloud,
+  COUNT(*) FILTER (WHERE cloud_qa & 49 = 48) AS n_snow_water
+FROM q GROUP BY t""", "pixels", q=_FLAG_BANDS_SQL))
+def quality_flags(spark, sf):
+    q = F.coalesce(F.col("qa_pixel"), F.lit(0))
+    px = view(spark, sf, "pixels").where("qa_pixel is not null").select(
+        "t", (q % 4096).alias("qa_radsat"), (F.floor(q / 16) % 256).alias("qa_aerosol"), (F.floor(q / 8) % 64).alias("cloud_qa"))
+    ls89, ls7 = "ls89_c2l2_sp", "ls7_c2l2_sp"
+    masks = {
+        "n_red_saturated": qa.make_mask("qa_radsat", ls89, "qa_radsat", red_saturation=True, terrain_occlusion=False),
+        "n_occluded": qa.make_mask("qa_radsat", ls89, "qa_radsat", terrain_occlusion=True, band_1_saturation=False),
+        "n_high_aerosol": qa.make_mask("qa_aerosol", ls89, "qa_aerosol", valid_aerosol_retrieval=True, nodata=False,
+                                       aerosol_level="high"),
+        "n_water_climatology": qa.make_mask("qa_aerosol", ls89, "qa_aerosol", aerosol_level="climatology", water=True,
+                                            interpolated_aerosol=False),
+        "n_beside_cloud": qa.make_mask("cloud_qa", ls7, "cloud_qa", cloud=False, cloud_shadow=False, adjacent_to_cloud=True),
+        "n_snow_water": qa.make_mask("cloud_qa", ls7, "cloud_qa", snow=True, water=True, dark_dense_vegetation=False),
+    }
+    return px.groupBy("t").agg(*[F.count_if(m).alias(n) for n, m in masks.items()]).withColumn("t", iso_day("t"))
+
+
+@register("s2_reflectance", operators=("F5",), oracle=oracle_with("""
+SELECT CAST(t AS VARCHAR) AS t, y, x, CAST(red AS DOUBLE) / 10000 AS red, CAST(nir AS DOUBLE) / 10000 AS nir, scl,
+       lwir11 % 1000 AS aerosol_optical_thickness
+FROM pixels""", "pixels"))
+def s2_reflectance(spark, sf):
+    px = view(spark, sf, "pixels").withColumn("aerosol_optical_thickness", F.col("lwir11") % 1000)
+    bands = ["red", "nir", "scl", "aerosol_optical_thickness"]
+    return px.select(iso_day("t").alias("t"), "y", "x", *[radiometry.s2_reflectance(b).alias(b) for b in bands])
+
+
 @register("good_fraction", operators=("A1",), oracle=oracle_with(f"""
 SELECT CAST(t AS VARCHAR) AS t,
        ROUND(CAST(COUNT(*) FILTER (WHERE (COALESCE(qa_pixel, 0) & 31) = 0) AS DOUBLE) / (SELECT COUNT(*) FROM part), 9) AS good_frac

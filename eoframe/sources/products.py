@@ -189,7 +189,32 @@ PRODUCT_SCHEMA = T.StructType([
 ])
 
 
+# Bit layouts of the other Landsat Collection 2 quality bands. A flag named
+# here is one bit, false or true.
+QA_RADSAT_BITS = {
+    "band_1_saturation": 0, "band_2_saturation": 1, "band_3_saturation": 2, "band_4_saturation": 3,
+    "band_5_saturation": 4, "band_6_saturation": 5, "band_7_saturation": 6,
+    "blue_saturation": 1, "green_saturation": 2, "red_saturation": 3, "nir_saturation": 4,
+    "swir_1_saturation": 5, "swir_2_saturation": 6, "terrain_occlusion": 11,
+}
+QA_AEROSOL_BITS = {"nodata": 0, "valid_aerosol_retrieval": 1, "water": 2, "interpolated_aerosol": 5}
+QA_AEROSOL_LEVEL = ([6, 7], {0: "climatology", 1: "low", 2: "medium", 3: "high"})
+CLOUD_QA_BITS = {"dark_dense_vegetation": 0, "cloud": 1, "cloud_shadow": 2, "adjacent_to_cloud": 3, "snow": 4, "water": 5}
+BOOLEAN_VALUES = {0: "false", 1: "true"}
+
+
+def _bit_flags(bits: dict[str, int]) -> dict:
+    return {name: ([bit], BOOLEAN_VALUES) for name, bit in bits.items()}
+
+
 def _flags(product: str, band: str):
+    if product.startswith("ls"):
+        if band == "qa_radsat":
+            return _bit_flags(QA_RADSAT_BITS)
+        if band == "qa_aerosol":
+            return _bit_flags(QA_AEROSOL_BITS) | {"aerosol_level": QA_AEROSOL_LEVEL}
+        if band == "cloud_qa":
+            return _bit_flags(CLOUD_QA_BITS)
     if band == "qa_pixel" and product.startswith("ls"):
         out = {k: ([b], QA_PIXEL_SINGLE_VALUES[k]) for k, b in QA_PIXEL_BITS.items()}
         out.update({k: (list(b), QA_PIXEL_CONFIDENCE_VALUES[k]) for k, b in QA_PIXEL_CONFIDENCE_BITS.items()})
