@@ -14,6 +14,14 @@ from eoframe.llm import decontamination, embedding_dedup, jaccard_join, pii, sen
 from eoframe.llm.common import inside_windows, slices, split_words, text_bytes, window_hashes, word_hashes
 from eoframe.llm.components import connected_components
 
+@pytest.fixture
+def table_of(spark):
+    """DataFrame of (doc_id, text) with a clashing extra column."""
+    def make(rows, schema="doc_id long, text string"):
+        return spark.createDataFrame([(*r, "x") for r in rows], schema + ", row string")
+    return make
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from eoframe.llm import language_id, lm_scoring, sharding, toxicity
 
 
+@pytest.fixture
+def table_of(spark):
+    """DataFrame of (doc_id, text) with a clashing extra column."""
+    def make(rows, schema="doc_id long, text string"):
+        return spark.createDataFrame([(*r, "x") for r in rows], schema + ", row string")
+    return make
+
+
 def test_lookup_table_is_even_and_every_slot_claimed():
     owner = sharding.lookup_table([f"s{i}" for i in range(7)], 101)
     n = [owner.count(i) for i in range(7)]
