@@ -87,9 +87,14 @@ def extent(df: DataFrame, keys=(), x: str = "x", y: str = "y", cell: float | Non
     if cell is None:
         return df.groupBy(*keys).agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"),
                                      F.min(y).alias("ymin"), F.max(y).alias("ymax"))
+    return with_edges(extent(df, keys, x, y), cell)
+
+
+def with_edges(e: DataFrame, cell: float, prefix: str = "") -> DataFrame:
+    """An extent of cell centres moved out to (or, with a prefix, joined by) the edges."""
     h = cell / 2
-    return df.groupBy(*keys).agg((F.min(x) - h).alias("xmin"), (F.max(x) + h).alias("xmax"),
-                                 (F.min(y) - h).alias("ymin"), (F.max(y) + h).alias("ymax"))
+    return e.withColumns({f"{prefix}{c}": F.col(c) + (h if c.endswith("max") else -h)
+                          for c in ("xmin", "xmax", "ymin", "ymax")})
 
 
 def legend_table(spark: SparkSession, legend) -> DataFrame:
@@ -102,7 +107,7 @@ def legend_table(spark: SparkSession, legend) -> DataFrame:
 
 
 def apply_legend(df: DataFrame, value_col: str, legend: DataFrame) -> DataFrame:
-    """Left broadcast join on the class value; unmapped codes get null index/colour/label."""
+    """Left join on the class value; unmapped codes get null index/colour/label."""
     lg = legend.withColumnRenamed("value", "_lv")
     return df.join(lg, df[value_col] == lg["_lv"], "left").drop("_lv")
 

@@ -131,6 +131,13 @@ def _time_scalars(df: DataFrame, time_col: str):
     return s["lo"], s["hi"], s["n"]
 
 
+def _with_rank(reduced: DataFrame, df: DataFrame, time_col: str) -> DataFrame:
+    """The time index of each reduced row's ``_f.t``: the cube is reduced first, so only one
+    row a cell meets the table of time steps."""
+    ranks = time_index(df.select(time_col).distinct(), time_col, "_idx").withColumnRenamed(time_col, "_t")
+    return reduced.join(ranks, F.col("_f.t") == F.col("_t"), "left")
+
+
 def first_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
                 index_name: str | None = "idx") -> DataFrame:
     """First non-null value along time per cell, its time and 0-based index.
@@ -138,14 +145,12 @@ def first_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
     An all-null cell yields a null value with the first time of the cube and
     index 0 (the position an all-false argmax gives).
     """
-    ranked = time_index(df, time_col, "_idx")
     key = _valid_key(F.col(value), [time_col])
-    g = ranked.groupBy(*cell).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t"),
-                                                    F.col("_idx").alias("i")), key).alias("_f"))
+    g = df.groupBy(*cell).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t")), key).alias("_f"))
     tmin, _, _ = _time_scalars(df, time_col)
-    out = g.withColumn("_tmin", tmin).select(*cell, F.col("_f.v").alias(value),
+    out = _with_rank(g, df, time_col).withColumn("_tmin", tmin).select(*cell, F.col("_f.v").alias(value),
                    F.coalesce(F.col("_f.t"), F.col("_tmin")).alias(time_col),
-                   F.coalesce(F.col("_f.i"), F.lit(0)).cast("long").alias("_i"))
+                   F.coalesce(F.col("_idx"), F.lit(0)).cast("long").alias("_i"))
     return out.withColumnRenamed("_i", index_name) if index_name else out.drop("_i")
 
 
@@ -155,14 +160,12 @@ def last_valid(df: DataFrame, value: str, cell=("y", "x"), time_col: str = "t",
 
     An all-null cell yields a null value with the last time and index -1.
     """
-    ranked = time_index(df, time_col, "_idx")
     key = _valid_key(F.col(value), [time_col])
-    g = ranked.groupBy(*cell).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t"),
-                                                    F.col("_idx").alias("i")), key).alias("_f"))
+    g = df.groupBy(*cell).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(time_col).alias("t")), key).alias("_f"))
     s = df.agg(F.struct(F.max(time_col).alias("hi"), F.count_distinct(time_col).alias("n"))).scalar()
-    out = g.withColumn("_ts", s).select(*cell, F.col("_f.v").alias(value),
+    out = _with_rank(g, df, time_col).withColumn("_ts", s).select(*cell, F.col("_f.v").alias(value),
                    F.coalesce(F.col("_f.t"), F.col("_ts.hi")).alias(time_col),
-                   F.coalesce(F.col("_f.i") - F.col("_ts.n"), F.lit(-1)).cast("long").alias("_i"))
+                   F.coalesce(F.col("_idx") - F.col("_ts.n"), F.lit(-1)).cast("long").alias("_i"))
     return out.withColumnRenamed("_i", index_name) if index_name else out.drop("_i")
 
 

@@ -91,10 +91,8 @@ SELECT CAST(t AS VARCHAR) AS t, MIN(x) AS xmin, MAX(x) AS xmax, MIN(y) AS ymin,
 FROM pixels GROUP BY t""", "pixels"))
 def cube_extent(spark, sf):
     px = view(spark, sf, "pixels")
-    centres = stats.extent(px, ["t"])
-    edges = stats.extent(px, ["t"], cell=1.0).select(
-        "t", *[F.col(c).alias("edge_" + c) for c in ("xmin", "xmax", "ymin", "ymax")])
-    return centres.join(edges, "t").withColumn("t", iso_day("t"))
+    e = stats.extent(px, ["t"])
+    return stats.with_edges(e, 1.0, "edge_").withColumn("t", iso_day("t"))
 
 
 def _legend_sql():
