@@ -50,7 +50,8 @@ def compact(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to a new place in the shared folder, and read from there."""
+    """df written as Parquet to a new place in the shared folder, and read from there:
+    like a checkpoint, but compressed. Whoever owns the shared folder clears it."""
     path = os.path.join(scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

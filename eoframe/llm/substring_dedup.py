@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (inside_windows, materialise, mix, packed_texts, slices, split_words, table, text_bytes, two_columns,
+from .common import (inside_windows, materialise, mix, packed_texts, scratch_table, slices, split_words, table, text_bytes, two_columns,
                      unpack, window_hashes, word_hashes)
 from .registry import register
 
@@ -176,16 +176,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     # Copies that their batch has settled need no partner: they are spread, not sent to
     # their anchor's task.
     key = F.when(F.col("later"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
-    kept = _occurrences(docs, window).withColumn("key", key).join(repeated, "key", "left").where("later or repeated")
-    kept = materialise(kept.drop("key", "repeated"))
+    found = _occurrences(docs, window).withColumns({"key": key, "piece": F.when(~F.col("later"), F.col("piece"))}).drop("anchor")
+    kept = scratch_table(found.join(repeated, "key", "left").where("later or repeated")
+                         .select(F.col("key").alias("anchor"), "piece", "doc_id", "at", "edges", "later"), "paths")
     open_ = kept.where(~F.col("later"))
-    paths = materialise(open_.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "at")).alias("first"),
-                                                             F.max("edges").alias("edges")))
+    paths = scratch_table(open_.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "at")).alias("first"),
+                                                               F.max("edges").alias("edges")), "first-paths")
     branching = paths.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     branching = materialise(branching)
     row = F.shiftright("at", _ROW).alias("row")
     sources = paths.join(branching, "anchor").select("first.doc_id", "first.at", "edges").select("doc_id", row, "at", "edges")
-    edges = materialise(_edges_of(sources, docs, window))
+    edges = scratch_table(_edges_of(sources, docs, window), "edges")
     least = materialise(edges.groupBy("edge").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
                         .where("n > 1").drop("n"))
     single = (edges.join(least, "edge").where(F.struct("doc_id", "at") > F.col("first"))
