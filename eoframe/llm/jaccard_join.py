@@ -490,12 +490,17 @@ def keep_one(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id"
     """docs, all columns, without near copies: of each component the row with the least id
     (of rows with one id, that with the least hash of its text; of equal rows one). Rows
     without words all stay, but equal rows of one id once."""
-    kept = jaccard_components(docs, t, id_col, text_col).where("first").select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")))
-    one = Window.partitionBy("_id", "_row").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
+    def known(ident, row):
+        """Columns without nulls that tell rows apart: the join and the window share them."""
+        return {"_id": F.coalesce(ident.cast("string"), F.lit("")), "_none": ident.isNull(), "_row": row}
+
+    key = ["_id", "_none", "_row"]
+    kept = (jaccard_components(docs, t, id_col, text_col).where("first")
+            .withColumns(known(F.col("doc_id"), F.col("row"))).select(*key).distinct())
+    rows = docs.withColumns(known(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))))
+    one = Window.partitionBy(*key).orderBy(F.lit(1))
+    return (rows.join(kept, key).withColumn("_n", F.row_number().over(one)).where("_n = 1")
+            .select(*[f"`{c}`" for c in docs.columns]))
 
 
 @register("op5_jaccard_join")
