@@ -27,6 +27,9 @@ any length are encoded whole.
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +81,7 @@ class Model:
     model_type: int = _UNIGRAM
     dummy_prefix: bool = True
     squeeze: bool = True
+    digest: str = ""        # of the file
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -85,7 +89,7 @@ class Model:
 
         with open(path, "rb") as f:
             data = f.read()
-        m = cls([], [], [])
+        m = cls([], [], [], digest=hashlib.sha256(data).hexdigest())
         for number, value in _fields(data):
             if number == 1:
                 piece = dict(_fields(value))
@@ -329,6 +333,15 @@ class Encoder:
         return data, ends
 
 
+def kept_encoder(model: Model) -> Encoder:
+    """This worker process's encoder of the model: tasks that follow each other in one
+    process share the merges and the parts seen so far (at most KEPT_PARTS)."""
+    held = sys.modules.setdefault("_kept_sentencepiece", types.ModuleType("_kept_sentencepiece")).__dict__
+    if held.get("digest") != model.digest:
+        held.update(digest=model.digest, encoder=Encoder(model))
+    return held["encoder"]
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) per row; round_trip: decoding gives the text."""
     model = Model.load(model_path)  # some hundred kB, whatever the data
@@ -338,7 +351,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
     def run(batches):
         import pyarrow as pa
 
-        enc = Encoder(model)
+        enc = kept_encoder(model)
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             for lo, hi in slices(offsets):
@@ -368,7 +381,7 @@ def decode(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", i
     def run(batches):
         import pyarrow as pa
 
-        enc = Encoder(model)
+        enc = kept_encoder(model)
         for b in batches:
             lists = b.column(1)
             sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
