@@ -8,6 +8,7 @@ character words are the same.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from dataclasses import dataclass
@@ -39,8 +40,20 @@ def held_out(id_col: str = "doc_id"):
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; later steps read it, not the lineage."""
-    return cut_lineage(df)
+    """Reliable checkpoint in the shared folder; later steps read it, not the lineage. The
+    shuffles that it replaces are let go."""
+    out = cut_lineage(df)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle and checkpoint files once the driver's garbage collection
+    finds that nothing refers to them any more; on a quiet driver that can take half an
+    hour (spark.cleaner.periodicGC.interval). Asking for it after a large step keeps the
+    disk use of a long query near that of its largest step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def compact(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
@@ -54,6 +67,7 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     like a checkpoint, but compressed. Whoever owns the shared folder clears it."""
     path = os.path.join(scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"))
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.parquet(path)
 
 

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_texts, slices, split_words, table, text_bytes,
+from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_texts, scratch_table, slices, split_words, table, text_bytes,
                      two_columns, unpack, window_hashes, word_hashes)
 from .components import connected_components
 from .registry import register
@@ -432,9 +432,9 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     vertices = compact(materialise(vertices))
     if vertices.where("n_shingles <> n_max or check <> check_max").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit signature")
-    members = compact(materialise(_members(docs, t)))
-    here = compact(materialise(members.select("cell", "vertex")
-                       .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct()))
+    members = scratch_table(_members(docs, t), "members")
+    here = scratch_table(members.select("cell", "vertex")
+                       .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct(), "cells")
     # The text that others are copies of shares the most cells: it is the best centre.
     shared = here.groupBy("vertex").agg(F.count("*").alias("cells"))
     ranked = here.join(shared, "vertex")
@@ -443,7 +443,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
              .groupBy(F.col("centre.vertex").alias("a"), F.col("vertex").alias("b")).agg(F.max("centre.cells").alias("cells")))
     # Texts and points of the vertices that any pair may need.
     wanted = vertices.join(shared, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
-    texts = materialise(_texts(docs, wanted, t))
+    texts = scratch_table(_texts(docs, wanted, t), "texts")
     near = compact(materialise(_within_bound(stars, texts, t).join(stars, ["a", "b"])))
     # One edge a member first: most others then lie inside a component.
     first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
