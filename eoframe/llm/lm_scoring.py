@@ -4,18 +4,24 @@ Every token is predicted from the tokens on both sides of it (never from itself)
 small window network, and a document's score is the sum of these conditional log
 probabilities.
 
-Tokens are words, A-Z lower-cased. The KEPT most frequent words of the whole corpus have
-ids of their own, the others share hashed ones; beyond a document's ends stands a
-padding token. The network adds one embedding per neighbour, applies a rectifier, and
-predicts the token in two steps, its class and then its place in the class, so a
-prediction costs two small softmaxes instead of one over all ids.
+Tokens are words, A-Z lower-cased. The most frequent words of the whole corpus have ids
+of their own, the others share hashed ones; beyond a document's ends stands a padding
+token. The number of ids grows with the square root of the corpus's tokens. The network
+adds one embedding per neighbour, applies a rectifier, and predicts the token in two
+steps, its class and then its place in the class, so a prediction costs two small
+softmaxes instead of one over all ids. Where words share an id, a third factor is the
+word's part of all tokens of that id, from counts of the whole corpus: the probabilities
+of all words of the corpus add up to 1, whatever the context. The counts of the KNOWN
+most frequent words travel to the tasks, the others are joined by the word's hash. A
+word that the corpus lacks counts as seen once.
 
 Training is data-parallel: word counts over all documents start the output biases;
 then, in each round, every task trains the same starting weights on its own documents
-(one in EVERY positions of every document, another one each round) and the weights are
-averaged, block by block, in proportion to the positions seen. What is gathered is one
-set of weights a task and the corpus's word counts, so it grows with the input; what
-reaches the driver is one set of weights.
+and the weights are averaged, block by block, in proportion to the positions seen. A round
+trains on one in EVERY positions of every document, another one each round. What
+is gathered is one set of weights a task and the corpus's word counts, so it grows with
+the input (a task has PER_ID tokens an id, so the weights do not outgrow it); what
+reaches the driver is one set of weights and KNOWN counts.
 
 Null and empty texts have no tokens, log_prob 0 and a null mean. Repeated rows are each
 scored; an empty table trains nothing and gives an empty result; other columns are
@@ -24,7 +30,8 @@ ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +40,13 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, materialise, mix, slices, split_words, table, text_bytes, two_columns, word_hashes
 from .registry import register
 
-CLASSES, SIZE = 32, 32        # ids are CLASSES * SIZE
-KEPT = 768
+CLASSES, SIZE = 32, 32        # ids are CLASSES * SIZE; both double as the corpus grows
+KNOWN = 1 << 20               # words whose counts travel to the tasks
 WIDTH = 16                    # of the hidden layer
 OFFSETS = (-2, -1, 1, 2)
 EVERY = 8
 ROUNDS = 2
+PER_ID = 256                  # tokens of a training task, for each id
 BATCH = 1024
 BLOCK = 2048                  # weights in a row that travels
 
@@ -46,14 +54,26 @@ IDS = CLASSES * SIZE
 _U = np.uint64
 
 
-def shapes() -> dict[str, tuple[int, ...]]:
-    return {"near": (len(OFFSETS), IDS + 1, WIDTH), "hidden": (WIDTH,), "class": (WIDTH, CLASSES), "class_bias": (CLASSES,),
-            "place": (CLASSES, WIDTH, SIZE), "place_bias": (CLASSES, SIZE)}
+def shapes(times: int = 1) -> dict[str, tuple[int, ...]]:
+    """times: how often CLASSES and SIZE are taken."""
+    classes, size = times * CLASSES, times * SIZE
+    return {"near": (len(OFFSETS), classes * size + 1, WIDTH), "hidden": (WIDTH,), "class": (WIDTH, classes),
+            "class_bias": (classes,), "place": (classes, WIDTH, size), "place_bias": (classes, size)}
+
+
+def grown(tokens: int) -> int:
+    """How often CLASSES and SIZE are taken: at most sqrt(tokens) ids, and IDS at least."""
+    times = 1
+    while (2 * times) ** 4 * IDS ** 2 <= tokens:
+        times *= 2
+    return times
 
 
 def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in shapes().items():
+    out, at, times = {}, 0, 1
+    while sum(int(np.prod(shape)) for shape in shapes(times).values()) < len(flat):
+        times *= 2
+    for name, shape in shapes(times).items():
         n = int(np.prod(shape))
         out[name] = flat[at:at + n].reshape(shape)
         at += n
@@ -62,107 +82,192 @@ def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """Hashes of the kept words, sorted, with their ids."""
+    """Hashes of the words with ids of their own, sorted, with their ids; of the others,
+    the tokens of each shared id, and the known words' hashes, sorted, with their counts.
+    ``rest`` has (word, n) of all further words; it stays on the driver."""
 
     hashes: np.ndarray
     ids: np.ndarray
+    times: int = 1
+    shared: np.ndarray | None = None
+    known: np.ndarray | None = None
+    counts: np.ndarray | None = None
+    rest: DataFrame | None = None
+
+    @property
+    def size(self) -> int:
+        return self.times ** 2 * IDS
+
+    @property
+    def kept(self) -> int:
+        return self.size * 3 // 4
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        other = KEPT + (h % _U(IDS - KEPT)).astype(np.int64)
+        other = self.kept + (h % _U(self.size - self.kept)).astype(np.int64)
         if not len(self.hashes):
             return other
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.ids[at], other)
 
+    def parts(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log part of each token in its id's tokens, the tokens that are not known and
+        whose count is taken as 1)."""
+        out, at = np.zeros(len(h)), np.flatnonzero(ids >= self.kept)
+        if not len(at):
+            return out, at
+        word, back = np.unique(h[at], return_inverse=True)
+        n, found = np.ones(len(word)), np.zeros(len(word), bool)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, word), len(self.known) - 1)
+            found = self.known[place] == word
+            n = np.where(found, self.counts[place], 1)
+        out[at] = np.log(n)[back] - np.log(np.maximum(self.shared, 1))[ids[at] - self.kept]
+        return out, at[~found[back]]
+
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray):
     w = split_words(lower_ascii(data), offsets)
     return word_hashes(w), w.first
 
 
-def neighbours(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def neighbours(ids: np.ndarray, first: np.ndarray, outside: int = IDS) -> np.ndarray:
     """len(ids) x len(OFFSETS): the ids around each token, the padding id outside."""
-    out = np.full((len(ids), len(OFFSETS)), IDS, np.int64)
+    out = np.full((len(ids), len(OFFSETS)), outside, np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for c, o in enumerate(OFFSETS):
         a, b = max(0, -o), len(ids) - max(0, o)
         if a < b:
             same = doc[a:b] == doc[a + o:b + o]
-            out[a:b, c] = np.where(same, ids[a + o:b + o], IDS)
+            out[a:b, c] = np.where(same, ids[a + o:b + o], outside)
     return out
 
 
 def _hidden(w, near):
     h = w["near"][0][near[:, 0]]
     for c in range(1, len(OFFSETS)):
-        h = h + w["near"][c][near[:, c]]
-    return np.maximum(h + w["hidden"], 0)
+        h += w["near"][c][near[:, c]]
+    h += w["hidden"]
+    return np.maximum(h, 0, out=h)
 
 
-def _log_softmax(z):
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _exp(z):
+    """exp(z), each row divided by its largest, in place; and the rows' sums."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z.sum(1)
+
+
+def _by_class(w, ids, near):
+    """Positions in the order of their classes: (order, hidden layer, classes, places,
+    ranges of the classes that occur, place scores)."""
+    classes, size = w["place_bias"].shape
+    group = ids // size
+    order = np.argsort(group.astype(np.uint16) if classes < 1 << 16 else group, kind="stable")
+    h, group, place = _hidden(w, near[order]), group[order], ids[order] % size
+    cuts = np.searchsorted(group, np.arange(classes + 1))
+    ranges = [(k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts))]
+    z = w["place_bias"][group]
+    for k, a, b in ranges:
+        z[a:b] += h[a:b].dot(w["place"][k])
+    return order, h, group, place, ranges, z
 
 
 def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Log probability of each token given its neighbours."""
+    """Log probability of each id given its neighbours."""
     out = np.empty(len(ids))
-    for s in range(0, len(ids), 1 << 15):
-        i, h = ids[s:s + (1 << 15)], _hidden(w, near[s:s + (1 << 15)])
-        group, place = i // SIZE, i % SIZE
-        got = _log_softmax(h @ w["class"] + w["class_bias"])[np.arange(len(i)), group]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[g]:cuts[g + 1]]
-            z = _log_softmax(h[at] @ w["place"][g] + w["place_bias"][g])
-            got[at] += z[np.arange(len(at)), place[at]]
-        out[s:s + (1 << 15)] = got
+    for s in range(0, len(ids), 1 << 13):
+        order, h, group, place, _, z = _by_class(w, ids[s:s + (1 << 13)], near[s:s + (1 << 13)])
+        row, got = np.arange(len(h)), np.zeros(len(h))
+        for at, y in ((group, h @ w["class"] + w["class_bias"]), (place, z)):
+            y -= y.max(1, keepdims=True)
+            got += y[row, at]
+            got -= np.log(np.exp(y, out=y).sum(1))
+        out[s + order] = got
     return out
 
 
 def _gradient(w, ids, near):
-    n = len(ids)
-    h = _hidden(w, near)
-    group, place = ids // SIZE, ids % SIZE
-    g = {name: np.zeros(shape, np.float32) for name, shape in shapes().items()}
-    p = np.exp(_log_softmax(h @ w["class"] + w["class_bias"]))
-    p[np.arange(n), group] -= 1
-    g["class"], g["class_bias"] = h.T @ p / n, p.sum(0) / n
+    g, rows, values = _gradients(w, ids, near)
+    g["near"] = np.zeros_like(w["near"])
+    g["near"].reshape(-1, values.shape[1])[rows] = values
+    return {name: g[name] for name in w}
+
+
+def _gradients(w, ids, near):
+    """(gradients of all weights but the embeddings, rows of the embeddings that occur,
+    their gradients)."""
+    n, row = len(ids), np.arange(len(ids))
+    order, h, group, place, ranges, z = _by_class(w, ids, near)
+    g = {"place": np.zeros_like(w["place"]), "place_bias": np.zeros_like(w["place_bias"])}
+    p, total = _exp(h @ w["class"] + w["class_bias"])
+    p /= total[:, None] * n
+    p[row, group] -= 1 / n
+    g["class"], g["class_bias"] = h.T @ p, p.sum(0)
     dh = p @ w["class"].T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k]:cuts[k + 1]]
-        q = np.exp(_log_softmax(h[at] @ w["place"][k] + w["place_bias"][k]))
-        q[np.arange(len(at)), place[at]] -= 1
-        g["place"][k], g["place_bias"][k] = h[at].T @ q / n, q.sum(0) / n
-        dh[at] += q @ w["place"][k].T
-    dh = np.where(h > 0, dh, 0) / n
+    z, total = _exp(z)
+    z /= total[:, None] * n
+    z[row, place] -= 1 / n
+    for k, a, b in ranges:
+        part = z[a:b]
+        np.dot(h[a:b].T, part, out=g["place"][k])
+        dh[a:b] += part.dot(w["place"][k].T)
+    g["place_bias"][[k for k, _, _ in ranges]] = np.add.reduceat(z, [a for _, a, _ in ranges], axis=0)
+    dh *= h > 0
     g["hidden"] = dh.sum(0)
-    for c in range(len(OFFSETS)):
-        order = np.argsort(near[:, c], kind="stable")
-        which, start = np.unique(near[order, c], return_index=True)
-        g["near"][c][which] = np.add.reduceat(dh[order], start, axis=0)
-    return g
+    # One row of the embeddings for each offset and id around.
+    key = (near[order] + np.arange(len(OFFSETS)) * w["near"].shape[1]).T.ravel()
+    by = np.argsort(key.astype(np.uint16) if w["near"][..., 0].size <= 1 << 16 else key, kind="stable")
+    key = key[by]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    values, length = dh[by[start] % n], np.diff(np.append(start, len(by)))
+    for k, a in ((k, start[k]) for k in np.flatnonzero(length > 32)):
+        values[k] = dh[by[a:a + length[k]] % n].sum(0)
+    few = np.flatnonzero((length > 1) & (length <= 32))
+    more = 1
+    while len(few):  # the second of each row, the third and so on
+        values[few] += dh[by[start[few] + more] % n]
+        more += 1
+        few = few[length[few] > more]
+    return g, key[start], values
 
 
 def train(flat: np.ndarray, batches, rate: float) -> tuple[np.ndarray, int]:
-    """Adam from the given weights over (ids, near) batches: (weights, positions)."""
+    """Adam from the given weights over (ids, near) batches: (weights, positions). Rows of
+    the embeddings move, and their moments fade, in the batches where they occur."""
     flat = flat.astype(np.float32).copy()
     w = unflatten(flat)
+    cut = w["near"].size  # the embeddings come first
+    table = w["near"].reshape(-1, WIDTH)
     m, v, seen = np.zeros_like(flat), np.zeros_like(flat), 0
+    m_table, v_table = m[:cut].reshape(-1, WIDTH), v[:cut].reshape(-1, WIDTH)
+
+    def move(x, m, v, g, step):
+        m *= 0.9
+        m += np.float32(0.1) * g
+        v *= 0.99
+        g *= g
+        g *= 0.01
+        v += g
+        np.sqrt(v, out=g)
+        g *= 1 / math.sqrt(1 - 0.99 ** step)
+        g += 1e-7
+        np.divide(m, g, out=g)
+        g *= rate / (1 - 0.9 ** step)
+        x -= g
+
     for step, (ids, near) in enumerate(batches, 1):
-        g = np.concatenate([x.ravel() for x in _gradient(w, ids, near).values()])
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        flat -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-7)
+        g, rows, values = _gradients(w, ids, near)
+        move(flat[cut:], m[cut:], v[cut:], np.concatenate([g[name].ravel() for name in w if name != "near"]), step)
+        x, mx, vx = table[rows], m_table[rows], v_table[rows]
+        move(x, mx, vx, values, step)
+        table[rows], m_table[rows], v_table[rows] = x, mx, vx
         seen += len(ids)
     return flat, seen
 
 
-def _positions(batches, vocabulary: Vocabulary, phase: int):
-    """Training batches: one in EVERY positions of every document."""
+def _positions(batches, vocabulary: Vocabulary, phase: int, rounds: int):
+    """Training batches: one in ``rounds`` positions of every document. Each position has
+    its turn in one phase below ``rounds``."""
     held_ids, held_near, held = [], [], 0
     for b in batches:
         data, offsets = text_bytes(b.column(0))
@@ -172,9 +277,9 @@ def _positions(batches, vocabulary: Vocabulary, phase: int):
                 continue
             ids = vocabulary.of(h)
             start = np.repeat(first[:-1], np.diff(first))
-            pick = np.flatnonzero((np.arange(len(ids)) - start + (mix(h[start]) % _U(EVERY)).astype(np.int64)) % EVERY == phase)
+            pick = np.flatnonzero((np.arange(len(ids)) - start + (mix(h[start]) % _U(rounds)).astype(np.int64)) % rounds == phase)
             held_ids.append(ids[pick])
-            held_near.append(neighbours(ids, first)[pick])
+            held_near.append(neighbours(ids, first, vocabulary.size)[pick])
             held += len(pick)
             if held >= 64 * BATCH:
                 yield from _shuffled(held_ids, held_near)
@@ -208,42 +313,56 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
     """(vocabulary, weights) of all documents (doc_id, text)."""
     counts = materialise(word_counts(docs))
-    # KEPT rows, and one row a hashed id: bounded by the model, not the corpus.
-    shared = F.lit(KEPT) + F.pmod(F.pmod("word", F.lit(IDS - KEPT)) + F.when(F.col("word") < 0, (1 << 64) % (IDS - KEPT))
-                                  .otherwise(0), F.lit(IDS - KEPT))
-    top = counts.orderBy(F.desc("n"), "word").limit(KEPT).collect()
+    # A row for each count that occurs: with n tokens fewer than sqrt(2 n).
+    often = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    tokens, words, cut = sum(n * k for n, k in often), 0, math.inf
+    for n, k in often:
+        if words + k > KNOWN:
+            break
+        words, cut = words + k, n
+    vocabulary = Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), grown(tokens))
+    size, kept, times = vocabulary.size, vocabulary.kept, vocabulary.times
+    # Bounded by the model: the ids' words, a row a shared id, KNOWN words.
+    shared = F.lit(kept) + F.pmod(F.pmod("word", F.lit(size - kept)) + F.when(F.col("word") < 0, (1 << 64) % (size - kept))
+                                  .otherwise(0), F.lit(size - kept))
+    top = counts.orderBy(F.desc("n"), "word").limit(kept).collect()
     slots = counts.groupBy(shared.alias("id")).agg(F.sum("n").alias("n")).collect()
     h = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     ids = np.arange(len(h))
     order = np.argsort(h)
-    vocabulary = Vocabulary(h[order], ids[order])
-    n = np.full(IDS, 0.5)
+    n = np.full(size, 0.5)
     for r in slots:
         n[r["id"]] += r["n"]
     for k, r in enumerate(top):
         n[k] += r["n"]
-        n[KEPT + int(np.uint64(h[k]) % _U(IDS - KEPT))] -= r["n"]
-    n = np.maximum(n, 0.5).reshape(CLASSES, SIZE)
+        n[kept + int(np.uint64(h[k]) % _U(size - kept))] -= r["n"]
+    known = (counts.where(F.col("n") >= cut) if words else counts.limit(0)).select("word", "n").toArrow()
+    word, seen = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy().astype(float)
+    by = np.argsort(word)
+    vocabulary = Vocabulary(h[order], ids[order], times, n[kept:] - 0.5, word[by], seen[by],
+                            counts.where(F.col("n") < cut) if words < sum(k for _, k in often) else None)
+    n = np.maximum(n, 0.5).reshape(times * CLASSES, times * SIZE)
     rng = np.random.default_rng(1)
-    start = {name: rng.normal(0, 0.1, shape) for name, shape in shapes().items()}
+    start = {name: rng.normal(0, 0.1, shape) for name, shape in shapes(times).items()}
     start["hidden"] = np.full(WIDTH, 0.1)
     start["class_bias"] = np.log(n.sum(1) / n.sum())
     start["place_bias"] = np.log(n / n.sum(1, keepdims=True))
-    flat = np.concatenate([start[k].ravel() for k in shapes()]).astype(np.float32)
-    texts = docs.where("text is not null").select("text")
+    flat = np.concatenate([start[k].ravel() for k in shapes(times)]).astype(np.float32)
+    texts = docs.where("text is not null").select("text").coalesce(max(1, tokens // (PER_ID * size)))
+    small = Vocabulary(vocabulary.hashes, vocabulary.ids, times)
     for k in range(rounds if len(top) else 0):
-        flat = _round(texts, vocabulary, flat, k % EVERY, 0.01 / (1 + k))
+        flat = _round(texts, small, flat, k % EVERY, EVERY, 0.01 / (1 + k))
     return vocabulary, flat
 
 
-def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, phase: int, rate: float) -> np.ndarray:
+def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, phase: int, rounds: int, rate: float) -> np.ndarray:
     """One pass: every task trains from ``flat``; the mean of what they end with."""
     blocks = -(-len(flat) // BLOCK)
 
     def work(batches):
         import pyarrow as pa
 
-        got, seen = train(flat, _positions(batches, vocabulary, phase), rate)
+        got, seen = train(flat, _positions(batches, vocabulary, phase, rounds), rate)
         if seen:
             got = np.append(got, np.zeros(blocks * BLOCK - len(got), np.float32)).reshape(blocks, BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, float(seen))),
@@ -279,6 +398,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, id_col: str
     docs = two_columns(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    local = replace(vocabulary, rest=None)
+
     def run(batches):
         import pyarrow as pa
 
@@ -287,14 +408,31 @@ def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, id_col: str
             data, offsets = text_bytes(b.column(1))
             for lo, hi in slices(offsets):
                 h, first = token_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                ids = vocabulary.of(h)
-                total = np.concatenate([[0.0], np.cumsum(log_probs(w, ids, neighbours(ids, first)))])
-                n = np.diff(first)
+                ids = local.of(h)
+                part, other = local.parts(h, ids)
+                total = np.concatenate([[0.0], np.cumsum(log_probs(w, ids, neighbours(ids, first, local.size)) + part)])
                 sums = total[first[1:]] - total[first[:-1]]
+                # The words whose counts are still to come, once a document.
+                doc = np.searchsorted(first, other, side="right") - 1
+                other = other[order := np.lexsort((h[other], doc))]
+                doc, word = doc[order], h[other]
+                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]))[:len(doc)])
+                ends = pa.array(np.searchsorted(doc[new], np.arange(hi - lo + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums),
-                    pa.array(sums / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
+                    b.column(2).slice(lo, hi - lo), b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(sums),
+                    pa.ListArray.from_arrays(ends, pa.array(word[new].view(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(new, len(doc))), pa.int64()))],
+                    ["row", "doc_id", "n_tokens", "log_prob", "words", "times"])
+    got = (docs.withColumn("row", F.monotonically_increasing_id())
+           .mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, log_prob double, words array<bigint>, times array<bigint>"))
+    if vocabulary.rest is not None:
+        got = materialise(got)
+        pairs = got.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", "p.words", "p.times")
+        more = (pairs.join(vocabulary.rest, F.col("words") == F.col("word"))
+                .groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more")))
+        got = got.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return got.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+                      .alias("mean_log_prob"))
 
 
 @register("op4_lm_scoring")

@@ -198,6 +198,38 @@ def test_scores_of_an_empty_table(spark):
     assert lm_scoring.score(docs, *lm_scoring.learn(docs)).count() == 0
 
 
+@pytest.mark.parametrize("known", [1 << 20, 3000, 0])
+def test_every_word_has_its_own_probability(spark, monkeypatch, known):
+    # Documents of one word have the same neighbours: their probabilities add up to 1.
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    n = {f"w{i}": 1 + 9000 // (i + 1) for i in range(6000)}
+    words = [w for w, k in n.items() for _ in range(k)]
+    random.Random(6).shuffle(words)
+    docs = spark.createDataFrame([(i, " ".join(words[i::200])) for i in range(200)], "doc_id long, text string")
+    voc, flat = lm_scoring.learn(docs)
+    assert (voc.rest is None) == (known >= 6000)
+    got = lm_scoring.score(spark.createDataFrame([(w, w) for w in n] + [("two", "w5990 w5991 w5990")], "doc_id string, text string"),
+                           voc, flat).collect()
+    p = {r.doc_id: r.log_prob for r in got}
+    assert len(got) == 6001 and abs(sum(math.exp(x) for w, x in p.items() if w != "two") - 1) < 1e-3
+    h = {w: lm_scoring.token_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0] for w in n}
+    alike = {}
+    for w in n:
+        alike.setdefault(int(voc.of(h[w])[0]), []).append(w)
+    for same in alike.values():
+        for w in same[1:]:
+            assert abs(p[w] - p[same[0]] - math.log(n[w] / n[same[0]])) < 1e-6
+    assert p["two"] < 2 * p["w5990"] / 3
+
+
+def test_ids_grow_with_the_corpus():
+    assert [lm_scoring.grown(n) for n in (0, 10 ** 6, 1 << 24, 10 ** 8, 10 ** 10)] == [1, 1, 2, 2, 8]
+    for times in (1, 2, 4):
+        flat = np.arange(sum(int(np.prod(s)) for s in lm_scoring.shapes(times).values()))
+        w = lm_scoring.unflatten(flat)
+        assert {k: x.shape for k, x in w.items()} == lm_scoring.shapes(times) and w["place_bias"][-1, -1] == flat[-1]
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(0)
     flat = rng.normal(0, 0.3, sum(int(np.prod(s)) for s in lm_scoring.shapes().values()))
