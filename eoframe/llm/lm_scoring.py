@@ -17,8 +17,8 @@ word that the corpus lacks counts as seen once.
 
 Training is data-parallel: word counts over all documents start the output biases;
 then, in each round, every task trains the same starting weights on its own documents
-and the weights are averaged, block by block, in proportion to the positions seen. A round
-trains on one in EVERY positions of every document, another one each round. What
+and the weights are averaged, block by block, in proportion to the positions seen. Every
+position of every document is trained on once: the rounds share the positions out. What
 is gathered is one set of weights a task and the corpus's word counts, so it grows with
 the input (a task has PER_ID tokens an id, so the weights do not outgrow it); what
 reaches the driver is one set of weights and KNOWN counts.
@@ -44,7 +44,6 @@ CLASSES, SIZE = 32, 32        # ids are CLASSES * SIZE; both double as the corpu
 KNOWN = 1 << 20               # words whose counts travel to the tasks
 WIDTH = 16                    # of the hidden layer
 OFFSETS = (-2, -1, 1, 2)
-EVERY = 8
 ROUNDS = 2
 PER_ID = 256                  # tokens of a training task, for each id
 BATCH = 1024
@@ -351,7 +350,7 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray
     texts = docs.where("text is not null").select("text").coalesce(max(1, tokens // (PER_ID * size)))
     small = Vocabulary(vocabulary.hashes, vocabulary.ids, times)
     for k in range(rounds if len(top) else 0):
-        flat = _round(texts, small, flat, k % EVERY, EVERY, 0.01 / (1 + k))
+        flat = _round(texts, small, flat, k, rounds, 0.01 / (1 + k))
     return vocabulary, flat
 
 

@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eoframe.llm import language_id, lm_scoring, sharding, toxicity
+from eoframe.llm.common import text_bytes
 
 
 @pytest.fixture
@@ -222,6 +224,18 @@ def test_every_word_has_its_own_probability(spark, monkeypatch, known):
     assert p["two"] < 2 * p["w5990"] / 3
 
 
+def test_the_rounds_train_every_position_once(spark, monkeypatch):
+    texts = ["a b c", "a", "a b", "x " * 100, "a " * 37, "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls = []
+    monkeypatch.setattr(lm_scoring, "_round", lambda *a: calls.append(a) or a[2])
+    lm_scoring.learn(docs)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    ids = [ids for c in calls for ids, _ in lm_scoring._positions([batch], c[1], *c[3:-1])]
+    h, _ = lm_scoring.token_hashes(*text_bytes(pa.array([" ".join(texts)])))
+    assert sorted(np.concatenate(ids)) == sorted(calls[0][1].of(h))
+
+
 def test_ids_grow_with_the_corpus():
     assert [lm_scoring.grown(n) for n in (0, 10 ** 6, 1 << 24, 10 ** 8, 10 ** 10)] == [1, 1, 2, 2, 8]
     for times in (1, 2, 4):
