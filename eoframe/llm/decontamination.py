@@ -154,6 +154,11 @@ class Items:
         slot = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
         return at[self.keys[slot] == g[at]], g
 
+    @property
+    def docs(self) -> int:
+        """Documents that may be searched at once: the keys of regions() stay in 63 bits."""
+        return max(1, (1 << 28) // max(1, len(self.ids)))
+
     def regions(self, x: np.ndarray, off: np.ndarray):
         """(document, item, diagonal of the band's start) of bands that reach the bound."""
         at, g = self.hits(x)
@@ -286,7 +291,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             for b in batches:
                 data, offsets = text_bytes(b.column(1))
                 found = []
-                for lo, hi in slices(offsets):
+                for lo, hi in slices(offsets, docs=index.docs):
                     part = data[offsets[lo]:offsets[hi]]
                     local = offsets[lo:hi + 1] - offsets[lo]
                     x, off, kept = normal_form(part, local)
@@ -318,7 +323,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             def wanted(texts):
                 data, offsets = text_bytes(texts)
                 out = np.ones(len(texts), bool)
-                for lo, hi in slices(offsets):
+                for lo, hi in slices(offsets, docs=index.docs):
                     x, off, _ = normal_form(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                     out[[lo + f[0] for f in search(index, x, off)]] = False
                 return out

@@ -269,6 +269,21 @@ def test_contamination_rows(table_of, spark):
     assert decontamination.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_many_items_and_a_full_batch_of_short_documents(spark):
+    rnd = random.Random(11)
+    items = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(70_000)]
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(30)) for _ in range(10_000)]
+    leaks = {0: 69_999, 7_000: 5, 8_000: 60_000, 9_000: 69_998, 9_999: 69_997}
+    for d, i in leaks.items():
+        texts[d] = f"see {items[i]} here"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.find_contamination(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == sorted((d, i, 0) for d, i in leaks.items())
+    kept = {r.doc_id for r in decontamination.drop_contaminated(docs, bench).select("doc_id").collect()}
+    assert kept == set(range(10_000)) - set(leaks)
+
+
 # ---- personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
