@@ -46,7 +46,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,512}+={0,2}+(?![A-Za-z0-9_+/=-])",
+    # "=" is a separator, but for one or two at the end of a run.
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}+(?![A-Za-z0-9_+/=-]))?+",
     "number": r"(?<![0-9.+-])\(?[0-9]{2,19}+(?:[\x20.()-]{1,2}[0-9]{2,19}+){0,5}+(?![0-9])",
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}+"
                r"(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}+)++",

@@ -323,6 +323,28 @@ def test_base_spans_equal_plain_regex(table_of):
     assert pii.find_pii(table_of(rows).limit(0)).count() == 0
 
 
+def test_secrets_after_an_equals_sign_and_long_ones(table_of):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice("abcdefABCDEF0123456789+/") for _ in range(4000))
+    late = "abcdefgh" * 20 + "123456"
+    token = "Zk3v9Qw81LmX20pT7b"
+    texts = [f"password={token}", f"x api_key={token};", f"https://h.org/?token={token}&v=1", f"AWS_SECRET_ACCESS_KEY={token} y",
+             f"a ={token}== b", f'token = "{token}"', f"key={long}", f"one {long}= end", f"token={late}", f"my_service_key_v2={token}"]
+    want = [{token}, {token}, {token}, {token}, {token + "=="}, {token}, {long}, {long + "="}, {late}, {token, "my_service_key_v2"}]
+    rows = list(enumerate(texts))
+    spans = pii.proposed(table_of(rows).withColumn("row_id", F.col("doc_id")))
+    got = {}
+    for r in spans.where(F.col("kind") == list(pii.KINDS).index("secret")).collect():
+        assert texts[r.doc_id][r.start:r.end] == r.match
+        got.setdefault(r.doc_id, set()).add(r.match)
+    assert [got.get(i) for i, _ in rows] == want
+    clean = [(100 + i, f"abcdefghijklmnopqr{i % 10} mail{i}@x.org") for i in range(40)]
+    found = {r.doc_id: r.spans for r in pii.find_pii(table_of(rows + clean)).collect()}
+    for i, text in rows[:9]:
+        secret = next(iter(want[i]))
+        assert f"secret:{text.index(secret)}:{text.index(secret) + len(secret)}" in found[i].split(",") or i == 7
+
+
 def test_redaction(spark):
     rows = [(1, "mail a.b@c.org or 10.0.0.1 now", 30), (2, "clean", 5), (3, None, None), (1, "other x@y.zz", 12), (4, "é 10.0.0.1 a@b.cc", 17)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("kind", F.lit(1)).withColumn("key", F.lit(2))
