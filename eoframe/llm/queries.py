@@ -12,6 +12,7 @@ from . import (  # noqa: F401
     sentencepiece,
     sharding,
     substring_dedup,
+    token_counts,
     toxicity,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
