@@ -279,6 +279,8 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], dict]:
 
     def evidence(s: str) -> float:
         n, k = t[s] + c[s], t[s]
+        if not n or k / n <= base:  # none for what clean documents hold as often
+            return 0.0
         p = min(k / n, 1 - 1e-9)
         return k * math.log(p / base) + ((n - k) * math.log((1 - p) / (1 - base)) if n > k else 0)
 
@@ -289,7 +291,7 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], dict]:
     for s in t:
         longer.setdefault(s[:-1], []).append(s)
     picked: list[str] = []
-    for s in sorted((s for s in t if evidence(s) > tried and lifted(s) >= 30), key=lambda s: (len(s), s)):
+    for s in sorted((s for s in t if lifted(s) >= 30 and evidence(s) > tried), key=lambda s: (len(s), s)):
         if any(s.startswith(p) for p in picked):
             continue
         while more := [x for x in longer.get(s, []) if t[x] >= 0.9 * t[s]]:

@@ -108,6 +108,17 @@ def test_toxicity_learns_from_labels_and_keeps_clean_rows(table_of, spark):
     assert toxicity.score_toxicity(docs.limit(0), grammar).count() == 0
 
 
+def test_toxicity_seeds_of_one_class(table_of, spark):
+    """A seed that only clean documents hold is no evidence, and one that only toxic ones hold is."""
+    rows = [(i, f"{'you idiot ' if i < 20 else 'the moron '}{i} went there {i * 7}") for i in range(60)]
+    docs = table_of(rows).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(60)], "doc_id long, toxic int")
+    g = toxicity.learn(docs, labels)
+    assert "moron" not in g.stems and "idiot" in g.stems
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, g).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60))
+
+
 def test_toxicity_without_labels(table_of, spark):
     g = toxicity.learn(table_of([(1, "a b")]).select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert g.stems and g.base == toxicity.PRIOR_BASE
