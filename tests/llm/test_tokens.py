@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from eoframe.llm import pretokens, token_counts
+from eoframe.llm import pretokens, sentencepiece, token_counts, tokenizer_alignment
 from eoframe.llm.common import text_bytes
 from eoframe.llm.queries import QUERIES
 
@@ -87,3 +87,90 @@ def test_count_query(spark, lib):
     got = QUERIES["op11_token_counts"](spark, SF_SMALL)
     assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())) == sorted(
         (d, len((t or "").encode()), n, n > 1024) for d, t in rows for n in [len(lib.encode(t or "", add_special_tokens=False).ids)])
+
+
+def cuts(text, lib, sp, decoder):
+    """(ids, byte lengths) of both tokenizers for a text, plainly; none if the bytes differ."""
+    raw = (" " + text).encode() if text else b""
+    if not raw:
+        return [], [], [], []
+    a = lib.encode(" " + text, add_special_tokens=False).ids
+    a_bytes = [decoder(i) for i in a]
+    b = sp.encode(text)
+    b_bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in b]
+    if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        return [], [], [], []
+    return a, [len(x) for x in a_bytes], b, [len(x) for x in b_bytes]
+
+
+def alignment_truth(rows, lib, sp, decoder):
+    """The contract's columns by plain loops."""
+    docs, counts = [], Counter()
+    for d, text in rows:
+        a, a_len, b, b_len = cuts(text, lib, sp, decoder)
+        ends_a = {int(e): i for i, e in enumerate(np.cumsum(a_len))}
+        ends_b = {int(e): i for i, e in enumerate(np.cumsum(b_len))}
+        common = sorted(ends_a.keys() & ends_b.keys())
+        groups, links, i, j = [], [], 0, 0
+        for e in common:
+            groups.append((a[i:ends_a[e] + 1], b[j:ends_b[e] + 1]))
+            i, j = ends_a[e] + 1, ends_b[e] + 1
+            links.append((a[i - 1], b[j - 1]))
+        counts.update(links)
+        docs.append((d, a, b, groups, links))
+    top = {}
+    for (x, y), n in counts.items():
+        top[y] = max(top.get(y, 0), n)
+    out = []
+    for d, a, b, groups, links in docs:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((d, len(a), len(b), len(groups), len(links), sum(counts[p] == top[p[1]] for p in links),
+                    sum(counts[p] for p in links), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def plain_lib(lib):
+    own = importlib.import_module("tokenizers").Tokenizer.from_file(token_counts.TOKENIZER)
+    own.encode_special_tokens = True
+    pre = pretokens.PreTokenizer(token_counts.source_of(token_counts.TOKENIZER), False)
+    pieces = tokenizer_alignment.byte_level_pieces(pre)
+    sp = importlib.import_module("sentencepiece").SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    return own, sp, pieces.__getitem__
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+@pytest.mark.parametrize("frequent", [1, 20, 1 << 18])
+def test_alignment_equals_plain_loops(spark, plain_lib, frequent):
+    texts = [*made_texts(300, 9), "a ▁b", "▁", " ", "  two  spaces ", "word " * 3000, "\u0000x", "日本語 " * 40, None, ""]
+    rows = [(i % 200, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, row_no int, times int")
+    linked = tokenizer_alignment.linked_documents(docs)
+    got = tokenizer_alignment.link_statistics(linked, tokenizer_alignment.pair_counts(linked), frequent)
+    assert sorted(map(tuple, got.select(*COLUMNS).collect()), key=repr) == alignment_truth(rows, *plain_lib)
+
+
+def test_overlaps_of_groups(spark, plain_lib):
+    rows = [(i, t) for i, t in enumerate(made_texts(60, 4))]
+    got = tokenizer_alignment.align(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        text = rows[r.doc_id][1]
+        a, a_len, b, b_len = cuts(text, *plain_lib)
+        assert (r.a_ids, r.b_ids) == (a, b)
+        a_end, b_end = np.cumsum(a_len).tolist(), np.cumsum(b_len).tolist()
+        want = [(i, j, min(x, y) - max(x - n, y - m), x == y) for i, (x, n) in enumerate(zip(a_end, a_len))
+                for j, (y, m) in enumerate(zip(b_end, b_len)) if max(x - n, y - m) < min(x, y)]
+        assert [tuple(o) for o in r.overlaps] == want
+        assert r.a_group == [sum(e in b_end for e in a_end[:i]) for i in range(len(a))]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    linked = tokenizer_alignment.linked_documents(empty)
+    assert tokenizer_alignment.link_statistics(linked, tokenizer_alignment.pair_counts(linked)).count() == 0
+
+
+def test_alignment_query(spark, plain_lib):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op12_tokenizer_alignment"](spark, SF_SMALL)
+    assert got.columns == COLUMNS
+    assert sorted(map(tuple, got.collect()), key=repr) == alignment_truth(rows, *plain_lib)
