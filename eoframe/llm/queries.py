@@ -8,11 +8,13 @@ from . import (  # noqa: F401
     jaccard_join,
     language_id,
     lm_scoring,
+    periodic_runs,
     pii,
     sentencepiece,
     sharding,
     substring_dedup,
     token_counts,
+    tokenizer_alignment,
     toxicity,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -14,7 +14,8 @@ from test_pairs_and_spans import base_spans, jaccard_truth, normal
 
 SF_SMALL, SF_CHECK = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 NAMES = ["op1_sentencepiece", "op2_pii", "op3_language_id", "op4_lm_scoring", "op5_jaccard_join", "op6_embedding_dedup",
-         "op7_decontamination", "op8_substring_dedup", "op9_toxicity", "op10_sharding", "op11_token_counts"]
+         "op7_decontamination", "op8_substring_dedup", "op9_toxicity", "op10_sharding", "op11_token_counts",
+         "op12_tokenizer_alignment", "op13_periodic_runs"]
 
 
 def test_one_query_an_operator():
