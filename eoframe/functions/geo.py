@@ -144,3 +144,37 @@ def to_utm(lon, lat, zone) -> tuple[Column, Column]:
                                          + (61 - 58 * t + t ** 2 + 600 * c - 330 * ep2) * aa ** 6 / 720))
     north = F.when(_c(lat) >= 0, F.lit(0.0)).otherwise(F.lit(UTM_FALSE_NORTHING_SOUTH))
     return x + UTM_FALSE_EASTING, y + north
+
+
+def from_ease2(x, y) -> tuple[Column, Column]:
+    """(lon, lat) of EPSG:6933 coordinates: the authalic latitude and its series."""
+    e2 = _e2()
+    e = math.sqrt(e2)
+    s0 = math.sin(math.radians(EASE2_STD_PARALLEL))
+    k0 = math.cos(math.radians(EASE2_STD_PARALLEL)) / math.sqrt(1 - e2 * s0 * s0)
+    pole = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
+    beta = F.asin(_c(y) * F.lit(2 * k0 / WGS84_A / pole))
+    lat = (beta + F.lit(e2 / 3 + 31 * e2 ** 2 / 180 + 517 * e2 ** 3 / 5040) * F.sin(2 * beta)
+           + F.lit(23 * e2 ** 2 / 360 + 251 * e2 ** 3 / 3780) * F.sin(4 * beta)
+           + F.lit(761 * e2 ** 3 / 45360) * F.sin(6 * beta))
+    return F.degrees(_c(x) / F.lit(WGS84_A * k0)), F.degrees(lat)
+
+
+def from_utm(x, y, zone, south: bool = False) -> tuple[Column, Column]:
+    """(lon, lat) of UTM coordinates: the inverse series at the footpoint latitude."""
+    a, e2 = WGS84_A, _e2()
+    ep2 = e2 / (1 - e2)
+    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    north = UTM_FALSE_NORTHING_SOUTH if south else 0.0
+    mu = (_c(y) - north) / (UTM_K0 * a * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256))
+    foot = (mu + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * F.sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * F.sin(4 * mu)
+            + (151 * e1 ** 3 / 96) * F.sin(6 * mu) + (1097 * e1 ** 4 / 512) * F.sin(8 * mu))
+    c, t = ep2 * F.cos(foot) ** 2, F.tan(foot) ** 2
+    w = 1 - e2 * F.sin(foot) ** 2
+    n, r = a / F.sqrt(w), a * (1 - e2) / (w * F.sqrt(w))
+    d = (_c(x) - UTM_FALSE_EASTING) / (n * UTM_K0)
+    lat = foot - n * F.tan(foot) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * ep2) * d ** 4 / 24
+                                        + (61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * ep2 - 3 * c ** 2) * d ** 6 / 720)
+    lon = (d - (1 + 2 * t + c) * d ** 3 / 6
+           + (5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * ep2 + 24 * t ** 2) * d ** 5 / 120) / F.cos(foot)
+    return F.degrees(lon) + (_c(zone).cast("double") * 6 - 183), F.degrees(lat)

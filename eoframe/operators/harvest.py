@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from .ranking import consecutive_index
 
 
@@ -50,9 +51,7 @@ def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
     """Assets with no file of the same name anywhere under the asset's folder.
 
     An anti equi-join on (folder, file name) against every ancestor folder of
-    every file. (The substring variant of this test would compare each asset
-    with each file of its folder, i.e. all pairs within a folder; file-name
-    equality is the rule here.)
+    every file; ``missing_by_substring`` has the containment rule.
     """
     a = asset_parts(assets)
     # Only ancestors at a depth where some asset folder sits can match: the set
@@ -65,6 +64,61 @@ def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
     return a.join(have, ["dir", "fname"], "left_anti")
 
 
+GRAM = 5  # characters of a posting-list key
+
+
+def _grams(name, size: int):
+    """The different runs of ``size`` characters of a name."""
+    n = F.length(name)
+    return F.when(n >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(size)))))
+
+
+def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM) -> DataFrame:
+    """J4, the containment rule: assets whose file name is contained in the path of no file
+    anywhere under the asset's folder.
+
+    A file name holds no slash, so it lies inside one part of a path: in a part of the
+    folder itself (then any file there will do), or in a part below it. The different
+    parts below each folder are indexed by posting lists: their runs of ``gram``
+    characters. A name that is no whole part is looked up by its rarest run in that folder
+    only; a name with a run that has no posting is missing, and what shares the rarest run
+    is compared.
+    Names shorter than a run are looked up whole, in an index of runs of their own size.
+    """
+    a = asset_parts(assets)
+    wanted = a.select("dir", "fname").distinct()
+    anc = (file_ancestors(files.select("path")).select(F.col("folder").alias("dir"), "path")
+           .join(wanted.select("dir").distinct(), "dir", "left_semi"))
+    parts = (anc.select("dir", F.explode(F.split(F.substring("path", F.length("dir") + 2, F.length("path")), "/")).alias("part"))
+             .distinct())
+    parts = cut_lineage(parts)  # read for every look-up below
+    name = F.col("fname")
+    there = (wanted.filter((name == "") | F.col("dir").contains(name))
+             .join(parts.select("dir").distinct(), "dir", "left_semi"))
+    open_ = wanted.filter((name != "") & ~F.col("dir").contains(name))
+    same = parts.withColumnRenamed("part", "fname")
+    whole_part = open_.join(same, ["dir", "fname"], "left_semi")
+    open_ = cut_lineage(open_.join(same, ["dir", "fname"], "left_anti"))
+
+    long = open_.filter(F.length(name) >= gram).withColumn("gram", F.explode(_grams(name, gram)))
+    postings = (parts.join(open_.select("dir").distinct(), "dir", "left_semi")
+                .withColumn("gram", F.explode(_grams(F.col("part"), gram))))
+    lengths = postings.groupBy("dir", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (long.join(lengths, ["dir", "gram"], "left").groupBy("dir", "fname")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_r")).filter("_r.n > 0")
+              .select("dir", "fname", F.col("_r.gram").alias("gram")))
+    found = rarest.join(postings, ["dir", "gram"]).filter(F.col("part").contains(name)).select("dir", "fname")
+
+    short = open_.filter(F.length(name) < gram).withColumn("gram", name)
+    near = parts.join(short.select("dir").distinct(), "dir", "left_semi")
+    whole = F.explode(F.flatten(F.array(*[F.coalesce(_grams(F.col("part"), k), F.array().cast("array<string>"))
+                                          for k in range(1, gram)])))
+    found_short = short.join(near.select("dir", whole.alias("gram")), ["dir", "gram"], "left_semi").select("dir", "fname")
+    have = there.unionByName(whole_part).unionByName(found).unionByName(found_short).distinct()
+    return a.join(have, ["dir", "fname"], "left_anti")
+
+
 def harvest_plan(assets: DataFrame, files: DataFrame, overwrite: bool = False, complete: bool = False,
                  dry_run: bool = False) -> DataFrame:
     """overwrite = every asset; complete = only missing ones; dry run = summary rows only."""

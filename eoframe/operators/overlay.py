@@ -1,24 +1,24 @@
 """Frames, captions and vector overlays joined to time or space.
 
-Frame tables have one row per distinct time step; window functions without a
-partition run only on that table (bounded by the number of time steps),
-never on pixel or observation rows.
+Frame tables have one row per distinct time step, numbered in parallel; running values
+are blocked scans. No step orders a whole table in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import CAPTION_DATE_FORMAT
+from .ranking import consecutive_index
+from .scan import prefix_scan
+from .spatial import overlap_counts, overlapping_boxes, overlapping_distinct_boxes  # noqa: F401
 
 
 def frame_table(df: DataFrame, time_col: str = "t") -> DataFrame:
     """Frame number per distinct time, the midway flag and a date caption."""
-    times = df.select(time_col).distinct()
-    w = Window.orderBy(time_col)
-    ranked = times.withColumn("frame", (F.dense_rank().over(w) - 1).cast("long"))
-    n = times.agg(F.count(F.lit(1))).scalar()
+    ranked = consecutive_index(df.select(time_col).distinct(), [time_col], "frame")
+    n = ranked.agg(F.count(F.lit(1))).scalar()
     return (ranked.withColumn("is_midway", F.col("frame") == F.floor(n / 2))
                   .withColumn("caption", F.date_format(F.col(time_col), CAPTION_DATE_FORMAT)))
 
@@ -29,24 +29,79 @@ def frame_caption(t, texts=None) -> "F.Column":
     return F.concat_ws("\n", date, texts) if texts is not None else date
 
 
+INTERVAL_LEVELS = 16  # the frames' span is cut into 2^16 steps
+SPREAD = 32           # tasks over which the pairs of a node near the root are dealt
+
+
+def dyadic_nodes(lo, hi, levels: int = INTERVAL_LEVELS):
+    """The fewest dyadic intervals that make up the steps lo..hi: an array of
+    ``struct(level, place)``, a node of level k covering 2^k steps; at most two a level."""
+    def at(k):
+        left = F.ceil(lo / F.pow(F.lit(2.0), k)).cast("long")
+        right = F.floor((hi + 1) / F.pow(F.lit(2.0), k)).cast("long")
+        both = F.array(F.when((left < right) & (left % 2 == 1), left), F.when((left < right) & (right % 2 == 1), right - 1))
+        return F.transform(F.array_compact(both), lambda p: F.struct(k.alias("level"), p.alias("place")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def _steps(frames: DataFrame, time_col: str, levels: int):
+    """(first, last, step of a time): the frames' span in 2^levels equal steps."""
+    span = frames.agg(F.struct(F.min(time_col).alias("first"), F.max(time_col).alias("last"))).scalar()
+
+    def step(t, bounds):
+        width = F.greatest(F.timestamp_diff("MICROSECOND", bounds["first"], bounds["last"]) + 1, F.lit(1))
+        return F.floor(F.timestamp_diff("MICROSECOND", bounds["first"], t) * F.lit(float(1 << levels)) / width).cast("long")
+    return span, step
+
+
 def active_features(frames: DataFrame, features: DataFrame, time_col: str = "t",
-                    bucket: str = "month") -> DataFrame:
+                    levels: int = INTERVAL_LEVELS) -> DataFrame:
     """(frame, feature) pairs where ``start <= t <= end``.
 
-    Missing starts/ends take the first/last frame time. The interval join is
-    an equi-join on time buckets (each feature exploded over the buckets its
-    interval spans) plus the exact residual predicate, so no frame is
-    compared with features outside its bucket.
+    Missing starts/ends take the first/last frame time. The frames' span is cut into
+    2^levels steps. A feature goes to the dyadic intervals that make up its own (at most
+    two a level, whatever it spans; one, if it is open at both ends), a frame to the
+    intervals above its step, and they meet by an equi-join; the exact predicate decides
+    within the first and the last step. Nodes near the root, where long features meet
+    all frames, are dealt over several tasks.
     """
-    first = frames.agg(F.min(time_col)).scalar()
-    last = frames.agg(F.max(time_col)).scalar()
-    f = features.withColumns({"_s": F.coalesce(F.col("start_time"), first),
-                              "_e": F.coalesce(F.col("end_time"), last)})
-    f = f.withColumn("_b", F.explode(F.sequence(F.date_trunc(bucket, "_s"), F.date_trunc(bucket, "_e"),
-                                                 F.expr(f"INTERVAL 1 {bucket.upper()}"))))
-    fr = frames.withColumn("_b", F.date_trunc(bucket, time_col))
-    j = fr.join(f, "_b").filter((F.col("_s") <= F.col(time_col)) & (F.col(time_col) <= F.col("_e")))
-    return j.drop("_b", "_s", "_e")
+    span, step = _steps(frames, time_col, levels)
+    fr = frames.withColumn("_span", span)
+    fr = fr.withColumn("_step", step(F.col(time_col), F.col("_span"))).drop("_span")
+    f = features.withColumn("_span", span)
+    f = f.withColumns({"_s": F.coalesce("start_time", "_span.first"), "_e": F.coalesce("end_time", "_span.last")})
+    f = f.filter((F.col("_s") <= F.col("_e")) & (F.col("_e") >= F.col("_span.first")) & (F.col("_s") <= F.col("_span.last")))
+    lo = step(F.greatest("_s", "_span.first"), F.col("_span"))
+    hi = step(F.least("_e", "_span.last"), F.col("_span"))
+    f = f.withColumns({"_lo": lo, "_hi": hi}).withColumn("_node", F.explode(dyadic_nodes(F.col("_lo"), F.col("_hi"), levels)))
+    # Level by level towards the root twice the tasks, SPREAD at the root.
+    tasks = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), F.col("_level") - levels) * SPREAD)).cast("int")
+    f = (f.withColumns({"_level": F.col("_node.level"), "_place": F.col("_node.place")})
+          .withColumn("_deal", F.pmod(F.xxhash64("_s", "_e", *[c for c in features.columns if c not in ("start_time", "end_time")
+                                                               and features.schema[c].dataType.typeName() != "map"]), tasks)))
+    fr = fr.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    fr = (fr.withColumn("_place", F.floor(F.col("_step") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+            .withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), (tasks - 1).cast("long")))))
+    j = fr.join(f.drop("_span", "_node", "_lo", "_hi"), ["_level", "_place", "_deal"])
+    j = j.filter((F.col("_s") <= F.col(time_col)) & (F.col(time_col) <= F.col("_e")))
+    return j.drop("_level", "_place", "_deal", "_s", "_e", "_step")
+
+
+def active_counts(frames: DataFrame, features: DataFrame, time_col: str = "t") -> DataFrame:
+    """(frame time, n_active) without any pair: starts up to a frame less ends before
+    it, by one blocked scan over frames, starts and ends in time order."""
+    span = frames.agg(F.struct(F.min(time_col).alias("first"), F.max(time_col).alias("last"))).scalar()
+    f = features.withColumn("_span", span)
+    f = f.select(F.coalesce("start_time", "_span.first").alias("_s"), F.coalesce("end_time", "_span.last").alias("_e"))
+    f = f.filter(F.col("_s") <= F.col("_e"))
+    # At one moment starts come before the frame and ends after it.
+    kind = frames.schema[time_col].dataType.simpleString()
+    marks = F.array(F.struct(F.col("_s").cast(kind).alias("t"), F.lit(0).alias("turn"), F.lit(1).alias("n")),
+                    F.struct(F.col("_e").cast(kind).alias("t"), F.lit(2).alias("turn"), F.lit(-1).alias("n")))
+    events = f.select(F.inline(marks)).groupBy("t", "turn").agg(F.sum("n").alias("n"))
+    rows = events.unionByName(frames.select(F.col(time_col).alias("t"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n")).distinct())
+    return (prefix_scan(rows, ["t", "turn"], {"n_active": ("sum", "n")}).filter("turn = 1")
+            .select(F.col("t").alias(time_col), "n_active"))
 
 
 def clip_box(minx, miny, maxx, maxy, box) -> list:
@@ -61,39 +116,12 @@ def clip_box(minx, miny, maxx, maxy, box) -> list:
             keep_null(maxy, F.least(F.col(maxy), F.lit(y2))).alias("maxy")]
 
 
-def box_tiles(df: DataFrame, tile: float) -> DataFrame:
-    """Explode each box into the tile ids it overlaps (bounded by its own extent)."""
-    return (df.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("minx") / tile), F.floor(F.col("maxx") / tile))))
-              .withColumn("_ty", F.explode(F.sequence(F.floor(F.col("miny") / tile), F.floor(F.col("maxy") / tile)))))
-
-
-def overlapping_boxes(a: DataFrame, b: DataFrame, tile: float = 5.0) -> DataFrame:
-    """All overlapping (a, b) box pairs with their intersection.
-
-    Both sides are tiled and equi-joined on the tile id with the exact
-    overlap test as residual; a pair is kept only in the tile holding the
-    lower-left corner of its intersection, so no de-duplication is needed.
-    """
-    ta = box_tiles(a.select(F.col("id").alias("id_a"), "minx", "miny", "maxx", "maxy"), tile)
-    tb = box_tiles(b.select(F.col("id").alias("id_b"), F.col("minx").alias("bminx"), F.col("miny").alias("bminy"),
-                            F.col("maxx").alias("bmaxx"), F.col("maxy").alias("bmaxy"))
-                   .withColumnsRenamed({"bminx": "minx", "bminy": "miny", "bmaxx": "maxx", "bmaxy": "maxy"}), tile)
-    tb = tb.withColumnsRenamed({"minx": "bminx", "miny": "bminy", "maxx": "bmaxx", "maxy": "bmaxy"})
-    j = ta.join(tb, ["_tx", "_ty"])
-    ix0, iy0 = F.greatest("minx", "bminx"), F.greatest("miny", "bminy")
-    ix1, iy1 = F.least("maxx", "bmaxx"), F.least("maxy", "bmaxy")
-    j = j.filter((ix0 <= ix1) & (iy0 <= iy1)
-                 & (F.floor(ix0 / tile) == F.col("_tx")) & (F.floor(iy0 / tile) == F.col("_ty")))
-    return j.select("id_a", "id_b", ix0.alias("minx"), iy0.alias("miny"), ix1.alias("maxx"), iy1.alias("maxy"))
-
-
 def pair_by_position(a: DataFrame, b: DataFrame, order_a, order_b) -> DataFrame:
     """Pair the i-th row of ``a`` with the i-th row of ``b`` (stops at the shorter).
 
     Positions come from a parallel consecutive numbering (no single-task
     window); ties in the order are broken by the remaining columns.
     """
-    from .ranking import consecutive_index
     return consecutive_index(a, list(order_a), "pos").join(consecutive_index(b, list(order_b), "pos"), "pos")
 
 
@@ -105,16 +133,14 @@ def series_up_to_frames(frames: DataFrame, series: DataFrame, time_col: str = "t
     Each point is assigned to the first frame cut-off at or after it by an
     equi-join on the calendar day (every cut-off interval is exploded over
     the days it spans, a table bounded by the covered date range), then
-    partially aggregated per (series, frame) and accumulated over frames per
-    series: the running step sees one row per (series, frame), never point pairs.
+    partially aggregated per (series, frame). The running values are a blocked
+    scan over one row per (series, frame): a hot series is spread over tasks.
     """
     cut = F.timestamp_add("MINUTE", F.lit(23 * 60 + 59), F.to_date(F.col(time_col)).cast("timestamp_ntz"))
     fr = frames.select(time_col, cut.alias("_cut")).distinct()
-    # Cut-off table: one row per distinct cut-off (a time-step table, small).
-    w = Window.orderBy("_cut")
-    cuts = (fr.select("_cut").distinct()
-              .withColumn("_prev", F.lag("_cut").over(w))
-              .withColumn("_k", (F.row_number().over(w) - 1).cast("long")))
+    cuts = consecutive_index(fr.select("_cut").distinct(), ["_cut"], "_k")
+    earlier = cuts.select(F.col("_cut").alias("_prev"), (F.col("_k") + 1).alias("_k"))
+    cuts = cuts.join(earlier, "_k", "left")
     pts = series.filter(F.col(value).isNotNull() & ~F.isnan(value))
     first_pt = pts.agg(F.min(time_col)).scalar()
     start = F.to_date(F.coalesce(F.col("_prev"), F.least(first_pt, F.col("_cut"))))
@@ -129,10 +155,7 @@ def series_up_to_frames(frames: DataFrame, series: DataFrame, time_col: str = "t
     keys = pts.select(key).distinct()
     per = keys.select(key, F.explode(F.sequence(F.lit(0).cast("long"), n_cuts - 1)).alias("_k"))
     per = per.join(agg, [key, "_k"], "left")
-    wk = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(key, "_k", F.sum(F.coalesce("_n", F.lit(0))).over(wk).alias("n_points"),
-                     F.sum("_s").over(wk).alias("value_sum"),
-                     F.last("_l", ignorenulls=True).over(wk).alias("_last"))
+    run = prefix_scan(per, ["_k"], {"n_points": ("sum", "_n"), "value_sum": ("sum", "_s"), "_last": ("last", "_l")}, [key])
     frame_k = fr.join(cuts.select("_cut", "_k"), "_cut").select(time_col, "_k")
     out = run.join(frame_k, "_k").filter(F.col("n_points") > 0)
     return out.select(time_col, key, "n_points", "value_sum", F.col("_last.lt").alias("last_time"),

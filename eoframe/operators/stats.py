@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .scan import prefix_scan
 
 HIST_BINS = 50
 ROBUST_PERCENTILES = (0.02, 0.98)
+SKETCH_ACCURACY = 10_000
 
 
 def long_bands(df: DataFrame, bands, keys=(), value: str = "value") -> DataFrame:
@@ -47,19 +50,60 @@ def histogram(df: DataFrame, bands, bins: int = HIST_BINS, keys=()) -> DataFrame
              .drop("_lo", "_hi"))
 
 
-def percentile_bounds(df: DataFrame, bands, q=ROBUST_PERCENTILES, keys=(), exact: bool = True,
-                      accuracy: int = 10000) -> DataFrame:
-    """A10: percentiles of all bands pooled, linear interpolation, non-finite excluded.
+def percentiles(df: DataFrame, value: str, q, keys=(), accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """(keys..., q_0, q_1, ...): exact percentiles of a column, linear interpolation, null and
+    non-finite values excluded.
 
-    ``exact`` uses Spark's frequency-map percentile, whose state is bounded
-    by the number of distinct values: right for integer DN bands (at most
-    65,536 values). Float bands at scale take ``percentile_approx``.
+    A mergeable quantile sketch (its state bounded by ``accuracy``, whatever the type)
+    brackets each percentile between two values. The second pass counts what lies below a
+    bracket and the values inside it, about 8 / accuracy of the rows, and a blocked scan
+    of these counts finds the two values at the percentile's rank. There is no map of all
+    values, and a key that holds most rows is spread over tasks.
     """
-    lb = long_bands(df, bands, keys).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    qs = F.array(*[F.lit(float(x)) for x in q])
-    p = F.percentile("value", qs) if exact else F.percentile_approx("value", qs, accuracy)
-    return lb.groupBy(*keys).agg(p.alias("_p")).select(
-        *keys, F.col("_p")[0].alias("p_low"), F.col("_p")[1].alias("p_high"))
+    q = [float(x) for x in q]
+    keys, slack = list(keys), 4.0 / accuracy
+    v = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    v = v.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    at = [min(1.0, max(0.0, x + d)) for x in q for d in (-slack, slack)]
+    brackets = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", at, accuracy).alias("_b"),
+                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+    def edge(i, k):
+        # The extremes themselves at the ends, and where the slack is but a few rows.
+        end, outer = F.col("_hi" if k else "_lo"), at[2 * i + k]
+        return end if outer in (0.0, 1.0) else F.when(F.col("_n") <= 4 * accuracy, end).otherwise(F.col("_b")[2 * i + k])
+    ranks = brackets.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), edge(i, 0).alias("lo"), edge(i, 1).alias("hi"), ((F.col("_n") - 1) * F.lit(x)).alias("h"))
+        for i, x in enumerate(q)])).alias("_r")).select(*keys, "_r.*")
+    ranks = cut_lineage(ranks)  # a row per key and percentile
+    pairs = ranks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("_brackets"))
+    if keys:
+        on = [F.col(f"_v_.`{k}`").eqNullSafe(F.col(f"_p_.`{k}`")) for k in keys]
+        coded = v.alias("_v_").join(pairs.alias("_p_"), on).select(*[F.col(f"_v_.`{k}`") for k in keys], "_v", "_brackets")
+    else:
+        coded = v.withColumn("_brackets", pairs.scalar())
+    # Below a bracket: null, one row per task. Above it: not counted.
+    coded = coded.select(*keys, "_v", F.explode("_brackets").alias("_x")).filter(F.col("_v") <= F.col("_x.hi"))
+    counts = (coded.select(*keys, F.col("_x.i").alias("i"), F.when(F.col("_v") >= F.col("_x.lo"), F.col("_v")).alias("val"))
+              .groupBy(*keys, "i", "val").agg(F.count(F.lit(1)).alias("n")))
+    ran = prefix_scan(counts, ["val"], {"upto": ("sum", "n")}, [*keys, "i"])
+    on = [F.col(f"_c_.`{k}`").eqNullSafe(F.col(f"_k_.`{k}`")) for k in [*keys, "i"]]
+    k = F.floor("h")
+    found = (ran.alias("_c_").join(ranks.alias("_k_"), on)
+             .select(*[F.col(f"_k_.`{c}`") for c in [*keys, "i"]], "val", "upto", "n", "h")
+             .filter((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k + 1))
+             .groupBy(*keys, "i", "h").agg(F.min(F.struct("upto", "val"))["val"].alias("low"),
+                                           F.min(F.when(F.col("upto") > k + 1, F.struct("upto", "val")))["val"].alias("high")))
+    low = F.when(F.col("low").isNull(), F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")).otherwise(F.col("low"))
+    rest = F.col("h") - k
+    found = found.withColumn("p", F.when(rest == 0, low).otherwise(low + rest * (F.col("high") - low)))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"q_{i}") for i in range(len(q))])
+
+
+def percentile_bounds(df: DataFrame, bands, q=ROBUST_PERCENTILES, keys=(), accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """A10: two percentiles of all bands pooled, exact for every type."""
+    p = percentiles(long_bands(df, bands, keys), "value", q, keys, accuracy)
+    return p.select(*keys, F.col("q_0").alias("p_low"), F.col("q_1").alias("p_high"))
 
 
 def rescale_clip(v, lo, hi) -> Column:

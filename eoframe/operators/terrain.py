@@ -1,19 +1,25 @@
 """Neighbourhood and grid operators: hillshade, disk dilation, regridding, tile export.
 
-Neighbourhoods are expressed without arrays: gradients are ``lag``/``lead``
-along grid lines (windows partitioned by line, so each task holds one line,
-bounded by the grid width), dilation explodes each masked cell by a fixed
-kernel and semi-joins the shifted cells back. Global rescales use scalar
-subqueries.
+Neighbourhoods work on tiles with a halo: a grid is cut into square tiles in both
+directions, cells within reach of a tile's edge are also sent to the tiles beyond it, and
+each tile with its halo is one small dense array. A task holds one tile whatever the
+grid's size, and what is shuffled beside the grid itself is the halo. Global rescales use
+scalar subqueries.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+TILE = 256  # cells along a tile's side
+
 
 # Light source and terrain defaults of the elevation notebook.
 HILLSHADE_AZDEG = 315.0
@@ -32,57 +38,97 @@ def light_vector(azdeg: float = HILLSHADE_AZDEG, altdeg: float = HILLSHADE_ALTDE
     return (math.cos(az) * math.cos(alt), math.sin(az) * math.cos(alt), math.sin(alt))
 
 
-def _gradient(z: Column, w: Window, at: str, h: float) -> Column:
-    """Gradient along a window line: central inside, one-sided at the ends and beside gaps
-    (the next row is a neighbour only one coordinate step away)."""
-    prev = F.when(F.col(at) - F.lag(at).over(w) == 1, F.lag(z).over(w))
-    nxt = F.when(F.lead(at).over(w) - F.col(at) == 1, F.lead(z).over(w))
-    return (F.when(prev.isNull() & nxt.isNull(), F.lit(0.0))
-             .when(prev.isNull(), (nxt - z) / h)
-             .when(nxt.isNull(), (z - prev) / h)
-             .otherwise((nxt - prev) / (2.0 * h)))
+def on_tiles(cells: DataFrame, names: list[str], compute: Callable, out: str, kind: str, halo: int, keys=(),
+             tile: int = TILE) -> DataFrame:
+    """``cells`` with a column ``out``, computed tile by tile on dense arrays.
+
+    ``compute(present, *arrays)`` gets a boolean array of the cells that have a row, and one
+    array per name (doubles, NaN for null and where there is no cell), each the tile and
+    ``halo`` cells around it; it returns an array of the same shape. Every row of a cell gets the
+    cell's value; of several rows of one cell the arrays hold any one. Rows without a
+    coordinate get null. Grids are told apart by ``keys``.
+    """
+    keys, columns = list(keys), cells.columns
+    if out.lower() in (c.lower() for c in columns):
+        raise ValueError(f"column {out} exists already")
+    tile = max(tile, 2 * halo, 1)  # so that a halo reaches the next tile only
+    at = {c: F.col(c).cast("long") for c in ("x", "y")}
+    own = {c: F.floor(at[c] / tile).cast("long") for c in ("x", "y")}
+
+    def reach(c):
+        inside = F.pmod(at[c], F.lit(tile))
+        return F.array_compact(F.array(F.lit(0), F.when(inside < halo, F.lit(-1)), F.when(inside >= tile - halo, F.lit(1))))
+    spread = cells.withColumn("_dx", F.explode(reach("x"))).withColumn("_dy", F.explode(reach("y")))
+    spread = spread.withColumns({"_tx": own["x"] + F.col("_dx"), "_ty": own["y"] + F.col("_dy"),
+                                 "_own": (F.col("_dx") == 0) & (F.col("_dy") == 0)}).drop("_dx", "_dy")
+    dtype = {"double": np.float64, "boolean": np.bool_}[kind]
+
+    def run(table):
+        import pyarrow as pa
+
+        own = table.column("_own").to_numpy()
+        side = tile + 2 * halo
+        x, y = (table.column(c).to_numpy().astype(np.int64) - table.column(f"_t{c}")[0].as_py() * tile + halo for c in ("x", "y"))
+        arrays = [np.zeros((side, side), bool)] + [np.full((side, side), np.nan) for _ in names]
+        arrays[0][y, x] = True
+        for a, n in zip(arrays[1:], names, strict=True):
+            a[y, x] = table.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        got = np.asarray(compute(*arrays), dtype)[y[own], x[own]]
+        kept = table.select(columns).filter(pa.array(own))
+        return kept.append_column(out, pa.array(got))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields) + f", `{out}` {kind}"
+    done = spread.filter(placed).groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
+    return done.unionByName(cells.filter(~placed).withColumn(out, F.lit(None).cast(kind)))
+
+
+def gradient(z: np.ndarray, axis: int, h: float) -> np.ndarray:
+    """Along an axis: central inside, one-sided beside a gap (NaN), 0 between two gaps."""
+    gap = np.full_like(np.take(z, [0], axis), np.nan)
+    prev = np.concatenate([gap, np.delete(z, -1, axis)], axis)
+    nxt = np.concatenate([np.delete(z, 0, axis), gap], axis)
+    out = np.where(np.isnan(prev), (nxt - z) / h, np.where(np.isnan(nxt), (z - prev) / h, (nxt - prev) / (2.0 * h)))
+    return np.where(np.isnan(prev) & np.isnan(nxt), 0.0, out)
 
 
 def hillshade(dem: DataFrame, value: str = "elevation", keys=(), azdeg: float = HILLSHADE_AZDEG,
               altdeg: float = HILLSHADE_ALTDEG, vert_exag: float = HILLSHADE_VERT_EXAG,
               dx: float = HILLSHADE_DX, dy: float = HILLSHADE_DY,
-              fraction: float = HILLSHADE_FRACTION) -> DataFrame:
+              fraction: float = HILLSHADE_FRACTION, tile: int = TILE) -> DataFrame:
     """Illumination of a dense elevation grid in [0, 1] (column ``shade``).
 
     Rows are grid lines ordered by ``y`` (row index), columns by ``x``. The
-    row spacing enters as ``-dy`` (image rows run southwards). Intensity is
-    the normal . light; when its range exceeds 1e-6 it is stretched to [0, 1]
+    row spacing enters as ``-dy`` (image rows run southwards); a missing cell or
+    value is a gap, beside which the gradient is one-sided, and has no shade itself. Intensity
+    is the normal . light; when its range exceeds 1e-6 it is stretched to [0, 1]
     over the whole grid, then clipped.
     """
     keys = list(keys)
-    z = F.col(value).cast("double") * F.lit(vert_exag)
-    along_x = Window.partitionBy(*keys, "y").orderBy("x")
-    along_y = Window.partitionBy(*keys, "x").orderBy("y")
-    g = (dem.withColumn("_z", z)
-            .withColumn("_gx", _gradient(F.col("_z"), along_x, "x", dx))
-            .withColumn("_gy", _gradient(F.col("_z"), along_y, "y", -dy)))
     lx, ly, lz = light_vector(azdeg, altdeg)
-    norm = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy") + F.lit(1.0))
-    inten = ((-F.col("_gx") / norm) * F.lit(lx) + (-F.col("_gy") / norm) * F.lit(ly)
-             + (F.lit(1.0) / norm) * F.lit(lz))
-    g = g.withColumn("_i", inten).drop("_z", "_gx", "_gy")
+
+    def light(_, elevation):
+        z = elevation * vert_exag
+        gx, gy = gradient(z, 1, dx), gradient(z, 0, -dy)
+        norm = np.sqrt(gx * gx + gy * gy + 1.0)
+        inten = (-gx / norm) * lx + (-gy / norm) * ly + (1.0 / norm) * lz
+        return np.where(np.isnan(z), np.nan, inten)
+
+    # Written once: the bounds and the rescale read the same intensities.
+    g = cut_lineage(on_tiles(dem, [value], light, "_i", "double", 1, keys, tile)
+                    .withColumn("_i", F.when(~F.isnan("_i"), F.col("_i"))))
     if keys:  # one (min, max) per grid, joined back; the table has one row per key
         rng = g.groupBy(*keys).agg(F.min("_i").alias("_imin"), F.max("_i").alias("_imax"))
         g = g.join(rng, keys)
         imin, imax = F.col("_imin"), F.col("_imax")
     else:
-        # One pass for both bounds (a struct-valued scalar subquery); the
-        # intensity grid is persisted so the rescale does not redo the windows.
-        from pyspark import StorageLevel
-        g = g.persist(StorageLevel.MEMORY_AND_DISK)
         rng = g.agg(F.struct(F.min("_i").alias("lo"), F.max("_i").alias("hi"))).scalar()
         # Bound to a column once: every later reference reads it, the subquery runs once.
         g = g.withColumn("_imm", rng)
         imin, imax = F.col("_imm.lo"), F.col("_imm.hi")
     scaled = F.col("_i") * F.lit(fraction)
     stretched = F.when(imax - imin > RESCALE_MIN_RANGE, (scaled - imin) / (imax - imin)).otherwise(scaled)
-    return (g.withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), stretched)))
-             .drop("_i", "_imin", "_imax", "_imm"))
+    shade = F.when(stretched.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), stretched)))
+    return g.withColumn("shade", shade).drop("_i", "_imin", "_imax", "_imm")
 
 
 def disk_offsets(radius: int) -> list[tuple[int, int]]:
@@ -98,35 +144,38 @@ def disk_half_widths(radius: int) -> list[tuple[int, int]]:
     return [(dy, math.isqrt(radius * radius + radius - dy * dy)) for dy in range(-radius, radius + 1)]
 
 
+def disk_reach(source: np.ndarray, radius: int) -> np.ndarray:
+    """Cells within the disk of some source cell: per row offset a run of 2w + 1 cells,
+    found by a difference of running sums."""
+    h, w = source.shape
+    run = np.zeros((h, w + 2 * radius + 1), np.int32)
+    run[:, radius + 1:radius + 1 + w] = np.cumsum(source, axis=1, dtype=np.int32)
+    run[:, radius + 1 + w:] = run[:, radius + w:radius + w + 1]
+    out = np.zeros((h, w), bool)
+    x = np.arange(w)
+    for dy, half in disk_half_widths(radius):
+        near = run[:, x + radius + 1 + half] > run[:, x + radius - half]
+        to, of = slice(max(0, dy), h + min(0, dy)), slice(max(0, -dy), h + min(0, -dy))
+        out[to] |= near[of]
+    return out
+
+
 def dilate(cells: DataFrame, flag: str, radius: int = DILATION_DEFAULT, invert: bool = True,
-           keys=()) -> DataFrame:
+           keys=(), tile: int = TILE) -> DataFrame:
     """Disk dilation of a boolean grid; returns ``cells`` with ``flag`` replaced.
 
     With ``invert`` the False cells are dilated (e.g. growing a cloud mask
     around bad pixels); either way the result is negated, as the array form
-    is. Shifts that leave the grid are ignored.
+    is. Shifts that leave the grid are ignored, a null flag is no source.
 
-    The disk is a union of horizontal runs, one per row offset, so each
-    source cell emits 2r+1 row intervals (not (2r+1)^2 cells). Intervals are
-    merged per grid line (a window over one line), and only the merged runs
-    are expanded to cells, so every covered cell is produced once before it
-    is matched back to the grid.
+    The disk is a union of horizontal runs, one per row offset, computed on tiles
+    with a halo of the radius.
     """
-    keys = list(keys)
-    src = cells.filter(~F.col(flag) if invert else F.col(flag))
-    rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in disk_half_widths(radius)])
-    iv = (src.select(*keys, "x", "y", F.explode(rows).alias("_r"))
-             .select(*keys, (F.col("y") + F.col("_r.dy")).alias("y"),
-                     (F.col("x") - F.col("_r.w")).alias("_s"), (F.col("x") + F.col("_r.w")).alias("_e")))
-    line = Window.partitionBy(*keys, "y").orderBy("_s", "_e")
-    reach = F.max("_e").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    iv = iv.withColumn("_new", (reach.isNull() | (F.col("_s") > reach + 1)).cast("int"))
-    iv = iv.withColumn("_seg", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = iv.groupBy(*keys, "y", "_seg").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-    covered = (runs.select(*keys, "y", F.explode(F.sequence("_s", "_e")).alias("x"))
-                   .withColumn("_hit", F.lit(True)))
-    out = cells.join(covered, [*keys, "x", "y"], "left")
-    return out.withColumn(flag, ~F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+    def grow(present, value):
+        return ~disk_reach(present & (value == (0.0 if invert else 1.0)), radius)
+
+    out = on_tiles(cells, [flag], grow, "_grown", "boolean", radius, keys, tile)
+    return out.select(*[F.coalesce("_grown", F.lit(True)).alias(c) if c == flag else F.col(f"`{c}`") for c in cells.columns])
 
 
 def dilate_by_kernel(cells: DataFrame, flag: str, radius: int = DILATION_DEFAULT, invert: bool = True,
@@ -161,6 +210,39 @@ def regrid_nearest(df: DataFrame, x: Column, y: Column, value: str, x0: float, y
              .agg(F.min_by("_v", order).alias(value), F.count(F.lit(1)).alias("n_src")))
 
 
+def target_cells(x: Column, y: Column, source: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
+    """(row, col) of every cell of the target grid inside the extent of the source's
+    projected cell centres ``(x, y)``."""
+    lines = (source.agg(F.min(x).alias("x_lo"), F.max(x).alias("x_hi"), F.min(y).alias("y_lo"), F.max(y).alias("y_hi"))
+             .filter("x_lo is not null and y_lo is not null")
+             .select(F.floor((F.col("x_lo") - x0) / res).alias("_c0"), F.floor((F.col("x_hi") - x0) / res).alias("_c1"),
+                     F.explode(F.sequence(F.floor((F.lit(y0) - F.col("y_hi")) / res).cast("long"),
+                                          F.floor((F.lit(y0) - F.col("y_lo")) / res).cast("long"))).alias("row")))
+    # One row a line comes from one task; the cells are made where the lines are dealt to.
+    return lines.repartition("row").select("row", F.explode(F.sequence(F.col("_c0").cast("long"), F.col("_c1").cast("long"))).alias("col"))
+
+
+def regrid(source: DataFrame, values: list[str], forward: Callable, inverse: Callable, lon0: float, lat0: float,
+           step: float, x0: float, y0: float, res: float) -> DataFrame:
+    """(row, col, values...) of a target grid, nearest source cell to each target centre.
+
+    The source is a geographic grid whose cell (x, y) is centred at ``lon0 + step * x``,
+    ``lat0 - step * y``. Target cell (row, col) is centred at ``x0 + (col + 0.5) * res``,
+    ``y0 - (row + 0.5) * res`` in the projection that ``forward(lon, lat)`` gives; its centre goes
+    through ``inverse(x, y)`` to the source cell around it, which is gathered by an
+    equi-join. So every target cell over the source has a value, however fine the target
+    is. Cells of the source's extent that it does not cover have nulls.
+    """
+    px, py = forward(F.lit(lon0) + F.lit(step) * F.col("x"), F.lit(lat0) - F.lit(step) * F.col("y"))
+    cells = target_cells(px, py, source, x0, y0, res)
+    lon, lat = inverse(F.lit(x0) + (F.col("col") + 0.5) * res, F.lit(y0) - (F.col("row") + 0.5) * res)
+    placed = cells.withColumns({"_lon": lon, "_lat": lat}).select(
+        "row", "col", F.floor((F.col("_lon") - lon0) / step + 0.5).cast("long").alias("_x"),
+        F.floor((F.lit(lat0) - F.col("_lat")) / step + 0.5).cast("long").alias("_y"))
+    src = source.select(F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), *values)
+    return placed.join(src, ["_x", "_y"], "left").select("row", "col", *values)
+
+
 def tile_rows(df: DataFrame, bands, nodata: dict, tile: int, keys=(), x: str = "x", y: str = "y") -> DataFrame:
     """K4: one row per (keys, tile, band): the values of the tile's cells and, beside
     them, each cell's row-major place in the tile (``y % tile * tile + x % tile``), so a

@@ -166,6 +166,21 @@ def overlay_active(spark, sf):
     return a.select(iso_day("t").alias("t"), "fid", "attr")
 
 
+@register("overlay_counts", operators=("J9", "J11"), oracle=oracle_with("""
+SELECT strftime(fr.t, '%Y-%m-%dT%H:%M:%S') AS t, COUNT(f.fid) AS n_active
+FROM fr LEFT JOIN features f
+  ON COALESCE(f.start_time, (SELECT MIN(t) FROM fr)) <= fr.t
+ AND fr.t <= COALESCE(f.end_time, (SELECT MAX(t) FROM fr)) GROUP BY 1""", "features",
+    fr="SELECT DISTINCT l_shipdate + INTERVAL 8 HOUR * (l_orderkey % 3) AS t FROM lineitem"))
+def overlay_counts(spark, sf):
+    """How many features are active at each observation time (three a day)."""
+    from ..sources.tables import read_table
+    frames = read_table(spark, sf, "lineitem").select(F.timestamp_add(
+        "HOUR", (F.col("l_orderkey") % 3 * 8).cast("int"), F.col("l_shipdate").cast("timestamp_ntz")).alias("t")).distinct()
+    counts = overlay.active_counts(frames, view(spark, sf, "features"))
+    return counts.select(iso_ts("t").alias("t"), "n_active")
+
+
 @register("bbox_overlaps", operators=("J10",), oracle=oracle_with("""
 SELECT a.id AS id_a, b.id AS id_b, GREATEST(a.minx, b.minx) AS minx, GREATEST(a.miny, b.miny) AS miny,
        LEAST(a.maxx, b.maxx) AS maxx, LEAST(a.maxy, b.maxy) AS maxy
@@ -179,6 +194,30 @@ def bbox_overlaps(spark, sf):
     return overlay.overlapping_boxes(a, b)
 
 
+@register("bbox_overlap_counts", operators=("J10",), oracle=oracle_with("""
+SELECT a.id, COUNT(b.id) AS n_overlaps, MIN(b.id) AS first_overlap
+FROM a LEFT JOIN b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy
+GROUP BY a.id""", "scenes", a="SELECT * FROM scenes WHERE product = 'ls89_c2l2_sp'",
+    b="SELECT * FROM scenes WHERE product <> 'ls89_c2l2_sp'"))
+def bbox_overlap_counts(spark, sf):
+    """For every scene of one product how many scenes of the others overlap it."""
+    sc = view(spark, sf, "scenes")
+    return overlay.overlap_counts(sc.filter(F.col("product") == "ls89_c2l2_sp"), sc.filter(F.col("product") != "ls89_c2l2_sp"))
+
+
+@register("bbox_overlap_footprints", operators=("J10",), oracle=oracle_with("""
+SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, GREATEST(a.minx, b.minx) AS minx, GREATEST(a.miny, b.miny) AS miny,
+       LEAST(a.maxx, b.maxx) AS maxx, LEAST(a.maxy, b.maxy) AS maxy
+FROM a JOIN b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy""", "scenes",
+    **{s: f"""SELECT MIN(id) AS id, COUNT(*) AS n, minx, miny, maxx, maxy FROM scenes WHERE product = '{p}'
+              GROUP BY minx, miny, maxx, maxy""" for s, p in (("a", "ls89_c2l2_sp"), ("b", "s2_l2a"))}))
+def bbox_overlap_footprints(spark, sf):
+    """Overlapping pairs of different footprints, each with the number of its scenes."""
+    sc = view(spark, sf, "scenes")
+    pairs = overlay.overlapping_distinct_boxes(sc.filter(F.col("product") == "ls89_c2l2_sp"), sc.filter(F.col("product") == "s2_l2a"))
+    return pairs.select("id_a", "id_b", "n_a", "n_b", "minx", "miny", "maxx", "maxy")
+
+
 CLIP_AOI = (-20.0, -40.0, 60.0, 40.0)
 
 

@@ -26,6 +26,22 @@ def missing_assets(spark, sf):
         "scene_id", "asset_key", "url")
 
 
+# The listing as a second provider leaves it: some names with a prefix or an ending, some
+# scenes without files of their own but with a folder called like the file.
+_RELABELLED = """SELECT CASE CAST(hash_no AS INT) WHEN 0 THEN path WHEN 1 THEN concat(path, '.aux.xml') WHEN 2 THEN concat(dir, '/copy/old-', fname)
+             WHEN 3 THEN concat(dir, '/', fname, '/part.bin') ELSE concat(dir, '/', lower(fname)) END AS path
+      FROM (SELECT path, length % 5 AS hash_no, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS fname FROM {files}) z"""
+
+
+@register("missing_by_substring", operators=("J4", "F16"), oracle=oracle_with("""
+SELECT scene_id, asset_key, url FROM a2 WHERE NOT EXISTS (
+  SELECT 1 FROM relabelled f WHERE starts_with(f.path, a2.dir || '/') AND contains(f.path, a2.fname))""",
+    "assets", "files", **_A2, relabelled=_RELABELLED.format(files="files")))
+def missing_by_substring(spark, sf):
+    files = spark.sql(_RELABELLED, files=view(spark, sf, "files"))
+    return harvest.missing_by_substring(view(spark, sf, "assets"), files).select("scene_id", "asset_key", "url")
+
+
 @register("harvest_summary", operators=("J5", "J4"), oracle=oracle_with("""
 SELECT COUNT(*) AS n_missing, COUNT(DISTINCT dir) AS n_folders FROM miss""", "assets", "files", **_A2,
     miss=_MISSING))

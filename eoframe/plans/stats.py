@@ -67,6 +67,16 @@ def stretch(spark, sf):
     return b.select(F.round("p_low", 6).alias("p_low"), F.round("p_high", 6).alias("p_high"), n.alias("n"))
 
 
+@register("stretch_by_time", operators=("A10", "F5"), oracle=oracle_with("""
+SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS t, ROUND(q[1], 9) AS p_low, ROUND(q[2], 9) AS p_high
+FROM (SELECT t, quantile_cont(value, [0.02, 0.98]) AS q FROM lb GROUP BY t) z""",
+    "pixels", m=_MASKED_SR_SQL, lb=_union_bands("m", SR_BANDS, "t")))
+def stretch_by_time(spark, sf):
+    """Robust bounds of the scaled reflectances (fractions, not counts) of each time step."""
+    b = stats.percentile_bounds(_masked_sr(spark, sf), SR_BANDS, keys=["t"])
+    return b.select(iso_day("t").alias("t"), r9("p_low").alias("p_low"), r9("p_high").alias("p_high"))
+
+
 @register("rgb_stretch", operators=("F12", "A10"), oracle=oracle_with("""
 SELECT CAST(m.t AS VARCHAR) AS t, m.y, m.x,
   ROUND(CASE WHEN (m.red - q[1]) / NULLIF(q[2] - q[1], 0) IS NOT NULL

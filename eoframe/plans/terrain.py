@@ -94,6 +94,92 @@ def regrid(spark, sf):
     return terrain.regrid_nearest(dem, px, py, "elevation", REGRID_X0, REGRID_Y0, REGRID_RES)
 
 
+# The same grid gathered into finer target cells: every target cell has a value.
+FINE_RES, FINE_X0, FINE_Y0 = 700.0, 960000.0, 5500000.0
+UTM_ZONE, UTM_RES, UTM_X0, UTM_Y0 = 32, 600.0, 570000.0, 4990000.0
+_E2 = geo.WGS84_F * (2 - geo.WGS84_F)
+
+
+def _unproject_ease_sql() -> str:
+    """SQL of (lon, lat) from (tx, ty), the latitude by Newton steps on the authalic function."""
+    import math
+    e = math.sqrt(_E2)
+    s0 = math.sin(math.radians(geo.EASE2_STD_PARALLEL))
+    k0 = math.cos(math.radians(geo.EASE2_STD_PARALLEL)) / math.sqrt(1 - _E2 * s0 * s0)
+
+    def better(f):
+        s = f"SIN({f})"
+        w = f"(1 - {_E2!r} * {s} * {s})"
+        return (f"{f} + {w} * {w} / (2 * COS({f})) * (q / {1 - _E2!r} - {s} / {w} "
+                f"+ {1 / (2 * e)!r} * LN((1 - {e!r} * {s}) / (1 + {e!r} * {s})))")
+    steps = "SELECT *, ASIN(q / 2) AS f0 FROM (SELECT *, ty * " + repr(2 * k0 / geo.WGS84_A) + " AS q FROM tc) z0"
+    for i in range(5):
+        steps = f"SELECT *, {better(f'f{i}')} AS f{i + 1} FROM ({steps}) z{i + 1}"
+    return f"SELECT row, col, DEGREES(tx / {geo.WGS84_A * k0!r}) AS lon, DEGREES(f5) AS lat FROM ({steps}) z"
+
+
+def _utm_sql() -> str:
+    """SQL of the projected centres (px, py) of the source."""
+    a, ep2 = geo.WGS84_A, _E2 / (1 - _E2)
+    m = (f"{a!r} * ({1 - _E2 / 4 - 3 * _E2 ** 2 / 64 - 5 * _E2 ** 3 / 256!r} * f - {3 * _E2 / 8 + 3 * _E2 ** 2 / 32 + 45 * _E2 ** 3 / 1024!r}"
+         f" * SIN(2 * f) + {15 * _E2 ** 2 / 256 + 45 * _E2 ** 3 / 1024!r} * SIN(4 * f) - {35 * _E2 ** 3 / 3072!r} * SIN(6 * f))")
+    return f"""SELECT x, y, elevation,
+      0.9996 * n * (aa + (1 - t + c) * aa ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - {58 * ep2!r}) * aa ** 5 / 120) + 500000 AS px,
+      0.9996 * (m + n * TAN(f) * (aa ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * aa ** 4 / 24
+                + (61 - 58 * t + t * t + 600 * c - {330 * ep2!r}) * aa ** 6 / 720)) AS py
+    FROM (SELECT *, {a!r} / SQRT(1 - {_E2!r} * SIN(f) ** 2) AS n, TAN(f) ** 2 AS t, {ep2!r} * COS(f) ** 2 AS c,
+                 COS(f) * (l - RADIANS({UTM_ZONE * 6 - 183})) AS aa, {m} AS m
+          FROM (SELECT *, RADIANS(45.0 - 0.01 * y) AS f, RADIANS(10.0 + 0.01 * x) AS l FROM dem) z) z2"""
+
+
+def _unproject_utm_sql() -> str:
+    """SQL of (lon, lat) from (tx, ty): the footpoint latitude by fixed-point steps on the
+    meridian arc, then the series around it."""
+    a, ep2 = geo.WGS84_A, _E2 / (1 - _E2)
+    k = 1 - _E2 / 4 - 3 * _E2 ** 2 / 64 - 5 * _E2 ** 3 / 256
+    steps = f"SELECT *, ty / {0.9996 * a * k!r} AS f0 FROM tc"
+    for i in range(12):
+        steps = (f"SELECT *, (ty / {0.9996 * a!r} + {3 * _E2 / 8 + 3 * _E2 ** 2 / 32 + 45 * _E2 ** 3 / 1024!r} * SIN(2 * f{i})"
+                 f" - {15 * _E2 ** 2 / 256 + 45 * _E2 ** 3 / 1024!r} * SIN(4 * f{i}) + {35 * _E2 ** 3 / 3072!r} * SIN(6 * f{i}))"
+                 f" / {k!r} AS f{i + 1} FROM ({steps}) z{i}")
+    return f"""SELECT row, col, {UTM_ZONE * 6 - 183} + DEGREES((d - (1 + 2 * t + c) * d ** 3 / 6
+        + (5 - 2 * c + 28 * t - 3 * c * c + {8 * ep2!r} + 24 * t * t) * d ** 5 / 120) / COS(f)) AS lon,
+      DEGREES(f - TAN(f) * (1 - {_E2!r} * SIN(f) ** 2) / {1 - _E2!r} * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c * c - {9 * ep2!r}) * d ** 4 / 24
+        + (61 + 90 * t + 298 * c + 45 * t * t - {252 * ep2!r} - 3 * c * c) * d ** 6 / 720)) AS lat
+    FROM (SELECT *, f12 AS f, TAN(f12) ** 2 AS t, {ep2!r} * COS(f12) ** 2 AS c,
+                 (tx - 500000) * SQRT(1 - {_E2!r} * SIN(f12) ** 2) / {0.9996 * a!r} AS d FROM ({steps}) z) z2"""
+
+
+def _gather_oracle(project: str, unproject: str, x0: float, y0: float, res: float) -> str:
+    return oracle_with("""
+SELECT c.row, c.col, CAST(d.elevation AS DOUBLE) AS elevation FROM ll c
+LEFT JOIN dem d ON d.x = CAST(FLOOR((c.lon - 10.0) / 0.01 + 0.5) AS BIGINT) AND d.y = CAST(FLOOR((45.0 - c.lat) / 0.01 + 0.5) AS BIGINT)""",
+        "dem", p=project,
+        tc=f"""SELECT row, col, {x0!r} + (col + 0.5) * {res!r} AS tx, {y0!r} - (row + 0.5) * {res!r} AS ty
+FROM (SELECT unnest(range(CAST(FLOOR(({y0!r} - MAX(py)) / {res!r}) AS BIGINT), CAST(FLOOR(({y0!r} - MIN(py)) / {res!r}) AS BIGINT) + 1)) AS row FROM p) a,
+     (SELECT unnest(range(CAST(FLOOR((MIN(px) - {x0!r}) / {res!r}) AS BIGINT), CAST(FLOOR((MAX(px) - {x0!r}) / {res!r}) AS BIGINT) + 1)) AS col FROM p) b""",
+        ll=unproject)
+
+
+@register("regrid_fine", operators=("F27",),
+          oracle=_gather_oracle(_ease_sql(), _unproject_ease_sql(), FINE_X0, FINE_Y0, FINE_RES))
+def regrid_fine(spark, sf):
+    """Elevation on an equal-area grid finer than its own."""
+    fine = terrain.regrid(view(spark, sf, "dem"), ["elevation"], geo.to_ease2, geo.from_ease2, 10.0, 45.0, 0.01,
+                          FINE_X0, FINE_Y0, FINE_RES)
+    return fine.withColumn("elevation", F.col("elevation").cast("double"))
+
+
+@register("regrid_utm", operators=("F27",),
+          oracle=_gather_oracle(_utm_sql(), _unproject_utm_sql(), UTM_X0, UTM_Y0, UTM_RES))
+def regrid_utm(spark, sf):
+    """Elevation on a UTM grid."""
+    zone = F.lit(UTM_ZONE)
+    utm = terrain.regrid(view(spark, sf, "dem"), ["elevation"], lambda lon, lat: geo.to_utm(lon, lat, zone),
+                         lambda x, y: geo.from_utm(x, y, zone), 10.0, 45.0, 0.01, UTM_X0, UTM_Y0, UTM_RES)
+    return utm.withColumn("elevation", F.col("elevation").cast("double"))
+
+
 EXPORT_TILE = 16
 
 
