@@ -64,16 +64,19 @@ def epoch_micros(t) -> Column:
                             _c(t).cast("timestamp_ntz"))
 
 
-def representative_time(dt, start, end) -> Column:
-    """``datetime``, else the range start, else the middle of [start, end]."""
-    mid = F.timestamp_add("SECOND", (F.unix_timestamp(_c(end).cast("timestamp")) -
-                                    F.unix_timestamp(_c(start).cast("timestamp"))) / 2, _c(start))
-    return F.coalesce(_c(dt), _c(start), mid)
+def representative_time(dt, start, end, range_only=None) -> Column:
+    """``datetime``, else the range start; rows that are ``range_only`` (the older
+    layout) get the middle of [start, end], a start alone where there is no end."""
+    half = F.floor(F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / 2)
+    mid = F.coalesce(F.timestamp_add("MICROSECOND", half, _c(start)), _c(start))
+    plain = F.coalesce(_c(dt), _c(start))
+    return plain if range_only is None else F.when(_c(range_only), mid).otherwise(plain)
 
 
 def creation_time(created, creation_dt, indexed) -> Column:
-    """``created``, else a parsable ``creation_dt`` text, else the index time."""
-    return F.coalesce(_c(created), F.try_to_timestamp(_c(creation_dt)), _c(indexed))
+    """``created``, else ``creation_dt`` (text, or null where it did not parse), else
+    the index time."""
+    return F.coalesce(_c(created), _c(creation_dt).try_cast("timestamp_ntz"), _c(indexed))
 
 
 def year_of(t) -> Column:

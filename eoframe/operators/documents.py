@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as docs
 from ..functions import geo, text
+from ..session import cut_lineage
+from ..sources.versions import VersionedTable
 from .ranking import consecutive_index
 
 LABEL_HEAD, LABEL_TAIL = 25, 6
@@ -135,6 +137,17 @@ def product_upsert(existing: DataFrame, incoming: DataFrame, update: bool = Fals
     return outcomes, kept_old.unionByName(keep_new, allowMissingColumns=True)
 
 
+def update_products(table: VersionedTable, incoming: DataFrame, update: bool = False, name: str = "name") -> DataFrame:
+    """K2 on a stored table: the outcomes of ``product_upsert``, and a new version with the
+    accepted definitions. Only partitions that change are written; the old version stays
+    readable."""
+    incoming = cut_lineage(incoming)
+    # The outcomes are those against the version before the merge.
+    outcomes = cut_lineage(product_upsert(table.read(), incoming, update, name)[0])
+    table.merge(incoming.join(outcomes.filter("status <> 'failed'").select(name), name, "left_semi"), name)
+    return outcomes
+
+
 def write_documents(doc_df: DataFrame, path: str, doc: str = "doc", partition_cols=("product",),
                     yaml_stream: bool = False, max_docs_per_file: int = 10000) -> None:
     """K3: documents as JSON text (JSON is valid YAML), stale output replaced.

@@ -109,14 +109,14 @@ LEFT JOIN (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, COUNT(*) AS
 def scene_docs(spark, sf):
     d = _scene_docs(spark, sf)
     doc = F.col("doc")
+    scenes_t = view(spark, sf, "scenes").select(F.col("id").alias("scene_id"), F.col("t").cast("timestamp_ntz").alias("_t"))
+    d = d.join(scenes_t, "scene_id")
+    # A sidecar without a scene time: the scene's own range starts at its day.
     center = temporal.representative_time(
         F.try_to_timestamp(F.regexp_replace(doc["properties"]["datetime"], r"\.\d+Z$", ""),
-                           F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.lit(None), F.lit(None))
-    scenes_t = view(spark, sf, "scenes").select(F.col("id").alias("scene_id"), F.col("t").alias("_t"))
-    d = d.join(scenes_t, "scene_id")
+                           F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz"), F.col("_t"), F.col("_t"))
     created = temporal.creation_time(F.lit(None).cast("timestamp_ntz"),
-                                     F.regexp_replace(doc["properties"]["created"], "Z$", ""),
-                                     F.lit(None).cast("timestamp_ntz"))
+                                     F.regexp_replace(doc["properties"]["created"], "Z$", ""), F.col("_t"))
     return d.select(
         "scene_id", F.replace(doc["id"], F.lit("-"), F.lit("")).alias("md5_id"), doc["label"].alias("label"),
         doc["crs"].alias("crs"), doc["properties"]["odc:region_code"].alias("region_code"),
@@ -126,7 +126,7 @@ def scene_docs(spark, sf):
         F.round(doc["grids"]["default"]["transform"][0], 12).alias("gsd"),
         documents.publish_path(PUBLISH_ROOT, "product", text.basename("folder")).alias("publish_to"),
         fdocs.is_eo3(doc["$schema"]).alias("is_eo3"),
-        iso_ts(F.coalesce(center, F.col("_t"))).alias("center_time"),
+        iso_ts(center).alias("center_time"),
         iso_ts(created).alias("created"))
 
 
@@ -252,6 +252,95 @@ def docs_roundtrip(spark, sf):
                          F.col("d.t").alias("t"), F.size(F.col("d.lineage")["source"]).cast("int").alias("n_sources"))
 
 
+# Four kinds of documents made from the scenes, as one catalogue folder holds them: by id,
+# current and older dataset documents with missing or broken times, and items; product
+# definitions with the license in either place, null, or missing; a document without a name.
+_CATALOGUE = f"""
+SELECT 'yaml' AS form, to_json(named_struct('$schema', '{fdocs.EO3_SCHEMA_URL}', 'id', CAST(id AS STRING),
+    'product', named_struct('name', product),
+    'properties', map_filter(map('datetime', CASE WHEN id % 3 <> 0 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'") END,
+        'dtr:start_datetime', CASE WHEN id % 3 = 0 THEN date_format(t + INTERVAL 1 HOUR, "yyyy-MM-dd'T'HH:mm:ss'+02:00'") END,
+        'odc:processing_datetime', CASE WHEN id % 2 = 0 THEN date_format(t + INTERVAL 9 DAY, "yyyy-MM-dd'T'HH:mm:ss") END,
+        'eo:cloud_cover', CAST(cloud_cover AS STRING), 'eo:platform', 'p', 'proj:epsg', '32632'), (k, v) -> v IS NOT NULL),
+    'measurements', map('red', map_filter(map('path', CASE WHEN id % 4 <> 0 THEN 'red.tif' END), (k, v) -> v IS NOT NULL), 'nir', map('path', 'nir.tif')),
+    'accessories', map('nir', map('path', 'other.tif'), 'mtl', map('path', 'mtl.xml')),
+    'lineage', map('level1', array(CONCAT('l1-', id), CONCAT('l1b-', id))))) AS doc
+FROM {{scenes}} WHERE id % 5 IN (0, 1)
+UNION ALL
+SELECT 'yaml', to_json(named_struct('id', CAST(id AS STRING), 'product_type', product,
+    'creation_dt', CASE id % 3 WHEN 0 THEN date_format(t + INTERVAL 3 DAY, "yyyy-MM-dd HH:mm:ss") WHEN 1 THEN 'no date' END,
+    'extent', named_struct('from_dt', date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), 'to_dt', date_format(t + INTERVAL 2 HOUR, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+    'image', named_struct('bands', map('10', map('path', 'b10.tif'), '20', map('path', 'b20.tif'))),
+    'lineage', named_struct('source_datasets', map('ortho', named_struct('id', CONCAT('src-', id), 'x', 1)))))
+FROM {{scenes}} WHERE id % 5 = 2
+UNION ALL
+SELECT 'json', to_json(named_struct('type', 'Feature', 'stac_version', '1.0.0', 'id', CAST(id AS STRING), 'collection', product,
+    'properties', map_filter(map('datetime', CASE WHEN id % 2 = 0 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'") END,
+        'start_datetime', date_format(t + INTERVAL 5 MINUTE, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        'end_datetime', date_format(t + INTERVAL 15 MINUTE, "yyyy-MM-dd'T'HH:mm:ss'Z'"), 'EO:cloud_cover', '5'), (k, v) -> v IS NOT NULL),
+    'assets', map('red', map('href', CONCAT('https://h/', id, '/red.tif')))))
+FROM {{scenes}} WHERE id % 5 = 3
+UNION ALL
+SELECT 'json', CASE WHEN id % 2 = 0 THEN CONCAT('{{{{"id": ', id) ELSE CONCAT('[', id, ']') END FROM {{scenes}} WHERE id % 5 = 4 AND id % 100 < 50
+UNION ALL
+SELECT 'yaml', CASE pos WHEN 0 THEN CONCAT('{{{{"metadata_type": "eo3", "name": "', product, '", "license": "CC-BY-4.0", "metadata": {{{{"product": {{{{"name": "', product, '_v2"}}}}}}}}}}}}')
+    WHEN 1 THEN CONCAT('{{{{"metadata_type": "eo3", "name": "', product, '", "license": "CC0", "metadata": {{{{"license": null}}}}}}}}')
+    WHEN 2 THEN '{{{{"metadata_type": "eo3", "description": "nameless"}}}}' ELSE CONCAT('{{{{"metadata_type": "eo3", "name": "', product, '"}}}}') END
+FROM (SELECT product, MIN(id) % 4 AS pos FROM {{scenes}} GROUP BY product)
+"""
+
+
+@register("mixed_documents", operators=("S3", "S6", "S9", "F39", "F25", "F28", "F30", "F34", "F37", "P20"), oracle=oracle_with("""
+SELECT 'eo3' AS kind, CAST(id AS VARCHAR) AS id, product,
+       strftime(CASE WHEN id % 3 <> 0 THEN t ELSE t - INTERVAL 1 HOUR END, '%Y-%m-%dT%H:%M:%S') AS center_time,
+       CASE WHEN id % 2 = 0 THEN strftime(t + INTERVAL 9 DAY, '%Y-%m-%dT%H:%M:%S') ELSE '2024-05-06T07:08:09' END AS created,
+       CASE WHEN id % 4 <> 0 THEN 'mtl=mtl.xml,nir=other.tif,red=red.tif' ELSE 'mtl=mtl.xml,nir=other.tif' END AS files,
+       'l1-' || id || ',' || 'l1b-' || id AS sources, 'cloud_cover,platform' AS eo, NULL AS license, NULL AS error
+FROM scenes WHERE id % 5 IN (0, 1)
+UNION ALL
+SELECT 'legacy', CAST(id AS VARCHAR), product, strftime(t + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S'),
+       CASE WHEN id % 3 = 0 THEN strftime(t + INTERVAL 3 DAY, '%Y-%m-%dT%H:%M:%S') ELSE '2024-05-06T07:08:09' END,
+       '10=b10.tif,20=b20.tif', 'src-' || id, '', NULL, NULL
+FROM scenes WHERE id % 5 = 2
+UNION ALL
+SELECT 'item', CAST(id AS VARCHAR), product, strftime(CASE WHEN id % 2 = 0 THEN t ELSE t + INTERVAL 5 MINUTE END, '%Y-%m-%dT%H:%M:%S'),
+       '2024-05-06T07:08:09', 'red=https://h/' || id || '/red.tif', '', 'cloud_cover', NULL, NULL
+FROM scenes WHERE id % 5 = 3
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN id % 2 = 0 THEN 'not a JSON document' ELSE 'not an object' END
+FROM scenes WHERE id % 5 = 4 AND id % 100 < 50
+UNION ALL
+SELECT 'product', CASE pos WHEN 0 THEN product || '_v2' ELSE product END, CASE pos WHEN 0 THEN product || '_v2' ELSE product END,
+       NULL, '2024-05-06T07:08:09', '', '', '', CASE pos WHEN 0 THEN 'CC-BY-4.0' WHEN 3 THEN 'default-license' END, NULL
+FROM (SELECT product, MIN(id) % 4 AS pos FROM scenes GROUP BY product) p WHERE pos <> 2""", "scenes"))
+def mixed_documents(spark, sf):
+    """A catalogue folder of all kinds of documents, read back with one reader."""
+    import os
+    from ..functions import mixed
+    from ..sources import landed
+    from ..streaming.incremental import new_run_folder
+    made = spark.sql(_CATALOGUE, scenes=view(spark, sf, "scenes"))
+    root = new_run_folder(spark, "catalogue")
+    (made.select("form", F.when(F.col("form") == "yaml", F.concat(F.lit("---\n"), F.col("doc"))).otherwise(F.col("doc")).alias("value"))
+         .write.option("maxRecordsPerFile", 10000).partitionBy("form").text(root))
+    docs = landed.read_mixed(spark, os.path.join(root, "form=yaml"), os.path.join(root, "form=json"), "*.txt", "*.txt")
+    v, kind = F.col("v"), F.col("kind")
+    indexed = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
+
+    def listed(m):
+        return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    rows = docs.select(
+        "kind", mixed.document_id(v, kind).alias("id"), mixed.product_of(v, kind).alias("product"),
+        iso_ts(F.when(kind != "product", mixed.center_time(v, kind))).alias("center_time"),
+        iso_ts(F.when(kind.isNotNull(), mixed.created_time(v, indexed))).alias("created"),
+        F.when(kind.isNotNull(), listed(mixed.file_paths(v, kind))).alias("files"),
+        F.when(kind.isNotNull(), F.array_join(F.flatten(F.map_values(mixed.source_ids(v, kind))), ",")).alias("sources"),
+        F.when(kind.isNotNull(), F.array_join(F.array_sort(F.map_keys(mixed.prefixed_properties(v, "eo:", False))), ",")).alias("eo"),
+        F.when(kind == "product", mixed.license_of(v, "default-license")).alias("license"), "error")
+    # Definitions without a name are skipped.
+    return rows.filter((F.col("kind") != "product") | F.col("id").isNotNull() | F.col("error").isNotNull())
+
+
 @register("product_csv", operators=("S8", "A24"), oracle=oracle_with("""
 SELECT product, product || '/' || CAST(MAX(year(t)) AS VARCHAR) || '.odc-product.yaml' AS url
 FROM scenes GROUP BY product""", "scenes"))
@@ -289,6 +378,33 @@ def product_upsert(spark, sf):
     return outcomes
 
 
+@register("product_update", operators=("K2",), oracle=oracle_with("""
+SELECT COALESCE(n.name, o.name) AS name, COALESCE(n.family, o.family) AS family, COALESCE(n.n_scenes, o.n_scenes) AS n_scenes,
+       CASE WHEN n.name IS NULL THEN NULL WHEN o.name IS NULL THEN 'added' ELSE 'updated' END AS status
+FROM o FULL JOIN n ON o.name = n.name""", "scenes",
+    o="""SELECT product || '_' || region_code AS name, product AS family, COUNT(*) AS n_scenes FROM scenes
+         WHERE t < TIMESTAMP '1996-06-01' GROUP BY ALL""",
+    n="""SELECT product || '_' || region_code AS name, product || '+' AS family, COUNT(*) AS n_scenes FROM scenes
+         WHERE t >= TIMESTAMP '2000-06-01' AND product IN ('s2_l2a', 'nasadem') GROUP BY ALL"""))
+def product_update(spark, sf):
+    """Definitions updated in place: those sent again are replaced (and move to another
+    family's partition), new ones added, the others kept from the old version."""
+    from ..sources.versions import VersionedTable
+    from ..streaming.incremental import new_run_folder
+
+    def defined(df, family):
+        return (df.groupBy(F.concat_ws("_", "product", "region_code").alias("name"), family.alias("family"))
+                  .agg(F.count(F.lit(1)).alias("n_scenes")))
+    sc = view(spark, sf, "scenes")
+    old = defined(sc.filter(F.col("t") < F.lit("1996-06-01").cast("timestamp_ntz")), F.col("product"))
+    new = defined(sc.filter((F.col("t") >= F.lit("2000-06-01").cast("timestamp_ntz")) & F.col("product").isin("s2_l2a", "nasadem")),
+                  F.concat("product", F.lit("+")))
+    table = VersionedTable(spark, new_run_folder(spark, "products"), "family")
+    table.replace(old)
+    outcomes = documents.update_products(table, new, update=True)
+    return table.read().join(outcomes.select("name", "status"), "name", "left")
+
+
 # Display order of dataset properties (known keys first, others last).
 PROPERTY_PRIORITY = ["datetime", "eo:cloud_cover", "odc:region_code", "odc:product", "status"]
 

@@ -82,6 +82,32 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.y*ml") -> Data
     return files.mapInPandas(_parse_yaml_files, _DOC_SCHEMA)
 
 
+def read_json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """JSON documents, one a line, read and checked in the JVM, in the columns of
+    ``read_documents``; a line that is no JSON object gives an error row. Positions are
+    not known (a large file is read by several tasks)."""
+    lines = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+             .select(F.input_file_name().alias("path"), F.col("value").alias("doc")).filter(F.trim("doc") != ""))
+    bad = F.schema_of_variant(F.try_parse_json("doc"))
+    bad = F.when(bad.isNull(), F.lit("not a JSON document")).when(~bad.startswith("OBJECT"), F.lit("not an object"))
+    return lines.select("path", F.lit(None).cast("int").alias("doc_pos"), F.when(bad.isNull(), F.col("doc")).alias("doc"),
+                        bad.alias("error"))
+
+
+def read_mixed(spark: SparkSession, yaml_path: str | None = None, json_path: str | None = None, yaml_glob: str = "*.y*ml",
+               json_glob: str = "*.json") -> DataFrame:
+    """Documents of any kind as VARIANT: (path, doc_pos, v, kind, error)."""
+    from ..functions.mixed import kind_of
+
+    parts = ([read_documents(spark, yaml_path, yaml_glob)] if yaml_path else []) + (
+        [read_json_documents(spark, json_path, json_glob)] if json_path else [])
+    if not parts:
+        raise ValueError("no folder of documents given")
+    docs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    docs = docs.select("path", "doc_pos", F.try_parse_json("doc").alias("v"), "error")
+    return docs.withColumn("kind", F.when(F.col("error").isNull(), kind_of(F.col("v"))))
+
+
 def product_index(docs: DataFrame) -> DataFrame:
     """Product definitions from documents: name from ``metadata.product.name`` or
     ``name``; nameless documents skipped; ordered by file name then position."""

@@ -15,10 +15,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators.documents import upsert_outcomes
 from ..session import scratch_path
+from .key_index import KeyIndex
 
 
 def first_per_id(batch: DataFrame, key: str = "id", order: str = "t") -> DataFrame:
@@ -30,34 +29,16 @@ def first_per_id(batch: DataFrame, key: str = "id", order: str = "t") -> DataFra
     return batch.groupBy(key).agg(pick.alias("_d")).select(key, "_d.*")
 
 
-def _index_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def run_incremental_index(spark: SparkSession, landing: str, index_path: str, checkpoint: str,
-                          schema: T.StructType, valid: Column | None = None, key: str = "id",
-                          order: str = "t", max_files_per_trigger: int | None = None) -> list[dict]:
+def run_incremental_index(spark: SparkSession, landing: str, index: KeyIndex, checkpoint: str,
+                          valid: Column | None = None, order: str = "t", max_files_per_trigger: int | None = None) -> list[dict]:
     """Drain the landing folder into the index; returns per-epoch outcome counts.
     ``max_files_per_trigger`` splits a backlog into batches; by default it is one batch."""
     log: list[dict] = []
 
     def upsert_batch(batch: DataFrame, epoch_id: int) -> None:
-        docs = first_per_id(batch, key, order)
-        if _index_exists(spark, index_path):
-            index = spark.read.schema(schema).parquet(index_path)
-        else:
-            index = spark.createDataFrame([], schema)
-        out = upsert_outcomes(docs, index, key, valid)
-        out = out.persist()
-        counts = {r["status"]: r["n"] for r in out.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        out.filter(F.col("status") == "added").select(*schema.fieldNames()).write.mode("append").parquet(index_path)
-        out.unpersist()
-        log.append({"epoch": epoch_id, **counts})
+        log.append({"epoch": epoch_id, **index.add(first_per_id(batch, index.key, order), valid)})
 
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(index.schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(os.path.join(landing, "*"))

@@ -52,12 +52,10 @@ def test_template_fill_and_missing(spark):
     assert got[1].f is None and got[1].m == ["z"]
 
 
-def test_priority_and_license(spark):
+def test_priority(spark):
     df = spark.createDataFrame([("id",), ("zzz",), ("label",)], "k string")
     ranks = [r[0] for r in df.select(explore.priority_rank("k", ["id", "label"])).collect()]
     assert ranks == [1, 999, 2]
-    lic = spark.range(1).select(explore.product_license(F.lit(None).cast("string"), F.lit("CC-BY-4.0")).alias("l"))
-    assert lic.first().l == "CC-BY-4.0"
 
 
 def test_predicate_udf_and_map_blocks(spark):
