@@ -1,7 +1,7 @@
 """Document functions: sidecar XML extraction, templates, nested-field helpers.
 
-All are Column expressions over one document per row (XML parsed once per
-row with ``from_xml``; maps and structs handled with higher-order functions).
+Column expressions over one document per row (maps and structs by higher-order functions);
+sidecar XML is read by one pass over each document of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Sidecar (MTL) variables as GROUP/ELEMENT paths, the general
 # document settings, and the band -> file-name suffix table of Landsat 8/9
 # Collection 2 Level-2 scenes. "A + B" joins a date and a time.
@@ -61,8 +63,52 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def mtl_schema(variables: dict = MTL_VARIABLES) -> str:
-    """DDL schema for ``from_xml``: one struct per group, string leaves."""
+def mtl_schema(groups: dict[str, list[str]]) -> str:
+    """DDL of one struct per group, string leaves."""
+    return ", ".join(f"{g}: struct<{', '.join(f'{e}: string' for e in es)}>" for g, es in groups.items())
+
+
+def parse_xml_paths(texts: list, groups: dict[str, list[str]]) -> tuple[dict, list]:
+    """One pass over each document: ({(group, element): texts}, errors).
+
+    The value of GROUP/ELEMENT is the own text of the first ELEMENT anywhere inside the
+    first GROUP anywhere in the document. A document that cannot be read to its end has
+    an error and no values.
+    """
+    from xml.etree import ElementTree
+
+    values = {(g, e): [] for g, es in groups.items() for e in es}
+    errors = []
+    for text in texts:
+        found: dict = {}
+        error = None
+        body = "" if text is None else text.strip()
+        if not body:
+            error = "no document"
+        elif not body.startswith("<"):
+            error = "not an XML document"
+        else:
+            try:
+                root = ElementTree.fromstring(body)
+                for g in groups:
+                    below = (e for e in root.iter(g) if e is not root)
+                    if (top := next(below, None)) is not None:
+                        inside: dict = {}
+                        for e in top.iter():
+                            if e is not top:
+                                inside.setdefault(e.tag, e)
+                        found[g] = inside
+            except ElementTree.ParseError as e:
+                error = f"broken XML document: {e.msg}"
+        errors.append(error)
+        for (g, e), column in values.items():
+            at = found.get(g, {}).get(e)
+            column.append(None if at is None else at.text)
+    return values, errors
+
+
+def mtl_groups(variables: dict = MTL_VARIABLES) -> dict[str, list[str]]:
+    """{group: its elements} that the variables and the band files need."""
     groups: dict[str, list[str]] = {}
     for path in variables.values():
         for part in path.split("+"):
@@ -70,28 +116,38 @@ def mtl_schema(variables: dict = MTL_VARIABLES) -> str:
             groups.setdefault(g, [])
             if e not in groups[g]:
                 groups[g].append(e)
-    groups.setdefault("PRODUCT_CONTENTS", [])
-    for e in MTL_FILE_ELEMENTS:
-        if e not in groups["PRODUCT_CONTENTS"]:
-            groups["PRODUCT_CONTENTS"].append(e)
-    return ", ".join(f"{g} struct<{', '.join(f'{e} string' for e in es)}>" for g, es in groups.items())
-
-
-def parse_mtl(xml, variables: dict = MTL_VARIABLES) -> Column:
-    """Parse a sidecar XML once into a struct of its groups (``from_xml``)."""
-    return F.from_xml(_c(xml), mtl_schema(variables))
+    files = groups.setdefault("PRODUCT_CONTENTS", [])
+    files += [e for e in MTL_FILE_ELEMENTS if e not in files]
+    return groups
 
 
 def extract_mtl(df, xml: str = "xml", out: str = "m", variables: dict = MTL_VARIABLES,
-                band_suffixes: dict = MTL_BAND_SUFFIXES):
-    """F22 on a DataFrame: parse ``xml`` once, then add the variables struct ``out``.
-
-    The parse sits behind a Generate (``inline`` of a one-element array):
-    otherwise the optimizer pushes every field access into its own
-    ``from_xml`` call, re-parsing the document once per extracted field.
-    """
-    parsed = df.select("*", F.inline(F.array(F.struct(parse_mtl(xml, variables).alias("_mtl_xml")))))
-    return parsed.withColumn(out, mtl_variables("_mtl_xml", variables, band_suffixes)).drop("_mtl_xml")
+                band_suffixes: dict = MTL_BAND_SUFFIXES, error: str | None = None):
+    """F22 on a DataFrame: one pass over each document of ``xml``, then the variables struct
+    ``out``; ``error`` names a column that says why a document has none. The XML itself is
+    dropped."""
+    groups = mtl_groups(variables)
+    kept = [c for c in df.columns if c != xml]
+    at = df.columns.index(xml)
+    taken = {c.lower() for c in df.columns}
+    if {"_mtl", "_mtl_error"} & taken:
+        raise ValueError("columns _mtl and _mtl_error are the operator's own")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            values, errors = parse_xml_paths(b.column(at).to_pylist(), groups)
+            parts = [pa.StructArray.from_arrays([pa.array(values[g, e], pa.string()) for e in es], es) for g, es in groups.items()]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(i) for i in range(b.num_columns) if i != at], pa.StructArray.from_arrays(parts, list(groups)),
+                 pa.array(errors, pa.string())], [*kept, "_mtl", "_mtl_error"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != xml],
+                        f"_mtl struct<{mtl_schema(groups)}>", "_mtl_error string"])
+    parsed = spread(df).mapInArrow(run, schema).withColumn(out, mtl_variables("_mtl", variables, band_suffixes))
+    if error is not None:
+        parsed = parsed.withColumn(error, F.col("_mtl_error"))
+    return parsed.drop("_mtl", "_mtl_error")
 
 
 def mtl_variables(parsed, variables: dict = MTL_VARIABLES, band_suffixes: dict = MTL_BAND_SUFFIXES) -> Column:

@@ -40,11 +40,10 @@ def folder_summary(assets: DataFrame) -> DataFrame:
 
 def file_ancestors(files: DataFrame, path: str = "path") -> DataFrame:
     """Every (ancestor folder, file) pair: one row per folder level of each file."""
-    parts = F.split(F.col(path), "/")
-    n = F.size(parts)
-    anc = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                      lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    return files.select("*", F.explode(F.when(n > 1, anc).otherwise(F.array())).alias("folder"))
+    depth = F.length(path) - F.length(F.replace(F.col(path), F.lit("/"), F.lit("")))
+    anc = F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))),
+                      lambda i: F.call_function("substring_index", F.col(path), F.lit("/"), i))
+    return files.select("*", F.explode(F.when(depth > 0, anc).otherwise(F.array())).alias("folder"))
 
 
 def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
@@ -67,11 +66,12 @@ def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
 GRAM = 5  # characters of a posting-list key
 
 
-def _grams(name, size: int):
-    """The different runs of ``size`` characters of a name."""
-    n = F.length(name)
-    return F.when(n >= size, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(size)))))
+def _grams(name, size: int, step: int = 1):
+    """Keys of the runs of ``size`` characters of a name in its folder: of every run, or of
+    one every ``step`` characters and the last."""
+    last = F.length(name) - size + 1
+    at = F.array_distinct(F.concat(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step)), F.array(F.greatest(last, F.lit(1)))))
+    return F.when(last >= 1, F.array_distinct(F.transform(at, lambda i: F.xxhash64("dir", F.substring(name, i, F.lit(size))))))
 
 
 def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -81,9 +81,9 @@ def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM)
     A file name holds no slash, so it lies inside one part of a path: in a part of the
     folder itself (then any file there will do), or in a part below it. The different
     parts below each folder are indexed by posting lists: their runs of ``gram``
-    characters. A name that is no whole part is looked up by its rarest run in that folder
-    only; a name with a run that has no posting is missing, and what shares the rarest run
-    is compared.
+    characters, by hash. A name that is no whole part is looked up by the rarest of its runs
+    in that folder only (one run every ``gram`` characters is tried); a name with a run that
+    has no posting is missing, and what shares the rarest run is compared.
     Names shorter than a run are looked up whole, in an index of runs of their own size.
     """
     a = asset_parts(assets)
@@ -101,20 +101,22 @@ def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM)
     whole_part = open_.join(same, ["dir", "fname"], "left_semi")
     open_ = cut_lineage(open_.join(same, ["dir", "fname"], "left_anti"))
 
-    long = open_.filter(F.length(name) >= gram).withColumn("gram", F.explode(_grams(name, gram)))
-    postings = (parts.join(open_.select("dir").distinct(), "dir", "left_semi")
-                .withColumn("gram", F.explode(_grams(F.col("part"), gram))))
-    lengths = postings.groupBy("dir", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (long.join(lengths, ["dir", "gram"], "left").groupBy("dir", "fname")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_r")).filter("_r.n > 0")
-              .select("dir", "fname", F.col("_r.gram").alias("gram")))
-    found = rarest.join(postings, ["dir", "gram"]).filter(F.col("part").contains(name)).select("dir", "fname")
-
-    short = open_.filter(F.length(name) < gram).withColumn("gram", name)
-    near = parts.join(short.select("dir").distinct(), "dir", "left_semi")
-    whole = F.explode(F.flatten(F.array(*[F.coalesce(_grams(F.col("part"), k), F.array().cast("array<string>"))
-                                          for k in range(1, gram)])))
-    found_short = short.join(near.select("dir", whole.alias("gram")), ["dir", "gram"], "left_semi").select("dir", "fname")
+    # A folder without files needs no look-up.
+    open_ = open_.join(parts.select("dir").distinct(), "dir", "left_semi")
+    near = parts.join(open_.select("dir").distinct(), "dir", "left_semi")
+    long = open_.filter(F.length(name) >= gram).withColumn("key", F.explode(_grams(name, gram, gram)))
+    postings = near.withColumn("key", F.explode(_grams(F.col("part"), gram)))
+    lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (long.join(lengths, "key", "left").groupBy("dir", "fname")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("_r")).filter("_r.n > 0")
+              .select("dir", "fname", F.col("_r.key").alias("key")))
+    found = rarest.join(postings, ["dir", "key"]).filter(F.col("part").contains(name)).select("dir", "fname")
+
+    short = open_.filter(F.length(name) < gram).select("dir", "fname", F.xxhash64("dir", name).alias("key"))
+    near_short = parts.join(short.select("dir").distinct(), "dir", "left_semi")
+    keys = F.flatten(F.array_compact(F.array(*[_grams(F.col("part"), k) for k in range(1, gram)])))
+    found_short = (short.join(near_short.select("dir", "part", F.explode(keys).alias("key")), ["dir", "key"])
+                   .filter(F.col("part").contains(name)).select("dir", "fname"))
     have = there.unionByName(whole_part).unionByName(found).unionByName(found_short).distinct()
     return a.join(have, ["dir", "fname"], "left_anti")
 

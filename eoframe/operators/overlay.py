@@ -29,11 +29,11 @@ def frame_caption(t, texts=None) -> "F.Column":
     return F.concat_ws("\n", date, texts) if texts is not None else date
 
 
-INTERVAL_LEVELS = 16  # the frames' span is cut into 2^16 steps
+MOST_LEVELS = 20      # the frames' span is cut into 2^20 steps at most
 SPREAD = 32           # tasks over which the pairs of a node near the root are dealt
 
 
-def dyadic_nodes(lo, hi, levels: int = INTERVAL_LEVELS):
+def dyadic_nodes(lo, hi, levels: int):
     """The fewest dyadic intervals that make up the steps lo..hi: an array of
     ``struct(level, place)``, a node of level k covering 2^k steps; at most two a level."""
     def at(k):
@@ -55,16 +55,18 @@ def _steps(frames: DataFrame, time_col: str, levels: int):
 
 
 def active_features(frames: DataFrame, features: DataFrame, time_col: str = "t",
-                    levels: int = INTERVAL_LEVELS) -> DataFrame:
+                    levels: int | None = None) -> DataFrame:
     """(frame, feature) pairs where ``start <= t <= end``.
 
     Missing starts/ends take the first/last frame time. The frames' span is cut into
-    2^levels steps. A feature goes to the dyadic intervals that make up its own (at most
+    2^levels steps, by default about one a frame. A feature goes to the dyadic intervals that make up its own (at most
     two a level, whatever it spans; one, if it is open at both ends), a frame to the
     intervals above its step, and they meet by an equi-join; the exact predicate decides
     within the first and the last step. Nodes near the root, where long features meet
     all frames, are dealt over several tasks.
     """
+    if levels is None:
+        levels = min(MOST_LEVELS, max(1, frames.select(time_col).distinct().count().bit_length()))
     span, step = _steps(frames, time_col, levels)
     fr = frames.withColumn("_span", span)
     fr = fr.withColumn("_step", step(F.col(time_col), F.col("_span"))).drop("_span")

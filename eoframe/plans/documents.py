@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as fdocs
 from ..functions import geo, temporal, text
 from ..operators import catalog, documents, explore, harvest
+from ..session import cut_lineage
 from ..sources.fixtures import oracle_with, view
 from ..sources.products import PRODUCTS, products as product_table
 from . import register
@@ -49,16 +50,31 @@ def mtl_extract(spark, sf):
                     temporal.date_in_text("m.created").alias("first_date"))
 
 
+@register("mtl_errors", operators=("F22", "S7"), oracle=oracle_with(f"""
+SELECT scene_id, CASE WHEN xml IS NULL OR TRIM(xml) = '' THEN 'no document' WHEN NOT starts_with(LTRIM(xml), '<') THEN 'not an XML document'
+                 WHEN kind IN (3, 4) THEN 'broken XML document' END AS error,
+       CASE WHEN kind IN (5, 6, 7) THEN {_tag('SPACECRAFT_ID')} END AS platform, CASE WHEN kind IN (5, 6, 7) THEN {_tag('CLOUD_COVER')} END AS cloud_cover
+FROM landed""", "mtl_xml",
+    landed="""SELECT scene_id, scene_id % 8 AS kind, CASE scene_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'status: 404' WHEN 3 THEN substr(xml, 1, 900)
+                     WHEN 4 THEN replace(xml, '</IMAGE_ATTRIBUTES>', '') WHEN 5 THEN '  ' || xml ELSE xml END AS xml FROM mtl_xml"""))
+def mtl_errors(spark, sf):
+    """Sidecars as they land, some missing, no XML, cut off or with a tag left open."""
+    kind, xml = F.col("scene_id") % 8, F.col("xml")
+    landed = view(spark, sf, "mtl_xml").select("scene_id", F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit("  "))
+        .when(kind == 2, F.lit("status: 404")).when(kind == 3, F.substring(xml, 1, 900))
+        .when(kind == 4, F.replace(xml, F.lit("</IMAGE_ATTRIBUTES>"), F.lit(""))).when(kind == 5, F.concat(F.lit("  "), xml)).otherwise(xml).alias("xml"))
+    m = fdocs.extract_mtl(landed, "xml", "m", error="error")
+    return m.select("scene_id", F.regexp_replace("error", ": .*$", "").alias("error"), F.col("m.eo_platform").alias("platform"),
+                    F.col("m.eo_cloud_cover").alias("cloud_cover"))
+
+
 IMG_W, IMG_H = 7601, 7721
 PUBLISH_ROOT = "/published"
 
 
 def _scene_docs(spark, sf):
-    # The parsed sidecars feed two branches (band lookup and document);
-    # persisting them means each XML document is parsed once.
-    from pyspark import StorageLevel
-    mtl = (fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m").select("scene_id", "folder", "m")
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    # The parsed sidecars feed two branches (band lookup and document): written once.
+    mtl = cut_lineage(fdocs.extract_mtl(view(spark, sf, "mtl_xml"), "xml", "m").select("scene_id", "folder", "m"))
     files = view(spark, sf, "listing").select(text.dirname("path").alias("folder"), "path",
                                             text.basename("path").alias("fname"))
     # Band paths: the folder's file whose name equals the sidecar's file name (an

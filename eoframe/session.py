@@ -72,3 +72,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for costly work per row: dealt over all cores where it comes in fewer parts (a
+    small input is one file); as it is where it comes in enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

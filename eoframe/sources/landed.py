@@ -59,11 +59,12 @@ _DOC_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField
 
 def _parse_yaml_files(batches):
     import yaml
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the same rules, in C where it is built
     for pdf in batches:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
-                docs = list(yaml.safe_load_all(bytes(content).decode("utf-8")))
+                docs = list(yaml.load_all(bytes(content).decode("utf-8"), Loader=loader))
                 pos = 0
                 for d in docs:
                     if isinstance(d, dict):  # non-mapping documents are dropped

@@ -86,8 +86,8 @@ class KeyIndex:
         """Adds the documents that are new and valid; ``docs`` has one row a key. Returns
         outcome counts, how many keys the filters could not rule out and the buckets read."""
         docs = cut_lineage(docs.select(*self.schema.fieldNames()))
-        suspects = cut_lineage(self.suspects(docs))
-        touched = [r["bucket"] for r in suspects.select("bucket").distinct().collect()]  # at most ``buckets``
+        hits = self.suspects(docs).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``buckets`` rows
+        touched = [r["bucket"] for r in hits]
         if touched and exists(self.spark, self.data):
             present = (self.spark.read.schema(self._stored()).parquet(self.data).filter(F.col("bucket").isin(touched))
                        .select(self.key))
@@ -100,4 +100,4 @@ class KeyIndex:
         bits.write.mode("append").partitionBy("bucket").parquet(self.filters)
         added.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.data)
         counts = {r["status"]: r["n"] for r in out.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return {**counts, "suspects": suspects.count(), "buckets_read": len(touched)}
+        return {**counts, "suspects": sum(r["n"] for r in hits), "buckets_read": len(touched)}

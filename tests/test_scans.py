@@ -51,7 +51,7 @@ def made_features(spark, n=150):
     return rows, spark.createDataFrame(rows, "fid int, start_time timestamp_ntz, end_time timestamp_ntz")
 
 
-@pytest.mark.parametrize("levels", [3, 16])
+@pytest.mark.parametrize("levels", [3, 16, None])
 def test_active_features_equal_all_pairs(spark, levels):
     rows, feats = made_features(spark)
     times = [day(3 * i, i) for i in range(25)] + [day(5)]
@@ -69,7 +69,7 @@ def test_active_features_equal_all_pairs(spark, levels):
 
 def test_a_feature_goes_to_few_nodes(spark):
     spans = [(0, 0), (0, 65535), (1, 65534), (12345, 54321), (7, 65535), (32767, 32768)]
-    df = spark.createDataFrame(spans, "lo long, hi long").withColumn("nodes", overlay.dyadic_nodes(F.col("lo"), F.col("hi")))
+    df = spark.createDataFrame(spans, "lo long, hi long").withColumn("nodes", overlay.dyadic_nodes(F.col("lo"), F.col("hi"), 16))
     for r in df.collect():
         steps = sorted((n.place << n.level, (n.place + 1) << n.level) for n in r.nodes)
         assert steps[0][0] == r.lo and steps[-1][1] == r.hi + 1 and all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
