@@ -51,7 +51,7 @@ class PreTokenizer:
         self.kind = np.full(0x110000, _UNKNOWN, np.uint8)
         self.kind[:128] = [self._ask(chr(c)) for c in range(128)]
         self.counts: dict[bytes, int] = {}
-        self.ids: dict[bytes, np.ndarray] = {}
+        self.ids: dict[bytes, bytes] = {}
 
     def _ask(self, c: str) -> int:
         for kind, start in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
@@ -135,7 +135,11 @@ class PreTokenizer:
                 for m in find.finditer(raw, a, z)]
 
     def encode_each(self, pretokens: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast([p.decode() for p in pretokens], add_special_tokens=False)]
+        out: list[list[int]] = []
+        for i in range(0, len(pretokens), 10_000):
+            part = [p.decode() for p in pretokens[i:i + 10_000]]
+            out += [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def lengths(self, pretokens: list[bytes]) -> np.ndarray:
         """Number of tokens of each, through the worker's cache."""
@@ -167,15 +171,16 @@ class PreTokenizer:
         which[single] = len(at) + np.arange(len(single))
         raw = data.tobytes()
         parts = self._parts([raw[s:e] for s, e in zip(start[picked].tolist(), end[picked].tolist(), strict=True)])
-        n = np.array([len(p) for p in parts], np.int64)
-        flat, begin = np.concatenate(parts), np.cumsum(n) - n
+        n = np.array([len(p) for p in parts], np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.cumsum(n) - n
         total = np.concatenate([[0], np.cumsum(n[which])])
         ids = flat[np.repeat(begin[which] - total[:-1], n[which]) + np.arange(total[-1])]
         return ids, total[first]
 
-    def _parts(self, pretokens: list[bytes]) -> list[np.ndarray]:
+    def _parts(self, pretokens: list[bytes]) -> list[bytes]:
+        """The ids of each, four bytes an id, through the worker's cache."""
         new = list({p for p in pretokens if p not in self.ids})
-        found = dict(zip(new, (np.array(x, np.int64) for x in self.encode_each(new)), strict=True))
+        found = dict(zip(new, (np.array(x, np.int32).tobytes() for x in self.encode_each(new)), strict=True))
         out = [self.ids[p] if p in self.ids else found[p] for p in pretokens]
         if len(self.ids) + len(found) > KEPT_PRETOKENS:
             self.ids.clear()

@@ -183,7 +183,7 @@ def _alignments(batches, shipped):
     for b in batches:
         column = b.column(b.num_columns - 1)
         data, offsets = text_bytes(column)
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, most=1 << 20):
             tiles = both.tile(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo],
                               column.slice(lo, hi - lo).to_pylist())
             yield b, lo, hi, Alignment(tiles)
