@@ -135,13 +135,7 @@ def harvest_plan(assets: DataFrame, files: DataFrame, overwrite: bool = False, c
     return missing_assets(assets, files)
 
 
-def signatures(assets: DataFrame, separator: str = text.TIER_SEPARATOR) -> DataFrame:
-    """Per parent folder the sorted list of file-name ends (after the last tier
-    tag); then folders counted per identical list.
-
-    The first level collects per folder (a scene's handful of files); the
-    second only counts, so no list grows with the number of folders.
-    """
+def _folder_signatures(assets: DataFrame, separator: str) -> DataFrame:
     path = text.unquote(F.try_parse_url(F.col("url"), F.lit("PATH")))
     parts = (assets.select(text.parent_name(path).alias("parent"),
                            text.after_last_match(text.basename(path), separator).alias("part"))
@@ -150,11 +144,27 @@ def signatures(assets: DataFrame, separator: str = text.TIER_SEPARATOR) -> DataF
     # distinct file kinds, however many files the folder holds. Expanded to the
     # part list with duplicates (e.g. [B4, B4, MTL]) only for display.
     per = parts.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("_pn"))
-    per = per.withColumn("sig", F.flatten(F.transform("_pn", lambda e: F.array_repeat(e["part"], e["n"].cast("int")))))
+    return per.withColumn("sig", F.flatten(F.transform("_pn", lambda e: F.array_repeat(e["part"], e["n"].cast("int")))))
+
+
+def signatures(assets: DataFrame, separator: str = text.TIER_SEPARATOR) -> DataFrame:
+    """Per parent folder the sorted list of file-name ends (after the last tier
+    tag); then folders counted per identical list (``folders_by_signature`` names them).
+
+    The first level collects per folder (a scene's handful of files); the
+    second only counts, so no list grows with the number of folders.
+    """
+    per = _folder_signatures(assets, separator)
     return per.groupBy("sig").agg(F.count(F.lit(1)).alias("n_folders"),
                                   F.min("parent").alias("first_folder"), F.max("parent").alias("last_folder"))
 
 
+def folders_by_signature(assets: DataFrame, separator: str = text.TIER_SEPARATOR) -> DataFrame:
+    """(sig, folder), a row per parent folder with the list of its file-name ends. The
+    mapping stays a table, so a signature that most folders share is no long list."""
+    return _folder_signatures(assets, separator).select("sig", F.col("parent").alias("folder"))
+
+
 def folder_sizes(files: DataFrame) -> DataFrame:
     """Cumulative size and file count of every folder (each ancestor gets the sum)."""
     anc = file_ancestors(files.select("path", F.coalesce(F.col("length"), F.lit(0)).alias("length")))

@@ -269,6 +269,31 @@ def tile_rows(df: DataFrame, bands, nodata: dict, tile: int, keys=(), x: str = "
                           F.size("_cells").cast("long").alias("n_cells"))
 
 
+def with_grid(tiles: DataFrame, tile: int, x0: float, y0: float, res: float, projection: str, nodata: dict) -> DataFrame:
+    """K4: tiles with what places them: the six numbers of a north-up grid (left edge, cell
+    width, 0, top edge, 0, minus cell height), the projection and the band's nodata value.
+    The cube's cell (0, 0) has its upper left corner at (x0, y0)."""
+    place = F.array(F.lit(float(x0)) + F.col("tile_x") * float(tile * res), F.lit(float(res)), F.lit(0.0),
+                    F.lit(float(y0)) - F.col("tile_y") * float(tile * res), F.lit(0.0), F.lit(-float(res)))
+    values = F.create_map(*[F.lit(x) for b, v in nodata.items() for x in (b, float(v))])
+    return tiles.withColumns({"geo_transform": place, "projection": F.lit(projection), "nodata": values[F.col("band")],
+                              "tile": F.lit(tile)})
+
+
+def untile(tiles: DataFrame, keys=()) -> DataFrame:
+    """The cells of tiles with a grid: (keys, band, y, x, px, py, value), px and py the
+    centre of the cell; nodata becomes null."""
+    cells = tiles.select(*keys, "band", "tile_y", "tile_x", "tile", "geo_transform", "nodata",
+                         F.explode(F.arrays_zip("values", "places")).alias("_c"))
+    inner = F.col("_c.places")
+    g = F.col("geo_transform")
+    row, col = F.floor(inner / F.col("tile")), inner % F.col("tile")
+    value = F.col("_c.values")
+    return cells.select(*keys, "band", (F.col("tile_y") * F.col("tile") + row).cast("long").alias("y"),
+                        (F.col("tile_x") * F.col("tile") + col).cast("long").alias("x"), (g[0] + (col + 0.5) * g[1]).alias("px"),
+                        (g[3] + (row + 0.5) * g[5]).alias("py"), F.when(value != F.col("nodata"), value).alias("value"))
+
+
 def write_tiles(tiles: DataFrame, path: str, partition_cols=("product", "t")) -> None:
     """K4 sink: tiled Parquet, partitioned for pruning by product and time."""
     cols = [c for c in partition_cols if c in tiles.columns]

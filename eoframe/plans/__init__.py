@@ -23,7 +23,8 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-MODULES = ("landsat", "catalog", "timeseries", "stats", "terrain", "harvest", "explore", "documents", "streams")
+MODULES = ("landsat", "catalog", "timeseries", "stats", "terrain", "harvest", "explore", "documents", "streams",
+           "outcomes")
 
 
 def register(name: str, oracle: str | None = None, operators=()):
