@@ -33,6 +33,12 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+def packed_rows(df: DataFrame) -> DataFrame:
+    """df's rows as one struct column `row_`: an operator's own columns stand beside it and
+    never meet the caller's, whatever those are called. ``select("row_.*")`` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that is never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_texts, slices, split_words, table, text_bytes,
+from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_rows, packed_texts, slices, split_words, table, text_bytes,
                      two_columns, unpack, window_hashes, word_hashes)
 from .components import connected_components
 from .registry import register
@@ -490,17 +490,16 @@ def keep_one(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id"
     """docs, all columns, without near copies: of each component the row with the least id
     (of rows with one id, that with the least hash of its text; of equal rows one). Rows
     without words all stay, but equal rows of one id once."""
-    def known(ident, row):
+    def known(ident, text_hash):
         """Columns without nulls that tell rows apart: the join and the window share them."""
-        return {"_id": F.coalesce(ident.cast("string"), F.lit("")), "_none": ident.isNull(), "_row": row}
+        return {"id_": F.coalesce(ident.cast("string"), F.lit("")), "none_": ident.isNull(), "hash_": text_hash}
 
-    key = ["_id", "_none", "_row"]
+    key = ["id_", "none_", "hash_"]
     kept = (jaccard_components(docs, t, id_col, text_col).where("first")
             .withColumns(known(F.col("doc_id"), F.col("row"))).select(*key).distinct())
-    rows = docs.withColumns(known(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))))
+    rows = packed_rows(docs).withColumns(known(F.col(f"row_.`{id_col}`"), F.xxhash64(F.col(f"row_.`{text_col}`"))))
     one = Window.partitionBy(*key).orderBy(F.lit(1))
-    return (rows.join(kept, key).withColumn("_n", F.row_number().over(one)).where("_n = 1")
-            .select(*[f"`{c}`" for c in docs.columns]))
+    return (rows.join(kept, key).withColumn("n_", F.row_number().over(one)).where("n_ = 1").select("row_.*"))
 
 
 @register("op5_jaccard_join")

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, two_columns
+from .common import materialise, packed_rows, table, two_columns
 from .registry import register
 
 BASE = ("email", "ip", "card", "phone")
@@ -209,7 +209,8 @@ def _selected(spans: DataFrame, model: Redactor) -> DataFrame:
     s = s.withColumn("kind", F.when(F.col("fixed") | F.col("added"), F.col("kind")))
     order = Window.partitionBy("row_id").orderBy("start", "kind")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("row_id").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
+    # What follows, read backwards: a frame that only grows costs a step a row.
+    ahead = Window.partitionBy("row_id").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     fixed_end, fixed_start = F.when(F.col("fixed"), F.col("end")), F.when(F.col("fixed"), F.col("start"))
     added_end = F.when(F.col("added"), F.col("end"))
     s = s.withColumns({"fixed_before": F.max(fixed_end).over(past), "fixed_after": F.min(fixed_start).over(ahead),
@@ -249,36 +250,40 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     A row is known by its id and a hash of its text, so rows with equal ids keep their own
     spans. Only documents with spans have rows in the joined side.
     """
-    text, key = F.col(f"`{text_col}`"), key_of_text(text_col)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     ids = rows.withColumn("row_id", F.monotonically_increasing_id()).withColumn("key", key_of_text("text"))
     spans = materialise(described(proposed(ids, keep=("key",))))
-    chosen = _selected(spans, fit(spans)).where("kind is not null")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    per_doc = (chosen.select("doc_id", "key", "start", "end", names[F.col("kind")].alias("tag")).distinct()
-               .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-               .agg(F.sort_array(F.collect_list(F.struct("start", "end", "tag"))).alias("_spans")))
-    both = docs.join(per_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    # Two passes over a document's spans: where the kept stretches begin, then the pieces.
-    t = f"`{text_col}`"
-    merged = ("aggregate(_spans, cast(array() AS array<struct<start: bigint, end: bigint, tag: string>>), (a, s) -> "
-              "if(size(a) > 0 AND s.start < a[size(a) - 1].end, concat(slice(a, 1, size(a) - 1), array(struct("
-              "a[size(a) - 1].start AS start, greatest(a[size(a) - 1].end, s.end) AS end, a[size(a) - 1].tag AS tag))), "
-              "concat(a, array(s))))")
-    both = both.withColumn("_merged", F.expr(merged))
-    pieces = (f"concat(concat_ws('', transform(_merged, (s, i) -> concat(substring({t}, "
-              "cast(if(i = 0, 0, _merged[i - 1].end) AS int) + 1, cast(s.start - if(i = 0, 0, _merged[i - 1].end) AS int)), s.tag))), "
-              f"substring({t}, cast(_merged[size(_merged) - 1].end AS int) + 1))")
-    changed = F.col("_merged").isNotNull()
-    out = both.withColumn("_text", F.when(changed, F.expr(pieces)).otherwise(text))
+    chosen = (_selected(spans, fit(spans)).where("kind is not null")
+              .select("doc_id", "key", "start", "end", names[F.col("kind")].alias("tag")).distinct())
+    # Spans that overlap one before them belong to its group; a group becomes one tag.
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "end", "tag")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = chosen.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
+    grouped = grouped.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = grouped.groupBy("doc_id", "key", "part").agg(
+        F.min(F.struct("start", "end", "tag"))["tag"].alias("tag"), F.min("start").alias("start"), F.max("end").alias("end"))
+    per_doc = (merged.groupBy(F.col("doc_id").alias("id_"), F.col("key").alias("key_"))
+               .agg(F.sort_array(F.collect_list(F.struct("start", "end", "tag"))).alias("spans_")))
+    held = packed_rows(docs).withColumn("text_", F.col(f"row_.`{text_col}`"))
+    both = held.join(per_doc, F.col(f"row_.`{id_col}`").eqNullSafe(F.col("id_")) & (key_of_text("text_") == F.col("key_")), "left")
+    # Four bytes a character, so that a stretch is found without walking the text. Behind
+    # a Generate, or it would be encoded again for every span.
+    wide = F.when(F.col("spans_").isNotNull(), F.encode("text_", "UTF-32"))
+    both = both.select("*", F.inline(F.array(F.struct(wide.alias("wide_")))))
+    pieces = ("concat(concat_ws('', transform(spans_, (s, i) -> concat(decode(substring(wide_, "
+              "cast(4 * if(i = 0, 0, spans_[i - 1].end) AS int) + 1, cast(4 * (s.start - if(i = 0, 0, spans_[i - 1].end)) AS int)), "
+              "'UTF-32'), s.tag))), decode(substring(wide_, cast(4 * spans_[size(spans_) - 1].end AS int) + 1), 'UTF-32'))")
+    changed = F.col("spans_").isNotNull()
+    out = both.withColumn("clean_", F.when(changed, F.expr(pieces)).otherwise(F.col("text_")))
     cols = []
     for c in docs.columns:
+        own = F.col(f"row_.`{c}`")
         if c == text_col:
-            cols.append(F.col("_text").alias(c))
+            own = F.col("clean_")
         elif c == length_col:
-            cols.append(F.when(changed, F.length("_text")).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
+            own = F.when(changed, F.length("clean_")).otherwise(own).cast(docs.schema[c].dataType)
+        cols.append(own.alias(c))
     return out.select(*cols)
 
 

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed_rows, table
 from .registry import register
 
 SHARDS = 32
@@ -63,19 +63,18 @@ def assign_shards(df: DataFrame, key_col: str, shards: list[str], size: int = SI
                   slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
     """df with its slot and shard. Every row is kept, repeated rows and null keys too.
 
-    Extra columns stay; if df has a column called like one of the two new ones, a
-    ValueError names it. An empty df gives an empty result.
+    Extra columns stay, whatever they are called; if df has a column called like one of
+    the two new ones (in any case), a ValueError names it. An empty df gives an empty result.
     """
-    clash = {slot_name, shard_name} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already; pass other names")
+    clash = {c for c in df.columns if c.lower() in (slot_name.lower(), shard_name.lower())}
+    if clash or slot_name.lower() == shard_name.lower():
+        raise ValueError(f"columns {sorted(clash) or [slot_name, shard_name]} clash; pass other names")
     owner = lookup_table(shards, size)
-    rows = df.sparkSession.createDataFrame(list(enumerate(owner)), f"`{slot_name}` bigint, _shard int")
+    rows = df.sparkSession.createDataFrame(list(enumerate(owner)), "slot_ bigint, shard_ int")
     names = F.array(*[F.lit(s) for s in shards])
-    placed = df.withColumn(slot_name, slot_of(F.col(f"`{key_col}`"), size))
-    return (placed.join(F.broadcast(rows), slot_name, "left")
-            .withColumn(shard_name, names[F.col("_shard")]).drop("_shard")
-            .select(*[f"`{c}`" for c in df.columns], slot_name, shard_name))
+    placed = packed_rows(df).withColumn("slot_", slot_of(F.col(f"row_.`{key_col}`"), size))
+    return (placed.join(F.broadcast(rows), "slot_", "left")
+            .select("row_.*", F.col("slot_").alias(slot_name), names[F.col("shard_")].alias(shard_name)))
 
 
 def write_shards(df: DataFrame, path: str, shard_name: str = "shard", files_per_shard: int = 8) -> None:
