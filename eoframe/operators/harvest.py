@@ -87,7 +87,7 @@ def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM)
     Names shorter than a run are looked up whole, in an index of runs of their own size.
     """
     a = asset_parts(assets)
-    wanted = a.select("dir", "fname").distinct()
+    wanted = cut_lineage(a.select("dir", "fname").distinct())
     anc = (file_ancestors(files.select("path")).select(F.col("folder").alias("dir"), "path")
            .join(wanted.select("dir").distinct(), "dir", "left_semi"))
     parts = (anc.select("dir", F.explode(F.split(F.substring("path", F.length("dir") + 2, F.length("path")), "/")).alias("part"))
