@@ -41,8 +41,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_rows, packed_texts, slices, split_words, table, text_bytes,
-                     two_columns, unpack, window_hashes, word_hashes)
+from .common import (bucketed_table, compact, inside_windows, let_go, lower_ascii, materialise, mix, packed_rows, packed_texts, scratch_table,
+                     slices, split_words, table, text_bytes, two_columns, unpack, window_hashes, word_hashes)
 from .components import connected_components
 from .registry import register
 
@@ -424,17 +424,17 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     hash of the text, and `first` marks the row (and its equals) with the component's least
     (doc_id, row)."""
     docs = two_columns(docs, id_col, text_col)
-    nodes = compact(materialise(_vertices(docs, t)))
+    spark = docs.sparkSession
+    nodes = scratch_table(_vertices(docs, t), "nodes")
     real = nodes.where("n_shingles > 0")
     vertices = real.groupBy("vertex").agg(
         F.min(F.struct("doc_id", "row")).alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_max"),
         F.min("check").alias("check"), F.max("check").alias("check_max"))
-    vertices = compact(materialise(vertices))
+    vertices = scratch_table(vertices, "vertices")
     if vertices.where("n_shingles <> n_max or check <> check_max").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit signature")
-    members = compact(materialise(_members(docs, t)))
-    here = compact(materialise(members.select("cell", "vertex")
-                       .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct()))
+    here = scratch_table(_members(docs, t).select("cell", F.explode(F.array("vertex", "other")).alias("vertex")).distinct(), "here")
+    let_go(spark)
     # The text that others are copies of shares the most cells: it is the best centre.
     shared = here.groupBy("vertex").agg(F.count("*").alias("cells"))
     ranked = here.join(shared, "vertex")
@@ -443,15 +443,23 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
              .groupBy(F.col("centre.vertex").alias("a"), F.col("vertex").alias("b")).agg(F.max("centre.cells").alias("cells")))
     # Texts and points of the vertices that any pair may need.
     wanted = vertices.join(shared, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
-    texts = materialise(_texts(docs, wanted, t))
-    near = compact(materialise(_within_bound(stars, texts, t).join(stars, ["a", "b"])))
+    texts, held = bucketed_table(_texts(docs, wanted, t), "vertex", "texts")
+    let_go(spark)
+    stars = scratch_table(stars, "stars")
+    let_go(spark)
+    near = scratch_table(_within_bound(stars, texts, t).join(stars, ["a", "b"]), "near")
+    let_go(spark)
     # One edge a member first: most others then lie inside a component.
     first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
     linked = compact(materialise(_verified(first, texts, t)))
+    let_go(spark)
     labels = connected_components(linked)
+    let_go(spark)
     rest = _across(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
     linked = compact(materialise(linked.unionAll(_verified(rest, texts, t))))
+    let_go(spark)
     labels = connected_components(linked)
+    let_go(spark)
     # Cells that still hold different components, besides their centre, which has met all;
     # of cells with the same vertices one is enough.
     left = _labelled(here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex")).select("cell", "vertex"), labels)
@@ -462,8 +470,10 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
                 .join(texts.select("vertex", "n_shingles", "point"), "vertex"))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = _leaf_pairs(residual, t).join(tried, ["a", "b"], "left_anti")
-    linked = linked.unionAll(_verified(pairs, texts, t))
+    linked = compact(materialise(linked.unionAll(_verified(pairs, texts, t))))
+    let_go(spark)
     labels = connected_components(linked)
+    spark.sql(f"DROP TABLE {held}")
     of_vertex = (vertices.join(labels.withColumnRenamed("v", "vertex"), "vertex", "left")
                  .select("vertex", "rep", "least_id", F.coalesce("component", "vertex").alias("component")))
     least = of_vertex.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("rep").alias("lead"))
