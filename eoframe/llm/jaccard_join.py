@@ -366,11 +366,12 @@ def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
         if out:
             yield batch(out)
 
-    packed = materialise(
+    packed = scratch_table(
         leaves.select("cell", "slice", "leaf", "vertex", "component", "n_shingles", "point")
         .repartition("cell", "slice", "leaf").sortWithinPartitions("cell", "slice", "leaf", "vertex")
         .mapInArrow(pack, "cell bigint, slice int, leaf bigint, vertices array<bigint>, components array<bigint>, "
-                          "sizes array<bigint>, points binary, low binary, high binary, least bigint, most bigint"))
+                          "sizes array<bigint>, points binary, low binary, high binary, least bigint, most bigint"), "leaves")
+    let_go(residual.sparkSession)
 
     def meet(batches):
         import pyarrow as pa
