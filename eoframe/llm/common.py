@@ -63,25 +63,6 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bucketed_table(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
-    """(df, table): df written to the shared folder in buckets of ``key``, so that joins on
-    it read the buckets and shuffle the other side only. Drop the table when done."""
-    spark = df.sparkSession
-    n, table_name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    (df.repartition(n, key).write.format("parquet").option("path", scratch_path(spark, table_name))
-     .bucketBy(n, key).sortBy(key).saveAsTable(table_name))
-    return spark.table(table_name), table_name
-
-
-def let_go(spark: SparkSession) -> None:
-    """Asks the driver to forget what nothing refers to any more, and with it the shuffle
-    files and checkpoints of steps that were written since."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64 bits (multiply and xor-shift)."""
     h = h ^ (h >> _U(32))
