@@ -64,6 +64,8 @@ def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
 
 
 GRAM = 5  # characters of a posting-list key
+FOLDER_PAIRS = 64  # comparisons of a row in a folder that is compared as a whole
+FOLDER_ROWS = 100_000  # rows of such a folder, names and paths together
 
 
 def _grams(name, size: int, step: int = 1):
@@ -74,10 +76,41 @@ def _grams(name, size: int, step: int = 1):
     return F.when(last >= 1, F.array_distinct(F.transform(at, lambda i: F.xxhash64("dir", F.substring(name, i, F.lit(size))))))
 
 
-def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM) -> DataFrame:
+def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM, pairs: int = FOLDER_PAIRS,
+                         rows: int = FOLDER_ROWS) -> DataFrame:
     """J4, the containment rule: assets whose file name is contained in the path of no file
     anywhere under the asset's folder.
 
+    An anti-join on the folder that compares each name with the paths below it, where that
+    is at most ``pairs`` comparisons a row and the folder has at most ``rows`` rows. Folders
+    with more of both, if any, are looked up by posting lists (``_missing_in_crowded``).
+    """
+    a = asset_parts(assets)
+    # Only ancestors at a depth where some asset folder sits can match.
+    level = F.size(F.split(F.col("dir"), "/"))
+    depths = a.agg(F.collect_set(level)).scalar()
+    below = (file_ancestors(files.select("path")).select(F.col("folder").alias("dir"), "path").filter(F.array_contains(depths, level))
+             .select("dir", F.substring("path", F.length("dir") + 2, F.length("path")).alias("rest")))
+    n, m = F.col("_names"), F.col("_paths")
+    crowded = cut_lineage(a.groupBy("dir").agg(F.count(F.lit(1)).alias("_names"))
+                          .join(below.groupBy("dir").agg(F.count(F.lit(1)).alias("_paths")).hint("merge"), "dir")
+                          .filter((n * m > F.lit(pairs) * (n + m)) | (n + m > rows)).select("dir"))
+    columns = ["dir", "fname", *[c for c in a.columns if c not in ("dir", "fname")]]
+    some = not crowded.isEmpty()
+    few = a.join(crowded, "dir", "left_anti") if some else a
+    here, there = few.alias("a"), below.hint("merge").alias("f")
+    name = F.col("a.fname")
+    found = (F.col("a.dir") == F.col("f.dir")) & (F.col("f.rest").contains(name) | F.col("a.dir").contains(name))
+    missing = here.join(there, found, "left_anti").select(*columns)
+    if some:
+        missing = missing.unionByName(_missing_in_crowded(a.join(crowded, "dir", "left_semi"), below.join(crowded, "dir", "left_semi"),
+                                                          gram).select(*columns))
+    return missing
+
+
+def _missing_in_crowded(a: DataFrame, below: DataFrame, gram: int) -> DataFrame:
+    """The containment rule where a folder has many names and many paths below it.
+
     A file name holds no slash, so it lies inside one part of a path: in a part of the
     folder itself (then any file there will do), or in a part below it. The different
     parts below each folder are indexed by posting lists: their runs of ``gram``
@@ -86,13 +119,8 @@ def missing_by_substring(assets: DataFrame, files: DataFrame, gram: int = GRAM)
     has no posting is missing, and what shares the rarest run is compared.
     Names shorter than a run are looked up whole, in an index of runs of their own size.
     """
-    a = asset_parts(assets)
     wanted = cut_lineage(a.select("dir", "fname").distinct())
-    anc = (file_ancestors(files.select("path")).select(F.col("folder").alias("dir"), "path")
-           .join(wanted.select("dir").distinct(), "dir", "left_semi"))
-    parts = (anc.select("dir", F.explode(F.split(F.substring("path", F.length("dir") + 2, F.length("path")), "/")).alias("part"))
-             .distinct())
-    parts = cut_lineage(parts)  # read for every look-up below
+    parts = cut_lineage(below.select("dir", F.explode(F.split("rest", "/")).alias("part")).distinct())  # read for every look-up below
     name = F.col("fname")
     there = (wanted.filter((name == "") | F.col("dir").contains(name))
              .join(parts.select("dir").distinct(), "dir", "left_semi"))

@@ -3,6 +3,7 @@
 import datetime
 import os
 
+from eoframe.operators import harvest
 from eoframe.plans import load_all
 
 
@@ -22,3 +23,24 @@ def test_scene_docs_broadcasts_no_table(spark, tmp_path):
     assert "BroadcastHashJoin" not in _plan(docs)  # the few band names of a listing are crossed in, no more
     assert sorted(r.scene_id for r in docs.collect()) == list(range(1, 30))
     assert {r.n_bands for r in docs.collect()} == {3}
+
+
+def test_missing_by_substring_compares_within_folders(spark):
+    base = "https://h/"
+    names = ["B4.TIF", "xB5", "", "dir1", "MTL", "T", "zz"]
+    assets = [f"{base}s/dir{d}/{n}" for d in range(4) for n in names] + ["no url", None, base + "top.txt"]
+    files = [f"s/dir{d}/{p}" for d in range(3) for p in ("aB4.TIF", "deep/xB5.x/p", "deep/dir1", "MT")] + ["s/dir2/", "top.txt", None]
+    a = spark.createDataFrame(list(enumerate(assets)), "scene_id int, url string")
+    f = spark.createDataFrame([(p,) for p in files], "path string")
+
+    def missing(url):
+        path = (url or "no url").removeprefix(base)
+        d, _, n = path.rpartition("/")
+        return not any(p and d and p.startswith(d + "/") and n in p for p in files)
+    want = [i for i, u in enumerate(assets) if missing(u)]
+    plain = harvest.missing_by_substring(a, f)
+    assert "xxhash64" not in _plan(plain)  # small folders need no posting lists
+    assert sorted(r.scene_id for r in plain.collect()) == want
+    # All folders, or only some, by posting lists.
+    assert sorted(r.scene_id for r in harvest.missing_by_substring(a, f, pairs=0).collect()) == want
+    assert sorted(r.scene_id for r in harvest.missing_by_substring(a, f, rows=11).collect()) == want
