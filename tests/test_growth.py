@@ -3,7 +3,10 @@
 import datetime
 import os
 
-from eoframe.operators import harvest
+import numpy as np
+import pytest
+
+from eoframe.operators import harvest, imaging
 from eoframe.plans import load_all
 
 
@@ -44,3 +47,29 @@ def test_missing_by_substring_compares_within_folders(spark):
     # All folders, or only some, by posting lists.
     assert sorted(r.scene_id for r in harvest.missing_by_substring(a, f, pairs=0).collect()) == want
     assert sorted(r.scene_id for r in harvest.missing_by_substring(a, f, rows=11).collect()) == want
+
+
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_image_functions_on_sorted_chunks(spark, batch):
+    cells = [(d, x, y, float((31 * x + 17 * y + (d or 0)) % 97) if (x + y) % 5 else None) for d in (1, 2, None) for x in range(-3, 9) for y in range(7)
+             if (x * y + (d or 0)) % 3]
+    off = [(1, None, 2, 5.0), (1, 3, None, 6.0)]  # of no cell
+    df = spark.createDataFrame(cells + off, "t int, x long, y long, v double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = imaging.apply_image_funcs(df, "v", [imaging.tile_stretch], keys=["t"], tile=4)
+        got = {(r.t, r.x, r.y): r.v for r in out.collect()}
+        assert "FlatMapGroupsInPandas" not in _plan(out)  # no call a chunk
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    chunks = {}
+    for t, x, y, v in cells:
+        chunks.setdefault((t, x // 4, y // 4), []).append(np.nan if v is None else v)
+    want = {}
+    for t, x, y, v in cells:
+        c = np.array(chunks[t, x // 4, y // 4])
+        lo, hi = np.nanmin(c), np.nanmax(c)
+        want[t, x, y] = None if v is None or hi == lo else (v - lo) / (hi - lo)
+    assert got == want | {o[:3]: None for o in off}
+    assert imaging.apply_image_funcs(df.limit(0), "v", [imaging.tile_stretch], keys=["t"], tile=4).count() == 0
