@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pytest
 
+from eoframe.functions import documents as fdocs
 from eoframe.operators import harvest, imaging
 from eoframe.plans import load_all
 
@@ -73,3 +74,16 @@ def test_image_functions_on_sorted_chunks(spark, batch):
         want[t, x, y] = None if v is None or hi == lo else (v - lo) / (hi - lo)
     assert got == want | {o[:3]: None for o in off}
     assert imaging.apply_image_funcs(df.limit(0), "v", [imaging.tile_stretch], keys=["t"], tile=4).count() == 0
+
+
+def test_band_files_by_one_lookup_a_name(spark):
+    suffixes = {"a": "_B1", "b": "X_B1", "c": "", "d": "_B1", "e": "_QA"}
+    names = [["s_B1.TIF", " X_B1.TIF ", None], [None, "s_QA.TIF", "t_QA.TIF"], ["", ".TIF", "_B1.tif"], [None, None, None]]
+    want = [[(b, next(n.strip(" ") for n in row if n and n.strip(" ").endswith(s + ".TIF"))) for b, s in suffixes.items()
+             if any(n and n.strip(" ").endswith(s + ".TIF") for n in row)] for row in names]
+    assert fdocs.band_files(list(zip(*names)), suffixes) == want
+    assert fdocs.band_files([[], []], suffixes) == []
+    xml = "<r><PRODUCT_CONTENTS><FILE_NAME_BAND_4> S_SR_B4.TIF </FILE_NAME_BAND_4></PRODUCT_CONTENTS></r>"
+    m = fdocs.extract_mtl(spark.createDataFrame([(1, xml), (2, "<r"), (3, None)], "id int, xml string"), "xml", "m")
+    assert _plan(m).count("endswith") == 0  # not every band with every file in one expression
+    assert {r.id: r.m.bands for r in m.collect()} == {1: {"red": "S_SR_B4.TIF"}, 2: {}, 3: {}}
