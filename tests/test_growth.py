@@ -1,14 +1,17 @@
 """Steps whose disk, memory or time grew faster than their input."""
 
 import datetime
+import json
 import os
 
 import numpy as np
 import pytest
+import yaml
 
 from eoframe.functions import documents as fdocs
 from eoframe.operators import harvest, imaging
 from eoframe.plans import load_all
+from eoframe.sources import landed
 
 
 def _plan(df):
@@ -87,3 +90,43 @@ def test_band_files_by_one_lookup_a_name(spark):
     m = fdocs.extract_mtl(spark.createDataFrame([(1, xml), (2, "<r"), (3, None)], "id int, xml string"), "xml", "m")
     assert _plan(m).count("endswith") == 0  # not every band with every file in one expression
     assert {r.id: r.m.bands for r in m.collect()} == {1: {"red": "S_SR_B4.TIF"}, 2: {}, 3: {}}
+
+
+def test_files_of_documents_are_handed_on_in_slices():
+    import pyarrow as pa
+
+    n = 2 * landed.ROWS_OUT + 5
+    good = "".join(f"---\n{json.dumps({'id': i})}\n" for i in range(n)).encode()
+    files = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "content": [good, b"---\n{bad\n", good]})
+    out = list(landed._parse_yaml_files(iter([files])))
+    assert max(b.num_rows for b in out) <= landed.ROWS_OUT  # never all documents of all files at once
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["path"], r["doc_pos"], json.loads(r["doc"])["id"]) for r in rows if r["error"] is None] == [(p, i, i) for p in "ac" for i in range(n)]
+    assert [(r["path"], r["doc_pos"], r["doc"]) for r in rows if r["error"]] == [("b", None, None)]
+
+
+STREAMS = ["---\n%s\n" % d for d in (
+    '{"a": 1, "b": [1.5, 1e5, 1.5e3, 1.5e+3, -0, -0.0, null, true], "a": 2}', '{"a": NaN, "b": Infinity}', '{"d": "2020-01-01", "<<": "x"}',
+    '{"d": 2020-01-01}', '{"u": "\\u00e9", "v": "é"}', '{"s": "\\ud83d\\ude00"}', '{"%s": 1}' % ("k" * 1100), '{"a": "%s"}' % ("v" * 1100),
+    '{"a":1} {"b":2}', '{"a": 1} # said', '{"a": 1', '{"a": "x\n---\ny"}', "[1]", "text", "", "k: v", "? [1, 2]\n: 3", '{"a": 1}\r---\r{"b": 2}')]
+
+
+@pytest.mark.parametrize("i", range(len(STREAMS)))
+def test_one_line_documents_read_as_yaml_reads_them(i, monkeypatch):
+    calls = []
+    load = yaml.load_all
+    monkeypatch.setattr(yaml, "load_all", lambda *a, **k: calls.append(a) or load(*a, **k))
+    plain = "".join('---\n{"n": %d, "t": "x"}\n' % k for k in range(50))
+    assert landed._parse_stream(plain.encode())[1] is None and not calls  # JSON's own reader does
+    text = STREAMS[i] + STREAMS[0]
+    try:
+        want = [json.dumps(d, default=str) for d in load(text, Loader=landed._loader()) if isinstance(d, dict)], None
+    except Exception as e:  # noqa: BLE001
+        want = [], f"{type(e).__name__}: {e}"
+    assert landed._parse_stream(text.encode()) == want
+
+
+def test_listing_of_a_folder_given_with_its_scheme(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert [r.rel_path for r in landed.list_files(spark, root, "**.txt").collect()] == ["a.txt"]
