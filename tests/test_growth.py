@@ -1,6 +1,7 @@
 """Steps whose disk, memory or time grew faster than their input."""
 
 import datetime
+import glob
 import json
 import os
 
@@ -11,6 +12,7 @@ import yaml
 from eoframe.functions import documents as fdocs
 from eoframe.operators import harvest, imaging
 from eoframe.plans import load_all
+from eoframe.session import checkpoint_dir
 from eoframe.sources import landed
 
 
@@ -130,3 +132,15 @@ def test_listing_of_a_folder_given_with_its_scheme(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
         assert [r.rel_path for r in landed.list_files(spark, root, "**.txt").collect()] == ["a.txt"]
+
+
+def test_sidecar_folders_are_written_by_many_tasks(spark, tmp_path):
+    keys = [400 * f + k for f in range(18) for k in (7, 3, 300, 3)]  # the first scene of each folder comes twice
+    before = set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/sidecars-*"))
+    got = load_all()["sidecar_outcomes"].build(spark, _orders(spark, str(tmp_path), keys)).collect()
+    kinds = ["not found", "several sidecar files", "not an XML document", "broken XML document", None, None]
+    assert sorted((int(r.folder[2:]), r.error and r.error.split(":")[0], r.wrs_path) for r in got) == [
+        (f, kinds[f % 6], str((400 * f + 3) % 7 + 1) if f % 6 > 3 else None) for f in range(18)]
+    folder, = set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/sidecars-*")) - before
+    written = [os.path.basename(p) for p in glob.glob(folder + "/*/part-*.txt")]
+    assert len(written) == 18 and len({p.split("-")[1] for p in written}) > 3
