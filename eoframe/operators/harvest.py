@@ -16,6 +16,9 @@ from ..session import cut_lineage
 from .ranking import consecutive_index
 
 
+ROWS_A_PART = 500_000  # rows that a task sorts
+
+
 def asset_parts(assets: DataFrame) -> DataFrame:
     """Relative path (host and query removed), folder and file name of each asset URL."""
     rel = text.url_path("url")
@@ -27,9 +30,11 @@ def assets_by_folder(assets: DataFrame) -> DataFrame:
 
     The folder -> URLs mapping stays a keyed table rather than one list per
     folder, so a folder holding a large share of all assets is never
-    gathered into a single value.
+    gathered into a single value. There are as many parts as hold ``ROWS_A_PART`` rows each
+    (a count of the assets first), so what a task sorts does not grow with the table.
     """
-    return asset_parts(assets).select("dir", "url").repartition("dir").sortWithinPartitions("dir", "url")
+    parts = max(assets.sparkSession.sparkContext.defaultParallelism, assets.count() // ROWS_A_PART + 1)
+    return asset_parts(assets).select("dir", "url").repartition(parts, "dir").sortWithinPartitions("dir", "url")
 
 
 def folder_summary(assets: DataFrame) -> DataFrame:
