@@ -218,8 +218,11 @@ def target_cells(x: Column, y: Column, source: DataFrame, x0: float, y0: float,
              .select(F.floor((F.col("x_lo") - x0) / res).alias("_c0"), F.floor((F.col("x_hi") - x0) / res).alias("_c1"),
                      F.explode(F.sequence(F.floor((F.lit(y0) - F.col("y_hi")) / res).cast("long"),
                                           F.floor((F.lit(y0) - F.col("y_lo")) / res).cast("long"))).alias("row")))
-    # One row a line comes from one task; the cells are made where the lines are dealt to.
-    return lines.repartition("row").select("row", F.explode(F.sequence(F.col("_c0").cast("long"), F.col("_c1").cast("long"))).alias("col"))
+    # One row a line comes from one task; the cells are made where the lines are dealt to. A
+    # line is small and its cells are many, so the number of parts is not left to their size.
+    spark = source.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lines.repartition(parts, "row").select("row", F.explode(F.sequence(F.col("_c0").cast("long"), F.col("_c1").cast("long"))).alias("col"))
 
 
 def regrid(source: DataFrame, values: list[str], forward: Callable, inverse: Callable, lon0: float, lat0: float,
@@ -231,16 +234,23 @@ def regrid(source: DataFrame, values: list[str], forward: Callable, inverse: Cal
     ``y0 - (row + 0.5) * res`` in the projection that ``forward(lon, lat)`` gives; its centre goes
     through ``inverse(x, y)`` to the source cell around it, which is gathered by an
     equi-join. So every target cell over the source has a value, however fine the target
-    is. Cells of the source's extent that it does not cover have nulls.
+    is. Cells of the source's extent that it does not cover have nulls; those beyond the
+    source's lines and columns (most of a grid that bends in the projection) are not joined.
     """
     px, py = forward(F.lit(lon0) + F.lit(step) * F.col("x"), F.lit(lat0) - F.lit(step) * F.col("y"))
     cells = target_cells(px, py, source, x0, y0, res)
     lon, lat = inverse(F.lit(x0) + (F.col("col") + 0.5) * res, F.lit(y0) - (F.col("row") + 0.5) * res)
     placed = cells.withColumns({"_lon": lon, "_lat": lat}).select(
         "row", "col", F.floor((F.col("_lon") - lon0) / step + 0.5).cast("long").alias("_x"),
-        F.floor((F.lit(lat0) - F.col("_lat")) / step + 0.5).cast("long").alias("_y"))
+        F.floor((F.lit(lat0) - F.col("_lat")) / step + 0.5).cast("long").alias("_y"), F.monotonically_increasing_id().alias("_n"))
     src = source.select(F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), *values)
-    return placed.join(src, ["_x", "_y"], "left").select("row", "col", *values)
+    x1, x2, y1, y2 = src.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    near = F.coalesce(F.col("_x").between(x1, x2) & F.col("_y").between(y1, y2), F.lit(False))
+    # The number keeps the filters above the projection, whose long series they would repeat.
+    over = placed.filter("_n >= 0")
+    nulls = [F.lit(None).cast(src.schema[v].dataType).alias(v) for v in values]
+    joined = over.filter(near).join(src, ["_x", "_y"], "left").select("row", "col", *values)
+    return joined.unionByName(over.filter(~near).select("row", "col", *nulls))
 
 
 def tile_rows(df: DataFrame, bands, nodata: dict, tile: int, keys=(), x: str = "x", y: str = "y") -> DataFrame:

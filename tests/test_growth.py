@@ -8,9 +8,10 @@ import os
 import numpy as np
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from eoframe.functions import documents as fdocs
-from eoframe.operators import harvest, imaging
+from eoframe.operators import harvest, imaging, terrain
 from eoframe.plans import load_all
 from eoframe.session import checkpoint_dir
 from eoframe.sources import landed
@@ -144,3 +145,29 @@ def test_sidecar_folders_are_written_by_many_tasks(spark, tmp_path):
     folder, = set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/sidecars-*")) - before
     written = [os.path.basename(p) for p in glob.glob(folder + "/*/part-*.txt")]
     assert len(written) == 18 and len({p.split("-")[1] for p in written}) > 3
+
+
+def test_target_cells_are_made_by_many_tasks(spark):
+    src = spark.createDataFrame([(x, y, x * 10 + y) for x in range(20) for y in range(5)], "x long, y long, v long")
+    cells = terrain.target_cells(F.col("x") * 1.0, F.col("y") * -1.0, src, 0.0, 0.0, 0.01)
+    assert cells.select(F.spark_partition_id()).distinct().count() > 2 * spark.sparkContext.defaultParallelism
+    assert cells.count() == (1 + 1900) * (1 + 400)
+    # Cells beside the source, or with no inverse at all, have nulls and are not joined.
+    off = terrain.regrid(src, ["v"], lambda lon, lat: (lon, lat),
+                         lambda x, y: (F.when(x > 15, F.lit(None)).otherwise(x + 8), y - 2), 0.0, 0.0, 1.0, -0.5, 0.5, 1.0)
+    assert "Union" in _plan(off)
+    got = {(r.row, r.col): r.v for r in off.collect()}
+    assert got == {(r, c): (c + 8) * 10 + r + 2 if c + 8 < 20 and r + 2 < 5 else None for r in range(5) for c in range(20)}
+
+
+def test_folders_are_sorted_in_parts_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(harvest, "ROWS_A_PART", 20, raising=False)
+    urls = [f"https://h/d{i % 400}/f{i}" for i in range(4000)] + [None, "https://h/top"]
+    out = harvest.assets_by_folder(spark.createDataFrame([(u,) for u in urls], "url string"))
+    rows = out.select("dir", "url", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.url or "") for r in rows) == sorted(u or "" for u in urls)
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.p, []).append((r.dir or "", r.url or ""))
+    assert len(parts) > 100 and all(v == sorted(v) for v in parts.values())
+    assert len({(d, p) for p, v in parts.items() for d, _ in v}) == len({r.dir for r in rows})  # a folder is in one part
