@@ -48,6 +48,7 @@ ROUNDS = 2
 PER_ID = 256                  # tokens of a training task, for each id
 BATCH = 1024
 BLOCK = 2048                  # weights in a row that travels
+CACHED = 1 << 14              # weights moved at a time: all numbers of a step stay in cache
 
 IDS = CLASSES * SIZE
 _U = np.uint64
@@ -102,11 +103,22 @@ class Vocabulary:
         return self.size * 3 // 4
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        other = self.kept + (h % _U(self.size - self.kept)).astype(np.int64)
+        out = self.kept + (h % _U(self.size - self.kept)).astype(np.int64)
         if not len(self.hashes):
-            return other
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], other)
+            return out
+        # Hashes are spread evenly: few share their upper bits, and those stand together.
+        upper = self.hashes >> _U(48)
+        first = np.searchsorted(upper, np.arange((1 << 16) + 1, dtype=np.uint64))
+        top = (h >> _U(48)).astype(np.int64)
+        at, end = first.take(top), first.take(top + 1)
+        look = np.flatnonzero(at < end)
+        while len(look):
+            place = at.take(look)
+            same = self.hashes.take(place) == h.take(look)
+            out[look[same]] = self.ids.take(place[same])
+            at[look] += 1
+            look = look[~same & (place + 1 < end.take(look))]
+        return out
 
     def parts(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log part of each token in its id's tokens, the tokens that are not known and
@@ -142,32 +154,42 @@ def neighbours(ids: np.ndarray, first: np.ndarray, outside: int = IDS) -> np.nda
 
 
 def _hidden(w, near):
-    h = w["near"][0][near[:, 0]]
+    h = w["near"][0].take(near[:, 0], axis=0)
     for c in range(1, len(OFFSETS)):
-        h += w["near"][c][near[:, c]]
+        h += w["near"][c].take(near[:, c], axis=0)
     h += w["hidden"]
     return np.maximum(h, 0, out=h)
 
 
 def _exp(z):
     """exp(z), each row divided by its largest, in place; and the rows' sums."""
-    z -= z.max(1, keepdims=True)
+    z -= np.maximum.reduceat(z.ravel(), np.arange(0, z.size, z.shape[1]))[:, None]
     np.exp(z, out=z)
     return z, z.sum(1)
 
 
+def _log_share(z, at):
+    """Log of each row's part at ``at`` of the row's exponentials; z is used up."""
+    # Far from overflow no row needs its largest taken off.
+    if z.max() > 60 or z.min() < -60:
+        z -= z.max(1, keepdims=True)
+    out = z[np.arange(len(z)), at].astype(float)
+    return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
 def _by_class(w, ids, near):
     """Positions in the order of their classes: (order, hidden layer, classes, places,
     ranges of the classes that occur, place scores)."""
     classes, size = w["place_bias"].shape
     group = ids // size
     order = np.argsort(group.astype(np.uint16) if classes < 1 << 16 else group, kind="stable")
-    h, group, place = _hidden(w, near[order]), group[order], ids[order] % size
-    cuts = np.searchsorted(group, np.arange(classes + 1))
-    ranges = [(k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts))]
-    z = w["place_bias"][group]
+    h, group, place = _hidden(w, near.take(order, axis=0)), group.take(order), ids.take(order) % size
+    cuts = np.searchsorted(group, np.arange(classes + 1)).tolist()
+    ranges = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    z = np.empty((len(h), size), h.dtype)
     for k, a, b in ranges:
-        z[a:b] += h[a:b].dot(w["place"][k])
+        h[a:b].dot(w["place"][k], out=z[a:b])
+    z += w["place_bias"].take(group, axis=0)
     return order, h, group, place, ranges, z
 
 
@@ -176,12 +198,7 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, near: np.ndarray) -> np
     out = np.empty(len(ids))
     for s in range(0, len(ids), 1 << 13):
         order, h, group, place, _, z = _by_class(w, ids[s:s + (1 << 13)], near[s:s + (1 << 13)])
-        row, got = np.arange(len(h)), np.zeros(len(h))
-        for at, y in ((group, h @ w["class"] + w["class_bias"]), (place, z)):
-            y -= y.max(1, keepdims=True)
-            got += y[row, at]
-            got -= np.log(np.exp(y, out=y).sum(1))
-        out[s + order] = got
+        out[s + order] = _log_share(h @ w["class"] + w["class_bias"], group) + _log_share(z, place)
     return out
 
 
@@ -198,7 +215,9 @@ def _gradients(w, ids, near):
     n, row = len(ids), np.arange(len(ids))
     order, h, group, place, ranges, z = _by_class(w, ids, near)
     g = {"place": np.zeros_like(w["place"]), "place_bias": np.zeros_like(w["place_bias"])}
-    p, total = _exp(h @ w["class"] + w["class_bias"])
+    p = h @ w["class"]
+    p += w["class_bias"]
+    p, total = _exp(p)
     p /= total[:, None] * n
     p[row, group] -= 1 / n
     g["class"], g["class_bias"] = h.T @ p, p.sum(0)
@@ -206,28 +225,34 @@ def _gradients(w, ids, near):
     z, total = _exp(z)
     z /= total[:, None] * n
     z[row, place] -= 1 / n
+    back = np.empty_like(dh)
     for k, a, b in ranges:
         part = z[a:b]
-        np.dot(h[a:b].T, part, out=g["place"][k])
-        dh[a:b] += part.dot(w["place"][k].T)
+        h[a:b].T.dot(part, out=g["place"][k])
+        part.dot(w["place"][k].T, out=back[a:b])
+    dh += back
     g["place_bias"][[k for k, _, _ in ranges]] = np.add.reduceat(z, [a for _, a, _ in ranges], axis=0)
     dh *= h > 0
     g["hidden"] = dh.sum(0)
     # One row of the embeddings for each offset and id around.
-    key = (near[order] + np.arange(len(OFFSETS)) * w["near"].shape[1]).T.ravel()
+    key = (near.take(order, axis=0) + np.arange(len(OFFSETS)) * w["near"].shape[1]).T.ravel()
     by = np.argsort(key.astype(np.uint16) if w["near"][..., 0].size <= 1 << 16 else key, kind="stable")
-    key = key[by]
+    key = key.take(by)
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    values, length = dh[by[start] % n], np.diff(np.append(start, len(by)))
-    for k, a in ((k, start[k]) for k in np.flatnonzero(length > 32)):
-        values[k] = dh[by[a:a + length[k]] % n].sum(0)
-    few = np.flatnonzero((length > 1) & (length <= 32))
-    more = 1
-    while len(few):  # the second of each row, the third and so on
-        values[few] += dh[by[start[few] + more] % n]
-        more += 1
-        few = few[length[few] > more]
-    return g, key[start], values
+    length = np.diff(np.append(start, len(by)))
+    # Longest first: rows with a second, a third and so on position stand at the front.
+    front = np.argsort((len(by) - length).astype(np.uint16 if len(by) < 1 << 16 else np.int64), kind="stable")
+    start, length, sums = start.take(front), length.take(front), dh.take(by % n, axis=0)
+    rows, values = key.take(start), sums.take(start, axis=0)
+    ends = np.searchsorted(-length, -np.arange(33)).tolist()  # rows of more than so many
+    long = ends[32]
+    for k, (a, many) in enumerate(zip(start[:long].tolist(), length[:long].tolist(), strict=True)):
+        values[k] = sums[a:a + many].sum(0)
+    for more, end in enumerate(ends[1:32], 1):
+        if end == long:
+            break
+        values[long:end] += sums.take(start[long:end] + more, axis=0)
+    return g, rows, values
 
 
 def train(flat: np.ndarray, batches, rate: float) -> tuple[np.ndarray, int]:
@@ -256,8 +281,11 @@ def train(flat: np.ndarray, batches, rate: float) -> tuple[np.ndarray, int]:
 
     for step, (ids, near) in enumerate(batches, 1):
         g, rows, values = _gradients(w, ids, near)
-        move(flat[cut:], m[cut:], v[cut:], np.concatenate([g[name].ravel() for name in w if name != "near"]), step)
-        x, mx, vx = table[rows], m_table[rows], v_table[rows]
+        rest = np.concatenate([g[name].ravel() for name in w if name != "near"])
+        for a in range(0, len(rest), CACHED):
+            b = cut + a + CACHED
+            move(flat[cut + a:b], m[cut + a:b], v[cut + a:b], rest[a:a + CACHED], step)
+        x, mx, vx = (held.take(rows, axis=0) for held in (table, m_table, v_table))
         move(x, mx, vx, values, step)
         table[rows], m_table[rows], v_table[rows] = x, mx, vx
         seen += len(ids)
@@ -278,7 +306,7 @@ def _positions(batches, vocabulary: Vocabulary, phase: int, rounds: int):
             start = np.repeat(first[:-1], np.diff(first))
             pick = np.flatnonzero((np.arange(len(ids)) - start + (mix(h[start]) % _U(rounds)).astype(np.int64)) % rounds == phase)
             held_ids.append(ids[pick])
-            held_near.append(neighbours(ids, first, vocabulary.size)[pick])
+            held_near.append(neighbours(ids, first, vocabulary.size).take(pick, axis=0))
             held += len(pick)
             if held >= 64 * BATCH:
                 yield from _shuffled(held_ids, held_near)
@@ -291,7 +319,7 @@ def _shuffled(ids, near):
     ids, near = np.concatenate(ids), np.concatenate(near)
     order = np.random.default_rng(len(ids)).permutation(len(ids))
     for s in range(0, len(ids), BATCH):
-        yield ids[order[s:s + BATCH]], near[order[s:s + BATCH]]
+        yield ids.take(order[s:s + BATCH]), near.take(order[s:s + BATCH], axis=0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -267,3 +268,45 @@ def test_gradient_against_differences():
         step = np.zeros_like(flat)
         step[at] = 1e-5
         assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - g[at]) < 1e-4
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_word_lookup_equals_a_search(crowded):
+    """Also of words that share their upper bits with others, and of none at all."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    if crowded:
+        h = h >> np.uint64(14) | np.uint64(0xFFFC << 48)
+    words, size = np.unique(h[:768]), lm_scoring.IDS
+    voc = lm_scoring.Vocabulary(words, rng.permutation(len(words)))
+    known = {int(w): int(i) for w, i in zip(words, voc.ids, strict=True)}
+    other = [voc.kept + int(x) % (size - voc.kept) for x in h]
+    assert voc.of(h).tolist() == [known.get(int(x), o) for x, o in zip(h, other, strict=True)]
+    assert lm_scoring.Vocabulary(words[:0], words[:0].astype(int)).of(h).tolist() == other
+
+
+def test_word_lookup_costs_no_search_a_token():
+    """CPU time beside a sort of the same tokens: five times it with a search for each, once now."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 64, 1 << 18, dtype=np.uint64)
+    voc = lm_scoring.Vocabulary(np.sort(rng.integers(0, 1 << 64, 3072, dtype=np.uint64)), np.arange(3072), 2)
+
+    def cpu(f):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+    assert cpu(lambda: voc.of(h)) < 3 * cpu(lambda: np.sort(h))
+
+
+def test_log_probs_of_scores_far_from_zero():
+    rng = np.random.default_rng(6)
+    flat = rng.normal(0, 0.3, sum(int(np.prod(s)) for s in lm_scoring.shapes().values()))
+    w = lm_scoring.unflatten(flat)
+    ids, near = rng.integers(0, lm_scoring.IDS, 50), rng.integers(0, lm_scoring.IDS + 1, (50, len(lm_scoring.OFFSETS)))
+    expected = lm_scoring.log_probs(w, ids, near)
+    for shift in (-1e4, 1e4):  # the same for all classes, and for all places: no probability changes
+        moved = dict(w, class_bias=w["class_bias"] + shift, place_bias=w["place_bias"] - shift)
+        assert np.allclose(lm_scoring.log_probs(moved, ids, near), expected)
