@@ -8,6 +8,7 @@ character words are the same.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from dataclasses import dataclass
@@ -55,6 +56,13 @@ def compact(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // rows_per_task)))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: the shuffle files of steps that are checkpointed
+    by now, and checkpoints that nothing refers to any more, then go from the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new place in the shared folder, and read from there:
     like a checkpoint, but compressed. Whoever owns the shared folder clears it."""

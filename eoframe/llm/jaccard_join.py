@@ -20,9 +20,13 @@ blocks; a document near a level's edge is put into both.
    pass the bound are verified on the words of the two texts: first one edge a member,
    then only edges between different components.
 4. Cells whose other members still lie in different components (one cell of those with
-   the same members) are packed into leaves of at most LEAF points; leaves whose boxes'
-   summed minima allow a link are paired, points likewise, and the surviving pairs of
-   different components are verified.
+   the same members) are packed into leaves of at most LEAF points, whose points are
+   compared where they are packed; in cells of several leaves those whose boxes' summed
+   minima allow a link are paired, points likewise, and the surviving pairs of different
+   components are verified.
+
+Steps are checkpointed, and what a later step does not need is let go as soon as it is
+replaced, so that the disks hold the cells or the points of the cells, not both.
 
 The result is exact but for collisions of hashes inside a pair: no link between different
 components is left out, and edges inside a component are not expanded.
@@ -41,7 +45,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import (compact, inside_windows, lower_ascii, materialise, mix, packed_rows, packed_texts, slices, split_words, table, text_bytes,
+from .common import (compact, inside_windows, let_go, lower_ascii, materialise, mix, packed_rows, packed_texts, slices, split_words, table, text_bytes,
                      two_columns, unpack, window_hashes, word_hashes)
 from .components import connected_components
 from .registry import register
@@ -123,6 +127,15 @@ def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.maximum(a, b) - np.minimum(a, b)).sum(-1, dtype=np.int64)
 
 
+def near_points(i: np.ndarray, j: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, t: Threshold) -> np.ndarray:
+    """Which pairs of p[i] (sizes n) and q[j] (sizes m) may link by their points."""
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 1 << 13):
+        a, b = i[s:s + (1 << 13)], j[s:s + (1 << 13)]
+        out[s:s + (1 << 13)] = far_apart(p.take(a, axis=0), q.take(b, axis=0)) <= t.differ(n.take(a) + m.take(b))
+    return out
+
+
 def cells(doc: np.ndarray, value: np.ndarray, size: np.ndarray, t: Threshold):
     """(cell, document): the cells that each set is put into."""
     levels = t.levels()
@@ -316,73 +329,112 @@ def _within_bound(pairs: DataFrame, points_of: DataFrame, t: Threshold) -> DataF
     return both.where(near).select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
+def _leaf_pairs(residual: DataFrame, points_of: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (a, b) of different components in one cell that the tree cannot rule out.
 
-    residual(cell, vertex, component, n_shingles, point). A cell's points are packed by
-    size and point into leaves of at most LEAF (a cell of any size is cut evenly over
-    tasks), leaves meet when their boxes allow a link, and the points of two such
-    leaves are compared in one numpy step.
+    residual(cell, rows, vertex, component, n_shingles), rows being the cell's;
+    points_of(vertex, point). A cell of at most LEAF points is a leaf. A larger one is cut
+    by size, and each size evenly, so that a cell of any size is spread over tasks. The
+    points of a leaf are compared where it is packed, and those of two leaves of a cell,
+    if their boxes allow a link, in one numpy step.
     """
     # Number the rows of a cell without gathering a large cell in one task: first within
-    # slices of the cell by size, then slices in order.
-    sliced = residual.withColumn("slice", F.floor(F.log2(F.col("n_shingles")) * 8).cast("int"))
-    sliced = sliced.withColumn("part", F.pmod(F.xxhash64("vertex"), F.lit(1 << 16)))
-    counts = sliced.groupBy("cell", "slice").agg(F.count("*").alias("rows"))
-    leaves = (sliced.join(counts, ["cell", "slice"])
-              .withColumn("leaf", F.pmod(F.col("part"), F.ceil(F.col("rows") / LEAF))))
+    # slices of the cell by size, then slices in order. Points come last: they move once.
+    whole = F.col("rows") <= LEAF
+    sliced = residual.withColumn("slice", F.when(whole, -1).otherwise(F.floor(F.log2("n_shingles") * 8)).cast("int"))
+    counts = sliced.where(~whole).groupBy("cell", "slice").agg(F.count("*").alias("of_slice"))
+    leaf = F.pmod(F.pmod(F.xxhash64("vertex"), F.lit(1 << 16)), F.ceil(F.col("of_slice") / LEAF))
+    leaves = (sliced.join(counts, ["cell", "slice"], "left").withColumn("leaf", F.coalesce(leaf, F.lit(0)))
+              .join(points_of, "vertex"))
 
     def pack(batches):
-        """Leaf rows arrive together; one row out per leaf, with its box."""
+        """Leaf rows arrive together. Out go the pairs (a, b) inside leaves, many in a row,
+        and a row per leaf, with its box, where its cell has others."""
         import pyarrow as pa
 
-        held, key = [], None
-
-        def emit():
-            p = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, GROUPS)
-            n = [r[4] for r in held]
-            return (*key, [r[2] for r in held], [r[3] for r in held], n, p.tobytes(),
-                    p.min(0).tobytes(), p.max(0).tobytes(), min(n), max(n))
-
-        names = ["cell", "slice", "leaf", "vertices", "components", "sizes", "points", "low", "high", "least", "most"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()),
+        names = ["a", "b", "cell", "slice", "leaf", "vertices", "components", "sizes", "points", "low", "high", "least", "most"]
+        longs = pa.list_(pa.int64())
+        types = [longs, longs, pa.int64(), pa.int32(), pa.int64(), longs, longs, longs,
                  pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows, strict=True), types, strict=True)], names)
-        out = []
+
+        def emit(key, parts):
+            """The leaf's pairs, and its row if there is one."""
+            vertex, component, n = (np.concatenate([x[c] for x in parts]) for c in range(3))
+            p = np.frombuffer(b"".join(raw for x in parts for raw in x[3]), np.uint8).reshape(-1, GROUPS)
+            i, j = np.triu_indices(len(vertex), 1)
+            fit = ((component.take(i) != component.take(j))
+                   & (np.minimum(n.take(i), n.take(j)) * 100 >= np.maximum(n.take(i), n.take(j)) * t.percent))
+            i, j = i[fit], j[fit]
+            hit = near_points(i, j, p, n, p, n, t)
+            v, w = vertex.take(i[hit]), vertex.take(j[hit])
+            row = None if key[1] < 0 else (None, None, *key, vertex, component, n, p.tobytes(), p.min(0).tobytes(), p.max(0).tobytes(),
+                                           int(n.min()), int(n.max()))
+            return np.stack([np.minimum(v, w), np.maximum(v, w)], 1), row
+
+        def unique(found):
+            both = np.unique(np.concatenate(found), axis=0)
+            return [(both[s:s + (1 << 12), 0], both[s:s + (1 << 12), 1], *[None] * 11) for s in range(0, len(both), 1 << 12)]
+
+        # Two documents can meet in many cells; what a task finds goes out once at a time.
+        key, parts, found, held, out = None, [], [], 0, []
+
+        def close():
+            nonlocal held
+            pairs, row = emit(key, parts)
+            found.append(pairs)
+            held += len(pairs)
+            out.extend([row] if row else [])
+            if held >= 1 << 20:
+                out.extend(unique(found))
+                found.clear()
+                held = 0
         for b in batches:
-            for cell, piece, leaf, vertex, component, n, point in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (cell, piece, leaf) != key:
-                    if held:
-                        out.append(emit())
-                    held, key = [], (cell, piece, leaf)
-                held.append((cell, piece, vertex, component, n, point))
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in range(6)]
+            point = b.column(6).to_pylist()
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            cuts = np.append(np.flatnonzero(new), b.num_rows).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                here = tuple(int(c[lo]) for c in cols[:3])
+                if here != key:
+                    if parts:
+                        close()
+                    key, parts = here, []
+                parts.append((*[c[lo:hi] for c in cols[3:]], point[lo:hi]))
                 if len(out) >= 64:
                     yield batch(out)
-                    out = []
+                    out.clear()
+        if parts:
+            close()
         if held:
-            out.append(emit())
+            out.extend(unique(found))
         if out:
             yield batch(out)
 
     packed = materialise(
         leaves.select("cell", "slice", "leaf", "vertex", "component", "n_shingles", "point")
         .repartition("cell", "slice", "leaf").sortWithinPartitions("cell", "slice", "leaf", "vertex")
-        .mapInArrow(pack, "cell bigint, slice int, leaf bigint, vertices array<bigint>, components array<bigint>, "
-                          "sizes array<bigint>, points binary, low binary, high binary, least bigint, most bigint"))
+        .mapInArrow(pack, "a array<bigint>, b array<bigint>, cell bigint, slice int, leaf bigint, vertices array<bigint>, "
+                          "components array<bigint>, sizes array<bigint>, points binary, low binary, high binary, "
+                          "least bigint, most bigint"))
+    let_go(residual.sparkSession)
 
     def meet(batches):
         import pyarrow as pa
 
-        def unique(a, z):
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0)
+        def unique(found):
+            both = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-        # Two documents can meet in many cells; what a task finds goes out once at a time.
-        out_a, out_b, held = [], [], 0
+        found, held = [], 0
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
                 one, two = ({k: r[f"{k}_{s}"] for k in ("vertices", "components", "sizes", "points", "low", "high", "most")}
                             for s in "ab")
                 box = [[np.frombuffer(x[k], np.uint8).astype(np.int32) for k in ("low", "high")] for x in (one, two)]
@@ -394,29 +446,25 @@ def _leaf_pairs(residual: DataFrame, t: Threshold) -> DataFrame:
                 v, w = (np.array(x["vertices"], np.int64) for x in (one, two))
                 c, d = (np.array(x["components"], np.int64) for x in (one, two))
                 n, m = (np.array(x["sizes"], np.int64) for x in (one, two))
-                for i in range(len(v)):
-                    ok = (c[i] != d) & (np.minimum(n[i], m) * 100 >= np.maximum(n[i], m) * t.percent)
-                    if r["same"]:
-                        ok &= v[i] < w
-                    hit = np.flatnonzero(ok)
-                    hit = hit[far_apart(p[i], q[hit]) <= t.differ(n[i] + m[hit])]
-                    if len(hit):
-                        out_a.append(np.minimum(v[i], w[hit]))
-                        out_b.append(np.maximum(v[i], w[hit]))
-                        held += len(hit)
+                i, j = np.nonzero((c[:, None] != d) & (np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * t.percent))
+                hit = near_points(i, j, p, n, q, m, t)
+                v, w = v[i[hit]], w[j[hit]]
+                found.append(np.stack([np.minimum(v, w), np.maximum(v, w)], 1))
+                held += len(v)
                 if held >= 1 << 20:
-                    yield unique(out_a, out_b)
-                    out_a, out_b, held = [], [], 0
+                    yield unique(found)
+                    found, held = [], 0
         if held:
-            yield unique(out_a, out_b)
+            yield unique(found)
 
-    sides = [packed.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in packed.columns if c != "cell"]) for s in "ab"]
+    inside = packed.where("a is not null").select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
+    boxed = packed.where("a is null").drop("a", "b")
+    sides = [boxed.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in boxed.columns if c != "cell"]) for s in "ab"]
     order = ((F.col("slice_a") < F.col("slice_b"))
-             | ((F.col("slice_a") == F.col("slice_b")) & (F.col("leaf_a") <= F.col("leaf_b"))))
+             | ((F.col("slice_a") == F.col("slice_b")) & (F.col("leaf_a") < F.col("leaf_b"))))
     fits = F.col("least_b") * t.percent <= F.col("most_a") * 100
-    same = (F.col("slice_a") == F.col("slice_b")) & (F.col("leaf_a") == F.col("leaf_b"))
-    return (sides[0].join(sides[1], "cell").where(order & fits).withColumn("same", same)
-            .mapInArrow(meet, "a bigint, b bigint").distinct())
+    between = sides[0].join(sides[1], "cell").where(order & fits).mapInArrow(meet, "a bigint, b bigint")
+    return inside.unionAll(between).distinct()
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,6 +472,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     hash of the text, and `first` marks the row (and its equals) with the component's least
     (doc_id, row)."""
     docs = two_columns(docs, id_col, text_col)
+    spark = docs.sparkSession
     nodes = compact(materialise(_vertices(docs, t)))
     real = nodes.where("n_shingles > 0")
     vertices = real.groupBy("vertex").agg(
@@ -432,38 +481,55 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     vertices = compact(materialise(vertices))
     if vertices.where("n_shingles <> n_max or check <> check_max").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit signature")
+    let_go(spark)
     members = compact(materialise(_members(docs, t)))
+    let_go(spark)
     here = compact(materialise(members.select("cell", "vertex")
                        .unionAll(members.select("cell", F.col("other").alias("vertex"))).distinct()))
+    del members
+    let_go(spark)
     # The text that others are copies of shares the most cells: it is the best centre.
     shared = here.groupBy("vertex").agg(F.count("*").alias("cells"))
-    ranked = here.join(shared, "vertex")
-    centres = ranked.groupBy("cell").agg(F.max(F.struct("cells", "vertex")).alias("centre"))
-    stars = (here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex"))
-             .groupBy(F.col("centre.vertex").alias("a"), F.col("vertex").alias("b")).agg(F.max("centre.cells").alias("cells")))
+    centres = here.join(shared, "vertex").groupBy("cell").agg(F.max(F.struct("cells", "vertex")).alias("centre"))
+    spokes = compact(materialise(here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex"))
+                                 .select("cell", "vertex", F.col("centre.vertex").alias("centre"), "centre.cells")))
     # Texts and points of the vertices that any pair may need.
-    wanted = vertices.join(shared, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
+    wanted = vertices.join(here, "vertex", "left_semi").select("vertex", "rep.doc_id", "rep.row")
     texts = materialise(_texts(docs, wanted, t))
+    del here, shared, centres, wanted
+    let_go(spark)
+    stars = spokes.groupBy(F.col("centre").alias("a"), F.col("vertex").alias("b")).agg(F.max("cells").alias("cells"))
     near = compact(materialise(_within_bound(stars, texts, t).join(stars, ["a", "b"])))
+    del stars
+    let_go(spark)
     # One edge a member first: most others then lie inside a component.
     first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
     linked = compact(materialise(_verified(first, texts, t)))
     labels = connected_components(linked)
+    let_go(spark)
     rest = _across(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
     linked = compact(materialise(linked.unionAll(_verified(rest, texts, t))))
+    del first, rest
     labels = connected_components(linked)
+    let_go(spark)
     # Cells that still hold different components, besides their centre, which has met all;
     # of cells with the same vertices one is enough.
-    left = _labelled(here.join(centres, "cell").where(F.col("vertex") != F.col("centre.vertex")).select("cell", "vertex"), labels)
-    mixed = (left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"),
+    left = _labelled(spokes.select("cell", "vertex"), labels)
+    mixed = (left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("rows"),
                                       F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("y"))
-             .where("c0 <> c1").groupBy("n", "x", "y").agg(F.min("cell").alias("cell")))
-    residual = (left.join(mixed.select("cell"), "cell", "left_semi")
-                .join(texts.select("vertex", "n_shingles", "point"), "vertex"))
+             .where("c0 <> c1").groupBy("rows", "x", "y").agg(F.min("cell").alias("cell")))
+    residual = compact(materialise(left.join(mixed.select("cell", "rows"), "cell").join(vertices.select("vertex", "n_shingles"), "vertex")
+                                   .select("cell", "rows", "vertex", "component", "n_shingles")))
+    del spokes, left, mixed
+    let_go(spark)
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = _leaf_pairs(residual, t).join(tried, ["a", "b"], "left_anti")
-    linked = linked.unionAll(_verified(pairs, texts, t))
+    pairs = compact(materialise(_leaf_pairs(residual, texts.select("vertex", "point"), t).join(tried, ["a", "b"], "left_anti")))
+    del residual, tried, near
+    let_go(spark)
+    linked = compact(materialise(linked.unionAll(_verified(pairs, texts, t))))
+    del pairs, texts
     labels = connected_components(linked)
+    let_go(spark)
     of_vertex = (vertices.join(labels.withColumnRenamed("v", "vertex"), "vertex", "left")
                  .select("vertex", "rep", "least_id", F.coalesce("component", "vertex").alias("component")))
     least = of_vertex.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("rep").alias("lead"))

@@ -143,6 +143,57 @@ def test_jaccard_hub_with_distant_copies(table_of):
     assert got == {d: c for (_, d), _, c in jaccard_truth(rows, 5, 80)}
 
 
+def common_passage_rows():
+    """Pairs of near copies; all texts share a half, and with it cells."""
+    rows = []
+    for i in range(40):
+        t = [f"c{j}" for j in range(100)] + [f"y{i}_{j}" for j in range(100)]
+        rows += [(10 + i, " ".join(t)), (100 + i, " ".join(t[:190] + [f"z{i}_{j}" for j in range(10)]))]
+    return rows
+
+
+@pytest.mark.parametrize("leaf", [5, 256])
+def test_jaccard_common_passage(table_of, monkeypatch, leaf):
+    """Points of a cell are written down only where it has several leaves: a cell of one is
+    compared where it is packed."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    kept, real = [], jaccard_join.materialise
+
+    def materialise(df):
+        kept.append(real(df))
+        return kept[-1]
+    monkeypatch.setattr(jaccard_join, "materialise", materialise)
+    rows = common_passage_rows()
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table_of(rows)).collect()}
+    assert got == {d: c for (_, d), _, c in jaccard_truth(rows, 5, 80)}
+    assert any("slice" in df.columns for df in kept)
+    written = sum(df.where("points is not null").count() for df in kept if "points" in df.columns)
+    assert written == 0 if leaf == 256 else written > 1
+
+
+@pytest.mark.parametrize("leaf", [3, 256])
+def test_leaf_pairs_equal_all_pairs(spark, monkeypatch, leaf):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rnd, t = np.random.default_rng(9), jaccard_join.Threshold()
+    base = rnd.integers(0, 3, (4, jaccard_join.GROUPS))
+    point = {}
+    for v in range(60):
+        p = base[v % 4].copy()
+        p[rnd.integers(0, len(p), rnd.integers(0, 60))] += 1
+        point[v * 7 - 200] = p.astype(np.uint8)
+    of = {v: int(rnd.integers(0, 30)) for v in point}
+    cells = [(c, [int(v) for v in rnd.choice(list(point), n, replace=False)]) for c, n in enumerate((1, 2, 3, 4, 9, 30, 60), 5)]
+    residual = spark.createDataFrame([(c, len(m), v, of[v], int(point[v].sum())) for c, m in cells for v in m],
+                                     "cell long, rows long, vertex long, component long, n_shingles long")
+    points = spark.createDataFrame([(v, bytearray(p.tobytes())) for v, p in point.items()], "vertex long, point binary")
+    got = [tuple(r) for r in jaccard_join._leaf_pairs(residual, points, t).collect()]
+    size = {v: int(p.sum()) for v, p in point.items()}
+    want = {(a, b) for _, m in cells for a in m for b in m if a < b and of[a] != of[b]
+            and min(size[a], size[b]) * 100 >= max(size[a], size[b]) * t.percent
+            and jaccard_join.far_apart(point[a], point[b]) <= t.differ(size[a] + size[b])}
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
 def test_keep_one(table_of):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (7, "other words are here in this text"), (8, None), (9, ""), (3, "A b c d e f g"),
             (None, "q r s t u v")]
