@@ -161,20 +161,16 @@ def _hidden(w, near):
     return np.maximum(h, 0, out=h)
 
 
-def _exp(z):
-    """exp(z), each row divided by its largest, in place; and the rows' sums."""
+def _less_largest(z):
+    """z without the largest of each row, in place."""
     z -= np.maximum.reduceat(z.ravel(), np.arange(0, z.size, z.shape[1]))[:, None]
-    np.exp(z, out=z)
-    return z, z.sum(1)
+    return z
 
 
-def _log_share(z, at):
-    """Log of each row's part at ``at`` of the row's exponentials; z is used up."""
-    # Far from overflow no row needs its largest taken off.
-    if z.max() > 60 or z.min() < -60:
-        z -= z.max(1, keepdims=True)
-    out = z[np.arange(len(z)), at].astype(float)
-    return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+def _exp(z):
+    """exp(z), each row divided by its largest, in place; and the rows' sums."""
+    np.exp(_less_largest(z), out=z)
+    return z, z.sum(1)
 
 
 def _by_class(w, ids, near):
@@ -198,7 +194,11 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, near: np.ndarray) -> np
     out = np.empty(len(ids))
     for s in range(0, len(ids), 1 << 13):
         order, h, group, place, _, z = _by_class(w, ids[s:s + (1 << 13)], near[s:s + (1 << 13)])
-        out[s + order] = _log_share(h @ w["class"] + w["class_bias"], group) + _log_share(z, place)
+        row, got = np.arange(len(h)), np.zeros(len(h))
+        for at, y in ((group, h @ w["class"] + w["class_bias"]), (place, z)):
+            got += _less_largest(y)[row, at]
+            got -= np.log(np.exp(y, out=y).sum(1))
+        out[s + order] = got
     return out
 
 
