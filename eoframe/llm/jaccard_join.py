@@ -4,7 +4,9 @@ A document is the set of its distinct k-word shingles (hashed to 52 bits). Two
 documents link when ``100 * |A & B| >= t * |A | B|``, so their sets differ in at most
 ``T = (100 - t) * (|A| + |B|) / (100 + t)`` shingles. Shingles are hashed into groups;
 the numbers of shingles per group are the document's point, and the summed coordinate
-minima of two points bound the overlap of the two sets from above.
+minima of two points bound the overlap of the two sets from above. Long documents have
+more groups, or the bound would let all pairs of them pass; for a pair with points of two
+widths the wider one is folded.
 
 In as many dimensions as are needed to tell unrelated documents apart, boxes of an
 R-tree over all points overlap nearly everywhere. The tree's top level is therefore
@@ -39,6 +41,7 @@ unless the whole component has none. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,7 +53,8 @@ from .common import (compact, inside_windows, let_go, lower_ascii, materialise,
 from .components import connected_components
 from .registry import register
 
-GROUPS = 256    # coordinates of a point, a power of two
+GROUPS = 256    # least coordinates of a point, a power of two
+FULL = 4        # most shingles per coordinate, on average, of a longer document's point
 LEAF = 256      # points in a leaf of a cell's tree
 
 _U = np.uint64
@@ -114,10 +118,30 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int):
     return vertex, check, size
 
 
-def points(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Shingles per group, GROUPS numbers a document (255 stands for that or more)."""
-    group = ((value * _U(0x9E3779B97F4A7C15)) >> _U(65 - GROUPS.bit_length())).astype(np.int64)
-    return np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).clip(max=255).astype(np.uint8)
+def widths(size: np.ndarray) -> np.ndarray:
+    """Coordinates of the points of sets of these sizes: powers of two."""
+    least = np.maximum(GROUPS, -(-np.asarray(size, np.int64) // FULL))
+    return np.left_shift(1, np.ceil(np.log2(least)).astype(np.int64))
+
+
+def points(doc: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+    """Shingles per group, a byte each (255 stands for that or more), of each document."""
+    wide = widths(np.bincount(doc, minlength=n))
+    start = np.concatenate([[0], np.cumsum(wide)])
+    shift = (64 - np.log2(wide)).astype(np.uint64)
+    group = ((value * _U(0x9E3779B97F4A7C15)) >> shift[doc]).astype(np.int64)
+    return np.split(np.bincount(start[doc] + group, minlength=start[-1]).clip(max=255).astype(np.uint8), start[1:-1]) if n else []
+
+
+def folded(raw: list[bytes], width: int) -> np.ndarray:
+    """Points at a width that is theirs or less: groups that begin alike are one group."""
+    out = np.empty((len(raw), width), np.uint8)
+    size = np.array([len(x) for x in raw], np.int64)
+    for k in np.unique(size).tolist():
+        of = np.flatnonzero(size == k)
+        p = np.frombuffer(b"".join(raw[i] for i in of), np.uint8).reshape(len(of), width, k // width)
+        out[of] = p[:, :, 0] if k == width else p.sum(-1, dtype=np.int64).clip(max=255)
+    return out
 
 
 def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,12 +151,18 @@ def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.maximum(a, b) - np.minimum(a, b)).sum(-1, dtype=np.int64)
 
 
-def near_points(i: np.ndarray, j: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, t: Threshold) -> np.ndarray:
+def near_points(i: np.ndarray, j: np.ndarray, p: list[bytes], n: np.ndarray, q: list[bytes], m: np.ndarray, t: Threshold) -> np.ndarray:
     """Which pairs of p[i] (sizes n) and q[j] (sizes m) may link by their points."""
     out = np.zeros(len(i), bool)
-    for s in range(0, len(i), 1 << 13):
-        a, b = i[s:s + (1 << 13)], j[s:s + (1 << 13)]
-        out[s:s + (1 << 13)] = far_apart(p.take(a, axis=0), q.take(b, axis=0)) <= t.differ(n.take(a) + m.take(b))
+    width = np.minimum(widths(n).take(i), widths(m).take(j))
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        (of_a, a), (of_b, b) = (np.unique(x.take(at), return_inverse=True) for x in (i, j))
+        one, two = (folded([raw[k] for k in of], w) for raw, of in ((p, of_a), (q, of_b)))
+        step = max(1, (1 << 21) // w)
+        for s in range(0, len(at), step):
+            x, y, of = a[s:s + step], b[s:s + step], at[s:s + step]
+            out[of] = far_apart(one.take(x, axis=0), two.take(y, axis=0)) <= t.differ(n.take(i[of]) + m.take(j[of]))
     return out
 
 
@@ -152,7 +182,10 @@ def cells(doc: np.ndarray, value: np.ndarray, size: np.ndarray, t: Threshold):
         if not len(docs):
             continue
         need = int(levels[level]) + 1
-        blocks = need + 2 + need // 16  # some more, as a block can be empty
+        # More, as a block can be empty: a set with too few filled blocks would share cells
+        # with all others that leave the same block empty. A block gets 2.4 shingles or more
+        # of a set on average, so at most a tenth are empty, give or take a root.
+        blocks = need + 3 + need // 8 + math.isqrt(need)
         n = size[docs]
         at = np.repeat(first[docs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         d = np.repeat(np.arange(len(docs)), n)
@@ -213,10 +246,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
             data, offsets = text_bytes(unpack(b.column(1)))
             for lo, hi in slices(offsets, docs=1 << _DOC_BITS):
                 doc, value = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], t.k)
-                flat = points(doc, value, hi - lo).tobytes()
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.bincount(doc, minlength=hi - lo)),
-                    pa.array([flat[i * GROUPS:(i + 1) * GROUPS] for i in range(hi - lo)], pa.binary()),
+                    pa.array([p.tobytes() for p in points(doc, value, hi - lo)], pa.binary()),
                 ], ["vertex", "text", "n_shingles", "point"])
     return both.mapInArrow(run, "vertex bigint, text binary, n_shingles bigint, point binary")
 
@@ -317,9 +349,8 @@ def _within_bound(pairs: DataFrame, points_of: DataFrame, t: Threshold) -> DataF
         for b in batches:
             if not b.num_rows:
                 continue
-            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-            pa_, pb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (3, 5))
-            ok = far_apart(pa_, pb) <= t.differ(na + nb)
+            each = np.arange(b.num_rows)
+            ok = near_points(each, each, b.column(3).to_pylist(), b.column(2).to_numpy(), b.column(5).to_pylist(), b.column(4).to_numpy(), t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     side = [points_of.select(F.col("vertex").alias(v), F.col("n_shingles").alias(f"n_{v}"),
@@ -355,7 +386,7 @@ def _leaf_pairs(residual: DataFrame, points_of: DataFrame, t: Threshold) -> Data
         names = ["a", "b", "cell", "slice", "leaf", "vertices", "components", "sizes", "points", "low", "high", "least", "most"]
         longs = pa.list_(pa.int64())
         types = [longs, longs, pa.int64(), pa.int32(), pa.int64(), longs, longs, longs,
-                 pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                 pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -363,15 +394,17 @@ def _leaf_pairs(residual: DataFrame, points_of: DataFrame, t: Threshold) -> Data
         def emit(key, parts):
             """The leaf's pairs, and its row if there is one."""
             vertex, component, n = (np.concatenate([x[c] for x in parts]) for c in range(3))
-            p = np.frombuffer(b"".join(raw for x in parts for raw in x[3]), np.uint8).reshape(-1, GROUPS)
+            p = [raw for x in parts for raw in x[3]]
             i, j = np.triu_indices(len(vertex), 1)
             fit = ((component.take(i) != component.take(j))
                    & (np.minimum(n.take(i), n.take(j)) * 100 >= np.maximum(n.take(i), n.take(j)) * t.percent))
             i, j = i[fit], j[fit]
             hit = near_points(i, j, p, n, p, n, t)
             v, w = vertex.take(i[hit]), vertex.take(j[hit])
-            row = None if key[1] < 0 else (None, None, *key, vertex, component, n, p.tobytes(), p.min(0).tobytes(), p.max(0).tobytes(),
-                                           int(n.min()), int(n.max()))
+            row = None
+            if key[1] >= 0:
+                box = folded(p, GROUPS)
+                row = (None, None, *key, vertex, component, n, p, box.min(0).tobytes(), box.max(0).tobytes(), int(n.min()), int(n.max()))
             return np.stack([np.minimum(v, w), np.maximum(v, w)], 1), row
 
         def unique(found):
@@ -420,7 +453,7 @@ def _leaf_pairs(residual: DataFrame, points_of: DataFrame, t: Threshold) -> Data
         leaves.select("cell", "slice", "leaf", "vertex", "component", "n_shingles", "point")
         .repartition("cell", "slice", "leaf").sortWithinPartitions("cell", "slice", "leaf", "vertex")
         .mapInArrow(pack, "a array<bigint>, b array<bigint>, cell bigint, slice int, leaf bigint, vertices array<bigint>, "
-                          "components array<bigint>, sizes array<bigint>, points binary, low binary, high binary, "
+                          "components array<bigint>, sizes array<bigint>, points array<binary>, low binary, high binary, "
                           "least bigint, most bigint"))
     let_go(residual.sparkSession)
 
@@ -442,7 +475,7 @@ def _leaf_pairs(residual: DataFrame, points_of: DataFrame, t: Threshold) -> Data
                 gap = np.maximum(0, np.maximum(box[0][0] - box[1][1], box[1][0] - box[0][1])).sum()
                 if gap > t.differ(one["most"] + two["most"]):
                     continue
-                p, q = (np.frombuffer(x["points"], np.uint8).reshape(-1, GROUPS) for x in (one, two))
+                p, q = one["points"], two["points"]
                 v, w = (np.array(x["vertices"], np.int64) for x in (one, two))
                 c, d = (np.array(x["components"], np.int64) for x in (one, two))
                 n, m = (np.array(x["sizes"], np.int64) for x in (one, two))
@@ -506,11 +539,11 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     first = near.groupBy("b").agg(F.max(F.struct("cells", "a")).alias("c")).select("c.a", "b")
     linked = compact(materialise(_verified(first, texts, t)))
     labels = connected_components(linked)
+    del linked
     let_go(spark)
     rest = _across(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    linked = compact(materialise(linked.unionAll(_verified(rest, texts, t))))
+    labels = _joined(labels, compact(materialise(_verified(rest, texts, t))))
     del first, rest
-    labels = connected_components(linked)
     let_go(spark)
     # Cells that still hold different components, besides their centre, which has met all;
     # of cells with the same vertices one is enough.
@@ -526,9 +559,8 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     pairs = compact(materialise(_leaf_pairs(residual, texts.select("vertex", "point"), t).join(tried, ["a", "b"], "left_anti")))
     del residual, tried, near
     let_go(spark)
-    linked = compact(materialise(linked.unionAll(_verified(pairs, texts, t))))
+    labels = _joined(labels, compact(materialise(_verified(pairs, texts, t))))
     del pairs, texts
-    labels = connected_components(linked)
     let_go(spark)
     of_vertex = (vertices.join(labels.withColumnRenamed("v", "vertex"), "vertex", "left")
                  .select("vertex", "rep", "least_id", F.coalesce("component", "vertex").alias("component")))
@@ -545,11 +577,27 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("component", F.coalesce("component", "vertex")))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components, once per two components and a."""
+def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs(a, b) with the components c_a and c_b of their ends."""
     side = [labels.select(F.col("v").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab"]
-    far = pairs.join(side[0], "a", "left").join(side[1], "b", "left")
-    return far.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    both = pairs.join(side[0], "a", "left").join(side[1], "b", "left")
+    return both.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    return _ends(pairs, labels).where("c_a <> c_b").select("a", "b")
+
+
+def _joined(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """labels (v, component) with the links (a, b) that were found after them: only the
+    components that these touch are joined anew."""
+    if not linked.limit(1).count():
+        return labels
+    merged = connected_components(_ends(linked, labels).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    to = merged.select(F.col("v").alias("component"), F.col("component").alias("to"))
+    moved = labels.join(to, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
+    return compact(materialise(moved.unionAll(merged.join(labels, "v", "left_anti"))))
 
 
 def keep_one(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -215,6 +215,58 @@ def test_points_bound_the_difference():
         assert jaccard_join.far_apart(p[0], p[1]) <= len(shingles(a, 3) ^ shingles(b, 3))
 
 
+def test_wide_points_bound_the_difference():
+    """Long sets have wider points; those of two widths are compared at the smaller one."""
+    rnd, t = random.Random(6), jaccard_join.Threshold()
+    base = [f"w{rnd.randrange(400)}" for _ in range(2060)]
+    texts = [" ".join(x) for x in (base, base[:2040], base[:1700], base[1000:], base[:1030], base[:1010],
+                                   [f"w{rnd.randrange(400)}" for _ in range(2060)], ["w1"])]
+    doc, value = jaccard_join.shingle_sets(*text_bytes(pa.array(texts)), t.k)
+    n = np.bincount(doc)
+    point = jaccard_join.points(doc, value, len(n))
+    assert {256, 512, 1024} == {len(x) for x in point}
+    sets = [shingles(x, t.k) for x in texts]
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            w = min(len(point[i]), len(point[j]))
+            far = jaccard_join.far_apart(*jaccard_join.folded([point[i].tobytes(), point[j].tobytes()], w))
+            assert far <= len(sets[i] ^ sets[j])
+    i, j = (x.ravel() for x in np.indices((len(n), len(n))))
+    near = jaccard_join.near_points(i, j, point, n, point, n, t)
+    linked = np.array([100 * len(sets[a] & sets[b]) >= t.percent * len(sets[a] | sets[b]) for a, b in zip(i, j, strict=True)])
+    assert near[linked].all() and linked[i != j].any()
+
+
+def test_points_of_long_unrelated_texts_are_far_apart():
+    rnd, t = np.random.default_rng(3), jaccard_join.Threshold()
+    n = np.full(12, 9000)
+    doc = np.repeat(np.arange(12), 9000)
+    value = rnd.integers(0, 1 << 63, len(doc)).astype(np.uint64) * np.uint64(2)
+    point = jaccard_join.points(doc, value, 12)
+    i, j = np.triu_indices(12, 1)
+    assert not jaccard_join.near_points(i, j, point, n, point, n, t).any()
+
+
+def test_unrelated_texts_share_no_cells():
+    """Not even those with a few more shingles than a level's least, whose blocks are emptiest."""
+    rnd, t = np.random.default_rng(4), jaccard_join.Threshold()
+    size = np.repeat(np.arange(30, 900, 10), 3)
+    doc = np.repeat(np.arange(len(size)), size)
+    value = rnd.integers(0, 1 << 63, len(doc)).astype(np.uint64) * np.uint64(2)
+    order = np.lexsort((value, doc))
+    cell, of = jaccard_join.cells(doc, value[order], size, t)
+    pairs = {(int(c), int(d)) for c, d in zip(cell, of, strict=True)}
+    assert len(pairs) - len({c for c, _ in pairs}) < len(size) / 10
+
+
+def test_labels_take_later_links(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "v long, component long")
+    links = spark.createDataFrame([(2, 6), (9, 4), (12, 11)], "a long, b long")
+    got = {r.v: r.component for r in jaccard_join._joined(labels, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 4, 9: 4, 4: 4, 12: 11, 11: 11}
+    assert jaccard_join._joined(labels, links.limit(0)) is labels
+
+
 # ---- repeated spans
 
 def spans_truth(rows, n):
