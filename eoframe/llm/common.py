@@ -22,6 +22,7 @@ from ..session import cut_lineage, scratch_path
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2^64
 _POWER_BLOCK = 1 << 16
+FILTER_ROWS = 1024  # texts that filter_rows looks at together
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -242,13 +243,16 @@ def unpack(column):
 
 def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
     """Whole rows of docs, all columns as they are, for which ``keep`` holds. ``keep()`` is
-    called once in a task and gives a function from an Arrow array of texts to booleans."""
+    called once in a task and gives a function from an Arrow array of texts to booleans; it
+    is handed a part of a batch at a time, which bounds what it and the result hold."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         wanted = keep()
-        for b in batches:
-            yield b.filter(pa.array(np.asarray(wanted(b.column(at)), bool)))
+        for whole in batches:
+            for first in range(0, whole.num_rows, FILTER_ROWS):
+                b = whole.slice(first, FILTER_ROWS)
+                yield b.filter(pa.array(np.asarray(wanted(b.column(at)), bool)))
     return docs.mapInArrow(run, docs.schema)
