@@ -14,21 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from eoframe.llm import decontamination, jaccard_join, pii, sentencepiece, toxicity
 from eoframe.llm.common import scratch_table, table, two_columns
 
+#: Rows that move between Spark and Python at once. Rows hold whole texts, and both sides of
+#: every task hold a batch of them; Spark's own 10,000 are tens of MB each.
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that the grammar rejects. It learns from the labelled ones
     among ``docs``."""
+    in_small_batches(spark)
     grammar = toxicity.learn(two_columns(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, grammar)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    in_small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold an item of ``benchmark``."""
+    in_small_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +50,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of all documents."""
+    in_small_batches(spark)
     return sentencepiece.encode(docs)
 
 
