@@ -160,8 +160,9 @@ def from_ease2(x, y) -> tuple[Column, Column]:
     return F.degrees(_c(x) / F.lit(WGS84_A * k0)), F.degrees(lat)
 
 
-def from_utm(x, y, zone, south: bool = False) -> tuple[Column, Column]:
-    """(lon, lat) of UTM coordinates: the inverse series at the footpoint latitude."""
+def utm_line(y, south: bool = False) -> dict[str, Column]:
+    """What ``from_utm`` takes from y alone (the footpoint latitude and its series), by name:
+    the cells of one line of a grid share it."""
     a, e2 = WGS84_A, _e2()
     ep2 = e2 / (1 - e2)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
@@ -172,9 +173,20 @@ def from_utm(x, y, zone, south: bool = False) -> tuple[Column, Column]:
     c, t = ep2 * F.cos(foot) ** 2, F.tan(foot) ** 2
     w = 1 - e2 * F.sin(foot) ** 2
     n, r = a / F.sqrt(w), a * (1 - e2) / (w * F.sqrt(w))
-    d = (_c(x) - UTM_FALSE_EASTING) / (n * UTM_K0)
-    lat = foot - n * F.tan(foot) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * ep2) * d ** 4 / 24
-                                        + (61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * ep2 - 3 * c ** 2) * d ** 6 / 720)
-    lon = (d - (1 + 2 * t + c) * d ** 3 / 6
-           + (5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * ep2 + 24 * t ** 2) * d ** 5 / 120) / F.cos(foot)
+    return {"foot": foot, "unit": n * UTM_K0, "lat2": n * F.tan(foot) / r,
+            "lat4": 5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * ep2,
+            "lat6": 61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * ep2 - 3 * c ** 2,
+            "lon1": F.cos(foot), "lon3": 1 + 2 * t + c, "lon5": 5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * ep2 + 24 * t ** 2}
+
+
+def from_utm(x, y, zone, south: bool = False, line: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """(lon, lat) of UTM coordinates: the inverse series at the footpoint latitude. ``line``
+    is what ``utm_line`` gives for y, where that is at hand."""
+    k = line or utm_line(y, south)
+    d = (_c(x) - UTM_FALSE_EASTING) / k["unit"]
+    # Products, not powers: a power costs more than all the rest of a cell.
+    d2 = d * d
+    d4 = d2 * d2
+    lat = k["foot"] - k["lat2"] * (d2 / 2 - k["lat4"] * d4 / 24 + k["lat6"] * (d4 * d2) / 720)
+    lon = (d - k["lon3"] * (d2 * d) / 6 + k["lon5"] * (d4 * d) / 120) / k["lon1"]
     return F.degrees(lon) + (_c(zone).cast("double") * 6 - 183), F.degrees(lat)

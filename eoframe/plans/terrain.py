@@ -176,7 +176,8 @@ def regrid_utm(spark, sf):
     """Elevation on a UTM grid."""
     zone = F.lit(UTM_ZONE)
     utm = terrain.regrid(view(spark, sf, "dem"), ["elevation"], lambda lon, lat: geo.to_utm(lon, lat, zone),
-                         lambda x, y: geo.from_utm(x, y, zone), 10.0, 45.0, 0.01, UTM_X0, UTM_Y0, UTM_RES)
+                         lambda x, y, line: geo.from_utm(x, y, zone, line=line), 10.0, 45.0, 0.01, UTM_X0, UTM_Y0, UTM_RES,
+                         geo.utm_line)
     return utm.withColumn("elevation", F.col("elevation").cast("double"))
 
 

@@ -11,6 +11,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from eoframe.functions import documents as fdocs
+from eoframe.functions import geo
 from eoframe.operators import harvest, imaging, terrain
 from eoframe.plans import load_all
 from eoframe.session import checkpoint_dir
@@ -160,6 +161,62 @@ def test_target_cells_are_made_by_many_tasks(spark):
     assert got == {(r, c): (c + 8) * 10 + r + 2 if c + 8 < 20 and r + 2 < 5 else None for r in range(5) for c in range(20)}
 
 
+def test_cells_of_a_grid_are_made_from_numbers(spark, monkeypatch):
+    monkeypatch.setattr(terrain, "RUN", 7, raising=False)
+    monkeypatch.setattr(terrain, "CELLS_A_TASK", 40, raising=False)
+    src = spark.createDataFrame([(0, 0), (30, 0), (3, 600), (None, 4), (5, None)], "x long, y long")
+    cells = terrain.target_cells(F.col("x") + 0.5, F.col("y") * -1.0, src, 10.0, -100.0, 1.0)
+    assert "Exchange" not in _plan(cells)  # nothing is listed by one task and dealt out
+    assert cells.rdd.getNumPartitions() >= 601 * 31 // 40  # tasks grow with the cells
+    assert sorted((r.row, r.col) for r in cells.collect()) == [(r, c) for r in range(-100, 501) for c in range(-10, 21)]
+    assert terrain.target_cells(F.col("x"), F.col("y"), src.filter("x > 30"), 0.0, 0.0, 1.0).count() == 0
+
+
+def test_regrid_utm_works_out_a_line_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(terrain, "RUN", 100, raising=False)
+    keys = [*range(128), *range(64 * 600, 64 * 600 + 64)]  # two pieces, six degrees apart
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, 10.5 + k % 900) for k in keys[1:]], "l_partkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = load_all()["regrid_utm"].build(spark, str(tmp_path))
+    above = [line for line in _plan(out).split("Range (")[0].splitlines() if "Generate explode" not in line and "Project" in line and "col#" in line]
+    assert above and not any(f in line for line in above for f in ("SIN(", "COS(", "TAN(", "POWER(", "SQRT("))
+
+    # All cells of the extent, by the inverse series written out for each.
+    def to_utm(lon, lat):
+        phi, e2 = np.radians(lat), geo.WGS84_F * (2 - geo.WGS84_F)
+        ep2, n = e2 / (1 - e2), geo.WGS84_A / np.sqrt(1 - e2 * np.sin(phi) ** 2)
+        t, c, aa = np.tan(phi) ** 2, ep2 * np.cos(phi) ** 2, np.cos(phi) * np.radians(lon - 9)
+        m = geo.WGS84_A * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * np.sin(2 * phi)
+                           + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * np.sin(4 * phi) - 35 * e2 ** 3 / 3072 * np.sin(6 * phi))
+        return (0.9996 * n * (aa + (1 - t + c) * aa ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * ep2) * aa ** 5 / 120) + 500000,
+                0.9996 * (m + n * np.tan(phi) * (aa ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * aa ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * ep2) * aa ** 6 / 720)))
+
+    def from_utm(x, y):
+        e2 = geo.WGS84_F * (2 - geo.WGS84_F)
+        ep2, e1 = e2 / (1 - e2), (1 - np.sqrt(1 - e2)) / (1 + np.sqrt(1 - e2))
+        mu = y / (0.9996 * geo.WGS84_A * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256))
+        f = (mu + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * np.sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * np.sin(4 * mu)
+             + 151 * e1 ** 3 / 96 * np.sin(6 * mu) + 1097 * e1 ** 4 / 512 * np.sin(8 * mu))
+        c, t, w = ep2 * np.cos(f) ** 2, np.tan(f) ** 2, 1 - e2 * np.sin(f) ** 2
+        n, r = geo.WGS84_A / np.sqrt(w), geo.WGS84_A * (1 - e2) / w ** 1.5
+        d = (x - 500000) / (n * 0.9996)
+        lat = f - n * np.tan(f) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * ep2) * d ** 4 / 24
+                                       + (61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * ep2 - 3 * c ** 2) * d ** 6 / 720)
+        lon = (d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * ep2 + 24 * t ** 2) * d ** 5 / 120) / np.cos(f)
+        return np.degrees(lon) + 9, np.degrees(lat)
+
+    elevation = {(k // 64, k % 64): float((10 + k % 900) % 3000) if k else 0.0 for k in keys}
+    px, py = to_utm(*(np.array([f(k) for k in keys]) for f in (lambda k: 10 + 0.01 * (k // 64), lambda k: 45 - 0.01 * (k % 64))))
+    row, col = np.meshgrid(np.arange(np.floor((4990000 - py.max()) / 600), np.floor((4990000 - py.min()) / 600) + 1),
+                           np.arange(np.floor((px.min() - 570000) / 600), np.floor((px.max() - 570000) / 600) + 1))
+    lon, lat = from_utm(570000 + (col + 0.5) * 600, 4990000 - (row + 0.5) * 600)
+    places = zip(np.floor((lon - 10) / 0.01 + 0.5).ravel(), np.floor((45 - lat) / 0.01 + 0.5).ravel(), strict=True)
+    want = {(r, c): elevation.get(p) for r, c, p in zip(row.ravel(), col.ravel(), places, strict=True)}
+    got = out.toArrow().to_pydict()
+    assert len(got["row"]) == len(want) and sum(v is not None for v in want.values()) > 200
+    assert dict(zip(zip(got["row"], got["col"], strict=True), got["elevation"], strict=True)) == want
+
+
 def test_folders_are_sorted_in_parts_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(harvest, "ROWS_A_PART", 20, raising=False)
     urls = [f"https://h/d{i % 400}/f{i}" for i in range(4000)] + [None, "https://h/top"]
